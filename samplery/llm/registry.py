@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from samplery.llm import line_dedup, mixing, sharding, simhash
+from samplery.llm import embed_dedup, langid, line_dedup, mixing, ordinal, pieces, rules, sharding, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,11 +34,50 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.length("__text").cast("long").alias("kept_chars"), F.md5("__text").alias("kept_md5"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.embedding_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = ordinal.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", F.col("__grade").alias("expected_grade"), F.col("__tail").alias("top_grade_chance"), F.col("__kept").alias("kept"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trips(table(spark, sf_dir, "documents"), pieces.PieceModel.load())
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    history = warc.archive_round_trip(table(spark, sf_dir, "pages"))
+    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_simhash": op3_simhash,
     "op4_sharding": op4_sharding,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_line_dedup": op6_line_dedup,
+    "op7_sentencepiece": op7_sentencepiece,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_language_id": op9_language_id,
+    "op10_warc": op10_warc,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -66,6 +105,31 @@ ord AS (
 SELECT doc_id, size, source_size, target,
        (size * (whole + CASE WHEN rest > 0 AND 2 * before + size <= 2 * rest THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM ord""",
+    "op2_embedding_dedup": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND list_position(embedding, NULL) IS NULL
+    AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a),
+deg AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(c, vec_id) AS component_id, vec_id = coalesce(c, vec_id) AS kept
+FROM embeddings LEFT JOIN comp ON comp.a = vec_id LEFT JOIN deg ON deg.a = vec_id""",
+    "op10_warc": r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages),
+d AS (
+  SELECT *, max(page_id) OVER (PARTITION BY sha) AS latest,
+         array_to_string(list_transform(range(0, 8), lambda k: array_to_string(list_transform(range(0, 4), lambda j:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(sha, (5 * k + 1)::INTEGER, 5))::INTEGER >> (15 - 5 * j)::INTEGER) & 31) + 1, 1)), '')), '') AS digest
+  FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = latest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> latest THEN latest END AS refers_to
+FROM d""",
     "op4_sharding": r"""
 WITH h AS (
   SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, row_number() OVER () AS rn,

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from samplery.llm.bitslice import local_roots, pairs_within
 from samplery.llm.common import attach, connected_components, deal_buckets, materialize
+from samplery.shipping import map_arrow
 
 #: Fingerprints to a block of a large bucket.
 BLOCK = 512
@@ -47,7 +48,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tie"), pa.array(fps.view(np.int64))], ["doc_id", "tie", "fp"])
 
     kind = dict(rows.dtypes)["doc_id"]
-    return materialize(rows.mapInArrow(run, f"doc_id {kind}, tie long, fp long"), "fingerprints")
+    return materialize(map_arrow(rows, run, f"doc_id {kind}, tie long, fp long"), "fingerprints")
 
 
 def block_masks(n: int, radius: int) -> list[int]:
@@ -112,7 +113,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 3) -> DataFrame:
     keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for k, m in enumerate(masks)])).alias("key"))
     dealt = deal_buckets(keyed.select("fp", "key.t", "key.bits"), ["t", "bits"], "fp", BLOCK)
     dealt = dealt.select("fp", "grp").repartition("grp").sortWithinPartitions("grp")
-    return materialize(dealt.mapInArrow(_stars(radius), "u long, v long"), "fingerprint-links")
+    return materialize(map_arrow(dealt, _stars(radius), "u long, v long"), "fingerprint-links")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
