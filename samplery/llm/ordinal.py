@@ -18,9 +18,10 @@ from samplery.shipping import map_arrow
 #: Buckets of the hashed features.
 BUCKETS = 1 << 18
 #: Bound of the labelled documents that the fit gathers.
-TRAIN_ROWS = 6000
-#: A bucket needs this many training documents to get a weight; others weigh nothing.
-LEAST_DOCS = 4
+TRAIN_ROWS = 8000
+#: A bucket needs this many training documents, and this many standard errors between the shares of documents that hold
+#: it above and below some grade, to get a weight; others weigh nothing, or rare words would learn single documents.
+LEAST_DOCS, LEAST_Z = 5, 4.0
 #: Weight of the share of words that repeat the word before.
 REPEAT = 5.0
 #: A document is selected if its chance of the top grade is at least this.
@@ -31,12 +32,15 @@ CACHE = 300_000
 _SHAPES = ((re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[A-Z]{2,}"), b"B"), (re.compile(rb"[0-9]+"), b"0"), (re.compile(rb"([^a-zA-Z0-9])\1+"), rb"\1\1"))
 
 
+_MARKS = bytes(k for k in range(33, 127) if not chr(k).isalnum())
+
+
 def word_buckets(word: bytes) -> tuple[int, int]:
-    """Bucket of the word in lower case, and of its shape (kinds of letters, digits, and its marks)."""
+    """Bucket of the word in lower case without the marks around it, and of its shape (kinds of letters, digits, and its marks)."""
     shape = word
     for pattern, to in _SHAPES:
         shape = pattern.sub(to, shape)
-    return zlib.crc32(word.lower()) % BUCKETS, zlib.crc32(shape, 1) % BUCKETS
+    return zlib.crc32(word.strip(_MARKS).lower() or word) % BUCKETS, zlib.crc32(shape, 1) % BUCKETS
 
 
 _REPEAT_BUCKET = zlib.crc32(b"word as before", 2) % BUCKETS
@@ -47,12 +51,12 @@ def repeats(words: list[bytes]) -> float:
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and values of a whole text: each different word gives 1 / sqrt(number of different words) to its two buckets."""
+    """Buckets and values of a whole text: each different word gives 1 to its own bucket and 1 / sqrt(number of different words) to its shape's."""
     words = (text or "").encode("utf-8", "replace").split()
     own = set(words)
     at = np.array([b for w in own for b in word_buckets(w)] + [_REPEAT_BUCKET], np.int64)
     buckets, inverse = np.unique(at, return_inverse=True)
-    value = np.r_[np.full(2 * len(own), 1 / max(1, len(own)) ** 0.5), REPEAT * repeats(words)]
+    value = np.r_[np.tile([1.0, 1 / max(1, len(own)) ** 0.5], len(own)), REPEAT * repeats(words)]
     return buckets, np.bincount(inverse, value)
 
 
@@ -68,13 +72,18 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -60, 60)))
 
 
-def fit_ordinal(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, steps: int = 400, rate: float = 0.1, ridge: float = 2e-4) -> OrdinalModel:
+def fit_ordinal(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, steps: int = 200, rate: float = 0.1, ridge: float = 3e-4) -> OrdinalModel:
     """Maximum likelihood with a ridge by Adam on all rows; rows hold grade, buckets and values."""
     y = np.array([r[0] for r in rows])
     doc = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
     at = np.concatenate([r[1] for r in rows])
     value = np.concatenate([r[2] for r in rows])
-    used = np.flatnonzero(np.bincount(at, minlength=BUCKETS) >= LEAST_DOCS)
+    held = np.bincount(at, minlength=BUCKETS)
+    apart = np.zeros(BUCKETS)
+    for k in range(grades - 1):
+        p = max(1e-6, (y > k).mean())
+        apart = np.maximum(apart, np.abs(np.bincount(at, (y > k)[doc], BUCKETS) - held * p) / np.sqrt(np.maximum(held, 1) * p * max(1e-6, 1 - p)))
+    used = np.flatnonzero((held >= LEAST_DOCS) & (apart >= LEAST_Z) | (np.arange(BUCKETS) == _REPEAT_BUCKET))
     place = np.full(BUCKETS, -1)
     place[used] = np.arange(len(used))
     own = place[at] >= 0
@@ -150,7 +159,7 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, thresholds = shared.value
         own = OrdinalModel(weights, thresholds)
-        known: dict[bytes, float] = {}
+        known: dict[bytes, tuple[float, float]] = {}
         for b in batches:
             scores = np.zeros(len(b))
             for k, x in enumerate(b.column(text_col)):
@@ -158,10 +167,11 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataF
                 different = set(words)
                 if len(known) > CACHE:
                     known.clear()
-                for w in different - known.keys():
+                for w in different.difference(known):
                     i, j = word_buckets(w)
-                    known[w] = float(weights[i]) + float(weights[j])
-                scores[k] = sum(map(known.__getitem__, different)) / max(1, len(different)) ** 0.5 + REPEAT * repeats(words) * float(weights[_REPEAT_BUCKET])
+                    known[w] = float(weights[i]), float(weights[j])
+                own_, shape = map(sum, zip(*map(known.__getitem__, different), strict=True)) if different else (0.0, 0.0)
+                scores[k] = own_ + shape / max(1, len(different)) ** 0.5 + REPEAT * repeats(words) * float(weights[_REPEAT_BUCKET])
             tails = own.tails(scores)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tails.sum(axis=1)), pa.array(tails[:, -1])], [*b.schema.names, "__grade", "__tail"])
 

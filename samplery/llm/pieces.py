@@ -190,7 +190,7 @@ class Encoder:
         if len(self.place) > SEGMENTS:
             self.place, self.flat, self.ends = {}, [], [0]
         new, held = [], 0
-        for s in set().union(*cut) - self.place.keys():
+        for s in set().union(*cut).difference(self.place):
             new.append(s)
             held += len(s) + 1
             if held >= INDEX_CHARS:
