@@ -301,7 +301,7 @@ def test_rules_catch_odd_documents_and_keep_plain_ones(spark, none):
         labels.append((k, 0 if bad else 1))
     rows += [(1000, None, "en", "a", 0, "", ""), (1001, "too short", "en", "a", 0, "", "")]
     lab = spark.createDataFrame(labels, "doc_id long, quality int")
-    got = {r["doc_id"]: r for r in rules.quality_rules(spark.createDataFrame(rows, DOCS), lab).collect()}
+    got = {r["doc_id"]: r for r in rules.quality_rules(spark.createDataFrame(rows, DOCS), lab, keep=0.98).collect()}
     good = [got[k]["kept"] for k in range(400) if k % 12]
     assert sum(good) >= 0.98 * len(good)
     assert sum(not got[k]["kept"] for k in range(0, 400, 12)) >= 28  # of 34
