@@ -21,13 +21,13 @@ def _apply(function: Callable[[np.ndarray], np.ndarray], spark: SparkSession) ->
 
     @F.pandas_udf("array<double>")
     def run(images: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(images), dtype=object)
-        own = images[images.notna()]
-        for _, part in own.groupby(own.map(len)):
-            got = function(np.stack(part.to_numpy()).astype(np.float64))
-            for k, row in zip(part.index, got, strict=True):
+        out: list[np.ndarray | None] = [None] * len(images)
+        own = [(k, x) for k, x in enumerate(images) if x is not None]
+        for n in {len(x) for _, x in own}:
+            part = [(k, x) for k, x in own if len(x) == n]
+            for (k, _), row in zip(part, function(np.stack([x for _, x in part]).astype(np.float64)), strict=True):
                 out[k] = row
-        return out
+        return pd.Series(out)
 
     return run
 
