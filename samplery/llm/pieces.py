@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ from samplery.shipping import map_arrow
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Characters that one suffix array indexes, and different segments and pairs that a worker remembers.
-INDEX_CHARS, SEGMENTS, PAIRS = 1 << 17, 250_000, 2_000_000
+INDEX_CHARS, SEGMENTS, PAIRS = 1 << 17, 800_000, 1_000_000
 _NORMAL, _CONTROL, _BYTE = 1, 3, 6
 
 
@@ -85,8 +86,7 @@ class Encoder:
         self.segment = re.compile(rf"{alone}|{BLANK}+[^{BLANK}{alone}]*|[^{BLANK}{alone}]+" if alone and splits else rf"{BLANK}+[^{BLANK}]*|[^{BLANK}]+" if splits else r"(?s).+")
         self.pairs: dict[int, bool] = {}
         self.place: dict[str, int] = {}
-        self.flat: list[int] = []
-        self.ends: list[int] = [0]
+        self.flat, self.ends = array("i"), array("q", [0])
 
     def merge(self, text: str) -> list[str]:
         """Plain BPE of a short string: the best-scored neighbours merge first, the leftmost of equal ones."""
@@ -188,7 +188,7 @@ class Encoder:
         """Ids of each text. Segments are parts that no merge can join; different ones are matched once."""
         cut = [self.segment.findall((BLANK * self.model.prefix + t.replace(" ", BLANK).replace("\0", "�")) if t else "") for t in texts]
         if len(self.place) > SEGMENTS:
-            self.place, self.flat, self.ends = {}, [], [0]
+            self.place, self.flat, self.ends = {}, array("i"), array("q", [0])
         new, held = [], 0
         for s in set().union(*cut).difference(self.place):
             new.append(s)
@@ -198,7 +198,7 @@ class Encoder:
                 new, held = [], 0
         if new:
             self.learn(new)
-        flat, ends = np.array(self.flat, np.int32), np.array(self.ends)
+        flat, ends = np.frombuffer(self.flat, np.int32), np.frombuffer(self.ends, np.int64)
         out = []
         for segments in cut:
             at = np.fromiter(map(self.place.__getitem__, segments), np.int64, len(segments))
