@@ -86,16 +86,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     def sign(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
+    def least(e: DataFrame) -> DataFrame:
+        """Smallest neighbour of each node: written, so that joining it can spare a hub's edges one task."""
+        return materialize(e.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")), "least-neighbours")
+
     e = materialize(oriented(edges), "edges")
     before = sign(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")).select("c", F.least("c", "m").alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, "large-star")
-        least = large.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"))
-        small = large.join(least, F.col("u") == F.col("c")).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(oriented(small.unionByName(least.select(F.col("c").alias("u"), F.col("m").alias("v")))), "small-star")
+        near = attach(both.where(F.col("v") > F.col("u")), least(both), [("u", "c")], "inner")
+        large = materialize(near.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), "large-star")
+        low = least(large)
+        small = attach(large, low, [("u", "c")], "inner").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = materialize(oriented(small.unionByName(low.select(F.col("c").alias("u"), F.col("m").alias("v")))), "small-star")
         after = sign(e)
         if after == before:
             break
