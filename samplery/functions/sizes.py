@@ -105,3 +105,8 @@ def annotation_zoom(w: Column, h: Column, x: Column, y: Column, bw: Column, bh:
     small = (bw * bh > 0) & (bw * bh < ratio * w * h)
     pick = lambda a, b: F.when(small, a).otherwise(b).cast("long")
     return F.struct(pick(at(x, bw, ww, w), F.lit(0)).alias("x"), pick(at(y, bh, wh, h), F.lit(0)).alias("y"), pick(ww, w).alias("w"), pick(wh, h).alias("h"))
+
+
+def pyramid(w: Column, h: Column, count: int, rate: float) -> Column:
+    """Sizes of ``count`` smaller copies, each ``rate`` of the one before, not rounded in between."""
+    return F.transform(F.sequence(F.lit(1), F.lit(count)), lambda i: F.struct(F.floor(w * F.pow(F.lit(rate), i)).cast("long").alias("w"), F.floor(h * F.pow(F.lit(rate), i)).cast("long").alias("h")))

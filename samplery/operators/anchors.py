@@ -102,3 +102,9 @@ def suppress(proposals: DataFrame, threshold: float, circles: bool = False) -> D
     none = F.slice("all", 1, 0)
     kept = F.aggregate("all", none, lambda done, s: F.when(F.exists(done, lambda k: overlap(k, s) > threshold), done).otherwise(F.concat(done, F.array(s))))
     return sorted_.select("image", F.explode(kept).alias("s")).select("image", *[F.col(f"s.{c}").alias(c) for c in rest]).select(*proposals.columns)
+
+
+def feature_batch(features: DataFrame, plan: DataFrame, size: int) -> DataFrame:
+    """Feature rows of a plan's images (``image``, ``draw``), with the batch and the image's place in it."""
+    placed = plan.select(F.col("image").alias("__image"), F.floor(F.col("draw") / size).cast("long").alias("batch"), (F.col("draw") % size).cast("int").alias("place"))
+    return features.join(placed, F.col("image") == F.col("__image")).drop("__image")

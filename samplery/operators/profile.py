@@ -60,3 +60,13 @@ def annotation_bbox(boxes: DataFrame, image: str = "image") -> DataFrame:
     """Envelope of each image's boxes with an area."""
     own = boxes.where("w > 0 and h > 0").groupBy(image).agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("x1"), F.max(F.col("y") + F.col("h")).alias("y1"))
     return own.select(image, "x", "y", (F.col("x1") - F.col("x")).alias("w"), (F.col("y1") - F.col("y")).alias("h"))
+
+
+def label_sources(index: DataFrame) -> DataFrame:
+    """How many groups are no whole numbers, differ from the label, and differ from label2."""
+    return index.agg(F.count_if(F.col("grp") != F.floor("grp")).alias("fractional"), F.count_if(F.col("grp") != F.col("label")).alias("not_label"), F.count_if(F.col("grp") != F.col("label2")).alias("not_label2"))
+
+
+def loader_task(annotated: Column, classes: Column) -> Column:
+    """What a loader delivers: annotation or label, as one number or one-hot."""
+    return F.when(annotated, F.when(classes > 0, "pixel classification").otherwise("pixel regression")).otherwise(F.when(classes > 0, "classification").otherwise("regression"))

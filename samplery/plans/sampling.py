@@ -174,6 +174,15 @@ def batches(plan: DataFrame, size: int, columns: tuple[str, ...]) -> DataFrame:
     return grouped.select("batch", F.size("items").alias("rows"), *[F.transform("items", _of(c)).alias(c) for c in columns])
 
 
+def padded(plan: DataFrame, size: int) -> DataFrame:
+    """The finite plan with its first rows again at the end (``pad`` is true there), so that the last batch is full."""
+    total = F.broadcast(plan.agg(F.count(F.lit(1)).alias("__total")))
+    both = plan.crossJoin(total)
+    missing = F.pmod(-F.col("__total"), F.lit(size))
+    again = both.where(F.col("draw") < missing).withColumn("draw", F.col("draw") + F.col("__total")).withColumn("pad", F.lit(True))
+    return both.withColumn("pad", F.lit(False)).unionByName(again).drop("__total")
+
+
 def with_payload(plan: DataFrame, records: DataFrame) -> DataFrame:
     """The plan's rows with their records' other columns (late materialisation by serial)."""
     return plan.join(records.drop(*[c for c in plan.columns if c != "serial" and c in records.columns]), "serial")

@@ -654,6 +654,129 @@ def colorspace_roundtrip(spark, sf_dir):
     return bgr.select("id", r6(F.abs(F.col("b") - F.col("back.b")) + F.abs(F.col("g") - F.col("back.g")) + F.abs(F.col("r") - F.col("back.r"))).alias("error"), r6(P.grey(F.col("b"), F.col("g"), F.col("r"))).alias("grey"))
 
 
+# --- further sizes, fields and plans
+
+_DRAWS = {k: f"floor({sql_uniform('clip.' + k, 'image')} * {n})::BIGINT" for k, n in (("c1", 20), ("c2", 20), ("sh", 13), ("r", 1048576))}
+
+
+@query("WITH " + PIC + f""", a AS (SELECT image, width AS s, {_DRAWS['c1']} AS k1, {_DRAWS['c2']} AS k2, {_DRAWS['sh']} - 6 AS t, {_DRAWS['r']} AS r FROM p),
+b AS (SELECT *, greatest(s, 100) AS e0, greatest(k1 + k2 - (greatest(s, 100) - 100), 0) AS lack FROM a),
+c AS (SELECT *, k1 - least(k1, lack // 2) AS c1, k2 - least(k2, lack - lack // 2) AS c2 FROM b),
+d AS (SELECT *, CASE WHEN e0 - c1 - c2 > 200 THEN 200 + c1 + c2 ELSE e0 END AS e1 FROM c),
+f AS (SELECT *, e1 - (e1 - c1 - c2) % 8 - c1 - c2 AS out, c1 + greatest(t, 0) AS beg, greatest(s - c1 - c2 - greatest(t, 0), 0) AS len, greatest(-t, 0) AS dst FROM d),
+g AS (SELECT *, greatest(out - dst, 0) AS room FROM f),
+h AS (SELECT *, greatest(room - len, 0) AS pad, greatest(len - room, 0) AS cut FROM g),
+i AS (SELECT *, CASE WHEN pad > 0 AND beg = 0 THEN dst + r % greatest(pad, 1) ELSE dst END AS dst2, CASE WHEN cut > 0 AND dst = 0 THEN beg + r % greatest(cut, 1) ELSE beg END AS beg2 FROM h)
+SELECT image, out AS size, beg2 AS begin_at, least(len, room) AS length, dst2 AS to_at, dst2 - beg2 AS move FROM i""")
+def clip_axis(spark, sf_dir):
+    i = lambda k, n: integer(f"clip.{k}", n, F.col("image"))
+    c = Z.clip_axis(F.col("width"), i("c1", 20), i("c2", 20), 100, 200, 8, i("sh", 13) - 6, i("r", 1 << 20))
+    return pictures(spark, sf_dir).select("image", c.size.cast("long").alias("size"), c.begin.cast("long").alias("begin_at"), c.length.cast("long").alias("length"), c.to.cast("long").alias("to_at"), c.move.cast("long").alias("move"))
+
+
+@query("WITH " + PIC + " SELECT image, least(width, height) AS side, CASE WHEN width > height THEN greatest(0, least((width - height) // 2 + 5, width - height)) ELSE 0 END AS x, CASE WHEN height > width THEN greatest(0, least((height - width) // 2 + 5, height - width)) ELSE 0 END AS y FROM p")
+def clip_square(spark, sf_dir):
+    side, x, y = Z.clip_square(F.col("width"), F.col("height"), F.lit(5))
+    return pictures(spark, sf_dir).select("image", side.alias("side"), x.alias("x"), y.alias("y"))
+
+
+@query("WITH " + PIC + """, a AS (SELECT *, CASE WHEN greatest(width, height) > 150 THEN width * 150 // greatest(width, height) ELSE width END AS w1, CASE WHEN greatest(width, height) > 150 THEN height * 150 // greatest(width, height) ELSE height END AS h1 FROM p)
+SELECT image, CASE WHEN greatest(width, height) > 120 THEN width * 120 // greatest(width, height) ELSE width END AS down_w, CASE WHEN least(w1, h1) < 60 THEN w1 * 60 // least(w1, h1) ELSE w1 END AS limit_w, CASE WHEN least(w1, h1) < 60 THEN h1 * 60 // least(w1, h1) ELSE h1 END AS limit_h,
+CASE WHEN least(width, height) > 90 THEN width * 90 // least(width, height) ELSE width END AS import_w, CASE WHEN (width // 48) * 48 + 7 > width THEN (width // 48) * 48 + 7 - 48 ELSE (width // 48) * 48 + 7 END AS round_w FROM a""")
+def legacy_sizes(spark, sf_dir):
+    w, h = F.col("width"), F.col("height")
+    lw, lh = Z.limit(w, h, 150, 60)
+    return pictures(spark, sf_dir).select("image", Z.downsize(w, h, 120)[0].alias("down_w"), lw.alias("limit_w"), lh.alias("limit_h"), Z.import_limit(w, h, 90)[0].alias("import_w"), Z.round_size(w, 48, 7).alias("round_w"))
+
+
+@query("WITH " + BOX + """, k AS (SELECT image, serial, width, height, floor(x * width)::BIGINT AS bx, floor(y * height)::BIGINT AS by_, ceil(w * width)::BIGINT AS bw, ceil(h * height)::BIGINT AS bh FROM b),
+r AS (SELECT *, sqrt(bw * bh / (0.2::DOUBLE * width * height)) AS rate, bw * bh > 0 AND bw * bh < 0.2::DOUBLE * width * height AS small FROM k),
+v AS (SELECT *, round(width * rate)::BIGINT AS ww, round(height * rate)::BIGINT AS wh FROM r)
+SELECT image, serial::INTEGER AS serial, CASE WHEN small THEN greatest(0, least(bx - floor((ww - bw) / 2)::BIGINT, width - ww)) ELSE 0 END AS x, CASE WHEN small THEN greatest(0, least(by_ - floor((wh - bh) / 2)::BIGINT, height - wh)) ELSE 0 END AS y, CASE WHEN small THEN ww ELSE width END AS w, CASE WHEN small THEN wh ELSE height END AS h FROM v""")
+def annotation_zoom(spark, sf_dir):
+    px = lambda f, c, s: f(F.col(c) * F.col(s)).cast("long")
+    z = Z.annotation_zoom(F.col("width"), F.col("height"), px(F.floor, "x", "width"), px(F.floor, "y", "height"), px(F.ceil, "w", "width"), px(F.ceil, "h", "height"), 0.2)
+    return boxes(spark, sf_dir).select("image", "serial", z.alias("z")).select("image", "serial", "z.*")
+
+
+@query("WITH " + PIC + " SELECT image, i::INTEGER AS level, floor(width * pow(0.5::DOUBLE, i))::BIGINT AS w, floor(height * pow(0.5::DOUBLE, i))::BIGINT AS h FROM p, range(1, 4) x(i)")
+def pyramid_sizes(spark, sf_dir):
+    levels = pictures(spark, sf_dir).select("image", F.posexplode(Z.pyramid(F.col("width"), F.col("height"), 3, 0.5)).alias("k", "s"))
+    return levels.select("image", (F.col("k") + 1).alias("level"), "s.w", "s.h")
+
+
+@query("SELECT page_id, url = url AS same FROM pages")
+def uri_codec(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", (F.url_decode(F.url_encode("url")) == F.col("url")).alias("same"))
+
+
+@query(_image_sql(_v("embedding[(7 - i // 8) * 8 + i % 8 + 1]")))
+def image_vflip(spark, sf_dir):
+    return _pixels(spark, sf_dir, lambda e: I.vflip(e, 8, 8))
+
+
+@query(_image_sql(_v("embedding[(i // 4 + 3) * 8 + i % 4 + 2 + 1]"), 20))
+def image_crop(spark, sf_dir):
+    return _pixels(spark, sf_dir, lambda e: I.crop(e, 8, 2, 3, 4, 5))
+
+
+@query(_image_sql(_v("255 - embedding[i + 1]::DOUBLE")))
+def image_invert(spark, sf_dir):
+    return _pixels(spark, sf_dir, I.invert)
+
+
+@query("WITH " + BOX + f", c AS (SELECT *, cos(label * 0.3::DOUBLE) AS ca, sin(label * 0.3::DOUBLE) AS sa, x * 100 AS ax, y * 100 AS ay, w * 50 AS aw, h * 50 AS ah FROM b) SELECT image, serial::INTEGER AS serial, {', '.join(f'{sql_r6(e)} AS {n}' for n, e in (('x0', 'ax + ca * (aw / 2)'), ('y0', 'ay + sa * (aw / 2)'), ('x1', 'ax - sa * (ah / 2)'), ('y1', 'ay + ca * (ah / 2)'), ('x2', 'ax - ca * (aw / 2)'), ('y2', 'ay - sa * (aw / 2)'), ('x3', 'ax + sa * (ah / 2)'), ('y3', 'ay - ca * (ah / 2)')))} FROM c")
+def arect_controls(spark, sf_dir):
+    c = S.arect_controls(F.col("x") * 100, F.col("y") * 100, F.col("w") * 50, F.col("h") * 50, F.col("label") * F.lit(0.3))
+    return _flat(boxes(spark, sf_dir).withColumn("c", c), "image", "serial", controls="c")
+
+
+@query("WITH " + BOX + " SELECT image, serial::INTEGER AS serial, CASE label % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN label::DOUBLE ELSE label::DOUBLE END AS c0, CASE label % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN label::DOUBLE ELSE 0.0::DOUBLE END AS c3, serial::DOUBLE AS drawn FROM b")
+def label_channels(spark, sf_dir):
+    text = F.when(F.col("label") % 3 == 1, F.col("label").cast("string")).when(F.col("label") % 3 == 2, F.concat(F.lit("["), F.col("label").cast("string"), F.lit(",2]")))
+    return boxes(spark, sf_dir).withColumn("c", S.label_channels(text)).select("image", "serial", F.col("c")[0].alias("c0"), F.col("c")[3].alias("c3"), S.render_colour(F.lit(0.0), F.col("serial"), F.col("c")[0], use_serial=True).alias("drawn"))
+
+
+@query("SELECT vec_id AS serial, label AS grp, 0 AS file FROM embeddings UNION ALL SELECT event_id, 3, 1 FROM events WHERE event_id IN (SELECT event_id FROM events ORDER BY event_id LIMIT 50)")
+def mixin_max_first(spark, sf_dir):
+    second = table(spark, sf_dir, "events").select(F.col("event_id").alias("serial"), F.lit(3).alias("grp"))
+    return M.mixin(embeddings(spark, sf_dir).select("serial", "grp"), second, most=50).select("serial", "grp", "file")
+
+
+@query("WITH " + _ranked_sql("") + " SELECT serial, grp FROM r WHERE NOT (pos >= n * 3 // 7 AND pos < n * 4 // 7)")
+def kfold_unstratified(spark, sf_dir):
+    return M.split(embeddings(spark, sf_dir), M.SampleConfig(split=7, split_fold=3)).select("serial", "grp")
+
+
+@query("SELECT doc_id AS id, quality AS label, toxic AS grp FROM labels")
+def duplicate_label2(spark, sf_dir):
+    t = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"), F.col("toxic").alias("label2"), F.col("quality").alias("grp"))
+    return D.duplicate(t, label2_groups=True).select("id", "label", "grp")
+
+
+@query("SELECT 0::BIGINT AS fractional, count(*) FILTER (quality <> toxic) AS not_label, count(*) FILTER (quality <> quality) AS not_label2 FROM labels")
+def label_sources(spark, sf_dir):
+    return profile.label_sources(table(spark, sf_dir, "labels").select(F.col("quality").alias("grp"), F.col("toxic").alias("label"), F.col("quality").alias("label2")))
+
+
+@query("SELECT doc_id, CASE WHEN quality = 1 THEN CASE WHEN toxic = 1 THEN 'pixel classification' ELSE 'pixel regression' END ELSE CASE WHEN toxic = 1 THEN 'classification' ELSE 'regression' END END AS task FROM labels")
+def loader_task(spark, sf_dir):
+    return table(spark, sf_dir, "labels").select("doc_id", profile.loader_task(F.col("quality") == 1, F.col("toxic")).alias("task"))
+
+
+@query(_BALANCED + ", t AS (SELECT count(*) AS n FROM o) SELECT serial, draw, false AS pad FROM o UNION ALL SELECT serial, draw + n, true FROM o, t WHERE draw < (32 - n % 32) % 32")
+def padded_batches(spark, sf_dir):
+    plan = M.draw_order(embeddings(spark, sf_dir), _TRAIN).select("serial", F.col("draw").cast("long").alias("draw"))
+    return M.padded(plan, 32).select("serial", "draw", "pad")
+
+
+@query("WITH " + BOX + ", " + PIC + ", o AS (SELECT image, row_number() OVER (ORDER BY " + sql_key("image", "1") + ", image) - 1 AS draw FROM p), c AS (SELECT image, serial, label::DOUBLE AS label, " + ", ".join(f"{e} AS {n}" for n, e in _BF.items()) + f" FROM b) SELECT draw // 16 AS batch, (draw % 16)::INTEGER AS place, c.image, serial::INTEGER AS serial, label, {sql_r6('x1')} AS x1, {sql_r6('y2')} AS y2 FROM c JOIN o ON c.image = o.image WHERE (x2 - x1 + 1) * (y2 - y1 + 1) >= 400")
+def feature_batch(spark, sf_dir):
+    plan = M.draw_order(pictures(spark, sf_dir).select("image", F.col("image").alias("serial"), F.lit(0).alias("grp")), M.SampleConfig())
+    rows = A.feature_batch(A.box_feature(boxes(spark, sf_dir), 400.0), plan, 16)
+    return rows.select("batch", "place", "image", "serial", "label", r6(F.col("x1")).alias("x1"), r6(F.col("y2")).alias("y2"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balanced training batches: stratified 7-fold split, oversampled round robin, batches of 32."""
     return batch_meta(spark, sf_dir)
