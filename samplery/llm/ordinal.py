@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from samplery.llm.common import SPACE, materialize
 from samplery.shipping import map_arrow
 
-#: Buckets of the hashed features.
-BUCKETS = 1 << 18
+#: Buckets of the hashed features: words below ``WORDS``, shapes from there on.
+BUCKETS, WORDS = 1 << 18, 1 << 17
 #: Bound of the labelled documents that the fit gathers.
 TRAIN_ROWS = 8000
 #: A bucket needs this many training documents, and this many standard errors between the shares of documents that hold
@@ -40,10 +40,10 @@ def word_buckets(word: bytes) -> tuple[int, int]:
     shape = word
     for pattern, to in _SHAPES:
         shape = pattern.sub(to, shape)
-    return zlib.crc32(word.strip(_MARKS).lower() or word) % BUCKETS, zlib.crc32(shape, 1) % BUCKETS
+    return zlib.crc32(word.strip(_MARKS).lower() or word) % WORDS, WORDS + zlib.crc32(shape, 1) % (BUCKETS - WORDS)
 
 
-_REPEAT_BUCKET = zlib.crc32(b"word as before", 2) % BUCKETS
+_REPEAT_BUCKET = WORDS + zlib.crc32(b"word as before", 2) % (BUCKETS - WORDS)
 
 
 def repeats(words: list[bytes]) -> float:
@@ -72,8 +72,12 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -60, 60)))
 
 
-def fit_ordinal(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, steps: int = 200, rate: float = 0.1, ridge: float = 3e-4) -> OrdinalModel:
-    """Maximum likelihood with a ridge by Adam on all rows; rows hold grade, buckets and values."""
+def fit_ordinal(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, steps: int = 300, rate: float = 0.1, ridge: float = 1e-4) -> OrdinalModel:
+    """Maximum likelihood with a ridge by Adam on all rows; rows hold grade, buckets and values.
+
+    A single word may lower the score but not raise it: else the many plain words of a long text would outweigh the
+    few that are wrong with it. Shapes, which are shares of the text, go both ways.
+    """
     y = np.array([r[0] for r in rows])
     doc = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
     at = np.concatenate([r[1] for r in rows])
@@ -111,6 +115,7 @@ def fit_ordinal(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, ste
         grad = np.r_[np.bincount(at, value * slope[doc], len(used)) + ridge * param[: len(used)], tail[:1], tail[1:] * np.exp(param[len(used) + 1 :])]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         param = param - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        param[: len(used)] = np.where(used < WORDS, np.minimum(param[: len(used)], 0), param[: len(used)])
     weights = np.zeros(BUCKETS)
     weights[used] = param[: len(used)]
     return OrdinalModel(weights, thresholds(param))
