@@ -155,12 +155,13 @@ def annotation_split(spark, sf_dir):
     return pictures(spark, sf_dir).join(own, F.col("image") == F.col("i"), "left").select("image", D.has_annotation(F.col("note")).alias("annotated"))
 
 
-_PARTS = "SELECT vec_id AS id, label, 0 AS file FROM embeddings WHERE vec_id % 2 = 0 UNION ALL SELECT vec_id, label, 1 FROM embeddings UNION ALL SELECT vec_id, label, 2 FROM embeddings WHERE label = 3"
+_PARTS = "SELECT vec_id AS id, label, 0 AS file FROM embeddings UNION ALL SELECT doc_id, quality, 1 FROM labels UNION ALL SELECT p_partkey, p_size, 2 FROM part"
 
 
 def _parts(spark, sf_dir):
-    e = embeddings(spark, sf_dir).select("id", "label")
-    return [e.where("id % 2 = 0"), e, e.where("label = 3")]
+    """Three tables as record sets, with ids that repeat between them."""
+    named = (("labels", "doc_id", "quality"), ("part", "p_partkey", "p_size"))
+    return [embeddings(spark, sf_dir).select("id", "label"), *[table(spark, sf_dir, t).select(F.col(i).alias("id"), F.col(v).alias("label")) for t, i, v in named]]
 
 
 @query(_PARTS)
