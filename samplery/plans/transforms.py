@@ -13,6 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from samplery.functions import images as I
 from samplery.functions import shapes as S
 from samplery.functions import sizes as Z
 from samplery.functions.keys import between, integer, uniform
@@ -21,7 +22,7 @@ from samplery.plans.sampling import SampleConfig
 Step = Callable[[DataFrame, dict, str, SampleConfig], DataFrame]
 REGISTRY: dict[str, Step] = {}
 #: Shape-preserving augmentation, then sizes and clips, then targets, then masks.
-_STAGE = {"augment.": 0, "sometimes": 0, "some_of": 0, "colorspace": 0, "normalize": 0, "resize": 1, "scale": 1, "pad": 1, "clip": 1, "clip_square": 1, "random_square_clip": 1, "pyramid": 1, "anchors.": 2, "box_feature": 2, "keypoints.": 2, "rasterize": 3, "mask": 4, "erode_mask": 4}
+_STAGE = {"augment.": 0, "sometimes": 0, "some_of": 0, "colorspace": 0, "normalize": 0, "resize": 1, "scale": 1, "pad": 1, "clip": 1, "clip_square": 1, "random_square_clip": 1, "pyramid": 1, "anchors.": 2, "box_feature": 2, "keypoints.": 2, "rasterize": 3, "mask": 4, "erode_mask": 4, "drop": 4, "featurize": 4}
 
 
 def register(name: str) -> Callable[[Step], Step]:
@@ -158,6 +159,61 @@ def _random_square_clip(rows, t, place, config):
     return _moved(rows, px - x, py - y, F.lit(size), F.lit(size))
 
 
+# Steps on pixels: ``image`` is an array of numbers with its channels side by side; rows without one pass.
+
+
+def _on_image(rows: DataFrame, change: Callable[[Column], Column]) -> DataFrame:
+    return rows.withColumn("image", change(F.col("image"))) if "image" in rows.columns else rows
+
+
+def _numbers(value) -> list[float]:
+    return [float(v) for v in (value if isinstance(value, (list, tuple)) else [] if value is None else [value])]
+
+
+@register("normalize")
+def _normalize(rows, t, place, config):
+    return _on_image(rows, lambda c: I.normalize(c, _numbers(t.get("mean")), _numbers(t.get("std"))))
+
+
+@register("augment.add")
+def _add(rows, t, place, config):
+    """Each of up to three channels gets a delta of its own."""
+    if not config.perturb:
+        return rows
+    channels = max(1, t.get("channels", 1))
+    r = [t.get(f"range{k + 1}", t.get("range", 0)) for k in range(channels)]
+    deltas = F.array(*[_draw(f"{place}.add{k}", t.get(f"min{k + 1}", -r[k]), t.get(f"max{k + 1}", r[k]), config, 0.0) for k in range(channels)])
+    rows = rows.withColumn("__d", deltas)
+    return _on_image(rows, lambda c: F.transform(c, lambda v, i: v.cast("double") + F.get(F.col("__d"), (i % channels).cast("int")))).drop("__d")
+
+
+@register("augment.flip_color")
+def _flip_color(rows, t, place, config):
+    coin = _coin(f"{place}.flip_color", True, config)
+    return _on_image(rows, lambda c: F.when(coin, I.invert(c)).otherwise(c.cast("array<double>")))
+
+
+@register("mask")
+def _mask(rows, t, place, config):
+    """Appends a facet of the image's size that holds one value."""
+    value = float(t.get("value", 1))
+    return rows.withColumn("mask", F.transform(F.sequence(F.lit(1).cast("long"), F.col("width") * F.col("height")), lambda _: F.lit(value)))
+
+
+def _facet_kind(rows: DataFrame, index: int, kind: str) -> DataFrame:
+    return rows.withColumn("facets", F.transform("facets", lambda f, i: F.when(i == index, f.withField("kind", F.lit(kind))).otherwise(f)))
+
+
+@register("drop")
+def _drop(rows, t, place, config):
+    return _facet_kind(rows, t.get("index", 1), "NONE")
+
+
+@register("featurize")
+def _featurize(rows, t, place, config):
+    return _facet_kind(rows, t.get("index", 1), "FEATURE")
+
+
 def _choose(rows: DataFrame, changed: DataFrame, chosen: str) -> DataFrame:
     """Rows of ``changed`` where the flag ``chosen`` is set, of ``rows`` else; both come from the same rows."""
     return changed.where(chosen).unionByName(rows.where(~F.col(chosen))).drop(chosen)

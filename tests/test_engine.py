@@ -281,6 +281,17 @@ def test_pipelines(spark):
     assert [round(moved["shapes"][0]["controls"][0][k], 6) for k in "xy"] == [0.0, 7.5]
 
 
+def test_pixel_steps(spark):
+    rows = spark.range(30).select(F.col("id").alias("serial"), F.lit(2).cast("long").alias("width"), F.lit(1).cast("long").alias("height"), F.array(F.lit(10.0), F.lit(20.0)).alias("image"), F.array(*[F.struct(F.lit("IMAGE").alias("kind"), F.lit(k).alias("n")) for k in range(2)]).alias("facets"))
+    steps = [{"type": "normalize", "mean": [10, 0], "std": 2}, {"type": "mask", "value": 3}, {"type": "featurize"}, {"type": "drop", "index": 0}]
+    r = transforms.apply(rows, steps, SampleConfig()).first()
+    assert r["image"] == [0, 10] and r["mask"] == [3, 3] and [f["kind"] for f in r["facets"]] == ["NONE", "FEATURE"]
+    same = transforms.apply(rows, [{"type": "augment.add", "range": 5}, {"type": "augment.flip_color"}], SampleConfig()).first()
+    assert same["image"] == [10, 20]
+    some = [r["image"] for r in transforms.apply(rows, [{"type": "augment.add", "range": 5, "channels": 2}, {"type": "augment.flip_color"}], SampleConfig(perturb=True)).collect()]
+    assert all(abs(a - 10) <= 5 or abs(255 - a - 10) <= 5 for a, _ in some) and len({a for a, _ in some}) == 30 and {a > 128 for a, _ in some} == {True, False}
+
+
 # --- images
 
 
