@@ -83,14 +83,15 @@ def blur(images: np.ndarray, w: int, h: int, sigma: float, channels: int = 1) ->
     return stack.reshape(len(images), -1)
 
 
-def fill_polygon(points: np.ndarray, w: int, h: int) -> np.ndarray:
-    """1 for pixels whose centre lies inside the polygon (even-odd rule), else 0."""
+def fill_polygons(points: np.ndarray, w: int, h: int) -> np.ndarray:
+    """(n, h, w) flags of the pixels whose centre lies inside each of n polygons of equally many points (even-odd rule)."""
     y, x = np.mgrid[0:h, 0:w] + 0.5
-    inside = np.zeros((h, w), bool)
-    for (x1, y1), (x2, y2) in zip(points, np.roll(points, -1, axis=0), strict=True):
-        if y1 != y2:
-            inside ^= ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
-    return inside.astype(float)
+    inside = np.zeros((len(points), h, w), bool)
+    for k in range(points.shape[1]):
+        (x1, y1), (x2, y2) = (points[:, j].T[:, :, None, None] for j in (k, (k + 1) % points.shape[1]))
+        rise = np.where(y1 == y2, 1.0, y2 - y1)
+        inside ^= ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / rise + x1)
+    return inside
 
 
 def rasterize(spark: SparkSession, w: int, h: int) -> Callable[[Column, Column], Column]:
@@ -99,13 +100,15 @@ def rasterize(spark: SparkSession, w: int, h: int) -> Callable[[Column, Column],
 
     @F.pandas_udf("array<double>")
     def run(polygons: pd.Series, values: pd.Series) -> pd.Series:
-        out = []
-        for shapes, own in zip(polygons, values, strict=True):
-            canvas = np.zeros((h, w))
-            for shape, v in zip(shapes, own, strict=True):
-                canvas = np.where(fill_polygon(np.array([(p["x"], p["y"]) for p in shape]), w, h) > 0, v, canvas)
-            out.append(canvas.ravel())
-        return pd.Series(out)
+        canvas = np.zeros((len(polygons), h, w))
+        shapes = [(row, k, np.array([(p["x"], p["y"]) for p in shape]), own[k]) for row, (drawn, own) in enumerate(zip(polygons, values, strict=True)) for k, shape in enumerate(drawn)]
+        for turn in range(max((k for _, k, _, _ in shapes), default=-1) + 1):  # all rows' first shapes, then all second ones
+            for n in {len(p) for _, k, p, _ in shapes if k == turn}:
+                part = [(row, p, v) for row, k, p, v in shapes if k == turn and len(p) == n]
+                rows = np.array([row for row, _, _ in part])
+                inside = fill_polygons(np.stack([p for _, p, _ in part]), w, h)
+                canvas[rows] = np.where(inside, np.array([v for _, _, v in part])[:, None, None], canvas[rows])
+        return pd.Series(list(canvas.reshape(len(polygons), -1)))
 
     return run
 

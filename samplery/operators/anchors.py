@@ -16,24 +16,29 @@ def cells(images: DataFrame, downsize: int, priors: int = 1) -> DataFrame:
     return out.withColumn("px", (F.col("cx") * downsize).cast("double")).withColumn("py", (F.col("cy") * downsize).cast("double"))
 
 
-def _score(kind: str, priors: Sequence[tuple[float, float]]) -> tuple[Column, list[Column], Column]:
-    """Score, parameters and weight of a truth (box in pixels ``bx``, ``by``, ``bw``, ``bh``) at a cell."""
-    mx, my = F.col("bx") + F.col("bw") / 2, F.col("by") + F.col("bh") / 2
-    dx, dy = mx - F.col("px"), my - F.col("py")
+def _score(b: Column, kind: str, priors: Sequence[tuple[float, float]]) -> tuple[Column, list[Column], Column]:
+    """Score, parameters and weight of a truth (a struct with the box in pixels: ``bx``, ``by``, ``bw``, ``bh``) at a cell."""
+    dx, dy = b["bx"] + b["bw"] / 2 - F.col("px"), b["by"] + b["bh"] / 2 - F.col("py")
     far = F.sqrt(dx * dx + dy * dy)
     if kind == "point":
         return F.exp(-far), [dx, dy], F.lit(1.0)
     if kind == "circle":
-        r = F.sqrt(F.col("bw") * F.col("bh")) / 2
+        r = F.sqrt(b["bw"] * b["bh"]) / 2
         return (r - far) / r, [dx, dy, r], 1 / (r * r)
     if not priors:
-        score = F.least((F.col("bw") - 2 * F.abs(dx)) / F.col("bw"), (F.col("bh") - 2 * F.abs(dy)) / F.col("bh"))
+        score = F.least((b["bw"] - 2 * F.abs(dx)) / b["bw"], (b["bh"] - 2 * F.abs(dy)) / b["bh"])
     else:
         pw, ph = (F.element_at(F.array(*[F.lit(float(p[k])) for p in priors]), F.col("prior") + 1) for k in (0, 1))
-        along = lambda d, a, b: F.greatest(F.lit(0.0), F.least(d + a / 2, b / 2) - F.greatest(d - a / 2, -b / 2))
-        inter = along(dx, F.col("bw"), pw) * along(dy, F.col("bh"), ph)
-        score = inter / (F.col("bw") * F.col("bh") + pw * ph - inter + 1e-5)
-    return score, [dx, dy, F.col("bw"), F.col("bh")], 1 / (F.col("bw") * F.col("bh"))
+        along = lambda d, x, y: F.greatest(F.lit(0.0), F.least(d + x / 2, y / 2) - F.greatest(d - x / 2, -y / 2))
+        inter = along(dx, b["bw"], pw) * along(dy, b["bh"], ph)
+        score = inter / (b["bw"] * b["bh"] + pw * ph - inter + 1e-5)
+    return score, [dx, dy, b["bw"], b["bh"]], 1 / (b["bw"] * b["bh"])
+
+
+def _with_arrays(images: DataFrame, items: DataFrame, columns: Sequence[str], how: str) -> DataFrame:
+    """Images with the array ``__own`` of their items: joined before cells are made, so that only whole images are moved."""
+    own = items.groupBy(F.col("image").alias("__i")).agg(F.collect_list(F.struct(*columns)).alias("__own"))
+    return images.join(own, F.col("image") == F.col("__i"), how).drop("__i")
 
 
 def dense_anchors(images: DataFrame, boxes: DataFrame, kind: str = "box", downsize: int = 1, upper: float = 0.6, lower: float = 0.4, weighted: bool = False, default: float = 0.0, priors: Sequence[tuple[float, float]] = ()) -> DataFrame:
@@ -41,15 +46,19 @@ def dense_anchors(images: DataFrame, boxes: DataFrame, kind: str = "box", downsi
 
     The truth of a cell is the box of its image with the largest score above 0, the first of equal ones. From
     ``lower`` on its parameters count (with weight 1, or by size if ``weighted``); from ``upper`` on the label is 1;
-    between the two the label is masked out. A cell meets only the boxes of its own image.
+    between the two the label is masked out. A cell meets only the boxes of its own image, which come to it as an
+    array: cells are never shuffled.
     """
-    grid = cells(images, downsize, max(1, len(priors)))
-    own = boxes.select(F.col("image").alias("__i"), "serial", (F.col("x") * F.col("width")).alias("bx"), (F.col("y") * F.col("height")).alias("by"), (F.col("w") * F.col("width")).alias("bw"), (F.col("h") * F.col("height")).alias("bh")).where("bw > 0 and bh > 0")
-    score, params, weight = _score(kind, priors)
-    met = grid.join(own, F.col("image") == F.col("__i"), "left").withColumn("score", score).withColumn("__params", F.array(*params)).withColumn("__weight", weight if weighted else F.lit(1.0))
-    good = F.when((F.col("score") > 0) & (F.col("score") >= lower), F.struct("score", (-F.col("serial")).alias("s"), F.col("__params").alias("p"), F.col("__weight").alias("m")))
-    best = met.groupBy("image", "cy", "cx", "prior").agg(F.max(good).alias("b"))
-    none = F.array(*[F.lit(float(default))] * len(params))
+    own = boxes.select("image", "serial", (F.col("x") * F.col("width")).alias("bx"), (F.col("y") * F.col("height")).alias("by"), (F.col("w") * F.col("width")).alias("bw"), (F.col("h") * F.col("height")).alias("bh")).where("bw > 0 and bh > 0")
+    grid = cells(_with_arrays(images, own, ["serial", "bx", "by", "bw", "bh"], "left"), downsize, max(1, len(priors)))
+
+    def candidate(b: Column) -> Column:
+        score, params, weight = _score(b, kind, priors)
+        return F.when((score > 0) & (score >= lower), F.struct(score.alias("score"), (-b["serial"]).alias("s"), F.array(*params).alias("p"), (weight if weighted else F.lit(1.0)).alias("m")))
+
+    best = grid.withColumn("b", F.array_max(F.transform("__own", candidate)))
+    count = {"point": 2, "circle": 3}.get(kind, 4)
+    none = F.array(*[F.lit(float(default))] * count)
     hit = F.col("b.score") >= upper
     return best.select("image", "cy", "cx", "prior", F.when(hit, 1.0).otherwise(0.0).alias("label"), F.when(F.col("b").isNotNull() & ~hit, 0.0).otherwise(1.0).alias("label_mask"), F.coalesce("b.p", none).alias("params"), F.coalesce("b.m", F.lit(0.0)).alias("params_mask"))
 
@@ -63,12 +72,17 @@ def box_feature(boxes: DataFrame, min_area: float = 1.0) -> DataFrame:
 
 def keypoints(images: DataFrame, points: DataFrame, classes: int, downsize: int, radius: float) -> DataFrame:
     """Per cell and class within ``radius`` pixels of a point (``image``, ``serial``, ``label`` from 1, ``kx``, ``ky`` in pixels): offset to it; later points overwrite."""
-    own = points.where(F.col("label").between(1, classes)).select(F.col("image").alias("__i"), "serial", (F.col("label") - 1).cast("int").alias("class"), "kx", "ky")
-    met = cells(images, downsize).join(own, F.col("image") == F.col("__i"))
-    dx, dy = F.col("kx") - F.col("px"), F.col("ky") - F.col("py")
-    near = met.withColumn("dx", dx).withColumn("dy", dy).where(F.sqrt(dx * dx + dy * dy) <= radius)
-    last = near.groupBy("image", "cy", "cx", "class").agg(F.max(F.struct("serial", "dx", "dy")).alias("k"))
-    return last.select("image", "cy", "cx", "class", F.lit(1.0).alias("mask"), F.col("k.dx").alias("dx"), F.col("k.dy").alias("dy"))
+    own = points.where(F.col("label").between(1, classes)).select("image", "serial", (F.col("label") - 1).cast("int").alias("class"), "kx", "ky")
+    grid = cells(_with_arrays(images, own, ["serial", "class", "kx", "ky"], "inner"), downsize)
+    dx, dy = lambda k: k["kx"] - F.col("px"), lambda k: k["ky"] - F.col("py")
+    near = grid.withColumn("__near", F.filter("__own", lambda k: F.sqrt(dx(k) * dx(k) + dy(k) * dy(k)) <= radius)).where(F.size("__near") > 0)
+
+    def last(number: int) -> Column:
+        mine = F.filter("__near", lambda k: k["class"] == number)
+        return F.array_max(F.transform(mine, lambda k: F.struct(k["serial"].alias("serial"), dx(k).alias("dx"), dy(k).alias("dy"))))
+
+    each = near.select("image", "cy", "cx", F.posexplode(F.array(*[last(k) for k in range(classes)])).alias("class", "k")).where("k is not null")
+    return each.select("image", "cy", "cx", "class", F.lit(1.0).alias("mask"), F.col("k.dx").alias("dx"), F.col("k.dy").alias("dy"))
 
 
 def decode_proposals(rows: DataFrame, threshold: float, upsize: int = 1) -> DataFrame:

@@ -65,11 +65,14 @@ def overlaps(x: Column, y: Column, w: Column, h: Column, tx: Column, ty: Column,
 
 
 def tile_shapes(tiles: DataFrame, boxes: DataFrame, image: str = "image") -> DataFrame:
-    """Boxes (fractions) that overlap each tile of their image, zoomed to the tile and not cut at its edge (an equi-join by image, with the overlap as condition)."""
+    """Boxes (fractions) that overlap each tile of their image, zoomed to the tile and not cut at its edge (an equi-join by image, with the overlap as condition).
+
+    Tiles were exploded, so their size estimate is far too low: the hint keeps them from being broadcast on it.
+    """
     b = boxes.select(F.col(image).alias("__image"), "serial", "label", "x", "y", "w", "h")
     t = tiles.select(image, "width", "height", "tile_x", "tile_y", "tile_w", "tile_h").dropDuplicates()
     zx, zy, zw, zh = (F.col(a) / F.col(b_) for a, b_ in (("tile_x", "width"), ("tile_y", "height"), ("tile_w", "width"), ("tile_h", "height")))
-    joined = t.join(b, (F.col(image) == F.col("__image")) & overlaps(*[F.col(c) for c in ("x", "y", "w", "h")], zx, zy, zw, zh))
+    joined = t.hint("merge").join(b, (F.col(image) == F.col("__image")) & overlaps(*[F.col(c) for c in ("x", "y", "w", "h")], zx, zy, zw, zh))
     return joined.select(image, "tile_x", "tile_y", "serial", "label", ((F.col("x") - zx) / zw).alias("x"), ((F.col("y") - zy) / zh).alias("y"), (F.col("w") / zw).alias("w"), (F.col("h") / zh).alias("h"))
 
 

@@ -316,8 +316,12 @@ def test_pixel_operators(spark):
     assert pixels.rotate(np.eye(5).reshape(1, 25), 5, 5, 90.0).round(9).reshape(5, 5).tolist() == np.fliplr(np.eye(5)).tolist()
     assert pixels.blur(np.full((1, 12), 2.0), 4, 3, 1.0).round(9).tolist() == [[2.0] * 12]
     assert pixels.blur(x, 4, 3, 0.0).tolist() == x.tolist()
-    square = pixels.fill_polygon(np.array([(1, 1), (3, 1), (3, 3), (1, 3)]), 4, 4)
+    square = pixels.fill_polygons(np.array([[(1, 1), (3, 1), (3, 3), (1, 3)]]), 4, 4)[0]
     assert square.sum() == 4 and square[1:3, 1:3].all()
+    ring = lambda lo, hi: [(float(lo), float(lo)), (float(hi), float(lo)), (float(hi), float(hi)), (float(lo), float(hi))]
+    drawn = spark.createDataFrame([([ring(0, 3), ring(1, 2)], [1.0, 2.0]), ([ring(0, 1)[:3]], [5.0]), ([], [])], "p array<array<struct<x:double,y:double>>>, v array<double>")
+    masks = [r["m"] for r in drawn.select(pixels.rasterize(spark, 3, 3)(F.col("p"), F.col("v")).alias("m")).collect()]
+    assert masks[0] == [1, 1, 1, 1, 2, 1, 1, 1, 1] and masks[1][1:] == [0.0] * 8 and masks[2] == [0.0] * 9
     df = spark.createDataFrame([(1, [1.0, 2.0, 3.0, 4.0]), (2, None)], "id int, a array<double>")
     got = {r["id"]: r["b"] for r in df.select("id", pixels.resizer(spark, 2, 2, 1, 1)(F.col("a")).alias("b")).collect()}
     assert got[1] == [2.5] and got[2] is None
