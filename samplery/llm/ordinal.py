@@ -27,7 +27,9 @@ REPEAT = 5.0
 #: A document is selected if its chance of the top grade is at least this.
 SELECT = 0.5
 #: Words whose buckets a worker remembers.
-CACHE = 300_000
+CACHE = 150_000
+#: Rows that go back to Spark at once, as they carry their texts.
+SLICE = 1000
 
 _SHAPES = ((re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[A-Z]{2,}"), b"B"), (re.compile(rb"[0-9]+"), b"0"), (re.compile(rb"([^a-zA-Z0-9])\1+"), rb"\1\1"))
 
@@ -165,16 +167,19 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataF
         weights, thresholds = shared.value
         own = OrdinalModel(weights, thresholds)
         known: dict[bytes, tuple[float, float]] = {}
-        for b in batches:
+        alike: dict[tuple[float, float], tuple[float, float]] = {}  # most words weigh alike: one object for all of them
+        for b in (whole.slice(k, SLICE) for whole in batches for k in range(0, len(whole), SLICE)):
             scores = np.zeros(len(b))
             for k, x in enumerate(b.column(text_col)):
                 words = (x.as_py() or "").encode("utf-8", "replace").split()
                 different = set(words)
                 if len(known) > CACHE:
                     known.clear()
+                    alike.clear()
                 for w in different.difference(known):
                     i, j = word_buckets(w)
-                    known[w] = float(weights[i]), float(weights[j])
+                    pair = float(weights[i]), float(weights[j])
+                    known[w] = alike.setdefault(pair, pair)
                 own_, shape = map(sum, zip(*map(known.__getitem__, different), strict=True)) if different else (0.0, 0.0)
                 scores[k] = own_ + shape / max(1, len(different)) ** 0.5 + REPEAT * repeats(words) * float(weights[_REPEAT_BUCKET])
             tails = own.tails(scores)

@@ -19,7 +19,7 @@ from samplery.shipping import map_arrow
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Characters that one suffix array indexes, and different segments and pairs that a worker remembers.
-INDEX_CHARS, SEGMENTS, PAIRS = 1 << 17, 800_000, 1_000_000
+INDEX_CHARS, SEGMENTS, PAIRS = 1 << 16, 500_000, 300_000
 _NORMAL, _CONTROL, _BYTE = 1, 3, 6
 
 
@@ -83,7 +83,7 @@ class Encoder:
         self.low, self.high = low, high
         splits = all(BLANK not in model.pieces[i].lstrip(BLANK) for i in normal)
         alone = "\n" if "\n" not in chars else ""
-        self.segment = re.compile(rf"{alone}|{BLANK}+[^{BLANK}{alone}]*|[^{BLANK}{alone}]+" if alone and splits else rf"{BLANK}+[^{BLANK}]*|[^{BLANK}]+" if splits else r"(?s).+")
+        self.segment = re.compile(rf"{alone}| +[^ {alone}]*|[^ {alone}]+" if alone and splits else r" +[^ ]*|[^ ]+" if splits else r"(?s).+")
         self.pairs: dict[int, bool] = {}
         self.place: dict[str, int] = {}
         self.flat, self.ends = array("i"), array("q", [0])
@@ -141,8 +141,8 @@ class Encoder:
         return start[order], length[order], piece[order]
 
     def learn(self, segments: list[str]) -> None:
-        """Encodes segments and remembers their ids."""
-        points = np.frombuffer(("\0".join(segments) + "\0").encode("utf-32-le"), "<u4")
+        """Encodes segments (their blanks still spaces, which keeps them small) and remembers their ids."""
+        points = np.frombuffer(("\0".join(segments) + "\0").replace(" ", BLANK).encode("utf-32-le"), "<u4")
         starts, lengths, pieces = (x.tolist() for x in self.matches(points))
         last: list[int] = [-2] * (len(points) + 1)  # -2: not reached, -1: a segment begins
         step = [0] * (len(points) + 1)
@@ -186,7 +186,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. Segments are parts that no merge can join; different ones are matched once."""
-        cut = [self.segment.findall((BLANK * self.model.prefix + t.replace(" ", BLANK).replace("\0", "�")) if t else "") for t in texts]
+        cut = [self.segment.findall((" " * self.model.prefix + t.replace(BLANK, " ").replace("\0", "�")) if t else "") for t in texts]
         if len(self.place) > SEGMENTS:
             self.place, self.flat, self.ends = {}, array("i"), array("q", [0])
         new, held = [], 0
