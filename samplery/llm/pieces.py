@@ -21,6 +21,8 @@ BLANK = "▁"
 #: Characters that one suffix array indexes, and different segments and pairs that a worker remembers.
 INDEX_CHARS, SEGMENTS, PAIRS = 1 << 16, 500_000, 300_000
 _NORMAL, _CONTROL, _BYTE = 1, 3, 6
+#: Separates segments among code points: the first number that is none.
+_END = 0x110000
 
 
 @dataclass
@@ -65,9 +67,9 @@ class Encoder:
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True)) if k == _BYTE}
         normal = [i for i, k in enumerate(model.kinds) if k == _NORMAL]
         chars = sorted(set("".join(model.pieces[i] for i in normal)))
-        self.code = np.zeros(0x110000, np.uint16)  # 0: in no piece
+        self.code = np.zeros(_END + 1, np.uint16)  # 0: in no piece
         self.code[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
-        self.single = np.zeros(0x110000, bool)
+        self.single = np.zeros(_END + 1, bool)
         self.single[[ord(model.pieces[i]) for i in normal if len(model.pieces[i]) == 1]] = True
         reach = np.array([i for i in normal if len(model.pieces[i]) == 1 or self.merge(model.pieces[i]) == [model.pieces[i]]])
         self.ids, self.lengths = reach, np.array([len(model.pieces[i]) for i in reach])
@@ -110,7 +112,7 @@ class Encoder:
         return self.merge(a + b) == [a, b]
 
     def matches(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, length and piece of every occurrence of every piece in a text of code points (0 separates segments), by start.
+        """Start, length and piece of every occurrence of every piece in a text of code points (``_END`` separates segments), by start.
 
         The suffix array sorts suffixes by as many characters as the longest piece has; a piece's occurrences are the
         range of suffixes that begin with it, found by binary search, four characters at a time.
@@ -135,14 +137,15 @@ class Encoder:
         count = hi - lo
         start = suffixes[np.repeat(lo - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(int(count.sum()))]
         length, piece = np.repeat(self.lengths[own], count), np.repeat(self.ids[own], count)
-        bare = np.flatnonzero(~self.single[points] & (points != 0))  # characters that are no piece
+        bare = np.flatnonzero(~self.single[points] & (points != _END))  # characters that are no piece
         start, length, piece = np.r_[start, bare], np.r_[length, np.ones(len(bare), np.int64)], np.r_[piece, self.size + points[bare].astype(np.int64)]
         order = np.argsort(start, kind="stable")
         return start[order], length[order], piece[order]
 
     def learn(self, segments: list[str]) -> None:
         """Encodes segments (their blanks still spaces, which keeps them small) and remembers their ids."""
-        points = np.frombuffer(("\0".join(segments) + "\0").replace(" ", BLANK).encode("utf-32-le"), "<u4")
+        points = np.frombuffer((" ".join(segments) + " ").replace(" ", BLANK).encode("utf-32-le"), "<u4").copy()
+        points[np.cumsum([len(s) + 1 for s in segments]) - 1] = _END
         starts, lengths, pieces = (x.tolist() for x in self.matches(points))
         last: list[int] = [-2] * (len(points) + 1)  # -2: not reached, -1: a segment begins
         step = [0] * (len(points) + 1)
@@ -150,7 +153,7 @@ class Encoder:
         for s in segments:
             last[at] = -1
             at += len(s) + 1
-        pairs, base = self.pairs, self.size + 0x110000
+        pairs, base = self.pairs, self.size + _END
         for i, n, p in zip(starts, lengths, pieces, strict=True):
             j = i + n
             if last[j] != -2:
@@ -186,7 +189,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. Segments are parts that no merge can join; different ones are matched once."""
-        cut = [self.segment.findall((" " * self.model.prefix + t.replace(BLANK, " ").replace("\0", "�")) if t else "") for t in texts]
+        cut = [self.segment.findall((" " * self.model.prefix + t.replace(BLANK, " ")) if t else "") for t in texts]
         if len(self.place) > SEGMENTS:
             self.place, self.flat, self.ends = {}, array("i"), array("q", [0])
         new, held = [], 0
@@ -311,7 +314,7 @@ def round_trips(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text
             for texts in _parts(b.column("text")):
                 ids = own.encode([t or "" for t in texts])
                 digest = [None if t is None else hashlib.md5(x.astype("<i4").tobytes()).hexdigest() for t, x in zip(texts, ids, strict=True)]
-                exact = [t is None or back.decode(x.tolist()) == t.replace(BLANK, " ").replace("\0", "�") for t, x in zip(texts, ids, strict=True)]
+                exact = [t is None or back.decode(x.tolist()) == t.replace(BLANK, " ") for t, x in zip(texts, ids, strict=True)]
                 columns = [b.column("doc_id").slice(done, len(texts)), pa.array([None if t is None else len(x) for t, x in zip(texts, ids, strict=True)], pa.int64()), pa.array(digest, pa.string()), pa.array(exact)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_pieces", "ids_md5", "exact"])
                 done += len(texts)

@@ -387,6 +387,22 @@ def test_pieces_match_the_library_and_round_trip(spark, docs, none):
     assert pieces.encode(none, model).count() == 0
 
 
+@needs_model
+def test_nul_and_replacement_characters_stay_apart(spark):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    texts = ["a\0b", "\0", "\0\0 \0", "a\ufffdb", "\0\ufffd\0", "end\0", "\0begin \0 mid\0dle\n\0\n", "\U0010ffff\0"]
+    model = pieces.PieceModel.load()
+    ids = [x.tolist() for x in pieces.Encoder(model).encode(texts)]
+    assert ids == [library.encode(t) for t in texts]
+    assert [pieces.Decoder(model).decode(x) for x in ids] == texts == [library.decode(x) for x in ids]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["text"] for r in pieces.decode(pieces.encode(docs, model), model).orderBy("doc_id").collect()] == texts
+    rows = pieces.round_trips(docs, model).orderBy("doc_id").collect()
+    assert all(r["exact"] for r in rows) and [r["n_pieces"] for r in rows] == [len(x) for x in ids]
+
+
 # --- archives
 
 
