@@ -66,8 +66,8 @@ def rotate(images: np.ndarray, w: int, h: int, degrees: float, channels: int = 1
     return got.reshape(len(images), -1)
 
 
-def blur(images: np.ndarray, w: int, h: int, sigma: float, channels: int = 1) -> np.ndarray:
-    """Gaussian of an odd kernel of about 3 sigma, edges mirrored without repeating the edge pixel."""
+def blur(images: np.ndarray, w: int, h: int, sigma: float, channels: int = 1, border: str = "reflect") -> np.ndarray:
+    """Gaussian of an odd kernel of about 3 sigma, edges mirrored without repeating the edge pixel, replicated, or zero outside if ``border`` is constant."""
     size = int(round(3 * sigma))
     size += 1 - size % 2
     if size <= 1:
@@ -77,9 +77,12 @@ def blur(images: np.ndarray, w: int, h: int, sigma: float, channels: int = 1) ->
     kernel /= kernel.sum()
     stack = images.reshape(len(images), h, w, channels)
     for axis, n in ((1, h), (2, w)):
-        mirror = np.abs((np.arange(n)[:, None] + at[None, :]))
-        mirror = np.where(mirror >= n, 2 * (n - 1) - mirror, mirror) if n > 1 else mirror * 0
-        stack = (np.take(stack, np.clip(mirror, 0, n - 1).ravel(), axis).reshape(*stack.shape[:axis], n, size, *stack.shape[axis + 1 :]) * kernel.reshape(size, *[1] * (3 - axis))).sum(axis=axis + 1)
+        place = np.arange(n)[:, None] + at[None, :]
+        weight = np.where((place >= 0) & (place < n), kernel, 0.0) if border == "constant" else np.broadcast_to(kernel, place.shape)
+        if border == "reflect":
+            place = np.abs(place)
+            place = np.where(place >= n, 2 * (n - 1) - place, place) if n > 1 else place * 0
+        stack = (np.take(stack, np.clip(place, 0, n - 1).ravel(), axis).reshape(*stack.shape[:axis], n, size, *stack.shape[axis + 1 :]) * weight.reshape(n, size, *[1] * (3 - axis))).sum(axis=axis + 1)
     return stack.reshape(len(images), -1)
 
 
@@ -125,6 +128,102 @@ def blurrer(spark: SparkSession, w: int, h: int, sigma: float) -> Callable[[Colu
     return _apply(lambda x: blur(x, w, h, sigma), spark)
 
 
+def per_row(spark: SparkSession, function: Callable[[np.ndarray, int, int, int, list], np.ndarray]) -> Callable[..., Column]:
+    """A pandas UDF of an image, its width and height and an array of numbers: ``function(pixels, w, h, channels, numbers)`` on one image of its own size at a time; null images stay null."""
+    ship(spark)
+
+    @F.pandas_udf("array<double>")
+    def run(images: pd.Series, widths: pd.Series, heights: pd.Series, numbers: pd.Series) -> pd.Series:
+        out: list[np.ndarray | None] = []
+        for x, w, h, own in zip(images, widths, heights, numbers, strict=True):
+            if x is None:
+                out.append(None)
+                continue
+            w, h = int(w), int(h)
+            if w * h < 1 or len(x) % (w * h):
+                raise ValueError(f"{len(x)} numbers are no image of {w} x {h} pixels")
+            out.append(np.asarray(function(np.asarray(x, np.float64), w, h, len(x) // (w * h), list(own)), np.float64).ravel())
+        return pd.Series(out, dtype=object)
+
+    return run
+
+
+def erode(image: np.ndarray, w: int, h: int, channels: int, radius: int, iterations: int = 1, border: str = "constant") -> np.ndarray:
+    """Least value in a square, ``iterations`` times; outside counts 1, or nothing but the mirrored or repeated pixels."""
+    reach = radius * iterations
+    stack = np.pad(image.reshape(h, w, channels), ((reach, reach), (reach, reach), (0, 0)), constant_values=1.0 if border == "constant" else np.inf)
+    stack = np.lib.stride_tricks.sliding_window_view(stack, 2 * reach + 1, axis=0).min(axis=-1)
+    return np.lib.stride_tricks.sliding_window_view(stack, 2 * reach + 1, axis=1).min(axis=-1)
+
+
+def draw(canvas: np.ndarray, w: int, h: int, kind: str, points: np.ndarray, colour: np.ndarray, thickness: int = -1, rings: list[int] | None = None) -> None:
+    """Draws a shape of annotated images on (h, w, channels): filled as ``fill_polygons`` does, or its outline of ``thickness`` pixels; points are discs of 5 pixels."""
+    y, x = np.mgrid[0:h, 0:w] + 0.5
+    if kind == "point":
+        far = np.hypot(x - 0.5 - np.round(points[0, 0]), y - 0.5 - np.round(points[0, 1]))
+        canvas[far <= 5 if thickness < 0 else np.abs(far - 5) <= thickness / 2] = colour
+        return
+    if kind == "rect":
+        points = points[[0, 2, 1, 3]]
+    elif kind == "arect":  # from middles of sides to corners
+        points = points + np.roll(points, -1, axis=0) - (points[0] + points[2]) / 2
+    elif kind not in ("polygon", "polygons"):
+        raise ValueError(f"shapes of type {kind} cannot be drawn")
+    parts = np.split(points, np.cumsum(rings)[:-1]) if rings is not None and len(rings) else [points]
+    on = np.zeros((h, w), bool)
+    for p in parts:
+        if thickness < 0:
+            on ^= fill_polygons(p[None], w, h)[0]
+            continue
+        for a, b in zip(p, np.roll(p, -1, axis=0), strict=True):
+            d = b - a
+            t = np.clip(((x - a[0]) * d[0] + (y - a[1]) * d[1]) / max(float(d @ d), 1e-12), 0, 1)
+            on |= np.hypot(x - a[0] - t * d[0], y - a[1] - t * d[1]) <= thickness / 2
+    canvas[on] = colour
+
+
+def drawer(spark: SparkSession, channels: int, thickness: int) -> Callable[..., Column]:
+    """A pandas UDF of a canvas (null: zeros), width, height and shapes' types, controls, colours and ring sizes; later shapes cover earlier ones."""
+    ship(spark)
+
+    @F.pandas_udf("array<double>")
+    def run(canvases: pd.Series, widths: pd.Series, heights: pd.Series, kinds: pd.Series, controls: pd.Series, colours: pd.Series, rings: pd.Series) -> pd.Series:
+        out = []
+        for base, w, h, *own in zip(canvases, widths, heights, kinds, controls, colours, rings, strict=True):
+            w, h = int(w), int(h)
+            deep = channels if base is None else len(base) // (w * h)
+            canvas = np.zeros((h, w, deep)) if base is None else np.array(base, np.float64).reshape(h, w, deep)
+            for kind, points, colour, sizes in zip(*[() if x is None else x for x in own], strict=True):
+                draw(canvas, w, h, kind, np.array([(p["x"], p["y"]) for p in points], np.float64), np.resize(np.asarray(colour, np.float64), deep), thickness, None if sizes is None else list(sizes))
+            out.append(canvas.ravel())
+        return pd.Series(out, dtype=object)
+
+    return run
+
+
+def keypoint_maps(spark: SparkSession, classes: int, downsize: int, radius: float) -> Callable[..., Column]:
+    """A pandas UDF of width, height and shapes' labels (from 1) and controls: per cell and class 1 and the offset (x, y) to a point within ``radius`` pixels, else zeros; later points overwrite."""
+    ship(spark)
+
+    @F.pandas_udf("array<double>")
+    def run(widths: pd.Series, heights: pd.Series, labels: pd.Series, controls: pd.Series) -> pd.Series:
+        out = []
+        for w, h, own, shapes in zip(widths, heights, labels, controls, strict=True):
+            y, x = np.mgrid[0 : h // downsize, 0 : w // downsize] * downsize
+            maps = np.zeros((*y.shape, classes, 3))
+            for label, points in zip(() if own is None else own, () if shapes is None else shapes, strict=True):
+                if label is None or not 1 <= int(label) <= classes:
+                    continue
+                for p in points:
+                    dx, dy = p["x"] - x, p["y"] - y
+                    near = np.hypot(dx, dy) <= radius
+                    maps[near, int(label) - 1] = np.stack([np.ones(int(near.sum())), dx[near], dy[near]], axis=1)
+            out.append(np.r_[maps[..., 0].ravel(), maps[..., 1:].ravel()])
+        return pd.Series(out, dtype=object)
+
+    return run
+
+
 # --- colour spaces of single pixels: built-in expressions on (blue, green, red)
 
 
@@ -147,3 +246,27 @@ def from_hsv(hsv: Column) -> Column:
         return hsv["v"] - hsv["v"] * hsv["s"] * F.greatest(F.lit(0.0), F.least(k, 4 - k, F.lit(1.0)))
 
     return F.struct(channel(1).alias("b"), channel(3).alias("g"), channel(5).alias("r"))
+
+
+_WHITE = (0.950456, 1.0, 1.088754)
+
+
+def to_lab(b: Column, g: Column, r: Column) -> Column:
+    """CIE L*, a*, b* (D65) of sRGB channels in [0, 1]."""
+    b, g, r = (F.when(v > 0.04045, F.pow((v + 0.055) / 1.055, F.lit(2.4))).otherwise(v / 12.92) for v in (b, g, r))
+    curve = lambda t: F.when(t > 0.008856, F.pow(t, F.lit(1 / 3))).otherwise(7.787 * t + 16 / 116)
+    x = (0.412453 * r + 0.357580 * g + 0.180423 * b) / _WHITE[0]
+    y = 0.212671 * r + 0.715160 * g + 0.072169 * b
+    z = (0.019334 * r + 0.119193 * g + 0.950227 * b) / _WHITE[2]
+    return F.struct(F.when(y > 0.008856, 116 * F.pow(y, F.lit(1 / 3)) - 16).otherwise(903.3 * y).alias("l"), (500 * (curve(x) - curve(y))).alias("a"), (200 * (curve(y) - curve(z))).alias("b"))
+
+
+def from_lab(lab: Column) -> Column:
+    """Blue, green, red in [0, 1] of L*, a*, b*."""
+    y = F.when(lab["l"] <= 7.9996, lab["l"] / 903.3).otherwise(F.pow((lab["l"] + 16) / 116, F.lit(3.0)))
+    fy = F.when(lab["l"] <= 7.9996, 7.787 * y + 16 / 116).otherwise((lab["l"] + 16) / 116)
+    back = lambda f: F.when(f > 0.206893, F.pow(f, F.lit(3.0))).otherwise((f - 16 / 116) / 7.787)
+    x, z = back(fy + lab["a"] / 500) * _WHITE[0], back(fy - lab["b"] / 200) * _WHITE[2]
+    curve = lambda v: F.when(v > 0.0031308, 1.055 * F.pow(v, F.lit(1 / 2.4)) - 0.055).otherwise(12.92 * v)
+    cut = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
+    return F.struct(*[curve(cut(v)).alias(n) for n, v in (("b", 0.055648 * x - 0.204043 * y + 1.057311 * z), ("g", -0.969256 * x + 1.875991 * y + 0.041556 * z), ("r", 3.240479 * x - 1.537150 * y - 0.498535 * z))])

@@ -16,9 +16,9 @@ def cells(images: DataFrame, downsize: int, priors: int = 1) -> DataFrame:
     return out.withColumn("px", (F.col("cx") * downsize).cast("double")).withColumn("py", (F.col("cy") * downsize).cast("double"))
 
 
-def _score(b: Column, kind: str, priors: Sequence[tuple[float, float]]) -> tuple[Column, list[Column], Column]:
+def _score(b: Column, kind: str, priors: Sequence[tuple[float, float]], px: Column, py: Column, prior: Column) -> tuple[Column, list[Column], Column]:
     """Score, parameters and weight of a truth (a struct with the box in pixels: ``bx``, ``by``, ``bw``, ``bh``) at a cell."""
-    dx, dy = b["bx"] + b["bw"] / 2 - F.col("px"), b["by"] + b["bh"] / 2 - F.col("py")
+    dx, dy = b["bx"] + b["bw"] / 2 - px, b["by"] + b["bh"] / 2 - py
     far = F.sqrt(dx * dx + dy * dy)
     if kind == "point":
         return F.exp(-far), [dx, dy], F.lit(1.0)
@@ -28,7 +28,7 @@ def _score(b: Column, kind: str, priors: Sequence[tuple[float, float]]) -> tuple
     if not priors:
         score = F.least((b["bw"] - 2 * F.abs(dx)) / b["bw"], (b["bh"] - 2 * F.abs(dy)) / b["bh"])
     else:
-        pw, ph = (F.element_at(F.array(*[F.lit(float(p[k])) for p in priors]), F.col("prior") + 1) for k in (0, 1))
+        pw, ph = (F.element_at(F.array(*[F.lit(float(p[k])) for p in priors]), prior + 1) for k in (0, 1))
         along = lambda d, x, y: F.greatest(F.lit(0.0), F.least(d + x / 2, y / 2) - F.greatest(d - x / 2, -y / 2))
         inter = along(dx, b["bw"], pw) * along(dy, b["bh"], ph)
         score = inter / (b["bw"] * b["bh"] + pw * ph - inter + 1e-5)
@@ -41,6 +41,33 @@ def _with_arrays(images: DataFrame, items: DataFrame, columns: Sequence[str], ho
     return images.join(own, F.col("image") == F.col("__i"), how).drop("__i")
 
 
+def _best(own: Column | str, kind: str, lower: float, weighted: bool, priors: Sequence[tuple[float, float]], px: Column, py: Column, prior: Column) -> Column:
+    """The truth with the largest score at a cell, the first of equal ones: score, parameters ``p`` and weight ``m``; null without any."""
+    def candidate(b: Column) -> Column:
+        score, params, weight = _score(b, kind, priors, px, py, prior)
+        return F.when((score > 0) & (score >= lower), F.struct(score.alias("score"), (-b["serial"]).alias("s"), F.array(*params).alias("p"), (weight if weighted else F.lit(1.0)).alias("m")))
+
+    return F.array_max(F.transform(own, candidate))
+
+
+def anchor_arrays(own: Column, width: Column, height: Column, kind: str = "box", downsize: int = 1, upper: float = 0.6, lower: float = 0.4, weighted: bool = False, default: float = 0.0, priors: Sequence[tuple[float, float]] = ()) -> dict[str, tuple[Column, int]]:
+    """``dense_anchors`` of one row's boxes (``serial``, ``bx``, ``by``, ``bw``, ``bh`` in pixels) as arrays by row, column and prior, each with its numbers a cell."""
+    many, across = max(1, len(priors)), F.floor(width / downsize)
+    count = across * F.floor(height / downsize) * many
+    at = lambda i: (F.floor(i / many) % across * downsize, F.floor(i / many / across) * downsize, (i % many).cast("int"))
+    each = F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(count, F.lit(1))), lambda i: _best(own, kind, lower, weighted, priors, *at(i - 1)))
+    cells_ = F.slice(each, F.lit(1), count.cast("int"))
+    size = {"point": 2, "circle": 3}.get(kind, 4)
+    none = F.array(*[F.lit(float(default))] * size)
+    hit = lambda b: F.coalesce(b["score"] >= upper, F.lit(False))
+    return {
+        "label": (F.transform(cells_, lambda b: F.when(hit(b), 1.0).otherwise(0.0)), many),
+        "label_mask": (F.transform(cells_, lambda b: F.when(b.isNotNull() & ~hit(b), 0.0).otherwise(1.0)), many),
+        "params": (F.flatten(F.transform(cells_, lambda b: F.coalesce(b["p"], none))), many * size),
+        "params_mask": (F.transform(cells_, lambda b: F.coalesce(b["m"], F.lit(0.0))), many),
+    }
+
+
 def dense_anchors(images: DataFrame, boxes: DataFrame, kind: str = "box", downsize: int = 1, upper: float = 0.6, lower: float = 0.4, weighted: bool = False, default: float = 0.0, priors: Sequence[tuple[float, float]] = ()) -> DataFrame:
     """Per cell and prior: ``label``, ``label_mask``, ``params`` and ``params_mask``.
 
@@ -52,11 +79,7 @@ def dense_anchors(images: DataFrame, boxes: DataFrame, kind: str = "box", downsi
     own = boxes.select("image", "serial", (F.col("x") * F.col("width")).alias("bx"), (F.col("y") * F.col("height")).alias("by"), (F.col("w") * F.col("width")).alias("bw"), (F.col("h") * F.col("height")).alias("bh")).where("bw > 0 and bh > 0")
     grid = cells(_with_arrays(images, own, ["serial", "bx", "by", "bw", "bh"], "left"), downsize, max(1, len(priors)))
 
-    def candidate(b: Column) -> Column:
-        score, params, weight = _score(b, kind, priors)
-        return F.when((score > 0) & (score >= lower), F.struct(score.alias("score"), (-b["serial"]).alias("s"), F.array(*params).alias("p"), (weight if weighted else F.lit(1.0)).alias("m")))
-
-    best = grid.withColumn("b", F.array_max(F.transform("__own", candidate)))
+    best = grid.withColumn("b", _best("__own", kind, lower, weighted, priors, F.col("px"), F.col("py"), F.col("prior")))
     count = {"point": 2, "circle": 3}.get(kind, 4)
     none = F.array(*[F.lit(float(default))] * count)
     hit = F.col("b.score") >= upper

@@ -4,6 +4,9 @@ A row holds ``serial``, ``width``, ``height`` (pixels) and ``shapes``, an array
 pixels). Every step is a pure function of the row: its random parameters are hashes of the seed, the step's place and
 the row's serial, so a retried task or another partitioning gives the same result. Pixel work of the same steps is in
 ``functions.images`` and ``functions.pixels``.
+
+Steps that build from the geometry append to ``targets``, an array of structs ``name``, ``width``, ``height``, ``channels``
+and ``data`` (by row, column and channel); ``rasterize`` draws ``raster``, ``mask`` makes ``mask``.
 """
 
 from __future__ import annotations
@@ -14,9 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from samplery.functions import images as I
+from samplery.functions import pixels as P
 from samplery.functions import shapes as S
 from samplery.functions import sizes as Z
 from samplery.functions.keys import between, integer, uniform
+from samplery.operators import anchors as A
 from samplery.plans.sampling import SampleConfig
 
 Step = Callable[[DataFrame, dict, str, SampleConfig], DataFrame]
@@ -40,19 +45,19 @@ def validate(transforms: Sequence[dict]) -> None:
     for t in transforms:
         if t.get("type") == "augment.affine":
             raise NotImplementedError("augment.affine is not supported")
-        if t.get("type") not in REGISTRY and not any(str(t.get("type")).startswith(k) for k in _STAGE):
+        if t.get("type") not in REGISTRY:
             raise ValueError(f"unknown transform {t.get('type')!r}")
         stage = next((v for k, v in _STAGE.items() if t["type"].startswith(k)), last)
         if stage < last:
             raise ValueError(f"{t['type']} may not follow what was built from the geometry before it")
         last = max(last, stage)
+        validate(t.get("transforms", ()))
 
 
 def apply(rows: DataFrame, transforms: Sequence[dict], config: SampleConfig, place: str = "") -> DataFrame:
     validate(transforms)
     for k, t in enumerate(transforms):
-        if t["type"] in REGISTRY:
-            rows = REGISTRY[t["type"]](rows, t, f"{place}{k}", config)
+        rows = REGISTRY[t["type"]](rows, t, f"{place}{k}", config)
     return rows
 
 
@@ -200,6 +205,185 @@ def _mask(rows, t, place, config):
     return rows.withColumn("mask", F.transform(F.sequence(F.lit(1).cast("long"), F.col("width") * F.col("height")), lambda _: F.lit(value)))
 
 
+def _per_image(rows: DataFrame, column: str, function: Callable, numbers: Sequence[Column] = ()) -> DataFrame:
+    """Runs ``function`` of ``pixels.per_row`` on a column of images of the rows' sizes."""
+    if column not in rows.columns:
+        return rows
+    own = F.array(*[n.cast("double") for n in numbers]) if numbers else F.array().cast("array<double>")
+    return rows.withColumn(column, P.per_row(rows.sparkSession, function)(F.col(column).cast("array<double>"), F.col("width"), F.col("height"), own))
+
+
+def _border(t: dict) -> str:
+    kind = t.get("border_type", "constant")
+    if kind not in ("constant", "replicate", "reflect"):
+        raise ValueError(f"unknown border type {kind!r}")
+    return kind
+
+
+@register("augment.blur")
+def _blur(rows, t, place, config):
+    border = _border(t)
+    if not config.perturb:
+        return rows
+    sigma = _draw(f"{place}.sigma", t.get("min", 0), t.get("max", 3), config, 0.0)
+    return _per_image(rows, "image", lambda x, w, h, c, n: P.blur(x[None], w, h, n[0], c, border), [sigma])
+
+
+#: Numbers a pixel before, and the pixel after, of each colour code; channels are in [0, 1], hue in degrees.
+_CODES: dict[str, tuple[int, Callable[..., Column | list[Column]]]] = {
+    "BGR2GRAY": (3, lambda b, g, r: [P.grey(b, g, r)]),
+    "GRAY2BGR": (1, lambda v: [v, v, v]),
+    "BGR2RGB": (3, lambda b, g, r: [r, g, b]),
+    "BGR2HSV": (3, lambda b, g, r: [P.to_hsv(b, g, r)[k] for k in "hsv"]),
+    "HSV2BGR": (3, lambda h, s, v: [P.from_hsv(F.struct(h.alias("h"), s.alias("s"), v.alias("v")))[k] for k in "bgr"]),
+    "BGR2Lab": (3, lambda b, g, r: [P.to_lab(b, g, r)[k] for k in "lab"]),
+    "Lab2BGR": (3, lambda l, a, b: [P.from_lab(F.struct(l.alias("l"), a.alias("a"), b.alias("b")))[k] for k in "bgr"]),  # noqa: E741
+}
+
+
+@register("colorspace")
+def _colorspace(rows, t, place, config):
+    """Multiplies by ``mul0``, converts by ``code``, multiplies by ``mul1``."""
+    if t.get("code") not in _CODES:
+        raise ValueError(f"unknown colour code {t.get('code')!r}")
+    channels, change = _CODES[t["code"]]
+    before, after = float(t.get("mul0", 1.0)), float(t.get("mul1", 1.0))
+
+    def convert(image: Column) -> Column:
+        fits = F.size(image) == F.col("width") * F.col("height") * channels
+        image = F.when(image.isNull() | F.assert_true(fits, F.lit(f"{t['code']} needs {channels} channels")).isNull(), image)
+        pixel = lambda i: [F.get(image, (i * channels + k).cast("int")).cast("double") * before for k in range(channels)]
+        count = F.floor(F.size(image) / channels)
+        each = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(count - 1, F.lit(0))), lambda i: F.array(*[v * after for v in change(*pixel(i))]))
+        return F.when(image.isNotNull(), F.flatten(each))
+
+    return _on_image(rows, convert)
+
+
+def _target(name: str, width: Column, height: Column, channels: int, data: Column) -> Column:
+    return F.struct(F.lit(name).alias("name"), width.cast("long").alias("width"), height.cast("long").alias("height"), F.lit(channels).alias("channels"), data.cast("array<double>").alias("data"))
+
+
+def _append(rows: DataFrame, targets: Column) -> DataFrame:
+    kind = "array<struct<name:string,width:bigint,height:bigint,channels:int,data:array<double>>>"
+    old = F.coalesce(F.col("targets"), F.array().cast(kind)) if "targets" in rows.columns else F.array().cast(kind)
+    return rows.withColumn("targets", F.concat(old, targets.cast(kind)))
+
+
+def _field(rows: DataFrame, name: str, default: float) -> Callable[[Column], Column]:
+    """A number of a shape, the default where shapes have no such field or it is null; a label that lists channels gives its first."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema["shapes"].dataType.elementType.fields}
+    if name not in kinds:
+        return lambda s: F.lit(float(default))
+    if name == "label" and kinds[name] == "string":
+        return lambda s: S.label_channels(s["label"])[0]
+    return lambda s: F.coalesce(s[name].cast("double"), F.lit(float(default)))
+
+
+@register("pyramid")
+def _pyramid(rows, t, place, config):
+    """Smaller copies of the image; without an image their data is null."""
+    count, rate = int(t.get("count", 0)), float(t.get("rate", 0.5))
+    if count < 0 or rate <= 0:
+        raise ValueError("a pyramid has a count from 0 and a rate above 0")
+    if not count:
+        return rows
+    rows = rows.withColumn("__sizes", Z.pyramid(F.col("width"), F.col("height"), count, rate))
+    targets = []
+    for k in range(count):
+        w, h = F.col("__sizes")[k]["w"], F.col("__sizes")[k]["h"]
+        own = F.lit(None).cast("array<double>")
+        deep = F.lit(1)
+        if "image" in rows.columns:
+            copy = P.per_row(rows.sparkSession, lambda x, w, h, c, n: P.resize(x[None], w, h, int(n[0]), int(n[1]), c) if min(n) >= 1 else [])
+            own = copy(F.col("image").cast("array<double>"), F.col("width"), F.col("height"), F.array(w.cast("double"), h.cast("double")))
+            deep = F.coalesce(F.floor(F.size("image") / (F.col("width") * F.col("height"))), F.lit(1))
+        targets.append(_target("pyramid", w, h, 1, own).withField("channels", deep.cast("int")))
+    return _append(rows, F.array(*targets)).drop("__sizes")
+
+
+def _divisible(size: str, by: int) -> Column:
+    return F.when(F.assert_true(F.col(size) % by == 0, F.lit(f"{size} is not a multiple of {by}")).isNull(), F.col(size))
+
+
+def _dense(kind: str) -> Step:
+    def step(rows, t, place, config):
+        d = int(t.get("downsize", 1))
+        priors = [tuple(map(float, p)) for p in t.get("priors", ())] if kind == "box" else []
+        boxes = F.transform("shapes", lambda s, i: F.struct(i.alias("serial"), *[S.bbox(s["controls"])[k].alias(f"b{k}") for k in "xywh"]))
+        rows = rows.withColumn("__own", boxes if kind == "point" else F.filter(boxes, lambda b: (b["bw"] > 0) & (b["bh"] > 0)))
+        rows = rows.withColumn("__own", F.coalesce("__own", F.slice("__own", 1, 0))).withColumn("width", _divisible("width", d)).withColumn("height", _divisible("height", d))
+        made = A.anchor_arrays(F.col("__own"), F.col("width"), F.col("height"), kind, d, float(t.get("upper_th", 0.6)), float(t.get("lower_th", 0.4)), bool(t.get("weighted", False)), float(t.get("params_default", 0)), priors)
+        return _append(rows, F.array(*[_target(f"anchors.{n}", F.floor(F.col("width") / d), F.floor(F.col("height") / d), c, data) for n, (data, c) in made.items()])).drop("__own")
+
+    return step
+
+
+for _kind in ("point", "circle", "box"):
+    register(f"anchors.dense.{_kind}")(_dense(_kind))
+
+
+@register("box_feature")
+def _box_feature(rows, t, place, config):
+    """Per shape label, tag and corners clipped to the last pixels; shapes whose clipped area is below ``min_area`` go."""
+    label, tag = _field(rows, "label", 1.0), _field(rows, "tag", 0.0)
+    clip = lambda v, size: F.greatest(F.lit(0.0), F.least(v, F.col(size) - 1.0))
+
+    def feature(s: Column) -> Column:
+        b = S.bbox(s["controls"])
+        return F.array(label(s), tag(s), clip(b["x"], "width"), clip(b["y"], "height"), clip(b["x"] + b["w"], "width"), clip(b["y"] + b["h"], "height"))
+
+    kept = F.filter(F.transform("shapes", feature), lambda f: (f[4] - f[2] + 1) * (f[5] - f[3] + 1) >= float(t.get("min_area", 1)))
+    rows = rows.withColumn("__f", kept)
+    return _append(rows, F.array(_target("box_feature", F.lit(6), F.size("__f"), 1, F.flatten("__f")))).drop("__f")
+
+
+@register("keypoints.basic")
+def _keypoints(rows, t, place, config):
+    """A mask and offsets (x, y) per cell and class of the shapes' points."""
+    d, classes = int(t.get("downsize", 1)), int(t.get("classes", 1))
+    label = _field(rows, "label", 1.0)
+    rows = rows.withColumn("width", _divisible("width", d)).withColumn("height", _divisible("height", d))
+    made = P.keypoint_maps(rows.sparkSession, classes, d, float(t.get("radius", 5)))(F.col("width"), F.col("height"), F.transform("shapes", label), F.transform("shapes", lambda s: s["controls"]))
+    rows = rows.withColumn("__k", made)
+    w, h = F.floor(F.col("width") / d), F.floor(F.col("height") / d)
+    n = (w * h * classes).cast("int")
+    return _append(rows, F.array(_target("keypoints.mask", w, h, classes, F.slice("__k", F.lit(1), n)), _target("keypoints.offset", w, h, 2 * classes, F.slice("__k", n + 1, 2 * n)))).drop("__k")
+
+
+@register("rasterize")
+def _rasterize(rows, t, place, config):
+    """Draws the shapes in order on ``raster`` (zeros; the image with ``copy`` 0) and takes them out of the row."""
+    if t.get("use_palette") and t.get("use_tag"):
+        raise ValueError("tag and palette cannot both colour the shapes")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema["shapes"].dataType.elementType.fields}
+    label, tag = _field(rows, "label", 1.0), _field(rows, "tag", 0.0)
+
+    def colour(s: Column, i: Column) -> Column:
+        if t.get("use_tag") or t.get("use_serial"):
+            return F.array(*[S.render_colour(tag(s), i + 1, label(s), bool(t.get("use_tag")), bool(t.get("use_serial")))] * 4)
+        if t.get("use_palette"):
+            return I.palette(integer(f"{place}.palette", len(I.TABLEAU20), F.col("serial"), i, seed=config.seed)).cast("array<double>")
+        return S.label_channels(s["label"]) if kinds.get("label") == "string" else F.array(*[label(s)] * 4)
+
+    none = F.lit(None).cast("array<double>")
+    canvas = (F.col("image") if "image" in rows.columns else none) if t.get("copy", -1) >= 0 else F.col("raster") if "raster" in rows.columns else none
+    of = lambda f: F.transform("shapes", f)
+    rings = of(lambda s: s["rings"].cast("array<int>") if "rings" in kinds else F.lit(None).cast("array<int>"))
+    drawn = P.drawer(rows.sparkSession, int(t.get("channels", 1)), int(t.get("thickness", -1)))(canvas.cast("array<double>"), F.col("width"), F.col("height"), of(lambda s: s["type"]), of(lambda s: s["controls"]), of(colour), rings)
+    return rows.withColumn("raster", drawn).withColumn("shapes", F.slice("shapes", 1, 0))
+
+
+@register("erode_mask")
+def _erode_mask(rows, t, place, config):
+    """Erodes ``raster`` (``index`` 1) or what was made last (-1): ``mask``, else ``raster``."""
+    index, radius, times, border = t.get("index", -1), int(t.get("radius", 0)), int(t.get("iterations", 1)), _border(t)
+    column = {1: "raster", -1: "mask" if "mask" in rows.columns else "raster"}.get(index)
+    if column not in rows.columns:
+        raise ValueError("there is no mask to erode")
+    return _per_image(rows, column, lambda x, w, h, c, n: P.erode(x, w, h, c, radius, times, border))
+
+
 def _facet_kind(rows: DataFrame, index: int, kind: str) -> DataFrame:
     return rows.withColumn("facets", F.transform("facets", lambda f, i: F.when(i == index, f.withField("kind", F.lit(kind))).otherwise(f)))
 
@@ -216,7 +400,7 @@ def _featurize(rows, t, place, config):
 
 def _choose(rows: DataFrame, changed: DataFrame, chosen: str) -> DataFrame:
     """Rows of ``changed`` where the flag ``chosen`` is set, of ``rows`` else; both come from the same rows."""
-    return changed.where(chosen).unionByName(rows.where(~F.col(chosen))).drop(chosen)
+    return changed.where(chosen).unionByName(rows.where(~F.col(chosen)), allowMissingColumns=True).drop(chosen)
 
 
 @register("sometimes")

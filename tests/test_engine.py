@@ -292,6 +292,102 @@ def test_pixel_steps(spark):
     assert all(abs(a - 10) <= 5 or abs(255 - a - 10) <= 5 for a, _ in some) and len({a for a, _ in some}) == 30 and {a > 128 for a, _ in some} == {True, False}
 
 
+def annotated(spark, boxes, w, h, **columns):
+    """One row with rectangles (x, y, w, h in pixels), their labels and tags."""
+    shape = lambda k, b: F.struct(F.lit("rect").alias("type"), F.lit(float(k + 1)).alias("label"), F.lit(float(10 * k)).alias("tag"), shapes.rect_controls(*[F.lit(float(v)) for v in b]).alias("controls"))
+    return spark.range(1).select(F.col("id").alias("serial"), F.lit(w).cast("long").alias("width"), F.lit(h).cast("long").alias("height"), F.array(*[shape(k, b) for k, b in enumerate(boxes)]).alias("shapes"), *[F.array(*[F.lit(float(x)) for x in v]).alias(k) for k, v in columns.items()])
+
+
+def targets(row):
+    return {t["name"]: t for t in row["targets"]}
+
+
+def test_no_step_is_skipped(spark):
+    rows = annotated(spark, [(1, 1, 4, 4)], 8, 8)
+    for kind in ("augment.no such step", "anchors.sparse", "resize2", "colour"):
+        with pytest.raises(ValueError, match="unknown transform"):
+            transforms.apply(rows, [{"type": kind}], SampleConfig())
+        with pytest.raises(ValueError, match="unknown transform"):
+            transforms.apply(rows, [{"type": "sometimes", "transforms": [{"type": kind}]}], SampleConfig())
+    steps = ("colorspace", "pyramid", "anchors.dense.point", "anchors.dense.circle", "anchors.dense.box", "box_feature", "keypoints.basic", "rasterize", "erode_mask", "augment.blur")
+    assert set(steps) <= set(transforms.REGISTRY)
+
+
+@pytest.mark.parametrize("kind", ["point", "circle", "box"])
+def test_anchor_steps_are_the_operator(spark, kind):
+    boxes = [(3, 5, 20, 11), (30, 2, 9, 25), (28, 3, 16, 16)]
+    priors = [[20, 10], [8, 8]] if kind == "box" else []
+    row = transforms.apply(annotated(spark, boxes, 64, 32), [{"type": f"anchors.dense.{kind}", "downsize": 4, "priors": priors, "upper_th": 0.3, "lower_th": 0.01, "weighted": True, "params_default": -1}], SampleConfig()).first()
+    table = spark.createDataFrame([(0, k, x / 64, y / 32, w / 64, h / 32, 64, 32) for k, (x, y, w, h) in enumerate(boxes)], "image long, serial int, x double, y double, w double, h double, width long, height long")
+    pics = spark.createDataFrame([(0, 64, 32)], "image long, width long, height long")
+    want = anchors.dense_anchors(pics, table, kind, 4, 0.3, 0.01, True, -1.0, [tuple(map(float, p)) for p in priors]).orderBy("cy", "cx", "prior").collect()
+    got = targets(row)
+    assert (got["anchors.label"]["width"], got["anchors.label"]["height"], got["anchors.label"]["channels"]) == (16, 8, max(1, len(priors)))
+    for name in ("label", "label_mask", "params_mask"):
+        assert got[f"anchors.{name}"]["data"] == pytest.approx([r[name] for r in want])
+    assert got["anchors.params"]["data"] == pytest.approx([v for r in want for v in r["params"]])
+    assert sum(r["label"] for r in want) > 0
+    with pytest.raises(Exception, match="not a multiple"):
+        transforms.apply(annotated(spark, boxes, 63, 32), [{"type": f"anchors.dense.{kind}", "downsize": 4}], SampleConfig()).collect()
+
+
+def test_target_and_mask_steps(spark):
+    rows = annotated(spark, [(1, 1, 3, 2), (4, 3, 20, 20), (9, 9, 1, 1)], 8, 6)
+    row = transforms.apply(rows, [{"type": "box_feature", "min_area": 3}, {"type": "keypoints.basic", "classes": 2, "downsize": 2, "radius": 1.5}, {"type": "rasterize", "use_serial": True}, {"type": "erode_mask", "index": 1, "radius": 1}, {"type": "mask", "value": 3}, {"type": "erode_mask", "radius": 1, "iterations": 2}], SampleConfig()).first()
+    got = targets(row)
+    assert got["box_feature"]["data"] == [1, 0, 1, 1, 4, 3, 2, 10, 4, 3, 7, 5] and (got["box_feature"]["width"], got["box_feature"]["height"]) == (6, 2)
+    mask, offset = np.zeros((3, 4, 2)), np.zeros((3, 4, 2, 2))
+    for label, points in ((0, [(1, 1), (4, 3), (4, 1), (1, 3)]), (1, [(4, 3), (24, 23), (24, 3), (4, 23)])):
+        for px, py in points:
+            for y in range(3):
+                for x in range(4):
+                    if math.hypot(px - 2 * x, py - 2 * y) <= 1.5:
+                        mask[y, x, label], offset[y, x, label] = 1, (px - 2 * x, py - 2 * y)
+    assert got["keypoints.mask"]["data"] == mask.ravel().tolist() and got["keypoints.offset"]["data"] == offset.ravel().tolist() and got["keypoints.offset"]["channels"] == 4
+    drawn = np.zeros((6, 8))
+    drawn[1:3, 1:4] = 1
+    drawn[3:, 4:] = 2
+    padded = np.pad(drawn, 1, constant_values=1.0)
+    assert row["raster"] == [padded[y : y + 3, x : x + 3].min() for y in range(6) for x in range(8)] and row["shapes"] == []
+    inner = np.full((6, 8), 1.0)
+    inner[2:4, 2:6] = 3
+    assert row["mask"] == inner.ravel().tolist()
+    outline = transforms.apply(annotated(spark, [(2, 2, 4, 4)], 8, 8), [{"type": "rasterize", "thickness": 2, "use_tag": True}, {"type": "rasterize"}], SampleConfig()).first()["raster"]
+    assert set(outline) == {0.0}
+    over = transforms.apply(annotated(spark, [(2, 2, 4, 4)], 8, 8, image=[5] * 64), [{"type": "rasterize", "thickness": 2, "copy": 0}], SampleConfig()).first()["raster"]
+    assert np.array(over).reshape(8, 8)[3:5, 3:5].tolist() == [[5, 5], [5, 5]] and over.count(1.0) == 32
+    with pytest.raises(ValueError, match="no mask"):
+        transforms.apply(rows, [{"type": "erode_mask"}], SampleConfig())
+
+
+def test_colour_blur_and_pyramid_steps(spark):
+    rows = annotated(spark, [(0, 0, 1, 1)], 2, 1, image=[0, 0, 255, 255, 255, 255])
+    turn = lambda *steps: transforms.apply(rows, [{"type": "colorspace", **s} for s in steps], SampleConfig()).first()["image"]
+    unit = {"mul0": 1 / 255}
+    assert turn({"code": "BGR2RGB"}) == [255, 0, 0, 255, 255, 255] and turn({"code": "BGR2GRAY"}, {"code": "GRAY2BGR"}) == pytest.approx([0.299 * 255] * 3 + [255] * 3)
+    assert turn({"code": "BGR2HSV", **unit}) == pytest.approx([0, 1, 1, 0, 0, 1])
+    assert turn({"code": "BGR2Lab", **unit}) == pytest.approx([53.24, 80.09, 67.20, 100, 0, 0], abs=0.02)
+    for code in ("HSV", "Lab"):
+        assert turn({"code": f"BGR2{code}", **unit}, {"code": f"{code}2BGR", "mul1": 255}) == pytest.approx([0, 0, 255, 255, 255, 255], abs=0.02)
+    with pytest.raises(Exception, match="channels"):
+        turn({"code": "GRAY2BGR"})
+    with pytest.raises(ValueError):
+        turn({"code": "BGR2XYZ"})
+    steps = [{"type": "pyramid", "count": 2, "rate": 0.5}]
+    first, second = transforms.apply(annotated(spark, [(0, 0, 1, 1)], 4, 4, image=range(16)), steps, SampleConfig()).first()["targets"]
+    assert first["data"] == [2.5, 4.5, 10.5, 12.5] and second["data"] == [7.5] and (second["width"], second["height"], second["channels"]) == (1, 1, 1)
+    spot = annotated(spark, [(0, 0, 1, 1)], 5, 5, image=[float(k == 12) for k in range(25)])
+    blur = {"type": "augment.blur", "min": 1, "max": 1}
+    assert transforms.apply(spot, [blur], SampleConfig()).first()["image"][12] == 1
+    near = np.exp(-np.array([1, 0, 1]) / 2)
+    kernel = np.outer(near, near) / near.sum() ** 2
+    soft = np.array(transforms.apply(spot, [blur], SampleConfig(perturb=True)).first()["image"]).reshape(5, 5)
+    assert np.allclose(soft[1:4, 1:4], kernel) and soft[0].sum() == 0
+    flat = annotated(spark, [(0, 0, 1, 1)], 5, 5, image=[1.0] * 25)
+    edges = {b: transforms.apply(flat, [{**blur, "border_type": b}], SampleConfig(perturb=True)).first()["image"][0] for b in ("constant", "replicate", "reflect")}
+    assert edges == pytest.approx({"constant": (1 - near[0] / near.sum()) ** 2, "replicate": 1, "reflect": 1})
+
+
 # --- images
 
 
