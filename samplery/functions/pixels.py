@@ -33,7 +33,7 @@ def _apply(function: Callable[[np.ndarray], np.ndarray], spark: SparkSession) ->
 
 
 def _sample(images: np.ndarray, h: int, w: int, ys: np.ndarray, xs: np.ndarray, border: str = "replicate") -> np.ndarray:
-    """Bilinear values of (n, h, w, c) at real coordinates; outside: nearest edge, or zero if ``border`` is constant."""
+    """Bilinear values of (n, h, w, c) at real coordinates; outside: nearest edge, mirrored without repeating the edge if ``border`` is reflect, or zero if constant."""
     y0, x0 = np.floor(ys).astype(int), np.floor(xs).astype(int)
     out = 0.0
     for dy in (0, 1):
@@ -42,10 +42,32 @@ def _sample(images: np.ndarray, h: int, w: int, ys: np.ndarray, xs: np.ndarray,
             weight = np.abs(1 - dy - (ys - y0)) * np.abs(1 - dx - (xs - x0))
             if border == "constant":
                 weight = weight * ((y >= 0) & (y < h) & (x >= 0) & (x < w))
-            out = out + images[:, np.clip(y, 0, h - 1), np.clip(x, 0, w - 1)] * weight[None, ..., None]
+            out = out + images[:, _inside(y, h, border), _inside(x, w, border)] * weight[None, ..., None]
     return out
 
 
+def _inside(at: np.ndarray, n: int, border: str) -> np.ndarray:
+    """Places on an axis of ``n`` for places that may lie outside."""
+    if border == "reflect":
+        at = np.abs((at + n - 1) % max(1, 2 * n - 2) - (n - 1))
+    return np.clip(at, 0, n - 1)
+
+
+def window(image: np.ndarray, w: int, h: int, channels: int, dx: int, dy: int, width: int, height: int, border: str = "constant", value: float = 0.0) -> np.ndarray:
+    """A ``width`` x ``height`` frame in which the image is moved by (dx, dy), as points move; what it does not cover follows the border."""
+    y, x = (np.arange(height) - dy)[:, None], (np.arange(width) - dx)[None, :]
+    got = image.reshape(h, w, channels)[_inside(y, h, border), _inside(x, w, border)]
+    if border == "constant":
+        got = np.where(((y >= 0) & (y < h) & (x >= 0) & (x < w))[..., None], got, value)
+    return got
+
+
+def flip(image: np.ndarray, w: int, h: int, channels: int, horizontal: bool, vertical: bool, transpose: bool) -> np.ndarray:
+    """Flips, then swaps rows and columns."""
+    got = image.reshape(h, w, channels)[:: -1 if vertical else 1, :: -1 if horizontal else 1]
+    return got.transpose(1, 0, 2) if transpose else got
+
+
 def resize(images: np.ndarray, w: int, h: int, width: int, height: int, channels: int = 1, nearest: bool = False) -> np.ndarray:
     """Nearest: source pixel floor(x * w / width). Linear: pixel centres at half pixels, edges replicated."""
     stack = images.reshape(len(images), h, w, channels)

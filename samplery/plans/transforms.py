@@ -1,7 +1,7 @@
 """Transform pipelines: an ordered list of ``{"type": ..., ...}`` compiled to column steps on annotated images.
 
-A row holds ``serial``, ``width``, ``height`` (pixels) and ``shapes``, an array of structs with ``controls`` (points in
-pixels). Every step is a pure function of the row: its random parameters are hashes of the seed, the step's place and
+A row holds ``serial``, ``width``, ``height`` (pixels), ``shapes``, an array of structs with ``controls`` (points in
+pixels), and perhaps ``image``, whose pixels follow each step that moves shapes, by the same drawn parameters. Every step is a pure function of the row: its random parameters are hashes of the seed, the step's place and
 the row's serial, so a retried task or another partitioning gives the same result. Pixel work of the same steps is in
 ``functions.images`` and ``functions.pixels``.
 
@@ -66,14 +66,17 @@ def _shapes(rows: DataFrame, change: Callable[[Column], Column]) -> DataFrame:
 
 
 def _sized(rows: DataFrame, width: Column, height: Column) -> DataFrame:
-    """New sizes, points scaled along."""
+    """New sizes, points and pixels scaled along."""
+    rows = _per_image(rows, "image", lambda x, w, h, c, n: x if n == [w, h] else P.resize(x[None], w, h, int(n[0]), int(n[1]), c) if min(n) >= 1 else [], [width.cast("long"), height.cast("long")])
     fx, fy = width / F.col("width"), height / F.col("height")
     rows = rows.withColumn("__fx", fx).withColumn("__fy", fy).withColumn("__w", width.cast("long")).withColumn("__h", height.cast("long"))
     rows = _shapes(rows, lambda c: F.transform(c, lambda p: S.point(p["x"] * F.col("__fx"), p["y"] * F.col("__fy"))))
     return rows.withColumn("width", F.col("__w")).withColumn("height", F.col("__h")).drop("__fx", "__fy", "__w", "__h")
 
 
-def _moved(rows: DataFrame, dx: Column, dy: Column, width: Column, height: Column) -> DataFrame:
+def _moved(rows: DataFrame, dx: Column, dy: Column, width: Column, height: Column, border: str = "constant", value: float = 0.0) -> DataFrame:
+    """New frames, points and pixels moved in them; pixels that come from outside follow the border."""
+    rows = _per_image(rows, "image", lambda x, w, h, c, n: P.window(x, w, h, c, *map(int, n), border, value), [dx, dy, width.cast("long"), height.cast("long")])
     rows = rows.withColumn("__dx", dx).withColumn("__dy", dy).withColumn("__w", width.cast("long")).withColumn("__h", height.cast("long"))
     rows = _shapes(rows, lambda c: S.move(c, F.col("__dx"), F.col("__dy")))
     return rows.withColumn("width", F.col("__w")).withColumn("height", F.col("__h")).drop("__dx", "__dy", "__w", "__h")
@@ -112,16 +115,18 @@ def _flip(rows, t, place, config):
     names = ("horizontal", "vertical", "transpose")
     rows = rows.withColumns({f"__{n}": _coin(f"{place}.{n}", t.get(n, False), config) for n in names} | {"__w": F.col("width"), "__h": F.col("height")})
     rows = _shapes(rows, lambda c: S.flip(c, F.col("__w"), F.col("__h"), *[F.col(f"__{n}") for n in names]))
+    rows = _per_image(rows, "image", lambda x, w, h, c, n: P.flip(x, w, h, c, *map(bool, n)), [F.col(f"__{n}") for n in names])
     swap = F.col("__transpose")
     return rows.withColumn("width", F.when(swap, F.col("__h")).otherwise(F.col("__w"))).withColumn("height", F.when(swap, F.col("__w")).otherwise(F.col("__h"))).drop("__w", "__h", *[f"__{n}" for n in names])
 
 
 @register("augment.rotate")
 def _rotate(rows, t, place, config):
-    r = t.get("range", 0)
+    r, border = t.get("range", 0), _border(t)
     rows = rows.withColumn("__a", _draw(f"{place}.angle", t.get("min", -r), t.get("max", r), config, 0.0))
     turned = lambda c: S.rotate(c, F.col("width"), F.col("height"), F.col("__a"))
     rows = rows.withColumn("shapes", F.transform("shapes", lambda s: s.withField("controls", F.when(s["type"].isin("rect", "ellipse"), S.refit_rect(turned(s["controls"]))).otherwise(turned(s["controls"])))))
+    rows = _per_image(rows, "image", lambda x, w, h, c, n: P.rotate(x[None], w, h, n[0], c, border) if n[0] else x, [F.col("__a")])
     return rows.drop("__a")
 
 
@@ -129,8 +134,8 @@ def _rotate(rows, t, place, config):
 def _pad(rows, t, place, config):
     w, h = F.lit(t.get("width", t.get("size", 400))), F.lit(t.get("height", t.get("size", 400)))
     fits = (F.col("width") <= w) & (F.col("height") <= h)
-    rows = rows.withColumn("width", F.when(F.assert_true(fits, F.lit("the image does not fit the canvas")).isNull(), w).cast("long"))
-    return rows.withColumn("height", h.cast("long"))
+    w = F.when(F.assert_true(fits, F.lit("the image does not fit the canvas")).isNull(), w)
+    return _moved(rows, F.lit(0), F.lit(0), w, h)
 
 
 @register("clip")
@@ -144,7 +149,7 @@ def _clip(rows, t, place, config):
         axes[name] = Z.clip_axis(F.col(name).cast("long"), rand("crop1", of("max_crop")), rand("crop2", of("max_crop")), size or of("min"), size or of("max"), of("round"), shift, rand("place", 1 << 20))
     same = (axes["width"].size == F.col("width")) & (axes["height"].size == F.col("height"))
     pick = lambda v: F.when(same, 0).otherwise(v)
-    return _moved(rows, pick(axes["width"].move), pick(axes["height"].move), axes["width"].size, axes["height"].size)
+    return _moved(rows, pick(axes["width"].move), pick(axes["height"].move), axes["width"].size, axes["height"].size, _border(t))
 
 
 @register("clip_square")
@@ -161,7 +166,7 @@ def _random_square_clip(rows, t, place, config):
     draw = lambda k: None if t.get("center") or not config.perturb else integer(f"{place}.{k}", 1 << 20, F.col("serial"), seed=config.seed)
     x, px = Z.square_window(F.col("width"), size, draw("x"))
     y, py = Z.square_window(F.col("height"), size, draw("y"))
-    return _moved(rows, px - x, py - y, F.lit(size), F.lit(size))
+    return _moved(rows, px - x, py - y, F.lit(size), F.lit(size), value=float(t.get("pad", 0.0)))
 
 
 # Steps on pixels: ``image`` is an array of numbers with its channels side by side; rows without one pass.

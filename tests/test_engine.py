@@ -388,6 +388,44 @@ def test_colour_blur_and_pyramid_steps(spark):
     assert edges == pytest.approx({"constant": (1 - near[0] / near.sum()) ** 2, "replicate": 1, "reflect": 1})
 
 
+@pytest.mark.parametrize("step,near", [
+    ({"type": "resize", "width": 24, "height": 10}, 1e-6), ({"type": "scale", "scale": 2}, 1e-6), ({"type": "augment.scale", "min": 1, "max": 2}, 0.5),
+    ({"type": "augment.flip", "horizontal": True, "vertical": True, "transpose": True}, 1e-6), ({"type": "augment.rotate", "range": 20}, 0.8),
+    ({"type": "pad", "width": 20, "height": 12}, 1e-6), ({"type": "clip", "max_crop": 2, "round": 4}, 1e-6), ({"type": "clip", "min": 14}, 1e-6),
+    ({"type": "clip_square", "shift": 1}, 1e-6), ({"type": "random_square_clip", "size": 11}, 1e-6),
+])
+def test_pixels_follow_the_shapes(spark, step, near):
+    """A bright pixel stays under its box, in both channels, at the size that the row states."""
+    bright = np.zeros((10, 12, 2))
+    bright[5, 6] = (100, 50)
+    row = annotated(spark, [(6, 5, 1, 1)], 12, 10, image=bright.ravel())
+    rows = row.crossJoin(spark.range(12).select(F.col("id").alias("n"))).withColumn("serial", F.col("n")).drop("n")
+    seen = set()
+    for r in transforms.apply(rows, [step], SampleConfig(perturb=True)).collect():
+        got = np.array(r["image"]).reshape(r["height"], r["width"], 2)
+        xs, ys = ([p[k] for p in r["shapes"][0]["controls"]] for k in "xy")
+        x, y = sum(xs) / 4, sum(ys) / 4
+        seen.add((r["width"], r["height"], round(x, 3), round(y, 3)))
+        light = got[..., 0]
+        assert light.sum() > 0 and np.allclose(got[..., 1] * 2, light)
+        at = np.mgrid[0 : r["height"], 0 : r["width"]] + 0.5
+        assert abs((light * at[1]).sum() / light.sum() - x) <= near and abs((light * at[0]).sum() / light.sum() - y) <= near
+    assert len(seen) > 1 or step["type"] in ("resize", "scale", "pad")
+
+
+def test_pixels_from_outside(spark):
+    rows = annotated(spark, [(0, 0, 1, 1)], 3, 2, image=range(1, 7))
+    image = lambda *steps: transforms.apply(rows, list(steps), SampleConfig()).first()["image"]
+    assert image({"type": "pad", "width": 4, "height": 3}) == [1, 2, 3, 0, 4, 5, 6, 0, 0, 0, 0, 0]
+    assert image({"type": "random_square_clip", "size": 5, "center": 1, "pad": 9}) == [9] * 6 + [1, 2, 3, 9, 9, 4, 5, 6] + [9] * 11
+    for border, want in (("constant", [1, 2, 3, 0, 0]), ("replicate", [1, 2, 3, 3, 3]), ("reflect", [1, 2, 3, 2, 1])):
+        assert image({"type": "clip", "size_width": 5, "size_height": 2, "border_type": border})[:5] == want
+    nothing = rows.withColumn("image", F.lit(None).cast("array<double>"))
+    assert transforms.apply(nothing, [{"type": "resize", "size": 4}, {"type": "pad", "size": 9}], SampleConfig()).first()["image"] is None
+    with pytest.raises(Exception, match="no image of"):
+        transforms.apply(rows.withColumn("width", F.lit(4).cast("long")), [{"type": "resize", "size": 4}], SampleConfig()).collect()
+
+
 # --- images
 
 
