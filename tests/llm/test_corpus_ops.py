@@ -309,6 +309,19 @@ def test_rules_catch_odd_documents_and_keep_plain_ones(spark, none):
     assert rules.quality_rules(none, lab).count() == 0
 
 
+def test_each_tree_draws_from_all_rows(spark):
+    rows = [(k, 20 + k % 7, 100, 0, 0, 0, [float(k)] * len(rules.FEATURES)) for k in range(6000)] + [(77, 20, 100, 0, 0, 0, [-1.0] * len(rules.FEATURES))] * 300
+    stats = spark.createDataFrame(rows, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, features array<double>")
+    drawn = rules.tree_samples(stats)
+    assert [len(x) for x in drawn] == [256] * 100 and len({x for own in drawn for x in own[:, 0]}) > 4096
+    again = rules.tree_samples(stats.repartition(7))
+    assert all((a == b).all() for a, b in zip(drawn, again, strict=True))
+    first = stats.orderBy(F.xxhash64(F.lit(3), F.lit(5), "doc_id", *rules.BASE), "doc_id").limit(256).collect()
+    assert sorted(r["features"][0] for r in first) == sorted(drawn[5][:, 0])
+    few = rules.tree_samples(stats.where("doc_id < 10"), trees=3)
+    assert [len(x) for x in few] == [10] * 3 and rules.tree_samples(stats.limit(0)) == []
+
+
 # --- classifier
 
 
