@@ -7,7 +7,9 @@ import tempfile
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _shipped: set[str] = set()
 
@@ -26,7 +28,12 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """``mapInArrow`` with a function of this package."""
+def map_arrow(df: DataFrame, function, schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` with a function of this package; columns may have names with dots and back-ticks."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    names = df.columns
+
+    def run(batches):
+        return function(pa.RecordBatch.from_arrays(b.columns, names) for b in batches)
+
+    return df.toDF(*[f"c{k}" for k in range(len(names))]).mapInArrow(run, schema)
