@@ -1,10 +1,14 @@
-"""What several corpus operators share: scratch tables, size-checked joins, bucket spreading, components."""
+"""What several corpus operators share: column names, scratch tables, size-checked joins, bucket spreading, components."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,31 +20,109 @@ SPACE = " \t\n\x0b\x0c\r"
 #: A table is broadcast up to this many rows; each caller's rows are narrow (tens of bytes).
 BROADCAST_ROWS = 500_000
 
-_own_scratch: list[str] = []
+
+# --- column names
+
+
+def quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
+def col(name: str) -> Column:
+    """A column by its whole name, whatever characters that has."""
+    return F.col(quoted(name))
+
+
+def columns(names: Sequence[str]) -> list[Column]:
+    return [col(c) for c in names]
+
+
+def free_prefix(*tables: DataFrame) -> str:
+    """A prefix that no column of the tables begins with, for temporary columns."""
+    taken = [c.lower() for t in tables for c in t.columns]
+    k = 0
+    while any(c.startswith(f"__{k}_") for c in taken):
+        k += 1
+    return f"__{k}_"
+
+
+# --- scratch tables
+
+_local: list[str] = []
+_left: list[tuple[SparkSession, str]] = []
+_open: ContextVar[tuple[list[tuple[SparkSession, str]], ...]] = ContextVar("scratch", default=(_left,))
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder in ``spark.checkpoint.dir``; a temporary folder only where that is unset (local runs)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder in ``spark.checkpoint.dir``, or the context's checkpoint folder; a temporary one only on a local master without either."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    if not _own_scratch:
-        _own_scratch.append(tempfile.mkdtemp(prefix="samplery-"))
-    return _own_scratch[0]
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="samplery-"))
+    return _local[0]
+
+
+def _remove(tables: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in tables:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that are written inside the block go when it ends, so results must be used within it. Outside of any block they go with the process."""
+    own: list[tuple[SparkSession, str]] = []
+    token = _open.set((*_open.get(), own))
+    try:
+        yield
+    finally:
+        _open.reset(token)
+        _remove(own)
+
 
+def scratched(function: Callable) -> Callable:
+    """``function`` in a ``scratch`` block of its own; what it writes with ``keep`` belongs to its caller."""
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+    @wraps(function)
+    def run(*args, **options):
+        with scratch():
+            return function(*args, **options)
+
+    return run
+
+
+@atexit.register
+def _clear() -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        _remove(_left)
+
+
+def scratch_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path in the shared folder, removed as ``scratch`` says; ``keep``: with the block around this one, as this one's result reads it."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    blocks = _open.get()
+    blocks[max(0, len(blocks) - 1 - keep)].append((spark, path))
+    return path
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """``df`` written once as a table in the shared folder and read back: lineage ends here, and a lost executor costs nothing."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name, keep)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# --- joins and buckets
+
+
 def same(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]]) -> Column:
     """Null-safe equality of several columns."""
     condition = F.lit(True)
     for a, b in on:
-        condition = condition & left[a].eqNullSafe(right[b])
+        condition = condition & left[quoted(a)].eqNullSafe(right[quoted(b)])
     return condition
 
 
@@ -48,7 +130,7 @@ def attach(big: DataFrame, small: DataFrame, on: Sequence[tuple[str, str]], how:
     """Joins a written table to ``big``: by broadcast if a count shows at most ``rows`` rows, else by a shuffled join, whose skew adaptive execution splits."""
     side = F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
     joined = big.join(side, same(big, small, on), how)
-    return joined if how in ("left_semi", "left_anti") else joined.drop(*[small[b] for _, b in on])
+    return joined if how.startswith("left_") else joined.drop(*[small[quoted(b)] for _, b in on])
 
 
 def word_count(text: Column) -> Column:
@@ -71,6 +153,7 @@ def deal_buckets(rows: DataFrame, key: Sequence[str], member: str, limit: int) -
     return cut.withColumn("grp", F.xxhash64(*key, low, high)).withColumn("cross", low != high).drop("__blocks", "__other")
 
 
+@scratched
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph given as a written table of long columns ``u`` and ``v``.
 
@@ -90,17 +173,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
         """Smallest neighbour of each node: written, so that joining it can spare a hub's edges one task."""
         return materialize(e.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")), "least-neighbours")
 
-    e = materialize(oriented(edges), "edges")
-    before = sign(e)
-    while before[0]:
+    def step(e: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         near = attach(both.where(F.col("v") > F.col("u")), least(both), [("u", "c")], "inner")
         large = materialize(near.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), "large-star")
         low = least(large)
         small = attach(large, low, [("u", "c")], "inner").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(oriented(small.unionByName(low.select(F.col("c").alias("u"), F.col("m").alias("v")))), "small-star")
+        return materialize(oriented(small.unionByName(low.select(F.col("c").alias("u"), F.col("m").alias("v")))), "small-star", keep=True)
+
+    e = materialize(oriented(edges), "edges")
+    before = sign(e)
+    while before[0]:
+        e = scratched(step)(e)
         after = sign(e)
         if after == before:
             break
         before = after
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return materialize(e.select(F.col("u").alias("node"), F.col("v").alias("component")), "components", keep=True)

@@ -5,27 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from samplery.llm.common import attach, materialize, same, word_count
+from samplery.llm.common import attach, col, columns, free_prefix, materialize, same, scratched, word_count
 
 _SPAN = 1 << 60
 
 
-def capped_targets(sources: DataFrame, total: Column, max_epochs: int = 2) -> DataFrame:
-    """Adds ``target`` to one row per source (``weight`` > 0, ``size``): shares of ``total`` by weight, none above ``max_epochs * size``.
+def capped_targets(sources: DataFrame, total: float, max_epochs: int = 2) -> DataFrame:
+    """Adds ``target`` to a written table of one row per source (``weight`` > 0, ``size``): shares of ``total`` by weight, none above ``max_epochs * size``.
 
-    Water-filling: the sources are clamped in the order of cap / weight; what they leave is shared again by weight.
-    With ``level_i = (total - caps before i) / (weights from i on)``, the level rises while sources are clamped and
-    falls after, so the water level is the largest ``level_i`` and each target is min(cap, level * weight). If all
-    caps together fall short of ``total``, every source is at its cap. The window runs over one row per source.
+    Water-filling: a target is min(cap, level * weight). Each round clamps the sources whose cap the level passes and
+    shares what they leave by weight among the others, which raises the level; it ends when no further source is
+    clamped. If all caps together fall short of ``total``, every source is at its cap. A round is one aggregate over
+    the sources, of which three numbers come to the driver.
     """
     cap = max_epochs * F.col("size").cast("double")
-    rows = sources.withColumn("__cap", cap).withColumn("__at", F.col("__cap") / F.col("weight"))
-    order = Window.orderBy("__at", F.col("source").asc_nulls_last())
-    before = F.coalesce(F.sum("__cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    after = F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    leveled = rows.withColumn("__level", (total - before) / after)
-    top = F.max("__level").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return leveled.withColumn("target", F.least("__cap", top * F.col("weight"))).drop("__cap", "__at", "__level")
+    level, clamped = None, -1
+    while True:
+        over = F.lit(False) if level is None else cap / F.col("weight") <= level
+        caps, weight, n = sources.agg(F.sum(F.when(over, cap).otherwise(0.0)), F.sum(F.when(over, 0.0).otherwise(F.col("weight"))), F.count_if(over)).first()
+        if n == clamped:
+            return sources.withColumn("target", F.least(cap, F.lit(level) * F.col("weight")))
+        level, clamped = (total - (caps or 0.0)) / weight if weight else float("inf"), n
+
+
+def numbered(sources: DataFrame) -> DataFrame:
+    """Adds ``place``, counting from 0 by code point (null last): ranges of sources are counted ahead, so that no task holds all of them."""
+    order = F.col("source").asc_nulls_last()
+    ranged = materialize(sources.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "mix-ranges")
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a partition
+    offsets = ranged.groupBy("part").count().select(F.col("part").alias("p"), F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("ahead"))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    return ranged.join(F.broadcast(offsets), F.col("part") == F.col("p")).withColumn("place", rank + F.col("ahead")).drop("part", "p", "ahead")
 
 
 def draw_key(doc_id: Column, text: Column, seed: int) -> Column:
@@ -35,10 +45,10 @@ def draw_key(doc_id: Column, text: Column, seed: int) -> Column:
 
 
 def _cuts(sized: DataFrame, sources: DataFrame) -> DataFrame:
-    """Per source, where the fractional repetition ends in draw order: all of ``bucket < cut_bucket``, and in that bucket keys up to ``cut_key``.
+    """Per source, where the fractional repetition ends in draw order: all of ``bucket < cut_bucket``, in that bucket all keys below ``cut_key``, and ``cut_fit`` of the ``cut_rows`` equal rows with that key.
 
-    Two levels: about sqrt(n) buckets of the draw key per source hold sums, and only the rows of the one bucket in
-    which the sum crosses the remainder are put in order, so that no task sees more than about sqrt(n) rows of a source.
+    Two levels: about sqrt(n) buckets of the draw key per source hold sums, and only the different keys of the one
+    bucket in which the sum crosses the remainder are put in order, so that no task sees more than about sqrt(n) rows.
     """
     rows = attach(sized, sources.select(F.col("source").alias("__s"), "rest", "buckets"), [("source", "__s")])
     rows = rows.withColumn("bucket", bucket_of(F.col("draw"), F.col("buckets")))
@@ -48,18 +58,33 @@ def _cuts(sized: DataFrame, sources: DataFrame) -> DataFrame:
     cross = sums.where((F.col("before") <= F.col("rest")) & (F.col("rest") > 0)).groupBy("source").agg(F.max(F.struct("bucket", "before")).alias("c"))
     cross = materialize(cross.select(F.col("source").alias("__s"), F.col("c.bucket").alias("cut_bucket"), F.col("c.before").alias("before")), "mix-cross")
     inside = attach(rows, cross, [("source", "__s")], "inner").where(F.col("bucket") == F.col("cut_bucket"))
+    inside = inside.groupBy("source", "before", "rest", F.struct("draw", "size", "tie").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    size = F.col("key.size")
     in_order = Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    inside = inside.withColumn("key", F.struct("draw", "size", "tie"))
-    so_far = F.col("before") + F.coalesce(F.sum("size").over(in_order), F.lit(0))
-    taken = inside.withColumn("in", 2 * so_far + F.col("size") <= 2 * F.col("rest")).where("in").groupBy(F.col("source").alias("__t")).agg(F.max("key").alias("cut_key"))
-    return cross.join(taken, same(cross, taken, [("__s", "__t")]), "left").select("__s", "cut_bucket", "cut_key")
+    so_far = F.col("before") + F.coalesce(F.sum(size * F.col("n")).over(in_order), F.lit(0))
+    # one more row as long as more than half of it is in the rest
+    fit = F.when(size > 0, F.greatest(F.lit(0), F.least(F.col("n"), F.floor((2 * F.col("rest") - 2 * so_far + size) / (2 * size))))).when(so_far <= F.col("rest"), F.col("n")).otherwise(0)
+    taken = inside.withColumn("fit", fit).where("fit > 0").groupBy(F.col("source").alias("__t")).agg(F.max(F.struct("key", "fit", "n")).alias("c"))
+    return cross.join(taken, same(cross, taken, [("__s", "__t")]), "left").select("__s", "cut_bucket", F.col("c.key").alias("cut_key"), F.col("c.fit").alias("cut_fit"), F.col("c.n").alias("cut_rows"))
 
 
 def bucket_of(draw: Column, buckets: Column) -> Column:
     return F.floor(draw.cast("double") / _SPAN * buckets).cast("long")
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, share: float = 1.5, max_epochs: int = 2, seed: int = 7, cycle: tuple[int, ...] = (5, 2, 1), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def _last_row(tied: DataFrame, source: str, row: str, fit: str) -> DataFrame:
+    """Of a written table of equal rows, per source the row number up to which ``fit`` of them stand: partitions are counted first, and only one partition's rows are put in order."""
+    counts = tied.groupBy(col(source).alias("s"), col(fit).alias("fit"), F.shiftright(col(row), 33).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    ahead = Window.partitionBy("s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0))).where(F.col("before") < F.col("fit"))
+    last = materialize(counts.groupBy("s", "fit").agg(F.max(F.struct("part", "before")).alias("c")).select(F.col("s").alias("__s"), F.col("fit").alias("__fit"), F.col("c.part").alias("__part"), F.col("c.before").alias("__before")), "mix-tie-parts")
+    own = attach(tied.select(col(source).alias("s"), col(row).alias("r")), last, [("s", "__s")], "inner").where(F.shiftright("r", 33) == F.col("__part"))
+    ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy("s").orderBy("r")) + F.col("__before"))
+    return materialize(ranked.where(F.col("rank") == F.col("__fit")).select(F.col("s").alias("__s"), F.col("r").alias("__last")), "mix-tie-rows", keep=True)
+
+
+@scratched
+def mix(docs: DataFrame, weights: DataFrame | None = None, share: float = 1.5, max_epochs: int = 2, seed: int = 7, cycle: tuple[int, ...] = (5, 2, 1), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", prefix: str = "__") -> DataFrame:
     """Each row of ``docs`` with ``__size`` (words), ``__source_size``, ``__target`` and ``__copies`` (how often the mix takes it).
 
     The mix holds ``share`` times the words of ``docs``, shared among sources by weight (``weights``: columns source,
@@ -69,39 +94,54 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, share: float = 1.5, m
     whose words come nearest to the rest, whole documents always.
 
     Nulls: a null source is a source; a null text has no words; a null id draws by text. Documents without words are
-    taken like any others and add nothing. Equal rows draw alike: at the cut all or none of them repeat. No documents:
-    no rows. Other columns of any name, but for the four added, pass through.
+    taken like any others and add nothing. Equal rows (id, text and source alike) draw alike; of those at the cut as
+    many repeat as the rest asks for, the first in the order of the input's partitions. No documents: no rows. Other
+    columns pass through, but for one that has an added name (``prefix`` begins them), which is replaced.
     """
+    p = free_prefix(docs)
     own = [id_col, text_col, source_col]
-    sized = docs.select(*[F.col(c).alias(a) for c, a in zip(own, ("doc_id", "text", "source"), strict=True)])
+    sized = docs.select(*[col(c).alias(a) for c, a in zip(own, ("doc_id", "text", "source"), strict=True)])
     sized = sized.select("source", word_count(F.col("text")).alias("size"), draw_key(F.col("doc_id"), F.col("text"), seed).alias("draw"), F.xxhash64("text").alias("tie"))
     sized = materialize(sized, "mix-sizes")
-    sources = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    sources = materialize(sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")), "mix-sources")
+    total = share * (sources.agg(F.sum("size")).first()[0] or 0)
     if weights is None:
-        place = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(cycle)
-        sources = sources.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in cycle]), (place + 1).cast("int")))
+        sources = numbered(sources).withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in cycle]), (F.col("place") % len(cycle) + 1).cast("int"))).drop("place")
     else:
         given = weights.select(F.col("source").alias("__w"), F.col("weight").cast("double").alias("weight")).where("weight > 0")
-        sources = sources.join(given, sources["source"].eqNullSafe(given["__w"]), "left").drop("__w")
-    everything = F.sum("size").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    sources = sources.withColumn("total", share * everything.cast("double"))
-    filled = capped_targets(sources.where(F.col("weight").isNotNull()), F.col("total"), max_epochs)
+        sources = sources.join(given, sources["source"].eqNullSafe(given["__w"])).drop("__w")
+    filled = capped_targets(materialize(sources, "mix-weights"), total, max_epochs)
     whole = F.when(F.col("size") > 0, F.least(F.floor(F.col("target") / F.col("size")), F.lit(max_epochs))).otherwise(0).cast("long")
     filled = filled.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("size"))
     filled = materialize(filled.select("source", "size", "target", "whole", "rest", F.ceil(F.sqrt("n")).alias("buckets")), "mix-targets")
     cuts = _cuts(sized, filled)
     plan = filled.join(cuts, filled["source"].eqNullSafe(cuts["__s"]), "left").drop("__s")
-    plan = materialize(plan.select(F.col("source").alias("__source"), F.col("size").alias("__source_size"), F.col("target").alias("__target"), F.col("whole").alias("__whole"), F.col("buckets").alias("__buckets"), F.col("cut_bucket").alias("__cut_bucket"), F.col("cut_key").alias("__cut_key")), "mix-plan")
-    rows = docs.withColumn("__size", word_count(F.col(text_col))).withColumn("__draw", draw_key(F.col(id_col), F.col(text_col), seed))
-    rows = attach(rows, plan, [(source_col, "__source")])
-    bucket = bucket_of(F.col("__draw"), F.col("__buckets"))
-    key = F.struct(F.col("__draw").alias("draw"), F.col("__size").alias("size"), F.xxhash64(text_col).alias("tie"))
-    extra = (bucket < F.col("__cut_bucket")) | ((bucket == F.col("__cut_bucket")) & (key <= F.col("__cut_key")))
-    copies = F.coalesce(F.col("__whole"), F.lit(0)) + F.when(extra, 1).otherwise(0)
-    return rows.withColumn("__copies", copies).drop("__draw", "__whole", "__buckets", "__cut_bucket", "__cut_key")
+    names = {"source": "source", "size": "source_size", "target": "target"}
+    plan = materialize(plan.select(*[F.col(c).alias(p + names.get(c, c)) for c in plan.columns]), "mix-plan", keep=True)
+    rows = docs.withColumn(p + "size", word_count(col(text_col))).withColumn(p + "draw", draw_key(col(id_col), col(text_col), seed)).withColumn(p + "tie", F.xxhash64(col(text_col)))
+    rows = attach(rows, plan, [(source_col, p + "source")])
+    key = F.struct(col(p + "draw").alias("draw"), col(p + "size").alias("size"), col(p + "tie").alias("tie"))
+    rows = rows.withColumn(p + "at", F.coalesce(key == col(p + "cut_key"), F.lit(False)))
+    bucket = bucket_of(col(p + "draw"), col(p + "buckets"))
+    extra = (bucket < col(p + "cut_bucket")) | ((bucket == col(p + "cut_bucket")) & (key < col(p + "cut_key"))) | col(p + "at")
+    added = {"size": "size", "source_size": "source_size", "target": "target"}
+
+    def with_copies(part: DataFrame, once_more: Column) -> DataFrame:
+        copies = F.coalesce(col(p + "whole"), F.lit(0)) + F.when(once_more, 1).otherwise(0)
+        rest = [c for c in docs.columns if c.lower() not in {prefix + a for a in (*added, "copies")}]
+        return part.select(*columns(rest), *[col(p + a).alias(prefix + a) for a in added], copies.alias(prefix + "copies"))
+
+    if not plan.where(col(p + "cut_fit") < col(p + "cut_rows")).limit(1).count():
+        return with_copies(rows, extra)
+    split = col(p + "at") & (col(p + "cut_fit") < col(p + "cut_rows"))
+    tied = materialize(rows.where(split).withColumn(p + "row", F.monotonically_increasing_id()), "mix-ties", keep=True)
+    last = _last_row(tied, source_col, p + "row", p + "cut_fit").withColumnsRenamed({"__s": p + "s", "__last": p + "last"})
+    tied = attach(tied, last, [(source_col, p + "s")])
+    return with_copies(rows.where(~F.coalesce(split, F.lit(False))), extra).unionByName(with_copies(tied, col(p + "row") <= col(p + "last")))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns of ``docs``."""
-    mixed = mix(docs, **options)
-    return mixed.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int")))).select(*docs.columns)
+    p = free_prefix(docs)
+    mixed = mix(docs, prefix=p, **options)
+    return mixed.withColumn(p + "copy", F.explode(F.array_repeat(F.lit(0), col(p + "copies").cast("int")))).select(*columns(docs.columns))
