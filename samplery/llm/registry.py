@@ -60,10 +60,17 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
+def sharding_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 4 with a limit of 64 KiB, at which small tables split over several levels too."""
+    sharded = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 1 << 16)
+    return sharded.select("doc_id", F.col("__bytes").alias("n_bytes"), F.col("__depth").alias("depth"), F.col("__shard").alias("shard"), F.col("__shard_bytes").alias("shard_bytes"))
+
 
-    return corpus_pipeline.run(spark, sf_dir)
+def warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 10 over all pages with their host as payload, so that many payloads are equal."""
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.regexp_extract("url", "//([^/]*)", 1))
+    history = warc.archive_round_trip(pages)
+    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -77,9 +84,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_warc": op10_warc,
-    "pipeline": pipeline,
+    "sharding_levels": sharding_levels,
+    "warc_revisits": warc_revisits,
 }
 
+
+def _warc_sql(html: str) -> str:
+    return rf"""
+WITH p AS (
+  SELECT page_id, {html} AS html, sha1({html}) AS sha FROM pages),
+d AS (
+  SELECT *, max(page_id) OVER (PARTITION BY sha) AS latest,
+         array_to_string(list_transform(range(0, 8), lambda k: array_to_string(list_transform(range(0, 4), lambda j:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(sha, (5 * k + 1)::INTEGER, 5))::INTEGER >> (15 - 5 * j)::INTEGER) & 31) + 1, 1)), '')), '') AS digest
+  FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = latest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> latest THEN latest END AS refers_to
+FROM d"""
+
+
+def _sharding_sql(limit: int) -> str:
+    return rf"""
+WITH h AS (
+  SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, row_number() OVER () AS rn,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h
+  FROM documents),
+ups AS (SELECT rn, n_bytes, d, h >> (60 - d) AS p FROM h, range(0, 61) r(d)),
+held AS (SELECT d, p, sum(n_bytes)::BIGINT AS held FROM ups GROUP BY d, p),
+own AS (SELECT rn, coalesce(min(CASE WHEN held <= {limit} THEN ups.d END), 60) AS depth FROM ups JOIN held ON ups.d = held.d AND ups.p = held.p GROUP BY rn)
+SELECT doc_id, n_bytes, depth::INTEGER AS depth, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(h >> (60 - depth)), depth::INTEGER, '0') END AS shard, held AS shard_bytes
+FROM h JOIN own USING (rn) JOIN held ON held.d = depth AND held.p = h >> (60 - depth)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": r"""
 WITH sized AS (
@@ -118,28 +155,10 @@ comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a),
 deg AS (SELECT a, count(*) AS n FROM link GROUP BY a)
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(c, vec_id) AS component_id, vec_id = coalesce(c, vec_id) AS kept
 FROM embeddings LEFT JOIN comp ON comp.a = vec_id LEFT JOIN deg ON deg.a = vec_id""",
-    "op10_warc": r"""
-WITH p AS (
-  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages),
-d AS (
-  SELECT *, max(page_id) OVER (PARTITION BY sha) AS latest,
-         array_to_string(list_transform(range(0, 8), lambda k: array_to_string(list_transform(range(0, 4), lambda j:
-           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(sha, (5 * k + 1)::INTEGER, 5))::INTEGER >> (15 - 5 * j)::INTEGER) & 31) + 1, 1)), '')), '') AS digest
-  FROM p)
-SELECT page_id, strlen(html)::BIGINT AS payload_bytes, digest AS payload_digest,
-       CASE WHEN page_id = latest THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> latest THEN latest END AS refers_to
-FROM d""",
-    "op4_sharding": r"""
-WITH h AS (
-  SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, row_number() OVER () AS rn,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h
-  FROM documents),
-ups AS (SELECT rn, n_bytes, d, h >> (60 - d) AS p FROM h, range(0, 61) r(d)),
-held AS (SELECT d, p, sum(n_bytes)::BIGINT AS held FROM ups GROUP BY d, p),
-own AS (SELECT rn, coalesce(min(CASE WHEN held <= 67108864 THEN ups.d END), 60) AS depth FROM ups JOIN held ON ups.d = held.d AND ups.p = held.p GROUP BY rn)
-SELECT doc_id, n_bytes, depth::INTEGER AS depth, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(h >> (60 - depth)), depth::INTEGER, '0') END AS shard, held AS shard_bytes
-FROM h JOIN own USING (rn) JOIN held ON held.d = depth AND held.p = h >> (60 - depth)""",
+    "op10_warc": _warc_sql("coalesce(html, '')"),
+    "warc_revisits": _warc_sql("regexp_extract(url, '//([^/]*)', 1)"),
+    "op4_sharding": _sharding_sql(64 << 20),
+    "sharding_levels": _sharding_sql(1 << 16),
     "op6_line_dedup": r"""
 WITH doc AS (SELECT row_number() OVER () AS rn, doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
 ln AS (SELECT rn, source, text, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM doc),
@@ -147,7 +166,7 @@ co AS (SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || ch
 tot AS (SELECT source, count(DISTINCT text) AS pages FROM doc GROUP BY source),
 bad AS (
   SELECT c.source, core FROM (SELECT source, core, count(DISTINCT text) AS n FROM co WHERE core <> '' GROUP BY source, core) c
-  JOIN tot ON c.source IS NOT DISTINCT FROM tot.source WHERE n >= 5 AND n / pages > 0.1),
+  JOIN tot ON c.source IS NOT DISTINCT FROM tot.source WHERE n > 1 AND n / pages > 0.1),
 kept AS (
   SELECT rn, count(*) AS n_lines, count(*) FILTER (bad.core IS NOT NULL) AS n_dropped,
          coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (bad.core IS NULL), '') AS kept
