@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from samplery.llm.common import attach, materialize
+from samplery.llm.common import attach, col, columns, free_prefix, materialize, scratched
 
 #: Bits of the hash that the directory may use.
 BITS = 60
@@ -42,7 +42,8 @@ def _directory(slots: DataFrame, bits: int, limit: int) -> DataFrame:
     return out.select("slot", F.when(lone, BITS).otherwise(F.col("b.depth")).alias("depth"), F.when(lone, F.col("bytes")).otherwise(F.col("b.held")).alias("shard_bytes"))
 
 
-def shard(docs: DataFrame, limit: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+@scratched
+def shard(docs: DataFrame, limit: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text", prefix: str = "__") -> DataFrame:
     """Each row of ``docs`` with ``__bytes``, ``__depth``, ``__shard`` (its bucket's hash prefix as text of bits) and ``__shard_bytes``.
 
     The directory has a slot for each prefix of as many bits as the whole size asks for, and a few more; the sums of
@@ -50,20 +51,24 @@ def shard(docs: DataFrame, limit: int = SHARD_BYTES, id_col: str = "doc_id", tex
     next round. One document larger than ``limit``, or equal rows (same id and text) larger than it together, cannot
     be split by any hash: they are a shard of depth 60, alone.
 
-    Nulls: a null text has no bytes; a null id hashes by text. No documents: no rows. Other columns pass through.
+    Nulls: a null text has no bytes; a null id hashes by text. No documents: no rows. Other columns pass through, but
+    for one that has an added name (``prefix`` begins them), which is replaced.
     """
     if limit <= 0:
         raise ValueError("limit must be positive")
-    narrow = docs.select(shard_hash(F.col(id_col), F.col(text_col)).alias("h"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes"))
+    p = free_prefix(docs)
+    size = F.coalesce(F.octet_length(col(text_col)), F.lit(0)).cast("long")
+    narrow = docs.select(shard_hash(col(id_col), col(text_col)).alias("h"), size.alias("bytes"))
     narrow = materialize(narrow, "shard-sizes")
     total = narrow.agg(F.sum("bytes")).first()[0] or 0
     bits = min(BITS, max(0, math.ceil(math.log2(max(1, total) / limit))) + 4)
     rows, rounds = narrow, []
     while True:
         slots = rows.groupBy(_high_bits(F.col("h"), BITS, F.lit(bits)).alias("slot")).agg(F.sum("bytes").alias("bytes"), (F.min("h") == F.max("h")).alias("alone"))
-        found = materialize(_directory(materialize(slots, "shard-slots"), bits, limit), "shard-directory")
+        found = _directory(materialize(slots, "shard-slots"), bits, limit)
         if bits == BITS:
             found = found.withColumn("depth", F.coalesce("depth", F.lit(BITS)))
+        found = materialize(found, "shard-directory", keep=True)
         rounds.append((bits, found))
         over = found.where(F.col("depth").isNull()).select("slot")
         if bits == BITS or not over.limit(1).count():
@@ -71,18 +76,28 @@ def shard(docs: DataFrame, limit: int = SHARD_BYTES, id_col: str = "doc_id", tex
         over = materialize(over.withColumnRenamed("slot", "__slot"), "shard-over")
         rows = attach(rows.withColumn("__at", _high_bits(F.col("h"), BITS, F.lit(bits))), over, [("__at", "__slot")], "left_semi").select("h", "bytes")
         bits = min(BITS, bits + 8)
-    out = docs.withColumn("__h", shard_hash(F.col(id_col), F.col(text_col))).withColumn("__bytes", F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long"))
+    out = docs.withColumn(p + "h", shard_hash(col(id_col), col(text_col))).withColumn(p + "bytes", size)
     depth, held = F.lit(None).cast("int"), F.lit(None).cast("long")
     for k, (bits, found) in enumerate(rounds):
-        names = [F.col(c).alias(f"__{c}{k}") for c in ("slot", "depth", "shard_bytes")]
-        out = attach(out.withColumn(f"__at{k}", _high_bits(F.col("__h"), BITS, F.lit(bits))), found.select(*names), [(f"__at{k}", f"__slot{k}")])
-        depth, held = F.coalesce(depth, F.col(f"__depth{k}")), F.coalesce(held, F.col(f"__shard_bytes{k}"))
-    out = out.withColumn("__depth", depth.cast("int")).withColumn("__shard_bytes", held)
-    out = out.withColumn("__shard", F.call_function("lpad", F.bin(_high_bits(F.col("__h"), BITS, F.col("__depth"))), F.col("__depth"), F.lit("0")))
-    return out.select(*docs.columns, "__bytes", "__depth", "__shard", "__shard_bytes")
-
-
-def write_shards(docs: DataFrame, path: str, **options) -> None:
-    """Writes each shard as one folder; as every shard fits its limit, a task never writes more than that for one key."""
-    sharded = shard(docs, **options).select(*docs.columns, F.concat(F.lit("s"), "__shard").alias("shard"))
-    sharded.repartition("shard").write.partitionBy("shard").parquet(path)
+        names = [F.col(c).alias(f"{p}{c}{k}") for c in ("slot", "depth", "shard_bytes")]
+        out = attach(out.withColumn(f"{p}at{k}", _high_bits(col(p + "h"), BITS, F.lit(bits))), found.select(*names), [(f"{p}at{k}", f"{p}slot{k}")])
+        depth, held = F.coalesce(depth, col(f"{p}depth{k}")), F.coalesce(held, col(f"{p}shard_bytes{k}"))
+    out = out.withColumn(p + "depth", depth.cast("int"))
+    name = F.call_function("lpad", F.bin(_high_bits(col(p + "h"), BITS, col(p + "depth"))), col(p + "depth"), F.lit("0"))
+    added = {"bytes": col(p + "bytes"), "depth": col(p + "depth"), "shard": name, "shard_bytes": held}
+    rest = [c for c in docs.columns if c.lower() not in {prefix + a for a in added}]
+    return out.select(*columns(rest), *[c.alias(prefix + a) for a, c in added.items()])
+
+
+def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES, **options) -> None:
+    """Writes each shard as a folder ``shard=s<bits>`` (a column ``shard`` of ``docs`` is replaced).
+
+    As a shard fits the limit, one task writes it; rows of one that no hash can split are spread over as many tasks as
+    they fill limits.
+    """
+    p = free_prefix(docs)
+    sharded = shard(docs, limit, prefix=p, **options)
+    rest = [c for c in docs.columns if c.lower() != "shard"]
+    part = F.pmod(F.monotonically_increasing_id(), F.ceil(F.greatest(col(p + "shard_bytes"), F.lit(1)) / limit)).alias(p + "part")
+    dealt = sharded.select(*columns(rest), F.concat(F.lit("s"), col(p + "shard")).alias("shard"), part).repartition("shard", p + "part")
+    dealt.drop(p + "part").write.partitionBy("shard").parquet(path)

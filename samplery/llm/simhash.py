@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from samplery.llm.bitslice import local_roots, pairs_within
-from samplery.llm.common import attach, connected_components, deal_buckets, materialize
+from samplery.llm.common import attach, col, columns, connected_components, deal_buckets, free_prefix, materialize, scratched
 from samplery.shipping import map_arrow
 
 #: Fingerprints to a block of a large bucket.
@@ -40,7 +40,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """``doc_id``, ``tie`` (hash of the text) and ``fp`` (the fingerprint as a signed long), one row per document, written."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
+    rows = docs.select(col(id_col).alias("doc_id"), F.xxhash64(col(text_col)).alias("tie"), col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tie"), pa.array(fps.view(np.int64))], ["doc_id", "tie", "fp"])
 
     kind = dict(rows.dtypes)["doc_id"]
-    return materialize(map_arrow(rows, run, f"doc_id {kind}, tie long, fp long"), "fingerprints")
+    return materialize(map_arrow(rows, run, f"doc_id {kind}, tie long, fp long"), "fingerprints", keep=True)
 
 
 def block_masks(n: int, radius: int) -> list[int]:
@@ -103,6 +103,7 @@ def _stars(radius: int):
     return run
 
 
+@scratched
 def fingerprint_links(fps: DataFrame, radius: int = 3) -> DataFrame:
     """Edges ``u``, ``v`` that connect all fingerprints (column ``fp``, each once, a written table) at distance <= radius.
 
@@ -113,9 +114,10 @@ def fingerprint_links(fps: DataFrame, radius: int = 3) -> DataFrame:
     keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for k, m in enumerate(masks)])).alias("key"))
     dealt = deal_buckets(keyed.select("fp", "key.t", "key.bits"), ["t", "bits"], "fp", BLOCK)
     dealt = dealt.select("fp", "grp").repartition("grp").sortWithinPartitions("grp")
-    return materialize(map_arrow(dealt, _stars(radius), "u long, v long"), "fingerprint-links")
+    return materialize(map_arrow(dealt, _stars(radius), "u long, v long"), "fingerprint-links", keep=True)
 
 
+@scratched
 def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``tie``, ``fp``, ``root`` (its component's fingerprint) and ``component_id`` (smallest doc_id of the component), one row per document.
 
@@ -133,6 +135,7 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, id_col:
     rooted = materialize(rooted, "fingerprint-roots")
     named = rooted.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
     labelled = rooted.join(named, rooted["root"] == named["r"]).select(F.col("fp").alias("f"), "root", "component_id")
+    labelled = materialize(labelled, "fingerprint-components", keep=True)
     return rows.join(labelled, rows["fp"] == labelled["f"]).drop("f")
 
 
@@ -140,19 +143,23 @@ def hex_of(fp: str):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def without_near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id (null last, then by the text's hash), with the columns of ``docs``."""
-    found = materialize(near_duplicates(docs, radius, shingle), "near-duplicates")
-    rank = F.struct(F.col("doc_id").isNull().alias("no"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("tie"))
+@scratched
+def without_near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component, the one with the smallest id (null last, then by the text's hash), with the columns of ``docs``. Ids may be of any ordered type."""
+    p = free_prefix(docs)
+    found = materialize(near_duplicates(docs, radius, shingle, id_col, text_col), "near-duplicates")
+    rank = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("tie"))
     best = found.groupBy(F.col("root").alias("r")).agg(F.min(rank).alias("best"), F.sum(F.lit(1)).alias("n"))
     best = materialize(best.where("n > 1"), "near-duplicate-groups").drop("n")
-    member = found.join(best, found["root"] == best["r"]).withColumn("stays", rank == F.col("best"))
-    marked = member.groupBy("doc_id", "tie").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n")).select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), "stays", "n")
-    marked = materialize(marked.where(~F.col("stays") | (F.col("n") > 1)), "near-duplicate-marks")
-    rows = docs.withColumn("__t", F.xxhash64("text"))
-    on = [("doc_id", "__id"), ("__t", "__tie")]
-    kept = attach(rows, marked.select("__id", "__tie"), on, "left_anti").select(*docs.columns)
-    again = materialize(marked.where("stays"), "near-duplicate-repeats").select("__id", "__tie")
+    member = found.join(best, found["root"] == best["r"]).withColumn("stays", rank.eqNullSafe(F.col("best")))
+    marked = member.groupBy("doc_id", "tie").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
+    marked = marked.select(F.col("doc_id").alias(p + "id"), F.col("tie").alias(p + "tie"), F.col("stays").alias(p + "stays"), F.col("n").alias(p + "n"))
+    marked = materialize(marked.where(~col(p + "stays") | (col(p + "n") > 1)), "near-duplicate-marks", keep=True)
+    rows = docs.withColumn(p + "t", F.xxhash64(col(text_col)))
+    on, own = [(id_col, p + "id"), (p + "t", p + "tie")], columns(docs.columns)
+    kept = attach(rows, marked.select(p + "id", p + "tie"), on, "left_anti").select(*own)
+    again = materialize(marked.where(p + "stays"), "near-duplicate-repeats", keep=True).select(p + "id", p + "tie")
     if again.limit(1).count():  # equal rows, of which one stays
-        kept = kept.unionByName(attach(rows, again, on, "left_semi").dropDuplicates(["doc_id", "__t"]).select(*docs.columns))
+        once = attach(rows, again, on, "left_semi").groupBy(col(id_col), p + "t").agg(F.first(F.struct(*[c.alias(f"c{k}") for k, c in enumerate(own)])).alias(p + "row"))
+        kept = kept.unionByName(once.select(*[F.col(f"{p}row.c{k}").alias(c) for k, c in enumerate(docs.columns)]))
     return kept
