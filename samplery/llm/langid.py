@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from samplery.llm.common import attach, materialize
+from samplery.llm.common import attach, col, materialize, scratched
 from samplery.shipping import map_arrow
 
 # Language families by ISO 639-1 code. A language that is not listed is a family of its own.
@@ -23,13 +23,19 @@ FAMILIES = {
 }
 #: Buckets of hashed letter n-grams of 1 to 3 bytes.
 BUCKETS = 4096
-#: About how many documents of a language the fit gathers.
-TRAIN_ROWS = 500
+#: About how many documents of a language the fit gathers, and of all languages together.
+TRAIN_ROWS, TRAIN_MOST = 500, 8000
 #: Words whose scores a worker remembers.
 CACHE = 150_000
 UNKNOWN = "und"
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+def _letters() -> re.Pattern:
+    """Runs of letters as ``str.isalpha`` has them: of all word characters but the digits, fractions and the like are none."""
+    odd = [c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()]
+    return re.compile(rf"[^\W\d_{''.join(odd)}]+")
+
+
+_LETTERS = _letters()
 
 
 def family_of(language: str) -> str:
@@ -157,29 +163,34 @@ def fit_languages(x: np.ndarray, languages: list[str]) -> LanguageModel:
     return LanguageModel(families, members, pairs, np.array(columns).T, np.array(bias))
 
 
-def train(docs: DataFrame, rows: int = TRAIN_ROWS, seed: int = 13, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel | None:
-    """The model from a hash sample of about ``rows`` documents of each language that are not held out; None without any.
+@scratched
+def train(docs: DataFrame, rows: int = TRAIN_ROWS, most: int = TRAIN_MOST, seed: int = 13, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel | None:
+    """The model from a hash sample of about ``rows`` documents of each language that are not held out, and of about ``most`` in all; None without any.
 
-    Language counts set each language's sampling rate; features of the sample come to the driver, 16 kB a document.
+    Language counts set each language's sampling rate: with many languages each gives its equal part of ``most``. The
+    sample's n-gram counts come to the driver (buckets that are not empty, 6 bytes each).
     """
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    own = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"), col(lang_col).alias("lang"))
     own = own.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rate = own.groupBy(F.col("lang").alias("__l")).agg((F.lit(rows) / F.count(F.lit(1))).alias("rate"))
-    rate = materialize(rate, "language-rates")
+    counts = materialize(own.groupBy(F.col("lang").alias("__l")).agg(F.count(F.lit(1)).alias("n")), "language-counts")
+    rate = counts.select("__l", (F.lit(float(min(rows, most / max(1, counts.count())))) / F.col("n")).alias("rate"))
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / (1 << 30)
     sample = attach(own.withColumn("__draw", draw), rate, [("lang", "__l")], "inner").where(F.col("__draw") < F.col("rate"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [features(t.as_py()) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array([v.tobytes() for v in x], pa.binary())], ["lang", "x"])
+            at = [np.flatnonzero(v).astype("<u2") for v in x]
+            columns = [pa.array([k.tobytes() for k in at], pa.binary()), pa.array([v[k].tobytes() for v, k in zip(x, at, strict=True)], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("lang"), *columns], ["lang", "at", "x"])
 
-    got = sorted(map_arrow(sample.select("lang", "text"), run, "lang string, x binary").collect())
+    got = sorted(r for r in map_arrow(sample.select("lang", "text"), run, "lang string, at binary, x binary").collect() if r["at"])
     if not got:
         return None
-    x = np.frombuffer(b"".join(r[1] for r in got), np.float32).reshape(len(got), BUCKETS)
-    lettered = x.any(axis=1)
-    return fit_languages(x[lettered], [r[0] for r, ok in zip(got, lettered, strict=True) if ok]) if lettered.any() else None
+    x = np.zeros((len(got), BUCKETS), np.float32)
+    for k, r in enumerate(got):
+        x[k, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["x"], np.float32)
+    return fit_languages(x, [r["lang"] for r in got])
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,7 +198,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id"
 
     A worker scores a different word once: the model is linear in n-grams, so a text's margins are sums over its words.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
+    rows = docs.select(col(id_col).alias("doc_id"), held_out(col(id_col)).alias("held_out"), col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

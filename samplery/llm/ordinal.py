@@ -11,8 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from samplery.llm.common import SPACE, materialize
+from samplery.llm.common import SPACE, col, columns, free_prefix, materialize, scratched
 from samplery.shipping import map_arrow
 
 #: Buckets of the hashed features: words below ``WORDS``, shapes from there on.
@@ -74,6 +75,27 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -60, 60)))
 
 
+def thresholds(param: np.ndarray, weights: int) -> np.ndarray:
+    """The parameters after the weights: the first threshold, and the logarithms of the steps to the next ones, which keep them apart."""
+    return np.cumsum(np.r_[param[weights], np.exp(param[weights + 1 :])])
+
+
+def loss(param: np.ndarray, y: np.ndarray, doc: np.ndarray, at: np.ndarray, value: np.ndarray, weights: int, ridge: float) -> tuple[float, np.ndarray]:
+    """Mean negative log likelihood of the grades ``y`` with half a ridge on the weights, and its gradient; ``value[k]`` is feature ``at[k]`` of document ``doc[k]``."""
+    big, n, grades = 50.0, len(y), len(param) - weights + 1
+    score = np.bincount(doc, value * param[at], n)
+    cut = np.r_[-big, thresholds(param, weights), big]
+    upper = 1 / (1 + np.exp(-np.clip(cut[y + 1] - score, -big, big)))
+    lower = 1 / (1 + np.exp(-np.clip(cut[y] - score, -big, big)))
+    chance = np.maximum(upper - lower, 1e-9)
+    du, dl = upper * (1 - upper) / chance, lower * (1 - lower) / chance
+    slope = (du - dl) / n  # by score
+    by_cut = (np.bincount(y + 1, -du, grades + 1) + np.bincount(y, dl, grades + 1))[1:grades] / n
+    tail = np.cumsum(by_cut[::-1])[::-1]
+    grad = np.r_[np.bincount(at, value * slope[doc], weights) + ridge * param[:weights], tail[:1], tail[1:] * np.exp(param[weights + 1 :])]
+    return float(-np.log(chance).mean() + ridge / 2 * (param[:weights] ** 2).sum()), grad
+
+
 def fit_ordinal(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, steps: int = 300, rate: float = 0.1, ridge: float = 1e-4) -> OrdinalModel:
     """Maximum likelihood with a ridge by Adam on all rows; rows hold grade, buckets and values.
 
@@ -100,27 +122,14 @@ def fit_ordinal(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, ste
     param = np.r_[np.zeros(len(used)), theta[:1], np.log(np.maximum(np.diff(theta), 1e-2))]
     m, v = np.zeros_like(param), np.zeros_like(param)
 
-    def thresholds(p: np.ndarray) -> np.ndarray:
-        return np.cumsum(np.r_[p[len(used)], np.exp(p[len(used) + 1 :])])
-
-    big = 50.0
     for step in range(1, steps + 1):
-        score = np.bincount(doc, value * param[at], len(rows))
-        cut = np.r_[-big, thresholds(param), big]
-        upper = 1 / (1 + np.exp(-np.clip(cut[y + 1] - score, -big, big)))
-        lower = 1 / (1 + np.exp(-np.clip(cut[y] - score, -big, big)))
-        chance = np.maximum(upper - lower, 1e-9)
-        du, dl = upper * (1 - upper) / chance, lower * (1 - lower) / chance
-        slope = (du - dl) / len(rows)  # of the loss, by score
-        by_cut = (np.bincount(y + 1, -du, grades + 1) + np.bincount(y, dl, grades + 1))[1:grades] / len(rows)
-        tail = np.cumsum(by_cut[::-1])[::-1]
-        grad = np.r_[np.bincount(at, value * slope[doc], len(used)) + ridge * param[: len(used)], tail[:1], tail[1:] * np.exp(param[len(used) + 1 :])]
+        grad = loss(param, y, doc, at, value, len(used), ridge)[1]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         param = param - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         param[: len(used)] = np.where(used < WORDS, np.minimum(param[: len(used)], 0), param[: len(used)])
     weights = np.zeros(BUCKETS)
     weights[used] = param[: len(used)]
-    return OrdinalModel(weights, thresholds(param))
+    return OrdinalModel(weights, thresholds(param, len(used)))
 
 
 def grades_of(labels: DataFrame) -> DataFrame:
@@ -133,6 +142,7 @@ def grades_of(labels: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.min(grade).alias("grade"))
 
 
+@scratched
 def train(docs: DataFrame, labels: DataFrame, grades: int = 3, rows: int = TRAIN_ROWS, seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel | None:
     """The model from at most ``rows`` labelled documents (a sample by hash); None without labelled documents.
 
@@ -140,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, grades: int = 3, rows: int = TRAIN
     """
     chosen = grades_of(labels).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(rows)
     chosen = materialize(chosen.select(F.col("doc_id").alias("__id"), "grade"), "graded")
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
+    own = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -154,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, grades: int = 3, rows: int = TRAIN
     return fit_ordinal([(r[0], np.frombuffer(r[1], "<i4").astype(np.int64), np.frombuffer(r[2], "<f4").astype(float)) for r in sorted(got)], grades)
 
 
-def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", prefix: str = "__") -> DataFrame:
     """``docs`` with ``__grade`` (expected grade) and ``__tail`` (chance of the top grade) of the whole text.
 
     The text goes to Python next to the row's other columns, batch by batch; the model travels as one broadcast of
@@ -162,10 +172,11 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataF
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))
+    rest = [c for c in docs.columns if c.lower() not in (prefix + "grade", prefix + "tail")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, thresholds = shared.value
-        own = OrdinalModel(weights, thresholds)
+        weights, cuts = shared.value
+        own = OrdinalModel(weights, cuts)
         known: dict[bytes, tuple[float, float]] = {}
         alike: dict[tuple[float, float], tuple[float, float]] = {}  # most words weigh alike: one object for all of them
         for b in (whole.slice(k, SLICE) for whole in batches for k in range(0, len(whole), SLICE)):
@@ -183,29 +194,31 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataF
                 own_, shape = map(sum, zip(*map(known.__getitem__, different), strict=True)) if different else (0.0, 0.0)
                 scores[k] = own_ + shape / max(1, len(different)) ** 0.5 + REPEAT * repeats(words) * float(weights[_REPEAT_BUCKET])
             tails = own.tails(scores)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tails.sum(axis=1)), pa.array(tails[:, -1])], [*b.schema.names, "__grade", "__tail"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rest], pa.array(tails.sum(axis=1)), pa.array(tails[:, -1])], [*rest, prefix + "grade", prefix + "tail"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_arrow(docs, run, f"{kinds}, __grade double, __tail double")
+    return map_arrow(docs, run, T.StructType([*[docs.schema[c] for c in rest], *[T.StructField(prefix + c, T.DoubleType()) for c in ("grade", "tail")]]))
 
 
-def classify(docs: DataFrame, labels: DataFrame, select: float = SELECT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, select: float = SELECT, id_col: str = "doc_id", text_col: str = "text", prefix: str = "__") -> DataFrame:
     """``docs`` with ``__grade``, ``__tail`` and ``__kept`` (``__tail`` >= ``select``).
 
     Nulls: a null text, or one without words, has nothing to judge: grade and tail are null and it is kept. A null id
     is judged like any other. Without labelled documents nothing is judged and all is kept. Equal rows are judged
-    alike. No documents: no rows. Other columns pass through.
+    alike. No documents: no rows. Other columns pass through, but for one that has an added name (``prefix`` begins
+    them), which is replaced.
     """
     model = train(docs, labels, id_col=id_col, text_col=text_col)
+    grade, tail = prefix + "grade", prefix + "tail"
     if model is None:
-        out = docs.withColumn("__grade", F.lit(None).cast("double")).withColumn("__tail", F.lit(None).cast("double"))
+        out = docs.withColumns({c: F.lit(None).cast("double") for c in (grade, tail)})
     else:
-        wordless = F.coalesce(F.btrim(F.col(text_col), F.lit(SPACE)) == "", F.lit(True))
-        out = score(docs, model, text_col)
-        out = out.withColumns({c: F.when(~wordless, F.col(c)) for c in ("__grade", "__tail")})
-    return out.withColumn("__kept", F.coalesce(F.col("__tail") >= select, F.lit(True)))
+        wordless = F.coalesce(F.btrim(col(text_col), F.lit(SPACE)) == "", F.lit(True))
+        out = score(docs, model, text_col, prefix)
+        out = out.withColumns({c: F.when(~wordless, col(c)) for c in (grade, tail)})
+    return out.withColumn(prefix + "kept", F.coalesce(col(tail) >= select, F.lit(True)))
 
 
 def selected(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The kept documents with the columns of ``docs``."""
-    return classify(docs, labels, **options).where("__kept").select(*docs.columns)
+    p = free_prefix(docs)
+    return classify(docs, labels, prefix=p, **options).where(col(p + "kept")).select(*columns(docs.columns))
