@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
-import io
-import uuid
+from array import array
 from collections.abc import Iterator
+from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from samplery.llm.common import attach, materialize, scratch_dir
+from samplery.llm.common import attach, materialize, scratch_path, scratched
 from samplery.shipping import map_arrow
 
-#: Index rows to a task of the merge.
-MERGE_ROWS = 500_000
+#: Index rows to a task of the merge, and records to an archive.
+MERGE_ROWS, ARCHIVE_ROWS = 100_000, 50_000
+#: What ends a record, and a record's headers.
+GAP = "\r\n\r\n"
 _ID = "urn:samplery:page:"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -37,15 +39,16 @@ def url_key(url: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(F.regexp_replace(host, r"^www\d*\.", ""), r"\.")), ","), F.lit(")"), F.when(rest == "", "/").otherwise(rest))
 
 
-def write_archives(pages: DataFrame, path: str, time: Column | None = None) -> None:
-    """Writes one record per row of ``pages`` (``page_id``, ``url``, ``html``) as gzip archives under ``path``, one per partition.
+@scratched
+def write_archives(pages: DataFrame, path: str, time: Column | None = None, archive_rows: int = ARCHIVE_ROWS) -> None:
+    """Writes one record per row of ``pages`` (``page_id``, ``url``, ``html``) as gzip archives under ``path``: each partition's records, ``archive_rows`` to an archive.
 
     Of the rows with equal payloads, those with the largest page_id are written as responses and the others as
     revisits of it, without their payload. Rows are sorted by URL key and time within each archive, so each is a
     sorted run of captures. ``time`` is the capture time (default: as many seconds after 2024 begins as the page_id).
     Spark's text writer commits the archives: a record ends with the blank lines that the format asks for, and a retried
-    task leaves no half archive. Archives are as large as a partition's payloads; no payload is shuffled unless
-    the digests of repeated payloads are too many for a broadcast.
+    task leaves no half archive. No payload is shuffled unless the digests of repeated payloads are too many for a
+    broadcast.
     """
     id_text = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
     when = time if time is not None else F.timestamp_seconds(F.lit(1704067200) + F.coalesce(F.pmod("page_id", F.lit(1 << 31)), F.lit(0)))
@@ -72,25 +75,34 @@ def write_archives(pages: DataFrame, path: str, time: Column | None = None) -> N
         block,
     )
     runs = rows.select(record.alias("value"), url_key(F.col("url")).alias("key"), "time", "page_id").sortWithinPartitions("key", "time", "page_id")
-    runs.select("value").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
-
-
-def records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record of an unpacked archive; raises ValueError where it isn't one."""
-    while line := stream.readline():
-        if not line.strip():
-            continue
-        if not line.startswith(b"WARC/"):
-            raise ValueError(f"no WARC record begins with {line[:40]!r}")
-        headers = {}
-        while (line := stream.readline()).strip():
-            name, _, value = line.decode("utf-8").partition(":")
-            headers[name.strip().lower()] = value.strip()
+    runs.select("value").write.option("lineSep", GAP).option("compression", "gzip").option("maxRecordsPerFile", archive_rows).text(path)
+
+
+def records(parts: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and block of each record of an archive that comes as its parts between ``GAP``s; raises ValueError where it isn't one."""
+    gap = GAP.encode()
+    rest: bytes | None = b""
+    while True:
+        while rest is not None and not (rest := rest.lstrip(b"\r\n")):
+            rest = next(parts, None)
+        if rest is None:
+            return
+        if not rest.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record begins with {rest[:40]!r}")
+        lines = [x.partition(":") for x in rest.decode("utf-8").split("\r\n")[1:]]
+        headers = {name.strip().lower(): value.strip() for name, _, value in lines}
         size = int(headers["content-length"])
-        block = stream.read(size)
-        if len(block) != size:
-            raise ValueError("the archive ends within a record")
-        yield headers, block
+        held, length = [next(parts, b"")], 0
+        length = len(held[0])
+        while length < size:
+            part = next(parts, None)
+            if part is None:
+                raise ValueError("the archive ends within a record")
+            held.append(part)
+            length += len(gap) + len(part)
+        block = gap.join(held)
+        rest = block[size:]
+        yield headers, block[:size]
 
 
 def capture(headers: dict[str, str], block: bytes) -> tuple:
@@ -110,28 +122,31 @@ _INDEX = "page_id long, record_type string, payload_digest string, refers_to lon
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of all archives under ``path``: the columns of the index, and ``run`` and ``place`` (archive and position in it)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+    """One row per record of all archives under ``path``: the columns of the index, and ``run`` and ``place`` (archive and position in it).
+
+    Spark's text reader unpacks an archive and streams it in parts between blank lines, in order, to one task, which
+    puts the records together again: it holds one record at a time, however large the archive is.
+    """
+    lines = spark.read.option("lineSep", GAP).option("pathGlobFilter", "*.gz").text(path).select(F.col("_metadata.file_path").alias("run"), F.col("value").cast("binary").alias("value"))
+    names = [x.split()[0] for x in _INDEX.split(", ")]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
+
+    def pack(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [*names, "run", "place"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in _INDEX.split(", ")]
-        for b in batches:
-            for name, content in zip(b.column("path"), b.column("content"), strict=True):
-                with gzip.GzipFile(fileobj=io.BytesIO(content.as_py())) as stream:
+        each = ((name, value.as_py()) for b in batches for name, value in zip(b.column("run").to_pylist(), b.column("value"), strict=True))
+        got = []
+        for name, own in groupby(each, lambda x: x[0]):
+            for place, (headers, block) in enumerate(records(x[1] for x in own)):
+                got.append((*capture(headers, block), name, place))
+                if len(got) == 5000:
+                    yield pack(got)
                     got = []
-                    for place, (headers, block) in enumerate(records(io.BufferedReader(stream, 1 << 20))):
-                        got.append((*capture(headers, block), name.as_py(), place))
-                        if len(got) == 5000:
-                            yield pack(got, names)
-                            got = []
-                    if got:
-                        yield pack(got, names)
-
-    def pack(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [*names, "run", "place"])
+        if got:
+            yield pack(got)
 
-    return map_arrow(files, run, f"{_INDEX}, run string, place long")
+    return map_arrow(lines, run, f"{_INDEX}, run string, place long")
 
 
 def loser_tree(runs: list[Iterator[tuple]]) -> Iterator[tuple]:
@@ -163,53 +178,51 @@ def loser_tree(runs: list[Iterator[tuple]]) -> Iterator[tuple]:
             node //= 2
 
 
+def merged(rows: pa.Table) -> np.ndarray:
+    """The order of a range's rows, which come run after run, by URL key, date and page_id (null first): each run is a sorted slice, and the slices are merged."""
+    key, date, page = (rows.column(c).to_pylist() for c in ("url_key", "date", "page_id"))
+    names = rows.column("run").to_numpy()
+    first = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
+    runs = []
+    for n, (lo, hi) in enumerate(zip(first.tolist(), [*first[1:].tolist(), len(rows)], strict=True)):
+        own = [(key[k], date[k], page[k] is not None, page[k] or 0, n, k) for k in range(lo, hi)]
+        if any(a > b for a, b in zip(own, own[1:], strict=False)):
+            own.sort()  # a foreign archive that was not written in order
+        runs.append(iter(own))
+    return np.frombuffer(array("q", [x[-1] for x in loser_tree(runs)]), np.int64)
+
+
 def capture_history(index: DataFrame) -> DataFrame:
     """The index in the global order of URL key, date and page_id: partitions follow one another, and are sorted inside.
 
-    Range partitioning cuts every run (``run``, sorted by ``place``) into slices; a task merges the slices of its
-    range with a loser tree. Ranges are cut within a URL's history too, so that one URL may hold any share of all rows.
-    ``index`` must be a written table, as it is read twice.
+    Range partitioning cuts every run (``run``, sorted by ``place``) into slices; Spark's sort, which spills, lays them
+    one after another, and a task merges the slices of its range with a loser tree. It holds one range, about
+    ``MERGE_ROWS`` rows however many there are in all. Ranges are cut within a URL's history too, so that one URL may
+    hold any share of all rows. ``index`` must be a written table, as it is read twice.
     """
     keyed = index.withColumn("url_key", url_key(F.col("url")))
     parts = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), index.count() // MERGE_ROWS + 1)
-    ranged = keyed.repartitionByRange(parts, "url_key", "date", "page_id", "run", "place")
+    ranged = keyed.repartitionByRange(parts, "url_key", "date", "page_id", "run", "place").sortWithinPartitions("run", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slices: dict[str, list[tuple]] = {}
-        schema = None
-        for b in batches:
-            schema = b.schema
-            key, date, page, of, place = (schema.get_field_index(c) for c in ("url_key", "date", "page_id", "run", "place"))
-            for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                slices.setdefault(row[of], []).append((row[key], row[date], row[page] is not None, row[page] or 0, row[place], row))
-        runs = []
-        for rows in slices.values():
-            rows.sort(key=lambda r: r[4])  # as they stand in their run: the shuffle may have mixed its blocks
-            if any(a[:4] > b[:4] for a, b in zip(rows, rows[1:], strict=False)):
-                rows.sort(key=lambda r: r[:5])  # a foreign archive that was not written in order
-            runs.append(iter([(r[:4], r[5]) for r in rows]))
-        merged = [x[-1] for x in loser_tree([_tagged(k, r) for k, r in enumerate(runs)])]
-        for lo in range(0, len(merged), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*merged[lo : lo + 10_000], strict=True), schema, strict=True)], schema=schema)
-
-    kinds = ", ".join(f"{c} {t}" for c, t in keyed.dtypes)
-    return map_arrow(ranged, run, kinds)
-
-
-def _tagged(k: int, rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Items that compare by key, run and position, never by what else they hold."""
-    for n, (key, row) in enumerate(rows):
-        yield (*key, k, n, row)
-
-
-def archive_round_trip(pages: DataFrame, path: str | None = None, time: Column | None = None) -> DataFrame:
-    """Writes all ``pages`` as archives, reads them back and merges their index: one row per record in capture order.
+        held = list(batches)
+        if sum(len(b) for b in held):
+            rows = pa.Table.from_batches(held).combine_chunks()
+            order = merged(rows)
+            for lo in range(0, len(order), 10_000):
+                yield from rows.take(pa.array(order[lo : lo + 10_000])).combine_chunks().to_batches()
+
+    return map_arrow(ranged, run, keyed.schema)
+
+
+@scratched
+def archive_round_trip(pages: DataFrame, path: str | None = None, time: Column | None = None, archive_rows: int = ARCHIVE_ROWS) -> DataFrame:
+    """Writes all ``pages`` as archives (under ``path``; else they go when their index is read), reads them back and merges their index: one row per record in capture order.
 
     Nulls: a null html is an empty payload; a null URL is archived as ``urn:samplery:unknown``; rows with a null
     page_id are archived without a number (revisits if an equal payload has a number). Equal rows with the largest
     page_id of their payload are all responses. No pages: no rows. Other columns of ``pages`` are not archived.
     """
-    spark = pages.sparkSession
-    path = path or f"{scratch_dir(spark)}/archives-{uuid.uuid4().hex}"
-    write_archives(pages, path, time)
-    return capture_history(materialize(read_archives(spark, path), "capture-runs"))
+    path = path or scratch_path(pages.sparkSession, "archives")
+    write_archives(pages, path, time, archive_rows)
+    return capture_history(materialize(read_archives(pages.sparkSession, path), "capture-runs", keep=True))
