@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from samplery.llm import line_dedup, mixing, ordinal, pieces, simhash
-from samplery.llm.common import materialize
+from samplery.llm.common import materialize, scratched
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +51,15 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
+def _written(stage: Callable[[SparkSession, DataFrame, str], DataFrame], name: str, spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"), keep=True)
+
+
+@scratched
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``, one after another; a stage's tables go when its rows are written, and these when the run ends, but for those that the last stage reads."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for name, stage in STAGES[:-2]:
+        docs = scratched(_written)(stage, name, spark, docs, sf_dir)
+    (name, stage), (_, last) = STAGES[-2:]
+    return last(spark, _written(stage, name, spark, docs, sf_dir), sf_dir)
