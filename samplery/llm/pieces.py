@@ -6,20 +6,25 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from samplery.llm.common import col, quoted
 from samplery.shipping import map_arrow
 
 #: A public vocabulary; any other model's path may be given.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-#: Characters that one suffix array indexes, and different segments and pairs that a worker remembers.
-INDEX_CHARS, SEGMENTS, PAIRS = 1 << 16, 500_000, 300_000
+#: Characters that one suffix array indexes, and different segments that a worker remembers.
+INDEX_CHARS, SEGMENTS = 1 << 17, 500_000
+#: Segments up to this length are relaxed side by side and remembered; longer ones are relaxed by themselves.
+SHORT = 40
+#: Remembered pairs of neighbours, a power of two; a pair that shares a slot with a later one is tried again.
+PAIR_SLOTS = 1 << 21
 _NORMAL, _CONTROL, _BYTE = 1, 3, 6
 #: Separates segments among code points: the first number that is none.
 _END = 0x110000
@@ -34,6 +39,11 @@ class PieceModel:
     kinds: list[int]
     prefix: bool
     unknown: int
+    digest: str = field(init=False)
+
+    def __post_init__(self) -> None:
+        """The digest stands for the whole vocabulary: workers keep encoders by it."""
+        self.digest = hashlib.md5(repr((self.pieces, self.scores, self.kinds, self.prefix, self.unknown)).encode("utf-8", "surrogatepass")).hexdigest()
 
     @staticmethod
     def load(path: str = MODEL) -> PieceModel:
@@ -54,6 +64,9 @@ class PieceModel:
 class Encoder:
     """Encodes batches of texts.
 
+    Texts are cut into segments that no merge can join. The different segments that a worker does not yet remember
+    are indexed together, by a suffix array over their concatenation; all others are looked up, so most of a text is.
+
     BPE merges pairs by score, so not every path through the pieces that match a text is its encoding. But a path is
     the encoding exactly if each two neighbouring pieces are the encoding of their own concatenation: merges on one
     side of a boundary that is never merged across do not depend on the other side. So each prefix of a segment has
@@ -86,30 +99,45 @@ class Encoder:
         splits = all(BLANK not in model.pieces[i].lstrip(BLANK) for i in normal)
         alone = "\n" if "\n" not in chars else ""
         self.segment = re.compile(rf"{alone}| +[^ {alone}]*|[^ {alone}]+" if alone and splits else r" +[^ ]*|[^ ]+" if splits else r"(?s).+")
-        self.pairs: dict[int, bool] = {}
+        self.pair_key, self.pair_fits = np.full(PAIR_SLOTS, -1, np.int64), np.zeros(PAIR_SLOTS, bool)
         self.place: dict[str, int] = {}
         self.flat, self.ends = array("i"), array("q", [0])
 
-    def merge(self, text: str) -> list[str]:
-        """Plain BPE of a short string: the best-scored neighbours merge first, the leftmost of equal ones."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                s = self.score.get(parts[k] + parts[k + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, k
-            if best is None:
-                break
+    def merge(self, text: str, apart: int = 0) -> list[str] | None:
+        """Plain BPE of a short string: the best-scored neighbours merge first, the leftmost of equal ones. None as soon as parts merge across the place ``apart``, if that is not 0."""
+        parts, none, of = list(text), float("-inf"), self.score.get
+        scores = [of(x + y, none) for x, y in zip(parts, parts[1:], strict=False)]
+        while scores and (best := max(scores)) != none:
+            at = scores.index(best)
+            if at == apart - 1:
+                return None
+            apart -= at < apart
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del scores[at]
+            if at:
+                scores[at - 1] = of(parts[at - 1] + parts[at], none)
+            if at < len(scores):
+                scores[at] = of(parts[at] + parts[at + 1], none)
         return parts
 
     def text_of(self, piece: int) -> str:
         return self.model.pieces[piece] if piece < self.size else chr(piece - self.size)
 
-    def fits(self, left: int, right: int) -> bool:
-        a, b = self.text_of(left), self.text_of(right)
-        return self.merge(a + b) == [a, b]
+    def fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Which pairs of pieces are the encoding of their concatenation."""
+        key = left.astype(np.int64) * (self.size + _END) + right
+        slot = (key * 0x9E3779B1 >> 7) & (PAIR_SLOTS - 1)
+        out = self.pair_fits[slot]
+        at = np.flatnonzero(self.pair_key[slot] != key)
+        if len(at):
+            _, first, which = np.unique(key[at], return_index=True, return_inverse=True)
+            new = np.zeros(len(first), bool)
+            for k, n in enumerate(at[first].tolist()):
+                a, b = self.text_of(int(left[n])), self.text_of(int(right[n]))
+                new[k] = self.merge(a + b, len(a)) == [a, b]
+            out[at] = new[which]
+            self.pair_key[slot[at]], self.pair_fits[slot[at]] = key[at], out[at]
+        return out
 
     def matches(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, length and piece of every occurrence of every piece in a text of code points (``_END`` separates segments), by start.
@@ -139,61 +167,100 @@ class Encoder:
         length, piece = np.repeat(self.lengths[own], count), np.repeat(self.ids[own], count)
         bare = np.flatnonzero(~self.single[points] & (points != _END))  # characters that are no piece
         start, length, piece = np.r_[start, bare], np.r_[length, np.ones(len(bare), np.int64)], np.r_[piece, self.size + points[bare].astype(np.int64)]
-        order = np.argsort(start, kind="stable")
-        return start[order], length[order], piece[order]
+        return start, length, piece
+
+    def relax(self, points: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Last piece and its length of every prefix of every segment, at the place after it; -1 where a segment begins.
+
+        Edges are sorted by their place in their segment, and a step relaxes those of one place of all segments.
+        """
+        last, step = np.full(len(points) + 1, -1, np.int32), np.zeros(len(points) + 1, np.int32)
+        start, length, piece = self.matches(points)
+        offset = start - np.repeat(begins, sizes + 1)[start]
+        order = np.argsort(offset.astype(np.uint16), kind="stable")
+        start, length, piece = start[order], length[order], piece[order]
+        ends = np.cumsum(np.bincount(offset))
+        for lo, hi in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
+            at, n, p = start[lo:hi], length[lo:hi], piece[lo:hi]
+            if lo:
+                own = np.flatnonzero(self.fits(last[at], p))
+                at, n, p = at[own], n[own], p[own]
+            last[at + n], step[at + n] = p, n
+        return last, step
+
+    def relax_long(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``relax`` of one segment of any length: its matches are found in windows that overlap by the longest piece, so that only one window's edges are held."""
+        last, step = np.full(len(points) + 1, -1, np.int32), np.zeros(len(points) + 1, np.int32)
+        longest, known, base = int(self.lengths.max()), {}, self.size + _END
+        for lo in range(0, len(points), INDEX_CHARS):
+            start, length, piece = self.matches(points[lo : lo + INDEX_CHARS + longest - 1])
+            own = np.flatnonzero((start < INDEX_CHARS) & (start + length <= len(points) - lo))
+            own = own[np.argsort(start[own], kind="stable")]
+            open_ = array("i", last[lo : lo + INDEX_CHARS + longest].tobytes())  # -1: not reached
+            for i, n, p in zip(start[own].tolist(), length[own].tolist(), piece[own].tolist(), strict=True):
+                if open_[i + n] != -1:
+                    continue
+                if lo + i:
+                    key = open_[i] * base + p
+                    ok = known.get(key)
+                    if ok is None:
+                        if len(known) > PAIR_SLOTS:
+                            known.clear()
+                        ok = known[key] = bool(self.fits(np.array([open_[i]]), np.array([p]))[0])
+                    if not ok:
+                        continue
+                open_[i + n] = p
+                step[lo + i + n] = n
+            last[lo : lo + len(open_)] = np.frombuffer(open_, np.int32)
+        return last, step
+
+    def ids_of(self, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces in order, characters without a piece as their bytes, and how many each piece gives."""
+        bare = np.flatnonzero(pieces >= self.size)
+        count = np.ones(len(pieces), np.int64)
+        if not len(bare):
+            return pieces, count
+        parts = [[self.bytes[b] for b in chr(p - self.size).encode("utf-8", "surrogatepass")] if self.bytes else [self.model.unknown] for p in pieces[bare].tolist()]
+        count[bare] = [len(x) for x in parts]
+        out = np.repeat(pieces, count)
+        at = np.repeat(np.cumsum(count)[bare] - count[bare], count[bare])
+        out[at + np.concatenate([np.arange(len(x)) for x in parts])] = np.concatenate(parts)
+        return out, count
 
     def learn(self, segments: list[str]) -> None:
         """Encodes segments (their blanks still spaces, which keeps them small) and remembers their ids."""
-        points = np.frombuffer((" ".join(segments) + " ").replace(" ", BLANK).encode("utf-32-le"), "<u4").copy()
-        points[np.cumsum([len(s) + 1 for s in segments]) - 1] = _END
-        starts, lengths, pieces = (x.tolist() for x in self.matches(points))
-        last: list[int] = [-2] * (len(points) + 1)  # -2: not reached, -1: a segment begins
-        step = [0] * (len(points) + 1)
-        at = 0
-        for s in segments:
-            last[at] = -1
-            at += len(s) + 1
-        pairs, base = self.pairs, self.size + _END
-        for i, n, p in zip(starts, lengths, pieces, strict=True):
-            j = i + n
-            if last[j] != -2:
-                continue
-            t = last[i]
-            if t != -1:
-                key = t * base + p
-                ok = pairs.get(key)
-                if ok is None:
-                    if len(pairs) > PAIRS:
-                        pairs.clear()
-                    ok = pairs[key] = self.fits(t, p)
-                if not ok:
-                    continue
-            last[j], step[j] = p, n
-        at = 0
-        for s in segments:
-            end, ids = at + len(s), []
-            while end > at:
-                p = last[end]
-                if p < self.size:
-                    ids.append(p)
-                elif self.bytes:
-                    ids.extend(self.bytes[b] for b in reversed(chr(p - self.size).encode("utf-8", "surrogatepass")))
-                else:
-                    ids.append(self.model.unknown)
-                end -= step[end]
-            ids.reverse()
-            self.place[s] = len(self.ends) - 1
-            self.flat.extend(ids)
-            self.ends.append(len(self.flat))
-            at += len(s) + 1
+        points = np.frombuffer((" ".join(segments) + " ").replace(" ", BLANK).encode("utf-32-le", "surrogatepass"), "<u4").copy()
+        sizes = np.array([len(s) for s in segments])
+        ends = np.cumsum(sizes + 1) - 1
+        begins = ends - sizes
+        points[ends] = _END
+        last, step = self.relax_long(points[:-1]) if len(segments) == 1 and sizes[0] > SHORT else self.relax(points, begins, sizes)
+        # back along the pieces of all segments at once
+        on = np.zeros(len(points) + 1, bool)
+        at, begin = ends, begins
+        while len(at):
+            on[at] = True
+            at = at - step[at]
+            more = at > begin
+            at, begin = at[more], begin[more]
+        ids, count = self.ids_of(last[: len(points)][on[: len(points)]])
+        held = np.zeros(len(points), np.int64)
+        held[on[: len(points)]] = count
+        before = self.ends[-1]
+        self.place.update(zip(segments, range(len(self.ends) - 1, len(self.ends) - 1 + len(segments)), strict=True))
+        self.flat.frombytes(ids.astype(np.int32).tobytes())
+        self.ends.frombytes((before + np.cumsum(held)[ends]).astype(np.int64).tobytes())
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. Segments are parts that no merge can join; different ones are matched once."""
         cut = [self.segment.findall((" " * self.model.prefix + t.replace(BLANK, " ")) if t else "") for t in texts]
         if len(self.place) > SEGMENTS:
             self.place, self.flat, self.ends = {}, array("i"), array("q", [0])
-        new, held = [], 0
+        new, long, held = [], [], 0
         for s in set().union(*cut).difference(self.place):
+            if len(s) > SHORT:
+                long.append(s)
+                continue
             new.append(s)
             held += len(s) + 1
             if held >= INDEX_CHARS:
@@ -201,6 +268,9 @@ class Encoder:
                 new, held = [], 0
         if new:
             self.learn(new)
+        known = len(self.flat), len(self.ends)
+        for s in long:
+            self.learn([s])
         flat, ends = np.frombuffer(self.flat, np.int32), np.frombuffer(self.ends, np.int64)
         out = []
         for segments in cut:
@@ -208,6 +278,10 @@ class Encoder:
             count = ends[at + 1] - ends[at]
             before = np.cumsum(count) - count
             out.append(flat[np.repeat(ends[at] - before, count) + np.arange(int(count.sum()))])
+        del flat, ends
+        for s in long:  # long segments hardly come back
+            del self.place[s]
+        del self.flat[known[0] :], self.ends[known[1] :]
         return out
 
 
@@ -233,16 +307,15 @@ class Decoder:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
 def _encoder(model: PieceModel) -> Encoder:
     """One for each worker process and vocabulary, kept between its tasks."""
-    key = hash((len(model.pieces), tuple(model.pieces[:: max(1, len(model.pieces) // 500)]), tuple(model.scores[::500])))
-    if key not in _encoders:
+    if model.digest not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(model)
-    return _encoders[key]
+        _encoders[model.digest] = Encoder(model)
+    return _encoders[model.digest]
 
 
 def _parts(column: pa.Array, limit: int = 1 << 21) -> Iterator[list[str | None]]:
@@ -258,14 +331,18 @@ def _parts(column: pa.Array, limit: int = 1 << 21) -> Iterator[list[str | None]]
         yield part
 
 
-def encode(docs: DataFrame, model: PieceModel, text_col: str = "text") -> DataFrame:
-    """``docs`` without the text and with ``piece_ids`` (array of int).
+def _schema(df: DataFrame, rest: list[str], added: str) -> T.StructType:
+    return T.StructType([*[df.schema[c] for c in rest], *T.StructType.fromDDL(added).fields])
+
+
+def encode(docs: DataFrame, model: PieceModel, text_col: str = "text", out_col: str = "piece_ids") -> DataFrame:
+    """``docs`` without the text and with ``out_col`` (array of int).
 
     Nulls: a null text has null ids, an empty one none. Equal rows get equal ids. No documents: no rows. Other columns
-    pass through.
+    pass through, but for one named as ``out_col``, which is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rest = [c for c in docs.columns if c != text_col]
+    rest = [c for c in docs.columns if c != text_col and c.lower() != out_col.lower()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _encoder(shared.value)
@@ -276,26 +353,24 @@ def encode(docs: DataFrame, model: PieceModel, text_col: str = "text") -> DataFr
                 ends = np.r_[0, np.cumsum([len(x) for x in ids])]
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.r_[[t is None for t in texts], False]), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
                 part = b.slice(done, len(texts))
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], lists], [*rest, "piece_ids"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], lists], [*rest, out_col])
                 done += len(texts)
 
-    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in rest)
-    return map_arrow(docs, run, f"{kinds}piece_ids array<int>")
+    return map_arrow(docs, run, _schema(docs, rest, f"{quoted(out_col)} array<int>"))
 
 
-def decode(encoded: DataFrame, model: PieceModel, ids_col: str = "piece_ids") -> DataFrame:
-    """``encoded`` without the ids and with ``text``; null ids give a null text."""
+def decode(encoded: DataFrame, model: PieceModel, ids_col: str = "piece_ids", out_col: str = "text") -> DataFrame:
+    """``encoded`` without the ids and with ``out_col``; null ids give a null text. A column named as ``out_col`` is replaced."""
     shared = encoded.sparkSession.sparkContext.broadcast(model)
-    rest = [c for c in encoded.columns if c != ids_col]
+    rest = [c for c in encoded.columns if c != ids_col and c.lower() != out_col.lower()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Decoder(shared.value)
         for b in batches:
             texts = [None if not x.is_valid else own.decode(x.as_py()) for x in b.column(ids_col)]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rest], pa.array(texts, pa.string())], [*rest, "text"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rest], pa.array(texts, pa.string())], [*rest, out_col])
 
-    kinds = "".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}, " for c in rest)
-    return map_arrow(encoded, run, f"{kinds}text string")
+    return map_arrow(encoded, run, _schema(encoded, rest, f"{quoted(out_col)} string"))
 
 
 def round_trips(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -304,7 +379,7 @@ def round_trips(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text
     Text that holds the blank mark U+2581 itself decodes to a space there, as the model defines it; that counts as
     exact. Nulls: a null text has null digests and is exact.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
