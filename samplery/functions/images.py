@@ -8,13 +8,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _build(n: int, value: Callable[[Column], Column]) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), value)
 
 
 def pick(image: Column, w: int, h: int, at: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
     """A ``w`` x ``h`` image whose pixel (x, y) is the source's at ``at(x, y)`` = (index, width of source)."""
-    return _build(w * h, lambda i: F.get(image, at((i % w).cast("int"), F.floor(i / w).cast("int"))[0].cast("int")))
+    return let(image, lambda m: _build(w * h, lambda i: F.get(m, at((i % w).cast("int"), F.floor(i / w).cast("int"))[0].cast("int"))))
 
 
 def hflip(image: Column, w: int, h: int) -> Column:
@@ -34,7 +39,8 @@ def pad(image: Column, w: int, h: int, width: int, height: int, value: float = 0
     """Top-left on a larger canvas; the image must fit."""
     if width < w or height < h:
         raise ValueError("the image does not fit the canvas")
-    return _build(width * height, lambda i: F.when((i % width < w) & (F.floor(i / width) < h), F.get(image, (F.floor(i / width) * w + i % width).cast("int"))).otherwise(F.lit(value)))
+    inside = lambda i: (i % width < w) & (F.floor(i / width) < h)
+    return let(image, lambda m: _build(width * height, lambda i: F.when(inside(i), F.get(m, (F.floor(i / width) * w + i % width).cast("int"))).otherwise(F.lit(value))))
 
 
 def crop(image: Column, w: int, x: int, y: int, width: int, height: int) -> Column:
@@ -61,15 +67,16 @@ def mask(n: int, value: float = 1.0) -> Column:
 
 
 def erode(image: Column, w: int, h: int, radius: int, border: float = 1.0) -> Column:
-    """Least value in a square of ``radius`` around each pixel; outside the image the border counts."""
-    near = [(dx, dy) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1)]
+    """Least value in a square of ``radius`` around each pixel, along rows and then along columns; outside the image the border counts."""
+    def along(source: Column, place: Callable[[Column], Column], step: int, n: int) -> Column:
+        def value(i: Column) -> Column:
+            at = place(i)
+            seen = [F.when((at + d >= 0) & (at + d < n), F.get(source, (i + d * step).cast("int")).cast("double")).otherwise(F.lit(border)) for d in range(-radius, radius + 1)]
+            return F.least(*seen) if radius else seen[0]
 
-    def value(i: Column) -> Column:
-        x, y = i % w, F.floor(i / w)
-        seen = [F.when((x + dx >= 0) & (x + dx < w) & (y + dy >= 0) & (y + dy < h), F.get(image, ((y + dy) * w + x + dx).cast("int")).cast("double")).otherwise(F.lit(border)) for dx, dy in near]
-        return F.least(*seen) if len(seen) > 1 else seen[0]
+        return _build(w * h, value)
 
-    return _build(w * h, value)
+    return let(let(image, lambda m: along(m, lambda i: i % w, 1, w)), lambda rows: along(rows, lambda i: F.floor(i / w), w, h))
 
 
 def foreground(image: Column, w: int) -> Column:
@@ -88,7 +95,7 @@ def one_hot(label: Column, classes: int) -> Column:
 def planes(image: Column, pixels: int, channels: int, reverse: bool = False) -> Column:
     """Channels one after the other (NCHW) instead of side by side; ``reverse`` swaps BGR and RGB."""
     of = lambda c: (channels - 1 - c) if reverse else c
-    return _build(pixels * channels, lambda i: F.get(image, ((i % pixels) * channels + of(F.floor(i / pixels))).cast("int")))
+    return let(image, lambda m: _build(pixels * channels, lambda i: F.get(m, ((i % pixels) * channels + of(F.floor(i / pixels))).cast("int"))))
 
 
 def fill(image: Column, n: int) -> Column:
@@ -96,14 +103,27 @@ def fill(image: Column, n: int) -> Column:
     return F.coalesce(image, F.array_repeat(F.lit(0.0), n))
 
 
-# The public Tableau 20 palette, as red, green, blue.
+# Palettes, black first and then classes from 1 on, the triples as they stand.
 TABLEAU20 = (
+    (0, 0, 0),
     (31, 119, 180), (174, 199, 232), (255, 127, 14), (255, 187, 120), (44, 160, 44), (152, 223, 138), (214, 39, 40), (255, 152, 150), (148, 103, 189), (197, 176, 213),
     (140, 86, 75), (196, 156, 148), (227, 119, 194), (247, 182, 210), (127, 127, 127), (199, 199, 199), (188, 189, 34), (219, 219, 141), (23, 190, 207), (158, 218, 229),
 )
+TABLEAU20A = (
+    (0, 0, 0),
+    (188, 189, 34), (219, 219, 141), (23, 190, 207), (158, 218, 229), (44, 160, 44), (152, 223, 138), (214, 39, 40), (255, 152, 150), (31, 119, 180), (174, 199, 232),
+    (255, 127, 14), (255, 187, 120), (227, 119, 194), (247, 182, 210), (127, 127, 127), (199, 199, 199), (148, 103, 189), (197, 176, 213), (140, 86, 75), (196, 156, 148),
+)
+PALETTES = {"tableau20": TABLEAU20, "tableau20a": TABLEAU20A}
 
 
-def palette(label: Column) -> Column:
-    """Blue, green, red of a class; black for labels outside the palette."""
-    table = F.array(*[F.array(*[F.lit(v) for v in reversed(rgb)]) for rgb in TABLEAU20])
+def palette(label: Column, name: str = "tableau20") -> Column:
+    """The palette's triple of a class; black for classes outside of it."""
+    table = F.array(*[F.array(*[F.lit(v) for v in triple]) for triple in PALETTES[name]])
     return F.coalesce(F.get(table, label.cast("int")), F.array(F.lit(0), F.lit(0), F.lit(0)))
+
+
+def window_mean(image: Column, w: int, x: Column, y: Column, width: Column, height: Column) -> Column:
+    """Mean of the pixels of a window inside an image."""
+    inside = F.filter(image, lambda v, i: (i % w >= x) & (i % w < x + width) & (F.floor(i / w) >= y) & (F.floor(i / w) < y + height))
+    return F.aggregate(inside, F.lit(0.0), lambda a, v: a + v.cast("double")) / (width * height)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from samplery.shipping import ship
+from samplery.sources.records import decode_raw
 
 
 def _apply(function: Callable[[np.ndarray], np.ndarray], spark: SparkSession) -> Callable[[Column], Column]:
@@ -170,6 +171,45 @@ def per_row(spark: SparkSession, function: Callable[[np.ndarray, int, int, int,
     return run
 
 
+def raw_decoder(spark: SparkSession, channels: int = -1, dtype: str = "float32") -> Callable[[Column], Column]:
+    """A pandas UDF of raw matrices' bytes: width, height, channels (1 and 3 turn into each other, -1: as they are) and pixels, in the range of ``dtype``; null for bytes that are no raw matrix."""
+    ship(spark)
+
+    @F.pandas_udf("width bigint, height bigint, channels int, data array<double>")
+    def run(images: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in images:
+            try:
+                m = decode_raw(x or b"")
+            except ValueError:
+                rows.append((None, None, None, None))
+                continue
+            m = convert(m[..., None] if m.ndim == 2 else m, channels, dtype)
+            rows.append((m.shape[1], m.shape[0], m.shape[2], m.ravel()))
+        out = pd.DataFrame(rows, columns=["width", "height", "channels", "data"], dtype=object)
+        return out.astype({"width": "Int64", "height": "Int64", "channels": "Int32"})
+
+    return run
+
+
+def convert(image: np.ndarray, channels: int, dtype: str) -> np.ndarray:
+    """(h, w, c) numbers with so many channels, rounded and cut to the range of a whole type."""
+    image = image.astype(np.float64)
+    deep = image.shape[2]
+    if channels == 1 and deep >= 3:
+        image = (image[..., :3] @ np.array([0.114, 0.587, 0.299]))[..., None]
+    elif channels == 3 and deep == 1:
+        image = np.repeat(image, 3, axis=2)
+    elif channels == 3 and deep == 4:
+        image = image[..., :3]
+    elif channels not in (-1, deep):
+        raise ValueError(f"an image of {deep} channels has no form of {channels}")
+    if dtype == "float32":
+        return image
+    ends = np.iinfo(dtype)
+    return np.clip(np.rint(image), ends.min, ends.max)
+
+
 def erode(image: np.ndarray, w: int, h: int, channels: int, radius: int, iterations: int = 1, border: str = "constant") -> np.ndarray:
     """Least value in a square, ``iterations`` times; outside counts 1, or nothing but the mirrored or repeated pixels."""
     reach = radius * iterations
@@ -179,12 +219,17 @@ def erode(image: np.ndarray, w: int, h: int, channels: int, radius: int, iterati
 
 
 def draw(canvas: np.ndarray, w: int, h: int, kind: str, points: np.ndarray, colour: np.ndarray, thickness: int = -1, rings: list[int] | None = None) -> None:
-    """Draws a shape of annotated images on (h, w, channels): filled as ``fill_polygons`` does, or its outline of ``thickness`` pixels; points are discs of 5 pixels."""
+    """Draws a shape of annotated images on (h, w, channels): filled as ``fill_polygons`` does, or its outline of ``thickness`` pixels; points are discs of 5 pixels, ellipses fill their box."""
     y, x = np.mgrid[0:h, 0:w] + 0.5
     if kind == "point":
         far = np.hypot(x - 0.5 - np.round(points[0, 0]), y - 0.5 - np.round(points[0, 1]))
         canvas[far <= 5 if thickness < 0 else np.abs(far - 5) <= thickness / 2] = colour
         return
+    if kind == "ellipse":
+        mid, half = (points.min(axis=0) + points.max(axis=0)) / 2, np.ptp(points, axis=0) / 2
+        inside = lambda more: (half + more > 0).all() & (((x - mid[0]) / np.maximum(half[0] + more, 1e-12)) ** 2 + ((y - mid[1]) / np.maximum(half[1] + more, 1e-12)) ** 2 <= 1)
+        canvas[inside(0) if thickness < 0 else inside(thickness / 2) & ~inside(-thickness / 2)] = colour
+        return
     if kind == "rect":
         points = points[[0, 2, 1, 3]]
     elif kind == "arect":  # from middles of sides to corners
@@ -212,6 +257,9 @@ def drawer(spark: SparkSession, channels: int, thickness: int) -> Callable[...,
     def run(canvases: pd.Series, widths: pd.Series, heights: pd.Series, kinds: pd.Series, controls: pd.Series, colours: pd.Series, rings: pd.Series) -> pd.Series:
         out = []
         for base, w, h, *own in zip(canvases, widths, heights, kinds, controls, colours, rings, strict=True):
+            if w is None or w != w:
+                out.append(None)
+                continue
             w, h = int(w), int(h)
             deep = channels if base is None else len(base) // (w * h)
             canvas = np.zeros((h, w, deep)) if base is None else np.array(base, np.float64).reshape(h, w, deep)
@@ -231,6 +279,10 @@ def keypoint_maps(spark: SparkSession, classes: int, downsize: int, radius: floa
     def run(widths: pd.Series, heights: pd.Series, labels: pd.Series, controls: pd.Series) -> pd.Series:
         out = []
         for w, h, own, shapes in zip(widths, heights, labels, controls, strict=True):
+            if w is None or w != w:
+                out.append(None)
+                continue
+            w, h = int(w), int(h)
             y, x = np.mgrid[0 : h // downsize, 0 : w // downsize] * downsize
             maps = np.zeros((*y.shape, classes, 3))
             for label, points in zip(() if own is None else own, () if shapes is None else shapes, strict=True):

@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from samplery.functions.images import let
+
 POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 #: What annotation JSON may hold; other keys are ignored.
 ANNOTATION = T.StructType([T.StructField("shapes", T.ArrayType(T.StructType([
@@ -21,6 +23,31 @@ def parse_annotation(text: Column) -> Column:
     return F.from_json(text, ANNOTATION)["shapes"]
 
 
+def controls_of(shape: Column, width: Column, height: Column) -> Column:
+    """A parsed shape's points in pixels: all but ``arect`` are given as fractions of the image. An unknown type is an error."""
+    g = shape["geometry"]
+    scaled = lambda p: point(p["x"] * width, p["y"] * height)
+    one = F.from_json(g["points"], T.ArrayType(POINT))
+    many = F.flatten(F.from_json(g["points"], T.ArrayType(T.ArrayType(POINT))))
+    box = rect_controls(g["x"] * width, g["y"] * height, g["width"] * width, g["height"] * height)
+    of = F.when(shape["type"].isin("rect", "ellipse"), box).when(shape["type"] == "point", F.array(scaled(g)))
+    of = of.when(shape["type"] == "arect", arect_controls(g["x"], g["y"], g["w"], g["h"], g["a"]))
+    of = of.when(shape["type"] == "polygon", F.transform(one, scaled)).when(shape["type"] == "polygons", F.transform(many, scaled))
+    return of.otherwise(F.raise_error(F.concat(F.lit("unknown shape type "), F.coalesce(shape["type"], F.lit("null")))).cast(T.ArrayType(POINT)))
+
+
+def rings_of(shape: Column) -> Column:
+    """How many points each ring of a ``polygons`` shape has; null for other shapes."""
+    many = F.from_json(shape["geometry"]["points"], T.ArrayType(T.ArrayType(POINT)))
+    return F.when(shape["type"] == "polygons", F.transform(many, F.size))
+
+
+def shapes_of(text: Column, width: Column, height: Column) -> Column:
+    """An annotation's shapes as transforms take them: type, label, tag, controls in pixels and rings; none for a text that is no annotation."""
+    made = lambda s: F.struct(s["type"].alias("type"), s["label"].alias("label"), F.coalesce(s["tag"], F.lit(0.0)).alias("tag"), controls_of(s, width, height).alias("controls"), rings_of(s).alias("rings"))
+    return let(parse_annotation(text), lambda own: F.transform(F.coalesce(own, F.from_json(F.lit('{"shapes":[]}'), ANNOTATION)["shapes"]), made))
+
+
 def label_channels(label: Column) -> Column:
     """A number fills 4 channels, a list its own and zeros, nothing ones."""
     many = F.from_json(label, T.ArrayType(T.DoubleType()))
@@ -73,11 +100,18 @@ def distance(p: Column, q: Column) -> Column:
 
 def refit_rect(controls: Column) -> Column:
     """After a transform: the upright rectangle about the points' box centre with the box's proportions and the moved rectangle's area."""
-    area = distance(controls[2], controls[0]) * distance(controls[3], controls[0])
-    b = bbox(controls)
-    rate = F.sqrt((area + 1) / (b["w"] * b["h"] + 1))
-    mx, my, rx, ry = b["x"] + b["w"] / 2, b["y"] + b["h"] / 2, b["w"] * rate / 2, b["h"] * rate / 2
-    return rect_controls(mx - rx, my - ry, rx * 2, ry * 2)
+    def refit(c: Column) -> Column:
+        p = [c[k] for k in range(4)]
+        lo, hi = ([f(*[q[k] for q in p]) for k in "xy"] for f in (F.least, F.greatest))
+        area = distance(p[2], p[0]) * distance(p[3], p[0])
+        sides = F.struct(*[v.alias(n) for n, v in (("x", lo[0]), ("y", lo[1]), ("w", hi[0] - lo[0]), ("h", hi[1] - lo[1]), ("a", area))])
+        return let(sides, rewritten)
+
+    def rewritten(b: Column) -> Column:
+        half = F.sqrt((b["a"] + 1) / (b["w"] * b["h"] + 1)) / 2
+        return let(F.struct((b["x"] + b["w"] / 2).alias("x"), (b["y"] + b["h"] / 2).alias("y"), (b["w"] * half).alias("w"), (b["h"] * half).alias("h")), lambda m: rect_controls(m["x"] - m["w"], m["y"] - m["h"], m["w"] * 2, m["h"] * 2))
+
+    return let(controls, refit)
 
 
 def render_colour(tag: Column, serial: Column, colour: Column, use_tag: bool = False, use_serial: bool = False) -> Column:

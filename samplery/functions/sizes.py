@@ -54,8 +54,8 @@ def clip_axis(s: Column, crop1: Column, crop2: Column, least: int, most: int, mu
     """Crops both ends, keeps at least ``least`` and at most ``most`` (0: any), rounds down to ``multiple``, shifts the window; ``draw`` (0 without perturbation) places it where it is smaller or larger."""
     e = F.greatest(s, F.lit(least)).cast("long")
     lack = F.greatest(crop1 + crop2 - (e - least), F.lit(0))
-    c1 = crop1 - F.least(crop1, div(lack, 2))
-    c2 = crop2 - F.least(crop2, lack - div(lack, 2))
+    give2 = F.least(crop2, lack - F.least(crop1, div(lack, 2)))  # what one crop cannot give back, the other does
+    c1, c2 = crop1 - (lack - give2), crop2 - give2
     e = F.when((F.lit(most) > 0) & (e - c1 - c2 > most), most + c1 + c2).otherwise(e)
     e = e - (e - c1 - c2) % multiple if multiple else e
     out = e - c1 - c2

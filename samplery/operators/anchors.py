@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def cells(images: DataFrame, downsize: int, priors: int = 1) -> DataFrame:
-    """Grid points of each image (``image``, ``width``, ``height`` divisible by ``downsize``): ``cx``, ``cy`` in cells, ``px``, ``py`` in pixels, ``prior``."""
-    span = lambda c: F.sequence(F.lit(0).cast("long"), F.floor(F.col(c) / downsize) - 1)
-    out = images.where((F.col("width") >= downsize) & (F.col("height") >= downsize))
-    out = out.withColumn("cy", F.explode(span("height"))).withColumn("cx", F.explode(span("width"))).withColumn("prior", F.explode(F.array(*[F.lit(k) for k in range(priors)])))
+def _covered(items: DataFrame, downsize: int, x: Column, y: Column, reach_x: Column, reach_y: Column) -> DataFrame:
+    """Items (with their image's ``width`` and ``height``) once for each grid point (``cx``, ``cy`` in cells, ``px``, ``py`` in pixels) that may lie within their reach of (x, y)."""
+    def span(mid: Column, reach: Column, size: str) -> Column:
+        last = F.floor(F.col(size) / downsize) - 1
+        lo = F.greatest(F.lit(0), F.floor((mid - reach) / downsize).cast("long"))
+        hi = F.least(last, F.ceil((mid + reach) / downsize).cast("long"))
+        return F.when(lo <= hi, F.sequence(lo, F.greatest(lo, hi)))
+
+    out = items.withColumn("cy", F.explode(span(y, reach_y, "height"))).withColumn("cx", F.explode(span(x, reach_x, "width")))
     return out.withColumn("px", (F.col("cx") * downsize).cast("double")).withColumn("py", (F.col("cy") * downsize).cast("double"))
 
 
@@ -35,12 +40,6 @@ def _score(b: Column, kind: str, priors: Sequence[tuple[float, float]], px: Colu
     return score, [dx, dy, b["bw"], b["bh"]], 1 / (b["bw"] * b["bh"])
 
 
-def _with_arrays(images: DataFrame, items: DataFrame, columns: Sequence[str], how: str) -> DataFrame:
-    """Images with the array ``__own`` of their items: joined before cells are made, so that only whole images are moved."""
-    own = items.groupBy(F.col("image").alias("__i")).agg(F.collect_list(F.struct(*columns)).alias("__own"))
-    return images.join(own, F.col("image") == F.col("__i"), how).drop("__i")
-
-
 def _best(own: Column | str, kind: str, lower: float, weighted: bool, priors: Sequence[tuple[float, float]], px: Column, py: Column, prior: Column) -> Column:
     """The truth with the largest score at a cell, the first of equal ones: score, parameters ``p`` and weight ``m``; null without any."""
     def candidate(b: Column) -> Column:
@@ -73,17 +72,38 @@ def dense_anchors(images: DataFrame, boxes: DataFrame, kind: str = "box", downsi
 
     The truth of a cell is the box of its image with the largest score above 0, the first of equal ones. From
     ``lower`` on its parameters count (with weight 1, or by size if ``weighted``); from ``upper`` on the label is 1;
-    between the two the label is masked out. A cell meets only the boxes of its own image, which come to it as an
-    array: cells are never shuffled.
+    between the two the label is masked out. A box meets only the cells that it can score on; the best box of each
+    such cell is one aggregate, and the other cells follow from their image's size. ``images`` have different ids.
     """
+    many = max(1, len(priors))
+    sized = images.select(F.col("image").alias("__i"), "width", "height")
     own = boxes.select("image", "serial", (F.col("x") * F.col("width")).alias("bx"), (F.col("y") * F.col("height")).alias("by"), (F.col("w") * F.col("width")).alias("bw"), (F.col("h") * F.col("height")).alias("bh")).where("bw > 0 and bh > 0")
-    grid = cells(_with_arrays(images, own, ["serial", "bx", "by", "bw", "bh"], "left"), downsize, max(1, len(priors)))
-
-    best = grid.withColumn("b", _best("__own", kind, lower, weighted, priors, F.col("px"), F.col("py"), F.col("prior")))
-    count = {"point": 2, "circle": 3}.get(kind, 4)
-    none = F.array(*[F.lit(float(default))] * count)
-    hit = F.col("b.score") >= upper
-    return best.select("image", "cy", "cx", "prior", F.when(hit, 1.0).otherwise(0.0).alias("label"), F.when(F.col("b").isNotNull() & ~hit, 0.0).otherwise(1.0).alias("label_mask"), F.coalesce("b.p", none).alias("params"), F.coalesce("b.m", F.lit(0.0)).alias("params_mask"))
+    own = own.join(sized, F.col("image") == F.col("__i")).drop("__i")
+    half = {"x": F.col("bw") / 2, "y": F.col("bh") / 2}
+    if kind == "point":
+        far = F.lit(-math.log(lower) if lower > 0 else float("inf"))
+        reach = dict.fromkeys("xy", F.least(far, F.greatest("width", "height") + half["x"] + half["y"]))
+    elif kind == "circle":
+        reach = dict.fromkeys("xy", F.sqrt(F.col("bw") * F.col("bh")) / 2)
+    else:
+        reach = {c: half[c] + max((p[k] for p in priors), default=0.0) / 2 for k, c in enumerate("xy")}
+    near = _covered(own, downsize, F.col("bx") + half["x"], F.col("by") + half["y"], reach["x"], reach["y"])
+    if priors:
+        near = near.withColumn("prior", F.explode(F.array(*[F.lit(k) for k in range(many)])))
+    score, params, weight = _score(F.struct("bx", "by", "bw", "bh"), kind, priors, F.col("px"), F.col("py"), F.col("prior") if priors else F.lit(0))
+    cell = (F.col("cy") * F.floor(F.col("width") / downsize) + F.col("cx")) * many + (F.col("prior") if priors else F.lit(0))
+    near = near.select("image", cell.cast("int").alias("cell"), score.alias("score"), (-F.col("serial")).alias("s"), F.array(*params).alias("p"), (weight if weighted else F.lit(1.0)).alias("m"))
+    near = near.where((F.col("score") > 0) & (F.col("score") >= lower))
+    best = near.groupBy("image", "cell").agg(F.max(F.struct("score", "s", "p", "m")).alias("b")).groupBy(F.col("image").alias("__i")).agg(F.collect_list(F.struct("cell", "b.score", "b.p", "b.m")).alias("hits"))
+    both = images.select("image", "width", "height").join(best, F.col("image") == F.col("__i"), "left").drop("__i")
+    count = (F.floor(F.col("width") / downsize) * F.floor(F.col("height") / downsize) * many).cast("int")
+    hit = both.select("image", "width", F.explode("hits").alias("h")).select("image", "width", F.col("h.cell").alias("cell"), F.when(F.col("h.score") >= upper, 1.0).otherwise(0.0).alias("label"), F.when(F.col("h.score") >= upper, 1.0).otherwise(0.0).alias("label_mask"), F.col("h.p").alias("params"), F.col("h.m").alias("params_mask"))
+    every = F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0)))
+    rest = F.when(F.col("hits").isNull(), every).otherwise(F.array_except(every, F.transform("hits", lambda h: h["cell"])))
+    none = F.array(*[F.lit(float(default))] * {"point": 2, "circle": 3}.get(kind, 4))
+    miss = both.where(count > 0).select("image", "width", F.explode(rest).alias("cell")).select("image", "width", "cell", F.lit(0.0).alias("label"), F.lit(1.0).alias("label_mask"), none.alias("params"), F.lit(0.0).alias("params_mask"))
+    across, at = F.floor(F.col("width") / downsize), F.floor(F.col("cell") / many)
+    return hit.unionByName(miss).select("image", F.floor(at / across).alias("cy"), (at % across).alias("cx"), (F.col("cell") % many).alias("prior"), "label", "label_mask", "params", "params_mask")
 
 
 def box_feature(boxes: DataFrame, min_area: float = 1.0) -> DataFrame:
@@ -94,18 +114,17 @@ def box_feature(boxes: DataFrame, min_area: float = 1.0) -> DataFrame:
 
 
 def keypoints(images: DataFrame, points: DataFrame, classes: int, downsize: int, radius: float) -> DataFrame:
-    """Per cell and class within ``radius`` pixels of a point (``image``, ``serial``, ``label`` from 1, ``kx``, ``ky`` in pixels): offset to it; later points overwrite."""
-    own = points.where(F.col("label").between(1, classes)).select("image", "serial", (F.col("label") - 1).cast("int").alias("class"), "kx", "ky")
-    grid = cells(_with_arrays(images, own, ["serial", "class", "kx", "ky"], "inner"), downsize)
-    dx, dy = lambda k: k["kx"] - F.col("px"), lambda k: k["ky"] - F.col("py")
-    near = grid.withColumn("__near", F.filter("__own", lambda k: F.sqrt(dx(k) * dx(k) + dy(k) * dy(k)) <= radius)).where(F.size("__near") > 0)
-
-    def last(number: int) -> Column:
-        mine = F.filter("__near", lambda k: k["class"] == number)
-        return F.array_max(F.transform(mine, lambda k: F.struct(k["serial"].alias("serial"), dx(k).alias("dx"), dy(k).alias("dy"))))
+    """Per cell and class within ``radius`` pixels of a point (``image``, ``serial``, ``label`` from 1, ``kx``, ``ky`` in pixels): offset to it; later points overwrite.
 
-    each = near.select("image", "cy", "cx", F.posexplode(F.array(*[last(k) for k in range(classes)])).alias("class", "k")).where("k is not null")
-    return each.select("image", "cy", "cx", "class", F.lit(1.0).alias("mask"), F.col("k.dx").alias("dx"), F.col("k.dy").alias("dy"))
+    A point meets only the cells about it.
+    """
+    sized = images.select(F.col("image").alias("__i"), "width", "height")
+    own = points.where(F.col("label").between(1, classes)).select("image", "serial", (F.col("label") - 1).cast("int").alias("class"), "kx", "ky")
+    own = own.join(sized, F.col("image") == F.col("__i")).drop("__i")
+    near = _covered(own, downsize, F.col("kx"), F.col("ky"), F.lit(float(radius)), F.lit(float(radius)))
+    near = near.withColumn("dx", F.col("kx") - F.col("px")).withColumn("dy", F.col("ky") - F.col("py")).where(F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")) <= radius)
+    last = near.groupBy("image", "cy", "cx", "class").agg(F.max(F.struct("serial", "dx", "dy")).alias("k"))
+    return last.select("image", "cy", "cx", "class", F.lit(1.0).alias("mask"), F.col("k.dx").alias("dx"), F.col("k.dy").alias("dy"))
 
 
 def decode_proposals(rows: DataFrame, threshold: float, upsize: int = 1) -> DataFrame:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from samplery.functions import images as I
 from samplery.functions import shapes as S
 from samplery.functions import sizes as Z
 
@@ -59,6 +60,11 @@ def grid_tiles(images: DataFrame, patch: int, step: int) -> DataFrame:
     return out
 
 
+def bright_tiles(tiles: DataFrame, width: int, floor: float, image: str = "image") -> DataFrame:
+    """Tiles (``tile_x`` ... ``tile_h``) whose mean over their window of a one-channel image, an array ``width`` pixels wide, is at least ``floor``."""
+    return tiles.where(I.window_mean(F.col(image), width, *[F.col(f"tile_{c}") for c in "xywh"]) >= floor)
+
+
 def overlaps(x: Column, y: Column, w: Column, h: Column, tx: Column, ty: Column, tw: Column, th: Column) -> Column:
     """Whether two boxes share an area."""
     return (F.least(x + w, tx + tw) > F.greatest(x, tx)) & (F.least(y + h, ty + th) > F.greatest(y, ty))

@@ -50,6 +50,11 @@ def roi_ratio(boxes: DataFrame, groups: list[str]) -> DataFrame:
     return boxes.groupBy(*groups).agg(F.avg(share).alias("mean_share"), F.stddev_pop(share).alias("dev_share"), F.count(F.lit(1)).alias("boxes"))
 
 
+def scale_stats(patches: DataFrame) -> DataFrame:
+    """Least, mean and largest ``scale`` of region patches."""
+    return patches.agg(F.min("scale").alias("min_scale"), F.avg("scale").alias("mean_scale"), F.max("scale").alias("max_scale"), F.count(F.lit(1)).alias("patches"))
+
+
 def mean_aspect(boxes: DataFrame) -> DataFrame:
     """Mean width over height in pixels of boxes that have a height."""
     own = boxes.where("w > 0 and h > 0")

@@ -5,14 +5,15 @@ Plans never touch payloads: they are made on the index, and ``with_payload`` joi
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import warnings
+from dataclasses import dataclass, replace
 from typing import Literal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from samplery.functions.keys import SEED, order_key, uniform
-from samplery.plans.ordering import ranked
+from samplery.plans.ordering import BUCKET_ROWS, ranked
 
 MOST_CATEGORIES = 2000
 
@@ -38,7 +39,7 @@ class SampleConfig:
     dtype: Literal["uint8", "float32", "int32"] = "float32"
     channels: int = -1
     images: tuple[int, ...] = (0,)
-    annotate: tuple[int, ...] | bool = ()
+    annotate: tuple[int, ...] = ()
     raw: tuple[int, ...] = ()
     transforms: tuple[dict, ...] = ()
 
@@ -51,6 +52,8 @@ class SampleConfig:
             raise ValueError("split_keys need split_fold < 0 and folds below split")
         if self.channels not in (-1, 1, 3):
             raise ValueError("channels must be -1, 1 or 3")
+        if self.order not in ("NHWC", "NCHW") or self.colorspace not in ("BGR", "RGB") or self.dtype not in ("uint8", "float32", "int32"):
+            raise ValueError("unknown order, colorspace or dtype")
 
     @property
     def folds(self) -> tuple[int, ...]:
@@ -66,14 +69,20 @@ def categories_usable(index: DataFrame) -> DataFrame:
     return index.agg((whole & F.coalesce((top < MOST_CATEGORIES) & (top > 0), F.lit(False))).alias("usable"), (F.floor(top) + 1).cast("long").alias("categories"))
 
 
-def _shuffled(index: DataFrame, config: SampleConfig, groups: tuple[str, ...], epoch: int = 0) -> DataFrame:
-    key = order_key(F.col("serial"), seed=config.seed, epoch=epoch) if config.shuffle else F.lpad(F.hex("serial"), 32, "0")
-    return ranked(index.withColumn("key", key), "key", ["serial"], groups).drop("key")
+def usable_groups(index: DataFrame, config: SampleConfig) -> SampleConfig:
+    """``config``, without ``stratify`` (and a warning) where the groups are no categories: a group that is no whole number or negative, none above 0, or ``MOST_CATEGORIES`` and more."""
+    if not config.stratify or categories_usable(index).first()["usable"]:
+        return config
+    warnings.warn("groups are no categories: they are not stratified", stacklevel=3)
+    return replace(config, stratify=False)
 
 
-def fold_of(pos: Column, n: Column, split: int) -> Column:
-    """Fold k holds positions n*k div split <= pos < n*(k+1) div split."""
-    return F.floor(((pos + 1) * split - 1) / n).cast("int")
+def _shuffled(index: DataFrame, config: SampleConfig, groups: tuple[str, ...], epoch: Column | int = 0, slice_: tuple[str, str] | None = None) -> DataFrame:
+    """Ranks in the order of an epoch, or of the serial numbers, whose ranges are the buckets then."""
+    if not config.shuffle:
+        return ranked(index, "serial", [], groups, bucket=F.floor(F.col("serial") / BUCKET_ROWS), slice_=slice_)
+    rows = index.withColumn("__key", order_key(F.col("serial"), seed=config.seed, epoch=epoch))
+    return ranked(rows, "__key", ["serial"], groups, slice_=slice_).drop("__key")
 
 
 def in_folds(pos: Column, n: Column, split: int, folds: tuple[int, ...]) -> Column:
@@ -84,11 +93,14 @@ def in_folds(pos: Column, n: Column, split: int, folds: tuple[int, ...]) -> Colu
 
 
 def split(index: DataFrame, config: SampleConfig) -> DataFrame:
-    """The rows of the chosen folds; ranks are taken per group if ``stratify``, over all rows else."""
-    groups = ("grp",) if config.stratify else ()
+    """The rows of the chosen folds; ranks are taken per group if ``stratify`` (and the groups are categories), over all rows else."""
+    return _split(index, config if config.split == 1 else usable_groups(index, config))
+
+
+def _split(index: DataFrame, config: SampleConfig) -> DataFrame:
     if config.split == 1:
         return index
-    rows = _shuffled(index, config, groups)
+    rows = _shuffled(index, config, ("grp",) if config.stratify else ())
     return rows.where(in_folds(F.col("pos"), F.col("n"), config.split, config.folds)).drop("pos", "n")
 
 
@@ -96,36 +108,40 @@ def draw_order(index: DataFrame, config: SampleConfig) -> DataFrame:
     """The finite stream: the split's rows with ``draw`` from 0.
 
     Balanced (``stratify`` and ``oversample``): a round takes one row of each group that has any left, in group order,
-    which is the order by (position in group, group). Otherwise one pool in another random order.
+    which is the order by (position in group, group); as many rounds make a bucket as surely fit one. Otherwise one
+    pool in another random order.
     """
-    rows = split(index, config)
+    config = usable_groups(index, config)
+    rows = _split(index, config)
     if not (config.stratify and config.oversample):
         return _shuffled(rows, config, (), epoch=1).withColumnRenamed("pos", "draw").drop("n")
-    own = _shuffled(rows, config, ("grp",))
-    sizes = own.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).select(F.col("grp").alias("__g"), "size")
-    # rows before (pos, grp): of each group at most as many as rounds have passed, and one more of groups with a lower id
-    # (one row of sizes; there are fewer than MOST_CATEGORIES groups)
-    both = own.crossJoin(F.broadcast(sizes.agg(F.sort_array(F.collect_list(F.struct("__g", "size"))).alias("sizes"))))
-    rounds = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, s: a + F.least(s["size"], F.col("pos") + F.when(s["__g"] < F.col("grp"), 1).otherwise(0)).cast("long"))
-    return both.withColumn("draw", rounds).drop("sizes", "n", "pos")
-
-
-def looped_draws(index: DataFrame, config: SampleConfig, draws: int) -> DataFrame:
-    """The first ``draws`` rows of the endless stream, closed form: draw i takes group i mod G in its turn t = i div G, of
-    which epoch t div n and position t mod n; every epoch has its own order if ``reshuffle``."""
-    rows = split(index, config)
+    own = _shuffled(rows, config, ("grp",)).drop("n").withColumnRenamed("pos", "__turn")
+    rounds = F.floor(F.col("__turn") / (BUCKET_ROWS // MOST_CATEGORIES))
+    return ranked(own, ["__turn", "grp"], [], bucket=rounds).withColumnRenamed("pos", "draw").drop("__turn", "n")
+
+
+def looped_draws(index: DataFrame, config: SampleConfig, draws: int, offset: int = 0) -> DataFrame:
+    """``draws`` rows of the endless stream from ``offset`` on, closed form: draw i takes group i mod G in its turn t = i div G, of
+    which epoch t div n and position t mod n; every epoch has its own order if ``reshuffle``.
+
+    Only the epochs that the slice meets are made, and of these only the buckets with its positions are put in order.
+    """
+    config = usable_groups(index, config)
+    rows = _split(index, config)
     balanced = config.stratify and config.oversample
     rows = rows if balanced else rows.withColumn("__own", F.col("grp")).withColumn("grp", F.lit(0))
     groups = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    # one row a group: fewer than MOST_CATEGORIES
     groups = groups.withColumn("g", F.row_number().over(Window.orderBy("grp")) - 1).withColumn("groups", F.count(F.lit(1)).over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    turns = F.ceil((F.lit(draws) - F.col("g")) / F.col("groups"))
-    groups = groups.where(turns > 0).withColumn("epochs", F.ceil(turns / F.col("n")).cast("int"))
-    epochs = groups.select(F.col("grp").alias("__grp"), "n", "g", "groups", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)).alias("epoch"))
-    own = rows.join(epochs, F.col("grp") == F.col("__grp")).drop("__grp", "n")
-    key = order_key(F.col("serial"), seed=config.seed, epoch=F.col("epoch") if config.reshuffle else 0) if config.shuffle else F.lpad(F.hex("serial"), 32, "0")
-    own = ranked(own.withColumn("key", key), "key", ["serial"], ("grp", "epoch"))
-    own = own.withColumn("draw", (F.col("epoch") * F.col("n") + F.col("pos")) * F.col("groups") + F.col("g")).where(F.col("draw") < draws)
-    out = own.drop("key", "pos", "n", "g", "groups")
+    turn = lambda draw: F.greatest(F.lit(0), F.ceil((F.lit(draw) - F.col("g")) / F.col("groups")))  # noqa: E731  turns of the group before that draw
+    groups = groups.withColumn("first", turn(offset)).withColumn("last", turn(offset + draws)).where("last > first")
+    epochs = groups.select(F.col("grp").alias("__grp"), F.col("n").alias("__n"), "g", "groups", "first", "last", F.explode(F.sequence(F.floor(F.col("first") / F.col("n")), F.floor((F.col("last") - 1) / F.col("n")))).alias("epoch"))
+    epochs = epochs.withColumn("__lo", F.col("first") - F.col("epoch") * F.col("__n")).withColumn("__hi", F.col("last") - F.col("epoch") * F.col("__n"))
+    own = rows.join(epochs, F.col("grp") == F.col("__grp")).drop("__grp", "first", "last")
+    own = _shuffled(own, config, ("grp", "epoch"), F.col("epoch") if config.reshuffle else 0, ("__lo", "__hi"))
+    own = own.where((F.col("pos") >= F.col("__lo")) & (F.col("pos") < F.col("__hi")))
+    own = own.withColumn("draw", (F.col("epoch") * F.col("__n") + F.col("pos")) * F.col("groups") + F.col("g"))
+    out = own.drop("pos", "n", "__n", "g", "groups", "__lo", "__hi")
     return out if balanced else out.drop("grp").withColumnRenamed("__own", "grp")
 
 
@@ -134,9 +150,8 @@ def mixin(primary: DataFrame, second: DataFrame, group_reset: float = -1, group_
     grp = F.col("grp") if group_reset < 0 else F.lit(group_reset)
     other = second.withColumn("grp", (grp + F.lit(group_delta)).cast(primary.schema["grp"].dataType))
     if most > 0:
-        key = order_key(F.lit(1), F.col("serial"), seed=seed) if randomize else F.lpad(F.hex("serial"), 32, "0")
-        picked = other.withColumn("__key", key).orderBy("__key", "serial").limit(most)
-        other = picked.drop("__key")
+        order = [order_key(F.lit(1), F.col("serial"), seed=seed)] if randomize else []
+        other = other.orderBy(*order, "serial").limit(most)
     return primary.withColumn("file", F.lit(0)).unionByName(other.withColumn("file", F.lit(1)))
 
 

@@ -134,22 +134,26 @@ def _rotate(rows, t, place, config):
 def _pad(rows, t, place, config):
     w, h = F.lit(t.get("width", t.get("size", 400))), F.lit(t.get("height", t.get("size", 400)))
     fits = (F.col("width") <= w) & (F.col("height") <= h)
-    w = F.when(F.assert_true(fits, F.lit("the image does not fit the canvas")).isNull(), w)
+    w = F.when(F.assert_true(F.coalesce(fits, F.lit(True)), F.lit("the image does not fit the canvas")).isNull(), w)
     return _moved(rows, F.lit(0), F.lit(0), w, h)
 
 
 @register("clip")
 def _clip(rows, t, place, config):
-    axes = {}
+    axes, draws = {}, {}
     for name, letter in (("width", "w"), ("height", "h")):
         of = lambda k, name=name: t.get(f"{k}_{name}", t.get(k, 0))
-        size = of("size")
-        rand = lambda k, bound, letter=letter: integer(f"{place}.{letter}.{k}", bound, F.col("serial"), seed=config.seed) if config.perturb and bound else F.lit(0).cast("long")
-        shift = rand("shift", 2 * of("shift") + 1) - of("shift") if config.perturb and of("shift") else F.lit(0).cast("long")
-        axes[name] = Z.clip_axis(F.col(name).cast("long"), rand("crop1", of("max_crop")), rand("crop2", of("max_crop")), size or of("min"), size or of("max"), of("round"), shift, rand("place", 1 << 20))
-    same = (axes["width"].size == F.col("width")) & (axes["height"].size == F.col("height"))
-    pick = lambda v: F.when(same, 0).otherwise(v)
-    return _moved(rows, pick(axes["width"].move), pick(axes["height"].move), axes["width"].size, axes["height"].size, _border(t))
+        drawn = lambda k, bound, letter=letter: integer(f"{place}.{letter}.{k}", bound, F.col("serial"), seed=config.seed) if config.perturb and bound else F.lit(0).cast("long")
+        most = of("shift")
+        draws |= {f"__{letter}1": drawn("crop1", of("max_crop")), f"__{letter}2": drawn("crop2", of("max_crop")), f"__{letter}r": drawn("place", 1 << 20)}
+        draws[f"__{letter}s"] = drawn("shift", 2 * most + 1) - most if config.perturb and most else F.lit(0).cast("long")
+        clip = Z.clip_axis(F.col(name).cast("long"), F.col(f"__{letter}1"), F.col(f"__{letter}2"), of("size") or of("min"), of("size") or of("max"), of("round"), F.col(f"__{letter}s"), F.col(f"__{letter}r"))
+        axes[f"__{letter}"] = F.struct(clip.size.alias("size"), clip.move.alias("move"))
+    rows = rows.withColumns(draws).withColumns(axes)
+    same = (F.col("__w.size") == F.col("width")) & (F.col("__h.size") == F.col("height"))
+    rows = rows.withColumns({f"__{a}move": F.when(same & (F.col("__ws") == 0) & (F.col("__hs") == 0), 0).otherwise(F.col(f"__{a}.move")) for a in "wh"} | {f"__{a}size": F.col(f"__{a}.size") for a in "wh"}).drop(*axes)
+    out = _moved(rows, F.col("__wmove"), F.col("__hmove"), F.col("__wsize"), F.col("__hsize"), _border(t))
+    return out.drop(*draws, *[f"__{a}{k}" for a in "wh" for k in ("move", "size")])
 
 
 @register("clip_square")
@@ -256,11 +260,14 @@ def _colorspace(rows, t, place, config):
 
     def convert(image: Column) -> Column:
         fits = F.size(image) == F.col("width") * F.col("height") * channels
-        image = F.when(image.isNull() | F.assert_true(fits, F.lit(f"{t['code']} needs {channels} channels")).isNull(), image)
+        checked = F.when(image.isNull() | F.assert_true(fits, F.lit(f"{t['code']} needs {channels} channels")).isNull(), image)
+        return I.let(checked, each)
+
+    def each(image: Column) -> Column:
         pixel = lambda i: [F.get(image, (i * channels + k).cast("int")).cast("double") * before for k in range(channels)]
         count = F.floor(F.size(image) / channels)
-        each = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(count - 1, F.lit(0))), lambda i: F.array(*[v * after for v in change(*pixel(i))]))
-        return F.when(image.isNotNull(), F.flatten(each))
+        turned = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(count - 1, F.lit(0))), lambda i: F.array(*[v * after for v in change(*pixel(i))]))
+        return F.when(image.isNotNull(), F.flatten(turned))
 
     return _on_image(rows, convert)
 
@@ -308,7 +315,7 @@ def _pyramid(rows, t, place, config):
 
 
 def _divisible(size: str, by: int) -> Column:
-    return F.when(F.assert_true(F.col(size) % by == 0, F.lit(f"{size} is not a multiple of {by}")).isNull(), F.col(size))
+    return F.when(F.assert_true(F.coalesce(F.col(size) % by == 0, F.lit(True)), F.lit(f"{size} is not a multiple of {by}")).isNull(), F.col(size))
 
 
 def _dense(kind: str) -> Step:
@@ -368,7 +375,7 @@ def _rasterize(rows, t, place, config):
         if t.get("use_tag") or t.get("use_serial"):
             return F.array(*[S.render_colour(tag(s), i + 1, label(s), bool(t.get("use_tag")), bool(t.get("use_serial")))] * 4)
         if t.get("use_palette"):
-            return I.palette(integer(f"{place}.palette", len(I.TABLEAU20), F.col("serial"), i, seed=config.seed)).cast("array<double>")
+            return I.palette(integer(f"{place}.palette", len(I.TABLEAU20) - 1, F.col("serial"), i, seed=config.seed) + 1).cast("array<double>")
         return S.label_channels(s["label"]) if kinds.get("label") == "string" else F.array(*[label(s)] * 4)
 
     none = F.lit(None).cast("array<double>")
@@ -403,17 +410,27 @@ def _featurize(rows, t, place, config):
     return _facet_kind(rows, t.get("index", 1), "FEATURE")
 
 
-def _choose(rows: DataFrame, changed: DataFrame, chosen: str) -> DataFrame:
-    """Rows of ``changed`` where the flag ``chosen`` is set, of ``rows`` else; both come from the same rows."""
-    return changed.where(chosen).unionByName(rows.where(~F.col(chosen)), allowMissingColumns=True).drop(chosen)
+def _where(rows: DataFrame, flag: str, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows changed where the flag is set. The others go through the steps as nulls, which cost nothing there, and get their values back: one pass, however many choices there are."""
+    own = [c for c in rows.columns if c != "serial" and not c.startswith("__")]
+    kept = f"{flag}_old"
+    hidden = rows.withColumn(kept, F.struct(*own)).withColumns({c: F.when(F.col(flag), F.col(c)) for c in own})
+    new = change(hidden)
+    back = {c: F.when(F.col(flag), F.col(c)).otherwise(F.col(f"{kept}.{c}")) if c in own else F.when(F.col(flag), F.col(c)) for c in new.columns if c != "serial" and not c.startswith("__")}
+    return new.withColumns(back).drop(kept, flag)
+
+
+def _flag(place: str) -> str:
+    return f"__do_{place.replace('.', '_')}"
 
 
 @register("sometimes")
 def _sometimes(rows, t, place, config):
     if not config.perturb:
         return rows
-    rows = rows.withColumn("__do", uniform(f"{place}.chance", F.col("serial"), seed=config.seed) <= t.get("chance", 0.5))
-    return _choose(rows, apply(rows, t["transforms"], config, f"{place}."), "__do")
+    flag = _flag(place)
+    rows = rows.withColumn(flag, uniform(f"{place}.chance", F.col("serial"), seed=config.seed) <= t.get("chance", 0.5))
+    return _where(rows, flag, lambda own: apply(own, t["transforms"], config, f"{place}."))
 
 
 @register("some_of")
@@ -421,11 +438,12 @@ def _some_of(rows, t, place, config):
     """``count`` different children, drawn per row, applied in their listed order."""
     if not config.perturb:
         return rows
-    rows = rows.withColumn("__chosen", some_of(len(t["transforms"]), t.get("count", 1), f"{place}.pick", config.seed))
-    for k, child in enumerate(t["transforms"]):
-        rows = rows.withColumn(f"__do{k}", F.array_contains("__chosen", k))
-        rows = _choose(rows, apply(rows, [child], config, f"{place}.{k}."), f"__do{k}")
-    return rows.drop("__chosen")
+    chosen = some_of(len(t["transforms"]), t.get("count", 1), f"{place}.pick", config.seed)
+    flags = [_flag(f"{place}.{k}") for k in range(len(t["transforms"]))]
+    rows = rows.withColumns({f: F.array_contains(chosen, k) for k, f in enumerate(flags)})
+    for k, (flag, child) in enumerate(zip(flags, t["transforms"], strict=True)):
+        rows = _where(rows, flag, lambda own: apply(own, [child], config, f"{place}.{k}."))  # noqa: B023
+    return rows
 
 
 def some_of(children: int, count: int, name: str, seed: int) -> Column:

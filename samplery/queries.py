@@ -15,13 +15,16 @@ from samplery.functions import images as I
 from samplery.functions import pixels as P
 from samplery.functions import shapes as S
 from samplery.functions import sizes as Z
+from samplery.functions import uris as U
 from samplery.functions.keys import SEED, integer, uniform
 from samplery.operators import anchors as A
 from samplery.operators import datasets as D
 from samplery.operators import profile
 from samplery.plans import sampling as M
+from samplery.plans import transforms as T
 from samplery.plans.transforms import some_of
 from samplery.sources import exports, records
+from samplery.streaming.images import decoded
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -235,22 +238,35 @@ def round_robin_order(spark, sf_dir):
     return M.draw_order(embeddings(spark, sf_dir), _TRAIN).select("serial", "grp", F.col("draw").cast("long").alias("draw"))
 
 
-def _looped_sql(draws: int, epoch: str) -> str:
+def _epochs(spark, sf_dir) -> int:
+    """Draws of two and a half epochs of the largest group."""
+    top = embeddings(spark, sf_dir).groupBy("grp").count().agg(F.max("count").alias("n"), F.count(F.lit(1)).alias("groups")).first()
+    return 5 * top["n"] * top["groups"] // 2
+
+
+def _looped_sql(epoch: str) -> str:
     return f"""WITH g AS (SELECT label AS grp, count(*) AS n, row_number() OVER (ORDER BY label) - 1 AS g, count(*) OVER () AS gs FROM embeddings GROUP BY label),
-i AS (SELECT range AS draw, range % (SELECT max(gs) FROM g) AS g, range // (SELECT max(gs) FROM g) AS t FROM range({draws})),
+i AS (SELECT draw, draw % (SELECT max(gs) FROM g) AS g, draw // (SELECT max(gs) FROM g) AS t FROM (SELECT unnest(range((SELECT 5 * max(n) * max(gs) // 2 FROM g))) AS draw)),
 d AS (SELECT draw, grp, t // n AS epoch, t % n AS pos FROM i JOIN g USING (g)),
 r AS (SELECT vec_id AS serial, label AS grp, ep AS epoch, row_number() OVER (PARTITION BY label, ep ORDER BY {sql_key('vec_id', epoch)}, vec_id) - 1 AS pos FROM embeddings, range(0, 200) x(ep) WHERE ep <= (SELECT max(epoch) FROM d))
 SELECT draw::BIGINT AS draw, serial, grp FROM d JOIN r USING (grp, epoch, pos)"""
 
 
-@query(_looped_sql(3461, "0"))
+@query(_looped_sql("0"))
 def looped_draws(spark, sf_dir):
-    return M.looped_draws(embeddings(spark, sf_dir), M.SampleConfig(stratify=True, oversample=True, reshuffle=False), 3461).select(F.col("draw").cast("long").alias("draw"), "serial", "grp")
+    return M.looped_draws(embeddings(spark, sf_dir), M.SampleConfig(stratify=True, oversample=True, reshuffle=False), _epochs(spark, sf_dir)).select(F.col("draw").cast("long").alias("draw"), "serial", "grp")
 
 
-@query(_looped_sql(2000, "ep"))
+@query(_looped_sql("ep"))
 def epoch_reshuffle(spark, sf_dir):
-    return M.looped_draws(embeddings(spark, sf_dir), M.SampleConfig(stratify=True, oversample=True), 2000).select(F.col("draw").cast("long").alias("draw"), "serial", "grp")
+    return M.looped_draws(embeddings(spark, sf_dir), M.SampleConfig(stratify=True, oversample=True), _epochs(spark, sf_dir)).select(F.col("draw").cast("long").alias("draw"), "serial", "grp")
+
+
+@query("WITH r AS (SELECT vec_id AS serial, row_number() OVER (ORDER BY vec_id) - 1 AS pos, count(*) OVER () AS n FROM embeddings) SELECT d::BIGINT AS draw, serial FROM r, range(0, 3) e(k), (SELECT 0) z(o), LATERAL (SELECT k * n + pos AS d) WHERE d >= n // 2 AND d < n // 2 + 2 * n")
+def unshuffled_slice(spark, sf_dir):
+    """Two epochs from the middle of the first one on, in the order of the serials."""
+    n = embeddings(spark, sf_dir).count()
+    return M.looped_draws(embeddings(spark, sf_dir), M.SampleConfig(shuffle=False), 2 * n, n // 2).select(F.col("draw").cast("long").alias("draw"), "serial")
 
 
 @query("WITH " + EV + ", r AS (SELECT *, coalesce(sum(size) OVER (ORDER BY " + sql_key("serial") + ", serial ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER () AS total FROM e) SELECT serial, size FROM r WHERE total < 1.2 * 20000 OR before < 20000")
@@ -258,9 +274,9 @@ def byte_budget_sample(spark, sf_dir):
     return M.byte_budget_sample(events(spark, sf_dir), 20_000).select("serial", "size")
 
 
-@query(f"SELECT range AS draw, floor({sql_uniform('random_ids', 'range')} * 10000)::BIGINT AS serial FROM range(500)")
+@query(f"SELECT k AS draw, floor({sql_uniform('random_ids', 'k')} * (SELECT count(*) FROM events))::BIGINT AS serial FROM (SELECT unnest(range((SELECT count(*) FROM embeddings))) AS k)")
 def random_ids(spark, sf_dir):
-    return M.random_ids(spark, 10_000, 500)
+    return M.random_ids(spark, table(spark, sf_dir, "events").count(), table(spark, sf_dir, "embeddings").count())
 
 
 # --- profiles
@@ -525,16 +541,36 @@ def proposal_decode(spark, sf_dir):
     return A.decode_proposals(_proposals(spark, sf_dir), 0.5, 8).select("image", "cy", "cx", "prior", *[r6(F.col(c)).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
-@query()
+def _nms_sql(fields: str, shape: str, overlap: str) -> str:
+    """Proposals of an image one after another, each against those kept so far."""
+    new = "{" + ", ".join(f"'{f}': {f}" for f in shape.split()) + "}"
+    return f"""WITH RECURSIVE {BOX[1:]}, {_PROPOSE},
+p AS (SELECT image, cy, cx, prior, prob, cx * 8 + 1.0::DOUBLE - pw / 2 AS x1, cy * 8 - 1.0::DOUBLE - ph / 2 AS y1, cx * 8 + 1.0::DOUBLE + pw / 2 AS x2, cy * 8 - 1.0::DOUBLE + ph / 2 AS y2 FROM q WHERE prob >= 0.3),
+v AS (SELECT image, cy, cx, prior, prob, {fields} FROM p),
+s AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY prob DESC, cy, cx, prior) AS rn FROM v),
+f(image, rn, kept, hit) AS (
+  SELECT image, rn, [{new}], false FROM s WHERE rn = 1
+  UNION ALL
+  SELECT image, rn, CASE WHEN hit THEN kept ELSE list_append(kept, {new}) END, hit
+  FROM (SELECT s.*, f.kept, len(list_filter(f.kept, lambda k: {overlap} > 0.3::DOUBLE)) > 0 AS hit FROM f JOIN s ON s.image = f.image AND s.rn = f.rn + 1))
+SELECT s.image, cy, cx, prior::INTEGER AS prior, prob, {', '.join(f'{sql_r6(f)} AS {f}' for f in shape.split())} FROM s JOIN f ON s.image = f.image AND s.rn = f.rn WHERE NOT hit"""
+
+
+_INTER = "(greatest(0.0::DOUBLE, least(k.x2, s.x2) - greatest(k.x1, s.x1)) * greatest(0.0::DOUBLE, least(k.y2, s.y2) - greatest(k.y1, s.y1)))"
+_FAR = "(greatest(k.r, s.r) + 1)"
+
+
+@query(_nms_sql("x1, y1, x2, y2", "x1 y1 x2 y2", f"{_INTER} / ((k.x2 - k.x1) * (k.y2 - k.y1) + (s.x2 - s.x1) * (s.y2 - s.y1) - {_INTER} + 1)"))
 def nms_box(spark, sf_dir):
-    return A.suppress(A.decode_proposals(_proposals(spark, sf_dir), 0.3, 8), 0.3)
+    kept = A.suppress(A.decode_proposals(_proposals(spark, sf_dir), 0.3, 8), 0.3)
+    return kept.select("image", "cy", "cx", "prior", "prob", *[r6(F.col(c)).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
-@query()
+@query(_nms_sql("(x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y, sqrt((x2 - x1) * (y2 - y1)) / 2 AS r", "x y r", f"({_FAR} - sqrt((k.x - s.x) * (k.x - s.x) + (k.y - s.y) * (k.y - s.y))) / {_FAR}"))
 def nms_circle(spark, sf_dir):
     p = A.decode_proposals(_proposals(spark, sf_dir), 0.3, 8)
     circles = p.select("image", "cy", "cx", "prior", "prob", ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"), (F.sqrt((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))) / 2).alias("r"))
-    return A.suppress(circles, 0.3, circles=True)
+    return A.suppress(circles, 0.3, circles=True).select("image", "cy", "cx", "prior", "prob", *[r6(F.col(c)).alias(c) for c in "xyr"])
 
 
 # --- images
@@ -586,11 +622,6 @@ def image_erode(spark, sf_dir):
     return _pixels(spark, sf_dir, lambda e: I.erode(e, 8, 8, 1))
 
 
-@query("SELECT vec_id AS id, i::INTEGER AS i, 1.0::DOUBLE AS v FROM embeddings, range(0, 16) x(i)")
-def mask_constant(spark, sf_dir):
-    return _pixels(spark, sf_dir, lambda e: I.mask(16))
-
-
 @query("SELECT vec_id AS id, min(i % 8)::INTEGER AS x0, max(i % 8)::INTEGER AS x1, min(i // 8)::INTEGER AS y0, max(i // 8)::INTEGER AS y1 FROM embeddings, range(0, 64) x(i) WHERE embedding[i + 1] > 0.2::FLOAT GROUP BY vec_id")
 def foreground_bounds(spark, sf_dir):
     above = F.transform("embedding", lambda v: F.when(v > F.lit(0.2).cast("float"), 1).otherwise(0))
@@ -602,9 +633,13 @@ def one_hot(spark, sf_dir):
     return embeddings(spark, sf_dir).select("id", F.posexplode(I.one_hot(F.col("label"), 10)).alias("i", "v"))
 
 
-@query("SELECT vec_id AS id, " + ", ".join(f"coalesce([{', '.join(str(rgb[2 - k]) for rgb in I.TABLEAU20)}][label * 3 + 1], 0)::INTEGER AS {c}" for k, c in enumerate("bgr")) + " FROM embeddings")
+@query("""SELECT vec_id AS id, coalesce([[0,0,0],[31,119,180],[174,199,232],[255,127,14],[255,187,120],[44,160,44],[152,223,138],[214,39,40],[255,152,150],[148,103,189],[197,176,213],
+[140,86,75],[196,156,148],[227,119,194],[247,182,210],[127,127,127],[199,199,199],[188,189,34],[219,219,141],[23,190,207],[158,218,229]][label * 3 + 1], [0,0,0])::INTEGER[]::VARCHAR AS plain,
+coalesce([[0,0,0],[188,189,34],[219,219,141],[23,190,207],[158,218,229],[44,160,44],[152,223,138],[214,39,40],[255,152,150],[31,119,180],[174,199,232],
+[255,127,14],[255,187,120],[227,119,194],[247,182,210],[127,127,127],[199,199,199],[148,103,189],[197,176,213],[140,86,75],[196,156,148]][label * 3 + 1], [0,0,0])::INTEGER[]::VARCHAR AS other FROM embeddings""")
 def palette_lookup(spark, sf_dir):
-    return embeddings(spark, sf_dir).select("id", I.palette(F.col("label") * 3).alias("p")).select("id", *[F.col("p")[k].cast("int").alias(c) for k, c in enumerate("bgr")])
+    text = lambda c: F.concat(F.lit("["), F.array_join(c, ", "), F.lit("]"))
+    return embeddings(spark, sf_dir).select("id", text(I.palette(F.col("label") * 3)).alias("plain"), text(I.palette(F.col("label") * 3, "tableau20a")).alias("other"))
 
 
 @query(_image_sql(_v("embedding[(i % 16) * 4 + (3 - i // 16) + 1]")))
@@ -624,35 +659,84 @@ def yolo_lines(spark, sf_dir):
     return boxes(spark, sf_dir).select("image", "serial", exports.yolo_line(*[F.col(c) for c in ("label", "x", "y", "w", "h", "width", "height")]).alias("line"))
 
 
-@query()
+def _bilinear(border: str = "replicate") -> str:
+    """Value at (sx, sy) of the 8 x 8 image ``e``, whose pixel (x0, y0) lies before it."""
+    terms = []
+    for dy in (0, 1):
+        for dx in (0, 1):
+            term = f"e[least(greatest(y0 + {dy}, 0), 7) * 8 + least(greatest(x0 + {dx}, 0), 7) + 1] * (abs(1 - {dy} - (sy - y0)) * abs(1 - {dx} - (sx - x0)))"
+            terms.append(term if border == "replicate" else f"CASE WHEN y0 + {dy} BETWEEN 0 AND 7 AND x0 + {dx} BETWEEN 0 AND 7 THEN {term} ELSE 0.0::DOUBLE END")
+    return " + ".join(terms)
+
+
+def _scaled(place: str, n: str) -> str:
+    """Source place of a pixel when 8 pixels become ``n``: centres lie at half pixels, and edges go on."""
+    return f"least(greatest(({place} + 0.5::DOUBLE) * 8 / {n} - 0.5::DOUBLE, 0), 7)"
+
+
+def _blurred(border: str) -> str:
+    """Gaussian of sigma 1 over 3 x 3 pixels at (x, y)."""
+    weight, total = "exp(-(a * a + b * b) / 2.0::DOUBLE)", "(1 + 2 * exp(-0.5::DOUBLE)) * (1 + 2 * exp(-0.5::DOUBLE))"
+    if border == "constant":
+        value = "CASE WHEN x + a BETWEEN 0 AND 7 AND y + b BETWEEN 0 AND 7 THEN e[(y + b) * 8 + x + a + 1] ELSE 0.0::DOUBLE END"
+    else:  # mirrored
+        at = lambda p: f"CASE WHEN {p} < 0 THEN -({p}) WHEN {p} > 7 THEN 14 - ({p}) ELSE {p} END"
+        value = f"e[({at('y + b')}) * 8 + ({at('x + a')}) + 1]"
+    return f"list_sum(list_transform([-1, 0, 1], lambda b: list_sum(list_transform([-1, 0, 1], lambda a: {weight} / ({total}) * {value}))))"
+
+
+def _warp_sql(sx: str, sy: str, w: int, n: int, border: str) -> str:
+    return f"""WITH g AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, i, i % {w} AS x, i // {w} AS y FROM embeddings, range(0, {n}) t(i)),
+m AS (SELECT *, {sx} AS sx, {sy} AS sy FROM g), k AS (SELECT *, floor(sx)::BIGINT AS x0, floor(sy)::BIGINT AS y0 FROM m)
+SELECT id, i::INTEGER AS i, {sql_r6(_bilinear(border))} AS v FROM k"""
+
+
+@query(_warp_sql(_scaled("x", "12"), _scaled("y", "6"), 12, 72, "replicate"))
 def image_resize(spark, sf_dir):
     return _pixels(spark, sf_dir, P.resizer(spark, 8, 8, 12, 6))
 
 
-@query()
+@query(_warp_sql("cos(radians(30)) * (x - 4) - sin(radians(30)) * (y - 4) + 4", "sin(radians(30)) * (x - 4) + cos(radians(30)) * (y - 4) + 4", 8, 64, "constant"))
 def image_rotate(spark, sf_dir):
     return _pixels(spark, sf_dir, P.rotator(spark, 8, 8, 30.0))
 
 
-@query()
+@query("WITH g AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, i, i % 8 AS x, i // 8 AS y FROM embeddings, range(0, 64) t(i)) SELECT id, i::INTEGER AS i, " + sql_r6(_blurred("reflect")) + " AS v FROM g")
 def image_blur(spark, sf_dir):
     return _pixels(spark, sf_dir, P.blurrer(spark, 8, 8, 1.0))
 
 
-@query()
+@query("WITH " + BOX + """, c AS (SELECT image, serial, label, x * width / width * 16 AS ax, (x * width + w * width) / width * 16 AS bx, y * height / height * 16 AS ay, (y * height + h * height) / height * 16 AS by_ FROM b),
+t AS (SELECT image, i, max_by(label, serial) AS v FROM c, range(0, 256) p(i) WHERE i % 16 + 0.5 >= ax AND i % 16 + 0.5 < bx AND i // 16 + 0.5 >= ay AND i // 16 + 0.5 < by_ GROUP BY image, i),
+d AS (SELECT image, count(*) AS filled, sum(v)::DOUBLE AS total, sum(v * (i + 1))::DOUBLE AS weighted, sum(v * (i + 1) * (i + 1))::DOUBLE AS squares FROM t GROUP BY image)
+SELECT image, coalesce(filled, 0)::BIGINT AS filled, coalesce(total, 0) AS total, coalesce(weighted, 0) AS weighted, coalesce(squares, 0) AS squares FROM (SELECT DISTINCT image FROM b) LEFT JOIN d USING (image)""")
 def rasterize_polygon(spark, sf_dir):
+    """Each image's boxes as polygons on 16 x 16 pixels, as moments of the drawn mask."""
     ring = F.transform(F.array(F.col("controls")[0], F.col("controls")[2], F.col("controls")[1], F.col("controls")[3]), lambda p: S.point(p["x"] / F.col("width") * 16, p["y"] / F.col("height") * 16))
     drawn = _rects(spark, sf_dir).withColumn("ring", ring).groupBy("image").agg(F.sort_array(F.collect_list(F.struct("serial", "ring", F.col("label").cast("double").alias("v")))).alias("s"))
-    canvas = P.rasterize(spark, 16, 16)(F.transform("s", lambda x: x["ring"]), F.transform("s", lambda x: x["v"]))
-    return drawn.select("image", canvas.alias("mask"))
+    masks = drawn.select("image", P.rasterize(spark, 16, 16)(F.transform("s", lambda x: x["ring"]), F.transform("s", lambda x: x["v"])).alias("m"))
+    moment = lambda power: F.aggregate(F.transform("m", lambda v, i: v * F.pow(i + 1, F.lit(power))), F.lit(0.0), lambda a, v: a + v)
+    return masks.select("image", F.size(F.filter("m", lambda v: v > 0)).cast("long").alias("filled"), *[moment(k).alias(n) for k, n in enumerate(("total", "weighted", "squares"))])
+
 
+_LAB = """f AS (SELECT *, CASE WHEN b > 0.04045 THEN pow((b + 0.055) / 1.055, 2.4) ELSE b / 12.92 END AS lb, CASE WHEN g > 0.04045 THEN pow((g + 0.055) / 1.055, 2.4) ELSE g / 12.92 END AS lg, CASE WHEN r > 0.04045 THEN pow((r + 0.055) / 1.055, 2.4) ELSE r / 12.92 END AS lr FROM c),
+z AS (SELECT *, (0.412453 * lr + 0.357580 * lg + 0.180423 * lb) / 0.950456 AS xx, 0.212671 * lr + 0.715160 * lg + 0.072169 * lb AS yy, (0.019334 * lr + 0.119193 * lg + 0.950227 * lb) / 1.088754 AS zz FROM f),
+y AS (SELECT *, CASE WHEN xx > 0.008856 THEN pow(xx, 1.0::DOUBLE / 3) ELSE 7.787 * xx + 16.0::DOUBLE / 116 END AS fx, CASE WHEN yy > 0.008856 THEN pow(yy, 1.0::DOUBLE / 3) ELSE 7.787 * yy + 16.0::DOUBLE / 116 END AS fy, CASE WHEN zz > 0.008856 THEN pow(zz, 1.0::DOUBLE / 3) ELSE 7.787 * zz + 16.0::DOUBLE / 116 END AS fz FROM z)"""
 
-@query()
+
+@query("WITH e AS (SELECT vec_id AS id, list_transform(embedding::DOUBLE[], lambda v: abs(v) % 1) AS u FROM embeddings), c AS (SELECT id, k, u[k + 1] AS b, u[k + 2] AS g, u[k + 3] AS r, greatest(u[k + 1], u[k + 2], u[k + 3]) AS v, greatest(u[k + 1], u[k + 2], u[k + 3]) - least(u[k + 1], u[k + 2], u[k + 3]) AS d FROM e, range(0, 62) t(k)), " + _LAB + f"""
+SELECT id, k::INTEGER AS k, {sql_r6("0.114 * b + 0.587 * g + 0.299 * r")} AS grey,
+  {sql_r6("CASE WHEN d = 0 THEN 0 WHEN v = r THEN (60 * (g - b) / d + 360) % 360 WHEN v = g THEN 120 + 60 * (b - r) / d ELSE 240 + 60 * (r - g) / d END")} AS hue, {sql_r6("CASE WHEN v = 0 THEN 0 ELSE d / v END")} AS saturation, {sql_r6("v")} AS value,
+  {sql_r6("CASE WHEN yy > 0.008856 THEN 116 * fy - 16 ELSE 903.3 * yy END")} AS l, {sql_r6("500 * (fx - fy)")} AS a, {sql_r6("200 * (fy - fz)")} AS lab_b, true AS back FROM y""")
 def colorspace_roundtrip(spark, sf_dir):
-    e = embeddings(spark, sf_dir, True)
-    unit = [F.abs(F.col("embedding")[k].cast("double")) % 1 for k in range(3)]
-    bgr = e.select("id", *[u.alias(c) for u, c in zip(unit, "bgr", strict=True)]).withColumn("hsv", P.to_hsv(F.col("b"), F.col("g"), F.col("r"))).withColumn("back", P.from_hsv(F.col("hsv")))
-    return bgr.select("id", r6(F.abs(F.col("b") - F.col("back.b")) + F.abs(F.col("g") - F.col("back.g")) + F.abs(F.col("r") - F.col("back.r"))).alias("error"), r6(P.grey(F.col("b"), F.col("g"), F.col("r"))).alias("grey"))
+    """Every three neighbours of a vector as a pixel: in grey, HSV and Lab, and whether the way back gives it again."""
+    unit = embeddings(spark, sf_dir, True).select("id", F.transform("embedding", lambda x: F.abs(x.cast("double")) % 1).alias("u"))
+    bgr = unit.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(61)), lambda k: F.struct(*[F.get("u", k + j).alias(c) for j, c in enumerate("bgr")]))).alias("k", "p")).select("id", "k", "p.*")
+    three = [F.col(c) for c in "bgr"]
+    both = bgr.withColumn("hsv", P.to_hsv(*three)).withColumn("lab", P.to_lab(*three)).withColumn("one", P.from_hsv(F.col("hsv"))).withColumn("two", P.from_lab(F.col("lab")))
+    error = F.greatest(*[F.abs(F.col(c) - F.col(f"one.{c}")) for c in "bgr"], *[F.abs(F.col(c) - F.col(f"two.{c}")) / 1000 for c in "bgr"])
+    named = {"grey": P.grey(*three), "hue": F.col("hsv.h"), "saturation": F.col("hsv.s"), "value": F.col("hsv.v"), "l": F.col("lab.l"), "a": F.col("lab.a"), "lab_b": F.col("lab.b")}
+    return both.select("id", "k", *[r6(c).alias(n) for n, c in named.items()], (error < 1e-5).alias("back"))
 
 
 # --- further sizes, fields and plans
@@ -662,7 +746,8 @@ _DRAWS = {k: f"floor({sql_uniform('clip.' + k, 'image')} * {n})::BIGINT" for k,
 
 @query("WITH " + PIC + f""", a AS (SELECT image, width AS s, {_DRAWS['c1']} AS k1, {_DRAWS['c2']} AS k2, {_DRAWS['sh']} - 6 AS t, {_DRAWS['r']} AS r FROM p),
 b AS (SELECT *, greatest(s, 100) AS e0, greatest(k1 + k2 - (greatest(s, 100) - 100), 0) AS lack FROM a),
-c AS (SELECT *, k1 - least(k1, lack // 2) AS c1, k2 - least(k2, lack - lack // 2) AS c2 FROM b),
+b2 AS (SELECT *, CASE WHEN lack // 2 > k1 THEN k1 WHEN lack - lack // 2 > k2 THEN lack - k2 ELSE lack // 2 END AS give FROM b),
+c AS (SELECT *, k1 - give AS c1, k2 - (lack - give) AS c2 FROM b2),
 d AS (SELECT *, CASE WHEN e0 - c1 - c2 > 200 THEN 200 + c1 + c2 ELSE e0 END AS e1 FROM c),
 f AS (SELECT *, e1 - (e1 - c1 - c2) % 8 - c1 - c2 AS out, c1 + greatest(t, 0) AS beg, greatest(s - c1 - c2 - greatest(t, 0), 0) AS len, greatest(-t, 0) AS dst FROM d),
 g AS (SELECT *, greatest(out - dst, 0) AS room FROM f),
@@ -706,9 +791,12 @@ def pyramid_sizes(spark, sf_dir):
     return levels.select("image", (F.col("k") + 1).alias("level"), "s.w", "s.h")
 
 
-@query("SELECT page_id, url = url AS same FROM pages")
+@query("SELECT page_id, url_encode(url || ' ~*+%zz') AS escaped, url || ' ~*+%zz' AS restored, url_encode('a b') || '=' || url_encode(url) || '&h=' || url_encode(html) AS form FROM pages")
 def uri_codec(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", (F.url_decode(F.url_encode("url")) == F.col("url")).alias("same"))
+    own = table(spark, sf_dir, "pages").withColumn("t", F.concat("url", F.lit(" ~*+%zz")))
+    form = lambda pairs: U.encode_form(F.array(*[F.struct(F.lit(k).alias("key"), F.col(v).alias("value")) for k, v in pairs]))
+    made = own.select("page_id", U.escape(F.col("t")).alias("escaped"), U.unescape(U.escape(F.col("t"))).alias("restored"), form((("a b", "url"), ("h", "html"))).alias("f"))
+    return made.select("page_id", "escaped", "restored", U.encode_form(U.parse_form(F.col("f"))).alias("form"))
 
 
 @query(_image_sql(_v("embedding[(7 - i // 8) * 8 + i % 8 + 1]")))
@@ -755,9 +843,10 @@ def duplicate_label2(spark, sf_dir):
     return D.duplicate(t, label2_groups=True).select("id", "label", "grp")
 
 
-@query("SELECT 0::BIGINT AS fractional, count(*) FILTER (quality <> toxic) AS not_label, count(*) FILTER (quality <> quality) AS not_label2 FROM labels")
+@query("WITH t AS (SELECT (o_orderkey % 7) / 2 AS grp, o_custkey % 5 AS label, o_orderkey % 3 AS label2 FROM orders) SELECT sum(CASE WHEN grp * 2 % 2 = 1 THEN 1 ELSE 0 END)::BIGINT AS fractional, sum(CASE WHEN grp = label THEN 0 ELSE 1 END)::BIGINT AS not_label, sum(CASE WHEN grp = label2 THEN 0 ELSE 1 END)::BIGINT AS not_label2 FROM t")
 def label_sources(spark, sf_dir):
-    return profile.label_sources(table(spark, sf_dir, "labels").select(F.col("quality").alias("grp"), F.col("toxic").alias("label"), F.col("quality").alias("label2")))
+    own = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 7 / 2).alias("grp"), (F.col("o_custkey") % 5).alias("label"), (F.col("o_orderkey") % 3).alias("label2"))
+    return profile.label_sources(own)
 
 
 @query("SELECT doc_id, CASE WHEN quality = 1 THEN CASE WHEN toxic = 1 THEN 'pixel classification' ELSE 'pixel regression' END ELSE CASE WHEN toxic = 1 THEN 'classification' ELSE 'regression' END END AS task FROM labels")
@@ -778,6 +867,154 @@ def feature_batch(spark, sf_dir):
     return rows.select("batch", "place", "image", "serial", "label", r6(F.col("x1")).alias("x1"), r6(F.col("y2")).alias("y2"))
 
 
+@query("WITH " + BOX + f", s AS (SELECT 48.0::DOUBLE / sqrt(w * h * width * height) AS scale FROM b WHERE w > 0 AND h > 0) SELECT {sql_r6('min(scale)')} AS min_scale, {sql_r6('avg(scale)')} AS mean_scale, {sql_r6('max(scale)')} AS max_scale, count(*) AS patches FROM s")
+def scale_stats(spark, sf_dir):
+    found = profile.scale_stats(D.region_patch(boxes(spark, sf_dir), 48, 64))
+    return found.select(*[r6(F.col(c)).alias(c) for c in ("min_scale", "mean_scale", "max_scale")], "patches")
+
+
+@query("WITH t AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, a * 2 AS tile_x, c * 2 AS tile_y FROM embeddings, range(0, 3) x(a), range(0, 3) y(c)) SELECT id, tile_x, tile_y FROM t WHERE list_sum(list_transform(range(0, 16), lambda i: e[(tile_y + i // 4) * 8 + tile_x + i % 4 + 1])) / 16 >= 0.01")
+def tile_floor(spark, sf_dir):
+    own = embeddings(spark, sf_dir, True).select("id", "embedding", F.lit(8).cast("long").alias("width"), F.lit(8).cast("long").alias("height"))
+    return D.bright_tiles(D.grid_tiles(own, 4, 2), 8, 0.01, "embedding").select("id", "tile_x", "tile_y")
+
+
+# --- transform steps, each through ``transforms.apply``
+
+
+def annotated(spark, sf_dir):
+    """Every vector as an 8 x 8 image with one rectangle."""
+    v = F.col("vec_id")
+    rect = S.rect_controls(*[c.cast("double") for c in (v % 4, v % 3, 2 + v % 3, F.lit(3))])
+    shape = F.struct(F.lit("rect").alias("type"), (v % 3 + 1).cast("double").alias("label"), (v % 5).cast("double").alias("tag"), rect.alias("controls"))
+    side = F.lit(8).cast("long")
+    return table(spark, sf_dir, "embeddings").select(v.alias("serial"), side.alias("width"), side.alias("height"), F.array(shape).alias("shapes"), F.col("embedding").cast("array<double>").alias("image"))
+
+
+_ROWS = "r AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, (vec_id % 4)::DOUBLE AS ax, (vec_id % 3)::DOUBLE AS ay, (vec_id % 4 + 2 + vec_id % 3)::DOUBLE AS bx, (vec_id % 3 + 3)::DOUBLE AS by_ FROM embeddings)"
+_WHOLE = "CASE WHEN sx BETWEEN 0 AND 7 AND sy BETWEEN 0 AND 7 THEN e[sy * 8 + sx + 1] ELSE {} END"
+
+
+def _step_sql(params: str = "", w: str = "8", h: str = "8", n: int = 64, sx: str = "x", sy: str = "y", value: str = _WHOLE.format("0.0::DOUBLE"), corners: tuple[str, str, str, str] = ("ax", "ay", "bx", "by_"), more: str = "") -> str:
+    """Pixels and the rectangle's first two corners after a step; pixel (x, y) of the w x h result comes from (sx, sy)."""
+    bend = "k AS (SELECT *, floor(sx)::BIGINT AS x0, floor(sy)::BIGINT AS y0 FROM m)"
+    return f"""WITH {_ROWS}, q AS (SELECT *{', ' + params if params else ''} FROM r){more}, s AS (SELECT *, ({w})::BIGINT AS w, ({h})::BIGINT AS h FROM {'z' if more else 'q'}),
+g AS (SELECT *, i % w AS x, i // w AS y FROM s, range(0, {n}) t(i) WHERE i < w * h), m AS (SELECT *, {sx} AS sx, {sy} AS sy FROM g), {bend}
+SELECT id, w AS width, h AS height, i::INTEGER AS i, {sql_r6(value)} AS v, {', '.join(f'{sql_r6(c)} AS {k}' for k, c in zip(('ax', 'ay', 'bx', 'by'), corners, strict=True))} FROM k"""
+
+
+_PERTURB = M.SampleConfig(perturb=True)
+
+
+def _step(name: str, sql: str, *steps: dict) -> None:
+    def run(spark, sf_dir):
+        done = T.apply(annotated(spark, sf_dir), steps, _PERTURB)
+        c = F.col("shapes")[0]["controls"]
+        corners = [r6(c[k // 2]["xy"[k % 2]]).alias(n) for k, n in enumerate(("ax", "ay", "bx", "by"))]
+        pixels = done.select(F.col("serial").alias("id"), "width", "height", *corners, F.posexplode("image").alias("i", "v"))
+        return pixels.withColumn("v", r6(F.col("v")))
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+def _made(name: str, sql: str, column: str, *steps: dict) -> None:
+    """A step that makes an array beside the image: ``targets`` by name, or ``mask`` or ``raster``."""
+    def run(spark, sf_dir):
+        done = T.apply(annotated(spark, sf_dir), steps, _PERTURB).withColumnRenamed("serial", "id")
+        if column == "targets":
+            done = done.select("id", F.explode("targets").alias("t")).select("id", "t.name", F.posexplode("t.data").alias("i", "v"))
+            return done.withColumn("v", r6(F.col("v")))
+        return done.select("id", F.posexplode(column).alias("i", "v")).withColumn("v", r6(F.col("v")))
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+def _u(name: str) -> str:
+    return sql_uniform(name, "id")
+
+
+_step("step_resize", _step_sql("", "12", "6", 72, _scaled("x", "12"), _scaled("y", "6"), _bilinear(), ("ax * 1.5", "ay * 0.75", "bx * 1.5", "by_ * 0.75")), {"type": "resize", "width": 12, "height": 6})
+_step("step_scale", _step_sql("", "12", "12", 144, _scaled("x", "12"), _scaled("y", "12"), _bilinear(), ("ax * 1.5", "ay * 1.5", "bx * 1.5", "by_ * 1.5")), {"type": "scale", "scale": 1.5})
+_GROWN = f"round(8 * (0.5::DOUBLE + (2.0::DOUBLE - 0.5::DOUBLE) * {_u('0.scale')}))::BIGINT AS u"
+_step("step_augment_scale", _step_sql(_GROWN, "u", "u", 256, _scaled("x", "u"), _scaled("y", "u"), _bilinear(), tuple(f"{c} * (u / 8)" for c in ("ax", "ay", "bx", "by_"))), {"type": "augment.scale", "min": 0.5, "max": 2})
+_COINS = ", ".join(f"{_u('0.' + n)} < 0.5 AS {c}" for c, n in (("fh", "horizontal"), ("fv", "vertical"), ("ft", "transpose")))
+_TURN = lambda a, b, fa, fb: f"CASE WHEN ft THEN CASE WHEN {fb} THEN 8 - {b} ELSE {b} END ELSE CASE WHEN {fa} THEN 8 - {a} ELSE {a} END END"
+_FROM = lambda a, b, f: f"CASE WHEN {f} THEN 7 - (CASE WHEN ft THEN {b} ELSE {a} END) ELSE (CASE WHEN ft THEN {b} ELSE {a} END) END"
+_step("step_flip", _step_sql(_COINS, sx=_FROM("x", "y", "fh"), sy=_FROM("y", "x", "fv"), corners=(_TURN("ax", "ay", "fh", "fv"), _TURN("ay", "ax", "fv", "fh"), _TURN("bx", "by_", "fh", "fv"), _TURN("by_", "bx", "fv", "fh"))), {"type": "augment.flip", "horizontal": True, "vertical": True, "transpose": True})
+_ANGLE = f"radians(-40.0::DOUBLE + (40.0::DOUBLE - -40.0::DOUBLE) * {_u('0.angle')}) AS t"
+_REFIT = """, n AS (SELECT *, cos(t) AS ca, sin(t) AS sa, [[ax, ay], [bx, by_], [bx, ay], [ax, by_]] AS c FROM q),
+o AS (SELECT *, list_transform(c, lambda p: ca * p[1] + sa * p[2] + (1 - ca) * 4 - sa * 4) AS xs, list_transform(c, lambda p: ca * p[2] - sa * p[1] + sa * 4 + (1 - ca) * 4) AS ys FROM n),
+p AS (SELECT *, list_min(xs) AS lx, list_max(xs) - list_min(xs) AS wx, list_min(ys) AS ly, list_max(ys) - list_min(ys) AS wy, sqrt((xs[3] - xs[1]) * (xs[3] - xs[1]) + (ys[3] - ys[1]) * (ys[3] - ys[1])) * sqrt((xs[4] - xs[1]) * (xs[4] - xs[1]) + (ys[4] - ys[1]) * (ys[4] - ys[1])) AS area FROM o),
+z AS (SELECT *, sqrt((area + 1) / (wx * wy + 1)) AS rate FROM p)"""
+_step("step_rotate", _step_sql(_ANGLE, sx="ca * (x - 4) - sa * (y - 4) + 4", sy="sa * (x - 4) + ca * (y - 4) + 4", value=_bilinear("constant"), corners=("lx + wx / 2 - wx * rate / 2", "ly + wy / 2 - wy * rate / 2", "lx + wx / 2 + wx * rate / 2", "ly + wy / 2 + wy * rate / 2"), more=_REFIT), {"type": "augment.rotate", "min": -40, "max": 40})
+_step("step_pad", _step_sql("", "12", "10", 120), {"type": "pad", "width": 12, "height": 10})
+_CROPS = ", ".join(f"floor({_u(f'0.{a}.crop{k}')} * 3)::BIGINT AS {a}{k}" for a in "wh" for k in (1, 2))
+_step("step_clip", _step_sql(_CROPS, "8 - w1 - w2", "8 - h1 - h2", 64, "x + w1", "y + h1", corners=("ax - w1", "ay - h1", "bx - w1", "by_ - h1")), {"type": "clip", "max_crop": 3})
+_PLACES = ", ".join(f"floor({_u(f'0.{a}.place')} * 1048576)::BIGINT % {m} AS o{a}" for a, m in (("w", 3), ("h", 2)))
+_step("step_clip_window", _step_sql(_PLACES, "5", "10", 50, "x + ow", "y - oh", corners=("ax - ow", "ay + oh", "bx - ow", "by_ + oh")), {"type": "clip", "size_width": 5, "size_height": 10})
+_SHIFT = f"least(greatest(2 + floor({_u('1.shift')} * 5)::BIGINT - 2, 0), 4) AS o"
+_step("step_clip_square", _step_sql(_SHIFT, sx="x + o", corners=("ax - o", "ay", "bx - o", "by_")), {"type": "pad", "width": 12, "height": 8}, {"type": "clip_square", "shift": 2})
+_WINDOW = ", ".join(f"floor({_u('0.' + a)} * 1048576)::BIGINT % 4 AS o{a}" for a in "xy")
+_step("step_square_clip", _step_sql(_WINDOW, "11", "11", 121, "x - ox", "y - oy", _WHOLE.format("0.5::DOUBLE"), ("ax + ox", "ay + oy", "bx + ox", "by_ + oy")), {"type": "random_square_clip", "size": 11, "pad": 0.5})
+_step("step_normalize", _step_sql(value="(e[i + 1] - [0.1::DOUBLE, -0.2::DOUBLE][i % 2 + 1]) / [0.5::DOUBLE, 2.0::DOUBLE][i % 2 + 1]"), {"type": "normalize", "mean": [0.1, -0.2], "std": [0.5, 2.0]})
+_step("step_add", _step_sql(", ".join(f"-0.5::DOUBLE + (0.5::DOUBLE - -0.5::DOUBLE) * {_u(f'0.add{k}')} AS d{k}" for k in (0, 1)), value="e[i + 1] + CASE WHEN i % 2 = 0 THEN d0 ELSE d1 END"), {"type": "augment.add", "range": 0.5, "channels": 2})
+_step("step_flip_color", _step_sql(f"{_u('0.flip_color')} < 0.5 AS f", value="CASE WHEN f THEN 255 - e[i + 1] ELSE e[i + 1] END"), {"type": "augment.flip_color"})
+_step("step_blur", _step_sql(value=_blurred("constant")), {"type": "augment.blur", "min": 1, "max": 1})
+_step("step_colorspace", _step_sql("", "8", "8", 64, value="e[i + 1] * 2"), {"type": "colorspace", "code": "GRAY2BGR", "mul0": 2}, {"type": "colorspace", "code": "BGR2RGB"}, {"type": "colorspace", "code": "BGR2GRAY"})
+_step("step_sometimes", _step_sql(f"{_u('0.chance')} <= 0.4 AS f, {_u('0.0.horizontal')} < 0.5 AS g", w="CASE WHEN f THEN 9 ELSE 8 END", n=72, sx="CASE WHEN f AND g THEN 7 - x ELSE x END", corners=("CASE WHEN f AND g THEN 8 - ax ELSE ax END", "ay", "CASE WHEN f AND g THEN 8 - bx ELSE bx END", "by_")), {"type": "sometimes", "chance": 0.4, "transforms": [{"type": "augment.flip", "horizontal": True}, {"type": "pad", "width": 9, "height": 8}]})
+_PICKS = ", list_contains(list_transform(list_sort(list_transform([0, 1, 2], lambda k: md5(concat_ws(':', '2016', '0.pick', k::VARCHAR, id::VARCHAR)) || k::VARCHAR))[1:2], lambda t: substr(t, 33, 1)), '{}') AS p{}"
+_step("step_some_of", _step_sql("1 AS one" + "".join(_PICKS.format(k, k) for k in range(3)) + f", {_u('0.1.0.horizontal')} < 0.5 AS g", value="(CASE WHEN p0 THEN 10 ELSE 1 END) * " + _WHOLE.format("0.0::DOUBLE") + " - CASE WHEN p2 THEN 0.25 ELSE 0 END", sx="CASE WHEN p1 AND g THEN 7 - x ELSE x END", corners=("CASE WHEN p1 AND g THEN 8 - ax ELSE ax END", "ay", "CASE WHEN p1 AND g THEN 8 - bx ELSE bx END", "by_")), {"type": "some_of", "count": 2, "transforms": [{"type": "normalize", "std": 0.1}, {"type": "augment.flip", "horizontal": True}, {"type": "normalize", "mean": 0.25}]})
+
+_made("mask_constant", f"WITH {_ROWS}, q AS (SELECT id, {_GROWN} FROM r) SELECT id, i::INTEGER AS i, 3.0::DOUBLE AS v FROM q, range(0, 256) t(i) WHERE i < u * u", "mask", {"type": "augment.scale", "min": 0.5, "max": 2}, {"type": "mask", "value": 3})
+_made("step_pyramid", f"WITH {_ROWS}, g AS (SELECT *, i % n AS x, i // n AS y FROM r, (VALUES (4), (2)) v(n), range(0, 16) t(i) WHERE i < n * n), m AS (SELECT *, {_scaled('x', 'n')} AS sx, {_scaled('y', 'n')} AS sy FROM g), k AS (SELECT *, floor(sx)::BIGINT AS x0, floor(sy)::BIGINT AS y0 FROM m) SELECT id, 'pyramid' AS name, i::INTEGER AS i, {sql_r6(_bilinear())} AS v FROM k", "targets", {"type": "pyramid", "count": 2, "rate": 0.5})
+
+
+def _anchor_step_sql(score: str, params: tuple[str, ...], upper: float, lower: float) -> str:
+    each = " UNION ALL ".join(f"SELECT id, 'anchors.params' AS name, (i * {len(params)} + {k})::INTEGER AS i, CASE WHEN ok THEN {sql_r6(v)} ELSE 0.0::DOUBLE END AS v FROM s" for k, v in enumerate(params))
+    return f"""WITH {_ROWS}, c AS (SELECT id, i, ax + (bx - ax) / 2 - i % 4 * 2 AS dx, ay + (by_ - ay) / 2 - i // 4 * 2 AS dy, bx - ax AS bw, by_ - ay AS bh FROM r, range(0, 16) t(i)),
+d AS (SELECT *, {score} AS score FROM c), s AS (SELECT *, score > 0 AND score >= {lower} AS ok FROM d)
+SELECT id, 'anchors.label' AS name, i::INTEGER AS i, CASE WHEN ok AND score >= {upper} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM s
+UNION ALL SELECT id, 'anchors.label_mask', i::INTEGER, CASE WHEN ok AND score < {upper} THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END FROM s
+UNION ALL SELECT id, 'anchors.params_mask', i::INTEGER, CASE WHEN ok THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FROM s UNION ALL {each}"""
+
+
+_R = "(sqrt(bw * bh) / 2)"
+_made("step_anchors_box", _anchor_step_sql("least((bw - 2 * abs(dx)) / bw, (bh - 2 * abs(dy)) / bh)", ("dx", "dy", "bw", "bh"), 0.6, 0.2), "targets", {"type": "anchors.dense.box", "downsize": 2, "lower_th": 0.2})
+_made("step_anchors_circle", _anchor_step_sql(f"({_R} - sqrt(dx * dx + dy * dy)) / {_R}", ("dx", "dy", _R), 0.6, 0.2), "targets", {"type": "anchors.dense.circle", "downsize": 2, "lower_th": 0.2})
+_made("step_anchors_point", _anchor_step_sql("exp(-sqrt(dx * dx + dy * dy))", ("dx", "dy"), 0.3, 0.05), "targets", {"type": "anchors.dense.point", "downsize": 2, "upper_th": 0.3, "lower_th": 0.05})
+_made("step_box_feature", f"WITH {_ROWS}, f AS (SELECT id, [(id % 3 + 1)::DOUBLE, (id % 5)::DOUBLE, least(ax, 7), least(ay, 7), least(bx, 7), least(by_, 7)] AS v FROM r) SELECT id, 'box_feature' AS name, i::INTEGER AS i, v[i + 1] AS v FROM f, range(0, 6) t(i) WHERE (v[5] - v[3] + 1) * (v[6] - v[4] + 1) >= 14", "targets", {"type": "box_feature", "min_area": 14})
+_CELLS = f"WITH {_ROWS}, c AS (SELECT id, j, (j % 4) * 2 AS px, (j // 4) * 2 AS py, list_filter([[bx, ay, 3], [ax, by_, 4], [bx, by_, 2], [ax, ay, 1]], lambda p: sqrt((p[1] - (j % 4) * 2) * (p[1] - (j % 4) * 2) + (p[2] - (j // 4) * 2) * (p[2] - (j // 4) * 2)) <= 2) AS near FROM r, range(0, 16) t(j)), b AS (SELECT *, list_reverse_sort(list_transform(near, lambda p: [p[3], p[1], p[2]]))[1] AS p FROM c)"
+_made("step_keypoints", _CELLS + " SELECT id, 'keypoints.mask' AS name, (j * 3 + k)::INTEGER AS i, CASE WHEN p IS NOT NULL AND k = id % 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM b, range(0, 3) t(k) UNION ALL SELECT id, 'keypoints.offset', ((j * 3 + k) * 2 + c)::INTEGER, CASE WHEN p IS NOT NULL AND k = id % 3 THEN CASE c WHEN 0 THEN p[2] - px ELSE p[3] - py END ELSE 0.0::DOUBLE END FROM b, range(0, 3) t(k), range(0, 2) u(c)", "targets", {"type": "keypoints.basic", "classes": 3, "downsize": 2, "radius": 2})
+_DRAWN = "CASE WHEN {x} + 0.5 >= ax AND {x} + 0.5 < bx AND {y} + 0.5 >= ay AND {y} + 0.5 < by_ THEN (id % 3 + 1)::DOUBLE ELSE 0.0::DOUBLE END"
+_made("step_rasterize", f"WITH {_ROWS} SELECT id, i::INTEGER AS i, {_DRAWN.format(x='i % 8', y='i // 8')} AS v FROM r, range(0, 64) t(i)", "raster", {"type": "rasterize"})
+_NEAR = ", ".join(f"CASE WHEN i % 8 + {dx} BETWEEN 0 AND 7 AND i // 8 + {dy} BETWEEN 0 AND 7 THEN {_DRAWN.format(x=f'i % 8 + {dx}', y=f'i // 8 + {dy}')} ELSE 1.0::DOUBLE END" for dy in (-1, 0, 1) for dx in (-1, 0, 1))
+_made("step_erode_mask", f"WITH {_ROWS} SELECT id, i::INTEGER AS i, list_min([{_NEAR}]) AS v FROM r, range(0, 64) t(i)", "raster", {"type": "rasterize"}, {"type": "erode_mask", "index": 1, "radius": 1})
+
+
+_STREAM = M.SampleConfig(stratify=True, oversample=True, split=7, split_fold=3, perturb=True, dtype="uint8", channels=3, annotate=(1,), raw=(1,), transforms=({"type": "augment.flip", "horizontal": True}, {"type": "rasterize"}))
+
+
+@query(_BALANCED + f""", v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, {sql_uniform('0.horizontal', 'vec_id')} < 0.5 AS f, vec_id % 4 AS ax, vec_id % 4 + 2 + vec_id % 3 AS bx, vec_id % 3 AS ay, vec_id % 3 + 3 AS by_ FROM embeddings),
+g AS (SELECT draw, v.*, i, CASE WHEN f THEN 7 - i % 8 ELSE i % 8 END AS x, i // 8 AS y FROM o JOIN v ON o.serial = v.id, range(0, 64) t(i))
+SELECT draw, id, i::INTEGER AS i, (floor(abs(e[y * 8 + x + 1]) * 100)::BIGINT % 256)::DOUBLE AS v, CASE WHEN x >= ax AND x < bx AND y >= ay AND y < by_ THEN (id % 3 + 1)::DOUBLE ELSE 0.0::DOUBLE END AS label, 3 AS channels, f AS flipped FROM g""")
+def image_stream(spark, sf_dir):
+    """Plan, records, decoding, transforms and facets of a stream in one: vectors as byte images, their rectangle as JSON."""
+    t = table(spark, sf_dir, "embeddings")
+    v = F.col("vec_id")
+    byte = lambda x: F.lpad(F.hex(F.floor(F.abs(x.cast("double")) * 100).cast("long") % 256), 2, "0")
+    matrix = records.raw_bytes(F.lit(0), F.lit(8), F.lit(8), F.lit(1), F.unhex(F.array_join(F.transform("embedding", byte), "")))
+    box = F.struct((v % 4 / 8).alias("x"), (v % 3 / 8).alias("y"), ((2 + v % 3) / 8).alias("width"), F.lit(3 / 8).alias("height"))
+    note = F.encode(F.to_json(F.struct(F.array(F.struct(F.lit("rect").alias("type"), (v % 3 + 1).alias("label"), box.alias("geometry"))).alias("shapes"))), "UTF-8")
+    own = records.make_records(t.select(v.alias("id"), v.alias("serial"), "label", matrix.alias("image"), note.alias("note")), [("image", records.IMAGE), ("note", records.NONE)])
+    plan = M.draw_order(records.index(own), _STREAM).select("draw", "id", "serial")
+    done = decoded(M.with_payload(plan, own.select("serial", "fields")), _STREAM)
+    flat = done.select(F.col("draw").cast("long").alias("draw"), "id", F.posexplode("label0.data").alias("i", "label"), "image0", F.col("image0.channels").alias("channels"))
+    flipped = uniform("0.horizontal", F.col("id")) < 0.5
+    return flat.select("draw", "id", "i", F.get("image0.data", F.col("i") * 3 + 1).alias("v"), "label", "channels", flipped.alias("flipped"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balanced training batches: stratified 7-fold split, oversampled round robin, batches of 32."""
     return batch_meta(spark, sf_dir)

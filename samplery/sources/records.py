@@ -143,6 +143,23 @@ def import_directory(spark: SparkSession, path: str) -> DataFrame:
     return make_records(_numbered(_files(spark, path).withColumn("label", F.lit(0.0))), [("content", IMAGE)])
 
 
+def import_images(spark: SparkSession, path: str) -> DataFrame:
+    """Images that Spark's ``image`` source decodes, as raw matrices of bytes; label 0, numbered by path. Files that are no images are left out."""
+    image = spark.read.format("image").option("dropInvalid", "true").load(path).select("image.*")
+    deep = F.col("nChannels")
+    rows = image.select(F.col("origin").alias("path"), raw_bytes((deep - 1) * 8, F.col("height"), F.col("width"), deep, F.col("data")).alias("content"), F.lit(0.0).alias("label"))
+    return make_records(_numbered(rows), [("content", IMAGE)])
+
+
+def import_records(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
+    """Another record table's first two fields with their labels, numbered anew in its order; at most ``limit`` records (0: all)."""
+    rows = read(spark, path).select(F.struct("file", "serial").alias("at"), "label", "label2", "grp", "fields")
+    rows = auto_id(rows.orderBy("at").limit(limit) if limit > 0 else rows, ["at"])
+    two = F.slice("fields", 1, 2)
+    size = F.aggregate(two, F.lit(0).cast("long"), lambda a, f: a + F.octet_length(f["bytes"]))
+    return rows.select("id", "label", "label2", "grp", F.lit(0).alias("file"), F.col("id").alias("serial"), size.alias("size"), two.alias("fields"))
+
+
 def import_classes(spark: SparkSession, path: str) -> DataFrame:
     """Folders named 0 .. N-1 are labels; fails unless they are at least two without a gap."""
     rows = _files(spark, path).withColumn("label", F.regexp_extract("path", r"/(\d+)/[^/]*$", 1).try_cast("int"))
@@ -236,8 +253,19 @@ def encode_raw(matrix: np.ndarray) -> bytes:
     return struct.pack("<4i", code, matrix.shape[0], matrix.shape[1], matrix.itemsize * channels) + np.ascontiguousarray(matrix).tobytes()
 
 
+def raw_bytes(code: Column, rows: Column, cols: Column, size: Column, data: Column) -> Column:
+    """A raw matrix of columns: its type's code, rows, columns, bytes of an element, and the elements."""
+    digits = lambda v: F.lpad(F.hex(v.cast("long")), 8, "0")
+    little = lambda v: F.unhex(F.concat(*[F.substring(digits(v), k, 2) for k in (7, 5, 3, 1)]))
+    return F.concat(little(code), little(rows), little(cols), little(size), data)
+
+
 def decode_raw(data: bytes) -> np.ndarray:
+    if len(data) < 16:
+        raise ValueError("not a raw matrix")
     code, rows, cols, size = struct.unpack("<4i", data[:16])
+    if not 0 <= code < 512 or code % 8 >= len(DEPTHS):
+        raise ValueError("not a raw matrix")
     kind, channels = np.dtype(DEPTHS[code % 8]), code // 8 + 1
     if size != kind.itemsize * channels or len(data) != 16 + rows * cols * size:
         raise ValueError("not a raw matrix")

@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from samplery.plans.sampling import SampleConfig, batches, looped_draws, split, with_payload
@@ -53,12 +52,12 @@ def numpy_batches(plan: DataFrame, config: SampleConfig, shape: tuple[int, int,
                 images[k] = np.asarray(values).reshape(h, w, c)
         if config.colorspace == "RGB":
             images = images[..., ::-1]
-        yield np.array(row["id"], np.int32), np.array(row["label"], np.float32), images.transpose(0, 3, 1, 2) if config.order == "NCHW" else images
+        yield np.array(row["id"], np.int64), np.array(row["label"], np.float32), images.transpose(0, 3, 1, 2) if config.order == "NCHW" else images
 
 
 def endless(index: DataFrame, config: SampleConfig, offset: int, draws: int) -> DataFrame:
-    """Draws ``offset`` to ``offset + draws`` of the endless stream; any slice can be computed alone, so a failed one is just computed again."""
-    return looped_draws(index, config, offset + draws).where(F.col("draw") >= offset)
+    """Draws ``offset`` to ``offset + draws`` of the endless stream; a slice is computed alone, from the epochs and buckets that it meets, so a failed one is just computed again."""
+    return looped_draws(index, config, draws, offset)
 
 
 def stream_batches(ticks: DataFrame, index: DataFrame, records: DataFrame | None, config: SampleConfig, per_tick: int, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:

@@ -252,10 +252,10 @@ def clip(s, c1, c2, least=0, most=0, multiple=0, shift=0, draw=0):
 
 
 def test_clip_axis(spark):
-    cases = {"plain": clip(100, 0, 0), "crop": clip(100, 10, 5), "round": clip(100, 0, 0, multiple=16), "most": clip(100, 0, 0, most=60, draw=7), "least": clip(50, 0, 0, least=80, draw=5), "shift": clip(100, 0, 0, shift=-4), "kept": clip(100, 30, 30, least=60)}
+    cases = {"plain": clip(100, 0, 0), "crop": clip(100, 10, 5), "round": clip(100, 0, 0, multiple=16), "most": clip(100, 0, 0, most=60, draw=7), "least": clip(50, 0, 0, least=80, draw=5), "shift": clip(100, 0, 0, shift=-4), "kept": clip(100, 30, 30, least=60), "handed": clip(100, 0, 6, least=100)}
     r = values(spark, **{k: F.array(v.size, v.begin, v.length, v.to) for k, v in cases.items()})
     assert r["plain"] == [100, 0, 100, 0] and r["crop"] == [85, 10, 85, 0] and r["round"] == [96, 0, 96, 0]
-    assert r["most"] == [60, 7, 60, 0] and r["least"] == [80, 0, 50, 5] and r["shift"] == [100, 0, 96, 4] and r["kept"] == [60, 20, 60, 0]
+    assert r["most"] == [60, 7, 60, 0] and r["least"] == [80, 0, 50, 5] and r["shift"] == [100, 0, 96, 4] and r["kept"] == [60, 20, 60, 0] and r["handed"] == [100, 0, 100, 0]
 
 
 def test_pipelines(spark):
@@ -524,7 +524,7 @@ def test_dataset_operators(spark, tmp_path, index):
     assert spark.read.parquet(str(tmp_path / "p.test")).count() == 10
     boxes = spark.createDataFrame([(1, 2, 0.1, 0.2, 0.5, 0.5, 100, 50)], "image long, label int, x double, y double, w double, h double, width long, height long")
     exports.write_yolo(boxes, str(tmp_path / "y"))
-    assert spark.read.text(str(tmp_path / "y")).first()["value"] == "2 10 10 50 25"
+    assert spark.read.text(str(tmp_path / "y")).first()["value"] == "1\t2 10 10 50 25"
     task = values(spark, a=profile.task(F.lit(1), F.lit(0), F.lit(0)), b=profile.task(F.lit(0), F.lit(5), F.lit(1)), c=profile.task(F.lit(0), F.lit(5), F.lit(0)), d=profile.task(F.lit(0), F.lit(1), F.lit(0)))
     assert list(task) == ["segmentation", "regression", "classification", "none"]
 
