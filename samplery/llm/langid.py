@@ -35,7 +35,8 @@ def _letters() -> re.Pattern:
     return re.compile(rf"[^\W\d_{''.join(odd)}]+")
 
 
-_LETTERS = _letters()
+#: Runs of word characters but decimal digits, which are letters but for rare characters that the slower second pattern cuts out.
+_WORDS, _LETTERS = re.compile(r"[^\W\d_]+"), _letters()
 
 
 def family_of(language: str) -> str:
@@ -47,7 +48,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def words_of(text: str | None) -> list[str]:
-    return _LETTERS.findall((text or "").lower())
+    words = _WORDS.findall((text or "").lower())
+    if all(map(str.isalpha, words)):
+        return words
+    return [x for w in words for x in ([w] if w.isalpha() else _LETTERS.findall(w))]
 
 
 def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:

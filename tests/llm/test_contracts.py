@@ -309,6 +309,7 @@ def test_digits_and_fractions_are_no_letters(spark):
     assert [got[k] for k in range(100, 104)] == [("und", 0.0)] * 4 and got[104][0] == "en" and got[105][0] == "de"
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     assert "".join(langid._LETTERS.findall(every)) == "".join(c for c in every if c.isalpha())
+    assert langid.words_of("A1b²c½ ①x_y Ünï-漢") == ["a", "b", "c", "x", "y", "ünï", "漢"]
 
 
 def test_votes_against_plain_loops():
