@@ -148,7 +148,10 @@ def _candidates(radius: int):
 
 
 def _compare(threshold: float, bits: int, tables: int, seed: int):
-    """Per complete group: exact cosines; a link counts in the first table in which the two vectors share a bucket."""
+    """Per complete group: exact cosines; a link counts in the first table in which the two vectors share a bucket.
+
+    Rows with n = 0 are edges between nodes' ids, the others the links that a node's number gets.
+    """
 
     def links(x: np.ndarray, block: np.ndarray, cross: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for k in range(0, len(x), BLOCK):
@@ -163,7 +166,7 @@ def _compare(threshold: float, bits: int, tables: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = Planes(bits, tables, seed)
         for rows in _whole_groups(batches):
-            row, copies, table, block, cross = (rows.column(c).to_numpy() for c in ("row", "copies", "t", "blk", "cross"))
+            row, node, copies, table, block, cross = (rows.column(c).to_numpy() for c in ("row", "node", "copies", "t", "blk", "cross"))
             values, ends = _vectors(rows.column("embedding").combine_chunks())
             nodes, counts, us, vs = [], [], [], []
             for lo, hi in _groups(rows):
@@ -174,8 +177,8 @@ def _compare(threshold: float, bits: int, tables: int, seed: int):
                         continue
                     root = local_roots(len(own), i, j)
                     linked = root != np.arange(len(own))
-                    us.append(own[linked])
-                    vs.append(own[root[linked]])
+                    us.append(node[lo:hi][linked])
+                    vs.append(node[lo:hi][root[linked]])
                     sign = planes.signs(planes.sides(x)) if sign is None else sign
                     new = ~(sign[i, : table[lo]] == sign[j, : table[lo]]).any(axis=1)
                     i, j = i[new], j[new]
@@ -221,15 +224,11 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.98, seed: int
     dealt = deal_buckets(keys, ["label", "dim", "t", "sign"], "row", BLOCK)
     dealt = dealt.select("grp", "row", "t", "blk", "cross", "sketch").repartition("grp").sortWithinPartitions("grp")
     near = materialize(map_arrow(dealt, _candidates(sketch_radius(threshold)), "grp long, row long, t int, blk int, cross boolean"), "vector-candidates")
-    whole = nodes.select(F.col("row").alias("r"), "copies", "embedding")
+    whole = nodes.select(F.col("row").alias("r"), "node", "copies", "embedding")
     fetched = near.join(whole, near["row"] == whole["r"]).drop("r").repartition("grp").sortWithinPartitions("grp")
     found = materialize(map_arrow(fetched, _compare(threshold, bits, tables, seed), "u long, v long, n long"), "vector-links")
     links = found.where("n > 0").groupBy(F.col("u").alias("l")).agg(F.sum("n").alias("links"))
-    # nodes' numbers are no ids: links between vertices, which are ids, go by the smallest id of each node
-    ids = nodes.select("row", "node")
-    edges = found.where("n = 0").select("u", "v").distinct()
-    edges = edges.join(ids.withColumnsRenamed({"row": "u", "node": "nu"}), "u").join(ids.withColumnsRenamed({"row": "v", "node": "nv"}), "v")
-    parts = connected_components(materialize(edges.select(F.col("nu").alias("u"), F.col("nv").alias("v")), "vector-edges"))
+    parts = connected_components(found.where("n = 0").select("u", "v"))
     known = nodes.join(links, nodes["row"] == links["l"], "left").join(parts.withColumnRenamed("node", "p"), F.col("node") == F.col("p"), "left")
     known = known.select(F.col("label").alias("kl"), F.col("a").alias("ka"), F.col("b").alias("kb"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
     known = materialize(known, "vector-classes", keep=True)
