@@ -20,11 +20,11 @@ from samplery.shipping import map_arrow
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Characters that one suffix array indexes, and different segments that a worker remembers.
-INDEX_CHARS, SEGMENTS = 1 << 17, 500_000
+INDEX_CHARS, SEGMENTS = 1 << 16, 500_000
 #: Segments up to this length are relaxed side by side and remembered; longer ones are relaxed by themselves.
 SHORT = 40
 #: Remembered pairs of neighbours, a power of two; a pair that shares a slot with a later one is tried again.
-PAIR_SLOTS = 1 << 21
+PAIR_SLOTS = 1 << 20
 _NORMAL, _CONTROL, _BYTE = 1, 3, 6
 #: Separates segments among code points: the first number that is none.
 _END = 0x110000
