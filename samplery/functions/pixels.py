@@ -13,7 +13,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from samplery.shipping import ship
-from samplery.sources.records import decode_raw
+from samplery.sources.records import decode_raw, encode_raw
 
 
 def _apply(function: Callable[[np.ndarray], np.ndarray], spark: SparkSession) -> Callable[[Column], Column]:
@@ -192,6 +192,29 @@ def raw_decoder(spark: SparkSession, channels: int = -1, dtype: str = "float32")
     return run
 
 
+def raw_resizer(spark: SparkSession) -> Callable[[Column, Column, Column], Column]:
+    """A pandas UDF of raw matrices' bytes, a width and a height: the matrix in that size, linearly, in its own type (whole ones rounded); null stays null."""
+    ship(spark)
+
+    @F.pandas_udf("binary")
+    def run(images: pd.Series, widths: pd.Series, heights: pd.Series) -> pd.Series:
+        out: list[bytes | None] = []
+        for x, w, h in zip(images, widths, heights, strict=True):
+            if x is None:
+                out.append(None)
+                continue
+            m, shape = decode_raw(x), (int(h), int(w))
+            deep = m.shape[2] if m.ndim == 3 else 1
+            new = resize(m.reshape(1, -1).astype(np.float64), m.shape[1], m.shape[0], shape[1], shape[0], deep).reshape(shape + m.shape[2:])
+            if m.dtype.kind in "iu":
+                ends = np.iinfo(m.dtype)
+                new = np.clip(np.rint(new), ends.min, ends.max)
+            out.append(encode_raw(new.astype(m.dtype)))
+        return pd.Series(out, dtype=object)
+
+    return run
+
+
 def convert(image: np.ndarray, channels: int, dtype: str) -> np.ndarray:
     """(h, w, c) numbers with so many channels, rounded and cut to the range of a whole type."""
     image = image.astype(np.float64)

@@ -191,10 +191,17 @@ def _normalize(rows, t, place, config):
 
 @register("augment.add")
 def _add(rows, t, place, config):
-    """Each of up to three channels gets a delta of its own."""
+    """Each of up to three channels gets a delta of its own; ``space`` SAME: one for all, HSV or Lab: of that space's channels (BGR in [0, 1], as ``colorspace`` has it)."""
+    space = t.get("space", "BGR")
+    if space not in ("BGR", "SAME", "HSV", "Lab"):
+        raise ValueError(f"unknown space {space!r}")
     if not config.perturb:
         return rows
-    channels = max(1, t.get("channels", 1))
+    if space in ("HSV", "Lab"):
+        rows = _colorspace(rows, {"code": f"BGR2{space}"}, place, config)
+        rows = _add(rows, t | {"space": "BGR", "channels": 3}, place, config)
+        return _colorspace(rows, {"code": f"{space}2BGR"}, place, config)
+    channels = 1 if space == "SAME" else max(1, t.get("channels", 1))
     r = [t.get(f"range{k + 1}", t.get("range", 0)) for k in range(channels)]
     deltas = F.array(*[_draw(f"{place}.add{k}", t.get(f"min{k + 1}", -r[k]), t.get(f"max{k + 1}", r[k]), config, 0.0) for k in range(channels)])
     rows = rows.withColumn("__d", deltas)

@@ -19,7 +19,7 @@ from samplery.functions import uris as U
 from samplery.functions.keys import SEED, integer, uniform
 from samplery.operators import anchors as A
 from samplery.operators import datasets as D
-from samplery.operators import profile
+from samplery.operators import profile, transcode
 from samplery.plans import sampling as M
 from samplery.plans import transforms as T
 from samplery.plans.transforms import some_of
@@ -993,6 +993,55 @@ _NEAR = ", ".join(f"CASE WHEN i % 8 + {dx} BETWEEN 0 AND 7 AND i // 8 + {dy} BET
 _made("step_erode_mask", f"WITH {_ROWS} SELECT id, i::INTEGER AS i, list_min([{_NEAR}]) AS v FROM r, range(0, 64) t(i)", "raster", {"type": "rasterize"}, {"type": "erode_mask", "index": 1, "radius": 1})
 
 
+_BYTES = "v AS (SELECT vec_id AS id, list_transform(embedding::DOUBLE[], lambda x: floor(abs(x) * 100)::BIGINT % 256) AS b FROM embeddings)"
+
+
+def byte_images(spark, sf_dir):
+    """Vectors as byte images of 8 x 8 pixels (even ids) or 16 x 4."""
+    v, even = F.col("vec_id"), F.col("vec_id") % 2 == 0
+    byte = lambda x: F.lpad(F.hex(F.floor(F.abs(x.cast("double")) * 100).cast("long") % 256), 2, "0")
+    matrix = records.raw_bytes(F.lit(0), F.when(even, 8).otherwise(4), F.when(even, 8).otherwise(16), F.lit(1), F.unhex(F.array_join(F.transform("embedding", byte), "")))
+    own = table(spark, sf_dir, "embeddings").select(v.alias("id"), v.alias("serial"), "label", matrix.alias("image"))
+    return records.make_records(own, [("image", records.IMAGE)])
+
+
+def decoded_field(rows):
+    got = rows.withColumn("image", P.raw_decoder(rows.sparkSession)(records.field(F.col("fields"), 0)))
+    return got.select("id", "size", F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.posexplode("image.data").alias("i", "v"))
+
+
+@query(f"""WITH {_BYTES}, g AS (SELECT id, i, id % 2 = 0 AS even, b, (i // 8) * 32 + (i % 8) * 2 AS o FROM v, range(0, 64) t(i) WHERE id % 2 = 0 OR i < 16)
+SELECT id, CASE WHEN even THEN 80 ELSE 32 END::BIGINT AS size, 8::BIGINT AS width, CASE WHEN even THEN 8 ELSE 2 END::BIGINT AS height, i::INTEGER AS i,
+CASE WHEN even THEN b[i + 1]::DOUBLE ELSE round_even((b[o + 1] + b[o + 2] + b[o + 17] + b[o + 18]) / 4.0::DOUBLE, 0) END AS v FROM g""")
+def transcode_downsize(spark, sf_dir):
+    return decoded_field(transcode.downsized(byte_images(spark, sf_dir), 8))
+
+
+@query(f"""WITH {_BYTES}, g AS (SELECT id, i, b, i % 4 AS x, i // 4 AS y FROM v, range(0, 16) t(i)),
+c AS (SELECT id, i, CASE WHEN id % 2 = 0 THEN (b[y * 16 + x * 2 + 1] + b[y * 16 + x * 2 + 2] + b[y * 16 + x * 2 + 9] + b[y * 16 + x * 2 + 10]) / 4.0::DOUBLE ELSE (b[y * 16 + x * 4 + 2] + b[y * 16 + x * 4 + 3]) / 2.0::DOUBLE END AS v FROM g)
+SELECT id, 32::BIGINT AS size, 4::BIGINT AS width, 4::BIGINT AS height, i::INTEGER AS i, round_even(v, 0) AS v FROM c""")
+def transcode_square(spark, sf_dir):
+    return decoded_field(transcode.import_limited(byte_images(spark, sf_dir), square=4))
+
+
+@query("""SELECT doc_id AS id, CASE WHEN source IS NULL THEN 1 ELSE 2 END::INTEGER AS n_fields, CASE WHEN source IS NULL THEN 0 ELSE 3 END::INTEGER AS kind,
+upper(coalesce(source, '')) AS second, md5(coalesce(text, '')) AS first_md5 FROM documents""")
+def field_replace(spark, sf_dir):
+    t = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("serial"), F.lit(0.0).alias("label"), "text", "source")
+    own = records.make_records(t, [("text", records.NONE), ("source", records.NONE)])
+    upper = F.encode(F.upper(F.decode(records.field(F.col("fields"), 1), "UTF-8")), "UTF-8")
+    new = own.withColumn("fields", records.replace_field(F.col("fields"), 1, upper, records.ANNOTATION_JSON))
+    f = F.col("fields")
+    return new.select("id", F.size(f).alias("n_fields"), records.field_type(f, 1).cast("int").alias("kind"), F.decode(records.field(f, 1), "UTF-8").alias("second"), F.md5(records.field(f, 0)).alias("first_md5"))
+
+
+@query("SELECT page_id AS id, page_id AS serial, (strlen(html) % 7)::DOUBLE AS label, (page_id % 5)::INTEGER AS label2, 0::BIGINT AS size, 0 AS n_fields FROM pages")
+def meta_copy(spark, sf_dir):
+    t = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("page_id").alias("serial"), (F.octet_length("html") % 7).alias("label"), (F.col("page_id") % 5).alias("label2"), "html")
+    bare = records.copy_meta(records.make_records(t, [("html", records.NONE)]))
+    return bare.select("id", "serial", F.col("label").cast("double").alias("label"), F.col("label2").cast("int").alias("label2"), "size", F.size("fields").alias("n_fields"))
+
+
 _STREAM = M.SampleConfig(stratify=True, oversample=True, split=7, split_fold=3, perturb=True, dtype="uint8", channels=3, annotate=(1,), raw=(1,), transforms=({"type": "augment.flip", "horizontal": True}, {"type": "rasterize"}))
 
 

@@ -59,6 +59,12 @@ def replace_field(records_fields: Column, n: int, value: Column, kind: int | Non
     return F.transform(records_fields, lambda f, i: F.when(i == n, new(f)).otherwise(f))
 
 
+def copy_meta(records: DataFrame) -> DataFrame:
+    """New records with the ids, labels and places of others, but without fields."""
+    bare = records.withColumn("fields", F.array().cast(f"array<{FIELD}>")).withColumn("size", F.lit(0).cast("long"))
+    return bare.select(*[c for c in (*INDEX, "fields") if c in bare.columns])
+
+
 def sniff(text: Column) -> Column:
     """What an untyped annotation is: JSON if its first character that is not blank is ``{``, else an image; nothing is nothing."""
     return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, NONE).when(F.regexp_like(text, F.lit(r"^[ \t\n]*\{")), ANNOTATION_JSON).otherwise(ANNOTATION_IMAGE)
@@ -169,8 +175,8 @@ def import_classes(spark: SparkSession, path: str) -> DataFrame:
     return make_records(_numbered(rows), [("content", IMAGE)])
 
 
-def import_list(spark: SparkSession, list_path: str, root: str, kind: str = "label", sep: str = "\t") -> DataFrame:
-    """Lines ``path<sep>value``: ``kind`` is 'label' (a number), 'json' (an annotation) or 'mask' (the path of an image, may be empty). Lines that don't parse, or whose file is missing, are left out."""
+def import_list(spark: SparkSession, list_path: str, root: str, kind: str = "label", sep: str = "\t", keep_path: bool = False) -> DataFrame:
+    """Lines ``path<sep>value``: ``kind`` is 'label' (a number), 'json' (an annotation) or 'mask' (the path of an image, may be empty). Lines that don't parse, or whose file is missing, are left out. ``keep_path``: labelled records get a field of JSON that holds the path as the list has it."""
     lines = spark.read.text(list_path).select(F.split("value", sep, 2).alias("p")).where(F.size("p") >= (1 if kind == "mask" else 2)).select(F.col("p")[0].alias("name"), F.try_element_at("p", F.lit(2)).alias("value"))
     files = _files(spark, root).withColumn("name", F.regexp_replace("path", r"^file:/*", "/"))
     prefix = root.rstrip("/") + "/"
@@ -178,7 +184,8 @@ def import_list(spark: SparkSession, list_path: str, root: str, kind: str = "lab
     rows = lines.withColumn("at", named("name")).join(files.select(F.col("name").alias("at"), "content"), "at").withColumn("path", F.col("name"))
     if kind == "label":
         rows = rows.withColumn("label", F.col("value").try_cast("float")).where("label is not null")
-        return make_records(_numbered(rows), [("content", IMAGE)])
+        rows = rows.withColumn("origin", F.encode(F.to_json(F.struct(F.col("name").alias("path"))), "UTF-8"))
+        return make_records(_numbered(rows), [("content", IMAGE), *([("origin", NONE)] if keep_path else [])])
     rows = rows.withColumn("label", F.lit(0.0))
     if kind == "json":
         return make_records(_numbered(rows.withColumn("note", F.encode("value", "UTF-8"))), [("content", IMAGE), ("note", ANNOTATION_JSON)])
@@ -260,6 +267,16 @@ def raw_bytes(code: Column, rows: Column, cols: Column, size: Column, data: Colu
     return F.concat(little(code), little(rows), little(cols), little(size), data)
 
 
+def raw_size(data: Column) -> Column:
+    """``width`` and ``height`` in a raw matrix's header; null for bytes whose length is not what their header says."""
+    def number(at: int) -> Column:
+        digits = F.hex(F.substring(data, at, 4))
+        return F.conv(F.concat(*[F.substring(digits, k, 2) for k in (7, 5, 3, 1)]), 16, 10).cast("long")
+
+    true = F.octet_length(data) == 16 + number(5) * number(9) * number(13)
+    return F.when((F.octet_length(data) >= 16) & true, F.struct(number(9).alias("width"), number(5).alias("height")))
+
+
 def decode_raw(data: bytes) -> np.ndarray:
     if len(data) < 16:
         raise ValueError("not a raw matrix")

@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from samplery.functions import images, pixels, shapes, uris
-from samplery.operators import datasets
-from samplery.plans import ordering, sampling
+from samplery.operators import datasets, transcode
+from samplery.plans import ordering, sampling, transforms
 from samplery.plans.sampling import SampleConfig
 from samplery.sources import exports, records
 from samplery.streaming import images as stream
@@ -169,3 +169,44 @@ def test_dark_tiles_go(spark):
     rows = spark.createDataFrame([(1, 4, 2, [float(v) for v in (0, 0, 9, 9, 0, 0, 9, 9)])], "id long, width long, height long, image array<double>")
     tiles = datasets.bright_tiles(datasets.grid_tiles(rows, 2, 2), 4, 5.0)
     assert [(r["tile_x"], r["tile_y"]) for r in tiles.collect()] == [(2, 0)]
+
+
+def test_images_in_other_sizes(spark):
+    wide = np.arange(48, dtype=np.int16).reshape(2, 8, 3) - 20
+    images_ = [records.encode_raw(wide), records.encode_raw(np.full((1, 1), 2.5, np.float32)), b"no matrix", b"", records.encode_raw(np.zeros((0, 3), np.uint8))]
+    own = records.make_records(spark.createDataFrame([(k, k, 1.0, bytearray(x), bytearray(b"rest")) for k, x in enumerate(images_)], "id long, serial long, label double, image binary, rest binary"), [("image", records.IMAGE), ("rest", records.NONE)])
+    small = {r["id"]: r for r in transcode.downsized(own, 4).collect()}
+    got = records.decode_raw(bytes(small[0]["fields"][0]["bytes"]))
+    # 8 x 2 pixels become 4 x 1: each the mean of 2 x 2
+    want = np.rint(wide.astype(float).reshape(1, 2, 4, 2, 3).mean(axis=(1, 3)))
+    assert got.dtype == np.int16 and got.shape == (1, 4, 3) and (got == want).all() and small[0]["size"] == 16 + 24 + 4
+    assert all(bytes(small[k]["fields"][0]["bytes"]) == images_[k] for k in (1, 2, 3, 4)) and all(bytes(r["fields"][1]["bytes"]) == b"rest" for r in small.values())
+    large = {r["id"]: records.decode_raw(bytes(r["fields"][0]["bytes"])) for r in transcode.limited(own, 8, 3).where("id < 2").collect()}
+    assert large[0].shape == (3, 12, 3) and large[1].tolist() == [[2.5] * 3] * 3
+    assert transcode.import_limited(own) is own and transcode.downsized(own.where("id < 0"), 4).count() == 0
+    bare = records.copy_meta(own).first()
+    assert bare["fields"] == [] and bare["size"] == 0 and bare["label"] == 1
+
+
+def test_lists_with_their_paths(spark, tmp_path):
+    (tmp_path / "files").mkdir()
+    for name in ("a.bin", "b.bin"):
+        (tmp_path / "files" / name).write_bytes(name.encode())
+    (tmp_path / "list").write_text("b.bin 2\nmissing.bin 3\na.bin 5\nnothing\n")
+    got = records.import_list(spark, str(tmp_path / "list"), str(tmp_path / "files"), sep=" ", keep_path=True).orderBy("id").collect()
+    assert [(r["label"], bytes(r["fields"][0]["bytes"]), json.loads(bytes(r["fields"][1]["bytes"]))) for r in got] == [(5.0, b"a.bin", {"path": "a.bin"}), (2.0, b"b.bin", {"path": "b.bin"})]
+
+
+def test_colours_change_in_other_spaces(spark):
+    config = SampleConfig(perturb=True, seed=5)
+    pixel = [0.2, 0.5, 0.4]
+    rows = spark.createDataFrame([(k, 1, 1, pixel) for k in range(20)], "serial long, width long, height long, image array<double>")
+    run = lambda **t: [r["image"] for r in transforms.apply(rows, [{"type": "augment.add", **t}], config).orderBy("serial").collect()]
+    same = np.array(run(space="SAME", range=0.1)) - pixel
+    assert np.allclose(same, same[:, :1]) and np.ptp(same[:, 0]) > 0.05 and np.abs(same).max() <= 0.1
+    for space in ("HSV", "Lab"):
+        assert np.allclose(run(space=space, range=0), pixel, atol=1e-4)
+    bright = np.array(run(space="HSV", range3=0.1, range1=0, range2=0))
+    assert np.ptp(bright[:, 1]) > 0.05 and np.allclose(bright / bright[:, 1:2], np.array(pixel) / 0.5)  # value alone: hue and saturation stay
+    with pytest.raises(ValueError):
+        run(space="XYZ")
