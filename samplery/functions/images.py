@@ -79,7 +79,7 @@ def erode(image: Column, w: int, h: int, radius: int, border: float = 1.0) -> Co
     return let(let(image, lambda m: along(m, lambda i: i % w, 1, w)), lambda rows: along(rows, lambda i: F.floor(i / w), w, h))
 
 
-def foreground(image: Column, w: int) -> Column:
+def foreground(image: Column, w: Column | int) -> Column:
     """Least and largest x and y of the pixels above 0; null without any."""
     at = F.filter(F.transform(image, lambda v, i: F.when(v > 0, i)), lambda i: i.isNotNull())
     xs, ys = F.transform(at, lambda i: (i % w).cast("int")), F.transform(at, lambda i: F.floor(i / w).cast("int"))

@@ -55,12 +55,23 @@ def validate(transforms: Sequence[dict]) -> None:
 
 
 def apply(rows: DataFrame, transforms: Sequence[dict], config: SampleConfig, place: str = "") -> DataFrame:
+    """The steps in order. An image whose pixels don't make ``width`` x ``height`` is an error."""
     validate(transforms)
+    if transforms and not place and {"image", "width", "height"} <= set(rows.columns):
+        rows = rows.withColumn("image", _agreeing(F.col("image"), F.col("width"), F.col("height")))
     for k, t in enumerate(transforms):
         rows = REGISTRY[t["type"]](rows, t, f"{place}{k}", config)
     return rows
 
 
+def _agreeing(image: Column, width: Column, height: Column) -> Column:
+    """The image, if it has a whole number of channels at this size."""
+    area, n = width * height, F.size(image)
+    agrees = F.coalesce(F.when(area > 0, n % area == 0).otherwise(n == 0), F.lit(False))
+    error = F.raise_error(F.format_string("%d numbers are no image of %s x %s pixels", n, width.cast("string"), height.cast("string")))
+    return F.when(image.isNull() | agrees, image).otherwise(error)
+
+
 def _shapes(rows: DataFrame, change: Callable[[Column], Column]) -> DataFrame:
     return rows.withColumn("shapes", F.transform("shapes", lambda s: s.withField("controls", change(s["controls"]))))
 

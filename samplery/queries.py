@@ -19,12 +19,12 @@ from samplery.functions import uris as U
 from samplery.functions.keys import SEED, integer, uniform
 from samplery.operators import anchors as A
 from samplery.operators import datasets as D
-from samplery.operators import profile, transcode
+from samplery.operators import profile, samples, transcode
 from samplery.plans import sampling as M
 from samplery.plans import transforms as T
 from samplery.plans.transforms import some_of
 from samplery.sources import exports, records
-from samplery.streaming.images import decoded
+from samplery.streaming.images import batch_pictures, decoded
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1064,6 +1064,36 @@ def image_stream(spark, sf_dir):
     return flat.select("draw", "id", "i", F.get("image0.data", F.col("i") * 3 + 1).alias("v"), "label", "channels", flipped.alias("flipped"))
 
 
+@query(f"""WITH {_BYTES}, r AS (SELECT id, b, id % 4 AS x0, 2 + id % 2 * 2 AS w, id % 3 AS y0 FROM v),
+s AS (SELECT count(*) AS n, avg(w / 4.0::DOUBLE) AS aspect FROM r),
+z AS (SELECT n, CASE WHEN aspect < 1 THEN 2 ELSE floor(2 * aspect)::INTEGER END AS sw, CASE WHEN aspect < 1 THEN floor(2 / aspect)::INTEGER ELSE 2 END AS sh FROM s),
+p AS (SELECT id, j, (SELECT avg(b[(y0 + j // 2 * 2 + dy) * 8 + x0 + j % 2 * (w // 2) + dx + 1]) FROM range(0, 2) a(dy), range(0, w // 2) c(dx)) AS m FROM r, range(0, 4) t(j))
+SELECT -1 AS id, format('{{:02X}}{{:02X}}0000', n % 256, n // 256) || format('{{:02X}}000000', sw * sh) || '00000000' AS content FROM z WHERE n > 0
+UNION ALL SELECT id, '0000' || string_agg(format('{{:02X}}00', round_even(m, 0)::INTEGER), '' ORDER BY j) FROM p GROUP BY id""")
+def vector_dump(spark, sf_dir):
+    """Vectors as byte images of 8 x 8 pixels with a marked box of 2 or 4 by 4."""
+    v = F.col("vec_id")
+    byte = F.transform("embedding", lambda x: (F.floor(F.abs(x.cast("double")) * 100) % 256).cast("double"))
+    x0, y0 = v % 4, v % 3
+    inside = lambda i: (i % 8 >= x0) & (i % 8 < x0 + 2 + v % 2 * 2) & (F.floor(i / 8) >= y0) & (F.floor(i / 8) < y0 + 4)
+    facet = lambda data: F.struct(F.lit(8).cast("long").alias("width"), F.lit(8).cast("long").alias("height"), F.lit(1).alias("channels"), data.alias("data"))
+    mask = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(inside(i), 1.0).otherwise(0.0))
+    own = table(spark, sf_dir, "embeddings").select(v.alias("serial"), facet(byte).alias("image"), facet(mask).alias("mask"))
+    return samples.vector_samples(own, 2).select(F.col("place").alias("id"), F.hex("content").alias("content"))
+
+
+@query("WITH " + _ranked_sql("label") + ", e AS (SELECT vec_id AS serial, row_number() OVER (ORDER BY " + sql_key("vec_id", "1") + """, vec_id) - 1 AS draw FROM embeddings)
+SELECT (draw // 16) || '_0_' || (draw % 16) || '.png' AS name, CASE WHEN serial % 2 = 0 THEN 8 ELSE 16 END::BIGINT AS width, CASE WHEN serial % 2 = 0 THEN 8 ELSE 4 END::BIGINT AS height, 2 AS colours FROM e WHERE draw < 48""")
+def batch_dump(spark, sf_dir):
+    """The first three batches of an epoch as pictures, whose sizes are read from their bytes."""
+    own = byte_images(spark, sf_dir)
+    config = M.SampleConfig(channels=3, dtype="uint8", split=1, split_fold=-1)
+    plan = M.draw_order(records.index(own), config).select("draw", "id", "serial")
+    dumped = batch_pictures(decoded(M.with_payload(plan, own.select("serial", "fields")), config), 16, 3)
+    number = lambda at, n: F.conv(F.hex(F.substring("content", at, n)), 16, 10).cast("long")
+    return dumped.select("name", number(17, 4).alias("width"), number(21, 4).alias("height"), number(26, 1).cast("int").alias("colours"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balanced training batches: stratified 7-fold split, oversampled round robin, batches of 32."""
     return batch_meta(spark, sf_dir)

@@ -103,6 +103,20 @@ def decoded(rows: DataFrame, config: M.SampleConfig) -> DataFrame:
     return own.select(*rest, *[f"raw{k}" for k in range(len(config.raw))], *[F.col(c).alias(c.removeprefix("__made_")) for c in out if c != "__made_raster"])
 
 
+def batch_pictures(rows: DataFrame, size: int, batches: int) -> DataFrame:
+    """``name`` and ``content`` of PNGs of the first ``batches`` batches of ``size`` draws: ``{batch}_{facet}_{place in the batch}.png``.
+
+    ``rows`` are those of ``ImageStream.rows``. Facets are its images, then its annotations. What is missing, dropped or
+    a feature, or has neither 1 nor 3 channels, gives no picture but keeps its number.
+    """
+    facets = [c for kind in ("image", "label") for c in rows.columns if c.removeprefix(kind).isdigit()]
+    own = rows.where(F.col("draw") < size * batches)
+    pictured = F.array(*[F.when(~F.get("kinds", F.lit(k)).isin("NONE", "FEATURE"), F.struct(F.lit(k).alias("facet"), F.col(c).alias("own"))) for k, c in enumerate(facets)])
+    each = own.select("draw", F.explode(pictured).alias("x")).where(F.col("x.own.channels").isin(1, 3))
+    name = F.concat(F.concat_ws("_", F.floor(F.col("draw") / size).cast("long"), "x.facet", (F.col("draw") % size).cast("long")), F.lit(".png"))
+    return each.select(name.alias("name"), P.png_encoder(rows.sparkSession)(F.col("x.own.data"), F.col("x.own.width"), F.col("x.own.height")).alias("content"))
+
+
 class ImageStream:
     """Batches of a record table for a dictionary of settings: iterating yields lists of ``Meta`` and one numpy array per facet (None for a facet that was dropped or has nothing).
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from samplery.functions import images, pixels, shapes, uris
-from samplery.operators import datasets, transcode
+from samplery.operators import datasets, samples, transcode
 from samplery.plans import ordering, sampling, transforms
 from samplery.plans.sampling import SampleConfig
 from samplery.sources import exports, records
@@ -210,3 +210,47 @@ def test_colours_change_in_other_spaces(spark):
     assert np.ptp(bright[:, 1]) > 0.05 and np.allclose(bright / bright[:, 1:2], np.array(pixel) / 0.5)  # value alone: hue and saturation stay
     with pytest.raises(ValueError):
         run(space="XYZ")
+
+
+def test_batches_as_pictures(spark, db, tmp_path):
+    """Spark's image source gives the pixels back; dropped facets keep their number."""
+    s = stream.ImageStream(spark, {"db": db, "loop": False, "batch": 4, "channels": 3, "dtype": "uint8", "images": [0, 0], "annotate": [1], "transforms": [{"type": "rasterize"}, {"type": "drop", "index": 1}]})
+    rows = s.rows()
+    got = {r["name"]: bytes(r["content"]) for r in stream.batch_pictures(rows, 4, 2).collect()}
+    assert sorted(got) == sorted(f"{b}_{f}_{k}.png" for b in range(2) for f in (0, 2) for k in range(4))
+    ids = {r["draw"]: r["id"] for r in rows.select("draw", "id").collect()}
+    for name, content in got.items():
+        (tmp_path / name).write_bytes(content)
+    for r in spark.read.format("image").load(str(tmp_path)).select("image.*").collect():
+        batch, facet, k = (int(x) for x in r["origin"].rsplit("/", 1)[1][:-4].split("_"))
+        pixels_ = np.frombuffer(bytes(r["data"]), np.uint8).reshape(r["height"], r["width"], r["nChannels"])
+        i = ids[batch * 4 + k]
+        want = np.zeros((SIDE, SIDE, 1))
+        want[:2, 1:3] = i % 3 + 1
+        assert (pixels_ == (picture(i) if facet == 0 else want)).all()
+    assert stream.batch_pictures(rows.where("draw < 0"), 4, 2).count() == 0
+    with pytest.raises(ValueError):
+        pixels.encode_png(np.zeros((2, 2, 2)))
+    assert pixels.encode_png(np.array([[[-3.0], [300.0]]])) == pixels.encode_png(np.array([[[0.0], [255.0]]]))
+
+
+def test_vector_samples(spark):
+    facet = "struct<width:long,height:long,channels:int,data:array<double>>"
+    image = [float(v) for v in range(12)]
+    mask = [float(v) for v in (0, 0, 0, 0, 0, 1, 1, 0, 0, 0, 1, 0)]
+    rows = [(5, (4, 3, 1, image), (4, 3, 1, mask)), (6, (4, 3, 3, [float(v) for v in np.repeat(image, 3)]), (4, 3, 1, mask)), (7, (4, 3, 1, image), (4, 3, 1, [0.0] * 12)), (8, None, (4, 3, 1, mask)), (9, (4, 3, 1, image), None)]
+    own = spark.createDataFrame(rows, f"serial long, image {facet}, mask {facet}")
+    got = {r["place"]: bytes(r["content"]) for r in samples.vector_samples(own, 2).collect()}
+    body = struct.pack("<5h", 0, 5, 6, 9, 10)
+    assert got == {-1: struct.pack("<iihh", 2, 4, 0, 0), 5: body, 6: body}
+    assert samples.vector_samples(own.where("serial > 6"), 2).count() == 0
+    assert samples.sample_size(0.75, 2) == (2, 2) and samples.sample_size(1.5, 10) == (15, 10)
+
+
+def test_images_agree_with_their_sizes(spark):
+    rows = lambda n, w: spark.createDataFrame([(1, w, 2, [1.0] * n), (2, None, None, None)], "serial long, width long, height long, image array<double>")
+    steps = [{"type": "normalize", "mean": 1}]
+    assert transforms.apply(rows(12, 3), steps, SampleConfig()).where("serial = 1").first()["image"] == [0.0] * 12
+    for n, w in ((13, 3), (4, 0)):
+        with pytest.raises(Exception, match="are no image of"):
+            transforms.apply(rows(n, w), steps, SampleConfig()).collect()
