@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from samplery.llm import embed_dedup, langid, line_dedup, mixing, ordinal, pieces, rules, sharding, simhash, warc
+from samplery.llm import embed_dedup, langid, line_dedup, mixing, ordinal, pieces, pii, prefix_trie, rules, sharding, simhash, vector_codes, warc
+
+
+#: The kinds of personal data that operator 11 counts.
+BASE = ("email", "ip", "card", "phone")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +64,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("__pii")
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(pii.of_kinds(spans, kind)).cast("long").alias(f"n_{kind}") for kind in BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(pii.of_kinds(spans, *BASE)), 256).alias("base_sha256"), pii.listed(spans).alias("spans"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", F.col("__code").alias("code"), F.col("__error").alias("error"), F.col("__label_error").alias("label_error"), F.col("__codebooks").alias("codebooks_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), change=prefix_trie.rebuilt)
+
+
 def sharding_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 4 with a limit of 64 KiB, at which small tables split over several levels too."""
     sharded = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 1 << 16)
@@ -84,6 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_warc": op10_warc,
+    "op11_pii": op11_pii,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_prefix_trie": op13_prefix_trie,
     "sharding_levels": sharding_levels,
     "warc_revisits": warc_revisits,
 }
@@ -117,7 +140,98 @@ SELECT doc_id, n_bytes, depth::INTEGER AS depth, CASE WHEN depth = 0 THEN '' ELS
 FROM h JOIN own USING (rn) JOIN held ON held.d = depth AND held.p = h >> (60 - depth)"""
 
 
+def _vector_codes_sql(rounds: int = 2) -> str:
+    ctes = [r"""
+v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rn, vec_id, label,
+         list_transform(embedding, lambda x: least(greatest(floor(x::DOUBLE * 256), -67108864), 67108864)::BIGINT) AS e
+  FROM embeddings WHERE embedding IS NOT NULL AND list_position(embedding, NULL) IS NULL AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0),
+w AS (SELECT ((max(len(e)) + 15) // 16)::BIGINT AS size FROM v),
+c AS MATERIALIZED (SELECT rn, p, list_transform(range(p * size, (p + 1) * size), lambda k: coalesce(e[k + 1], 0)) AS x FROM v, w, range(16) r(p)),
+b0 AS MATERIALIZED (SELECT p, rn - 1 AS k, x FROM c WHERE rn <= 64)"""]
+    for r in range(rounds + 1):
+        ctes.append(rf"""
+a{r} AS MATERIALIZED (
+  SELECT rn, p, arg_min(k, (d, k)) AS k, min(d) AS d
+  FROM (SELECT c.rn, c.p, b.k, list_sum(list_transform(list_zip(c.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM c JOIN b{r} b ON c.p = b.p) GROUP BY rn, p)""")
+        if r < rounds:
+            ctes.append(rf"""
+m{r} AS (SELECT p, k, list(m ORDER BY j) AS x FROM (
+  SELECT p, k, j, floor(sum(y) / count(*))::BIGINT AS m
+  FROM (SELECT c.p, a.k, unnest(c.x) AS y, generate_subscripts(c.x, 1) AS j FROM c JOIN a{r} a ON c.rn = a.rn AND c.p = a.p) GROUP BY p, k, j) GROUP BY p, k),
+b{r + 1} AS MATERIALIZED (SELECT b.p, b.k, coalesce(m.x, b.x) AS x FROM b{r} b LEFT JOIN m{r} m ON b.p = m.p AND b.k = m.k)""")
+    return "WITH " + ",".join(ctes) + rf""",
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, k)) AS sha FROM b{rounds}),
+o AS (SELECT rn, string_agg(lpad(lower(hex(k)), 2, '0'), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY rn)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, sha AS codebooks_sha256 FROM v JOIN o USING (rn), h"""
+
+
+def _pii_sql() -> str:
+    """Each kind's matches with the gaps around them, checked and scored; RE2 has no possessive quantifiers and needs none."""
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    part = "0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+    size = "CASE WHEN n IS NULL THEN 0 WHEN len(replace(m[:n], ' ', '')) = n THEN n WHEN len(replace(m[:n + (n - 1) // 4], ' ', '')) = n THEN n + (n - 1) // 4 ELSE 0 END"
+    luhn = f"list_sum(list_transform(range(len({digits})), lambda k: CASE WHEN k % 2 = 0 THEN {digits}[len({digits}) - k]::INT ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][{digits}[len({digits}) - k]::INT + 1] END)) % 10 = 0"
+    lengths = ", ".join(f"('{x[:2]}', {x[2:]})" for x in pii.IBAN_LENGTHS.split())
+    apart = "AND NOT regexp_matches(g[-4:], '{}') AND NOT regexp_matches(a[:1], '[0-9]')"
+    code = "replace(m[:size], ' ', '')"
+    mod97 = f"list_reduce(list_prepend(0, list_transform(string_split({code}[5:] || {code}[:4], ''), lambda ch: instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', ch) - 1)), lambda r, x: (r * CASE WHEN x < 10 THEN 10 ELSE 100 END + x) % 97) = 1"
+    rules = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", rf"regexp_matches(m, '^{part}(\.{part}){{3}}$')"),
+        "card": (r"[0-9]([\x20-]?[0-9])+", f"CASE WHEN len({digits}) BETWEEN 13 AND 19 THEN {luhn} ELSE false END"),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"len({digits}) BETWEEN 9 AND 15"),
+        "iban": (r"[A-Z]{2}[0-9]{2}(\x20?[A-Z0-9])+", f"CASE WHEN size = 0 THEN false ELSE NOT regexp_matches(g[-1:], '[A-Za-z0-9]') AND m[size + 1:size + 1] IN ('', ' ') AND NOT (size = len(m) AND regexp_matches(a[:1], '[A-Za-z0-9]')) AND {mod97} END"),
+        "local_phone": (r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}", "true " + apart.format("[0-9+][ .(-]*$")),
+        "national_id": (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "true " + apart.format("[0-9-]$") + " AND NOT starts_with(a, '-') AND NOT regexp_matches(m, '^(000|666|9)|-00-|0000$')"),
+    }
+    near = f"translate(g[-{pii.BEFORE}:] || ' # ' || a[:{pii.AFTER}], '{pii.UPPER}', '{pii.LOWER}')"
+    parts = []
+    for i, k in enumerate(pii.KINDS):
+        pattern, holds = rules[k.name]
+        score = f"{k.prior} + CASE WHEN regexp_matches({near}, '(^|[^a-z])({k.words})($|[^a-z])') THEN {pii.FOR} ELSE 0 END"
+        if k.against:
+            score += f" + CASE WHEN regexp_matches({near}, '(^|[^a-z])({k.against})($|[^a-z])') THEN {pii.AGAINST} ELSE 0 END"
+        least = "" if k.always else f" AND {score} >= {pii.THRESHOLD}"
+        parts.append(rf"""
+SELECT rn, {i} AS o, '{k.name}' AS kind, start, start + {'size' if k.length else 'len(m)'} AS stop FROM (
+  SELECT *, {size if k.length else '0'} AS size FROM (
+    SELECT rn, ms[i] AS m, gs[i] AS g, gs[i + 1] AS a, (list_sum(list_transform(gs[:i], lambda x: len(x))) + coalesce(list_sum(list_transform(ms[:i - 1], lambda x: len(x))), 0))::BIGINT AS start
+    FROM (SELECT rn, ms, string_split_regex(text, '{pattern}') AS gs, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT rn, text, regexp_extract_all(text, '{pattern}') AS ms FROM t) WHERE len(ms) > 0))
+  LEFT JOIN (VALUES {lengths if k.length else "('', 0)"}) l(country, n) ON country = m[:2]) WHERE {holds}{least}""")
+    union = " UNION ALL ".join(parts)
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)
+    return rf"""
+WITH t AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS text FROM documents),
+s AS ({union}),
+d AS (SELECT rn, {counts}, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY o, start) AS spans, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY o, start) FILTER (o < {len(BASE)}) AS base FROM s GROUP BY rn)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN d USING (rn)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_pii": _pii_sql(),
+    "op12_vector_codes": _vector_codes_sql(),
+    "op13_prefix_trie": r"""
+WITH t AS (
+  SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))[:32] || lpad(lower(hex(strlen(coalesce(text, '')))), 8, '0') AS code
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT c, list({'code': code, 'size': strlen(text)} ORDER BY turn NULLS FIRST, code) AS codes,
+         xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(c::VARCHAR, ''), lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda r, x: CASE WHEN x >= 0 THEN xor(r, x) ELSE xor(r >> 1, 3988292384 * (r & 1)) END), 4294967295) % 9 AS h
+  FROM t GROUP BY c),
+r AS (SELECT o.c, list_concat(coalesce(b.codes[:o.h], []), o.codes[o.h + 1:]) AS codes FROM own o LEFT JOIN own b ON b.c = o.c - o.c % 5),
+p AS MATERIALIZED (SELECT c, d, list_transform(codes[:d], lambda x: x.code) AS prefix, CASE WHEN d > 0 THEN codes[d].size ELSE 0 END AS size, d = len(codes) AS ends FROM (SELECT c, codes, unnest(range(len(codes) + 1)) AS d FROM r)),
+node AS MATERIALIZED (SELECT d, prefix, min(c) AS v, count(*) AS n, any_value(size) AS size, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM p GROUP BY d, prefix),
+own_node AS MATERIALIZED (SELECT p.c, p.d, node.v FROM p JOIN node ON p.d = node.d AND p.prefix = node.prefix),
+child AS (SELECT a.v, a.d, count(*) AS k FROM node x JOIN own_node a ON a.c = x.v AND a.d = x.d - 1 GROUP BY a.v, a.d),
+under AS (SELECT a.v, a.d, sum((x.n - 1) * x.size) AS saved, count(*) FILTER (child.k IS NULL) AS leaves
+  FROM node x JOIN own_node a ON a.c = x.v AND a.d <= x.d LEFT JOIN child ON child.v = x.v AND child.d = x.d GROUP BY a.v, a.d)
+SELECT node.v AS conv_id, node.d::BIGINT AS depth, a.v AS parent_conv_id, node.n::BIGINT AS n_convs, coalesce(child.k, 0)::BIGINT AS n_children,
+       under.leaves::BIGINT AS n_leaves, under.saved::BIGINT AS saved_tokens, ends_sha256
+FROM node LEFT JOIN own_node a ON a.c = node.v AND a.d = node.d - 1 LEFT JOIN child ON child.v = node.v AND child.d = node.d JOIN under ON under.v = node.v AND under.d = node.d""",
     "op1_mixing": r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
