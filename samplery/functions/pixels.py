@@ -82,12 +82,15 @@ def resize(images: np.ndarray, w: int, h: int, width: int, height: int, channels
     return got.reshape(len(images), -1)
 
 
-def rotate(images: np.ndarray, w: int, h: int, degrees: float, channels: int = 1, border: str = "constant") -> np.ndarray:
-    """Turns about (w div 2, h div 2) as points turn; every target pixel samples its source point."""
+def rotate(images: np.ndarray, w: int, h: int, degrees: float, channels: int = 1, border: str = "constant", nearest: bool = False) -> np.ndarray:
+    """Turns about (w div 2, h div 2) as points turn; every target pixel samples its source point, linearly or at the nearest pixel (halves up)."""
     a, b = np.cos(np.radians(degrees)), np.sin(np.radians(degrees))
     y, x = np.mgrid[0:h, 0:w]
     dx, dy = x - w // 2, y - h // 2
-    got = _sample(images.reshape(len(images), h, w, channels), h, w, b * dx + a * dy + h // 2, a * dx - b * dy + w // 2, border)
+    ys, xs = b * dx + a * dy + h // 2, a * dx - b * dy + w // 2
+    if nearest:  # the sum of tiny errors must not decide at a half
+        ys, xs = (np.floor(np.round(v, 9) + 0.5) for v in (ys, xs))
+    got = _sample(images.reshape(len(images), h, w, channels), h, w, ys, xs, border)
     return got.reshape(len(images), -1)
 
 
@@ -266,6 +269,14 @@ def convert(image: np.ndarray, channels: int, dtype: str) -> np.ndarray:
     return np.clip(np.rint(image), ends.min, ends.max)
 
 
+def as_dtype(values: np.ndarray, dtype: str) -> np.ndarray:
+    """Whole types round to the nearest and stop at their ends."""
+    if dtype == "float32":
+        return values.astype(np.float32)
+    ends = np.iinfo(dtype)
+    return np.clip(np.rint(values), ends.min, ends.max).astype(dtype)
+
+
 def erode(image: np.ndarray, w: int, h: int, channels: int, radius: int, iterations: int = 1, border: str = "constant") -> np.ndarray:
     """Least value in a square, ``iterations`` times; outside counts 1, or nothing but the mirrored or repeated pixels."""
     reach = radius * iterations
@@ -305,28 +316,6 @@ def draw(canvas: np.ndarray, w: int, h: int, kind: str, points: np.ndarray, colo
     canvas[on] = colour
 
 
-def drawer(spark: SparkSession, channels: int, thickness: int) -> Callable[..., Column]:
-    """A pandas UDF of a canvas (null: zeros), width, height and shapes' types, controls, colours and ring sizes; later shapes cover earlier ones."""
-    ship(spark)
-
-    @F.pandas_udf("array<double>")
-    def run(canvases: pd.Series, widths: pd.Series, heights: pd.Series, kinds: pd.Series, controls: pd.Series, colours: pd.Series, rings: pd.Series) -> pd.Series:
-        out = []
-        for base, w, h, *own in zip(canvases, widths, heights, kinds, controls, colours, rings, strict=True):
-            if w is None or w != w:
-                out.append(None)
-                continue
-            w, h = int(w), int(h)
-            deep = channels if base is None else len(base) // (w * h)
-            canvas = np.zeros((h, w, deep)) if base is None else np.array(base, np.float64).reshape(h, w, deep)
-            for kind, points, colour, sizes in zip(*[() if x is None else x for x in own], strict=True):
-                draw(canvas, w, h, kind, np.array([(p["x"], p["y"]) for p in points], np.float64), np.resize(np.asarray(colour, np.float64), deep), thickness, None if sizes is None else list(sizes))
-            out.append(canvas.ravel())
-        return pd.Series(out, dtype=object)
-
-    return run
-
-
 def keypoint_maps(spark: SparkSession, classes: int, downsize: int, radius: float) -> Callable[..., Column]:
     """A pandas UDF of width, height and shapes' labels (from 1) and controls: per cell and class 1 and the offset (x, y) to a point within ``radius`` pixels, else zeros; later points overwrite."""
     ship(spark)
@@ -354,6 +343,44 @@ def keypoint_maps(spark: SparkSession, classes: int, downsize: int, radius: floa
     return run
 
 
+# --- colour spaces of matrices (..., 3): the same rules as those of single pixels below
+
+
+def hsv_of(image: np.ndarray) -> np.ndarray:
+    """Hue in degrees, saturation and value, of blue, green and red in [0, 1]."""
+    b, g, r = np.moveaxis(image, -1, 0)
+    v = image.max(axis=-1)
+    d = v - image.min(axis=-1)
+    by = np.where(d == 0, 1.0, d)
+    hue = np.select([d == 0, v == r, v == g], [0.0 * d, 60 * (g - b) / by, 120 + 60 * (b - r) / by], 240 + 60 * (r - g) / by)
+    return np.stack([np.where(hue < 0, hue + 360, hue), np.where(v == 0, 0.0, d / np.where(v == 0, 1.0, v)), v], axis=-1)
+
+
+def bgr_of_hsv(image: np.ndarray) -> np.ndarray:
+    h, s, v = np.moveaxis(image, -1, 0)
+    k = [(shift + h / 60) % 6 for shift in (1, 3, 5)]
+    return np.stack([v - v * s * np.clip(np.minimum(x, 4 - x), 0, 1) for x in k], axis=-1)
+
+
+def lab_of(image: np.ndarray) -> np.ndarray:
+    """CIE L*, a*, b* (D65) of sRGB channels in [0, 1]."""
+    b, g, r = np.moveaxis(np.where(image > 0.04045, ((np.maximum(image, 0) + 0.055) / 1.055) ** 2.4, image / 12.92), -1, 0)
+    x, y, z = (0.412453 * r + 0.357580 * g + 0.180423 * b) / _WHITE[0], 0.212671 * r + 0.715160 * g + 0.072169 * b, (0.019334 * r + 0.119193 * g + 0.950227 * b) / _WHITE[2]
+    fx, fy, fz = (np.where(t > 0.008856, np.cbrt(t), 7.787 * t + 16 / 116) for t in (x, y, z))
+    return np.stack([np.where(y > 0.008856, 116 * np.cbrt(y) - 16, 903.3 * y), 500 * (fx - fy), 200 * (fy - fz)], axis=-1)
+
+
+def bgr_of_lab(image: np.ndarray) -> np.ndarray:
+    l, a, b = np.moveaxis(image, -1, 0)  # noqa: E741
+    dark = l <= 7.9996
+    y = np.where(dark, l / 903.3, ((l + 16) / 116) ** 3)
+    fy = np.where(dark, 7.787 * y + 16 / 116, (l + 16) / 116)
+    x, z = (np.where(f > 0.206893, f**3, (f - 16 / 116) / 7.787) * white for f, white in ((fy + a / 500, _WHITE[0]), (fy - b / 200, _WHITE[2])))
+    lines = np.stack([0.055648 * x - 0.204043 * y + 1.057311 * z, -0.969256 * x + 1.875991 * y + 0.041556 * z, 3.240479 * x - 1.537150 * y - 0.498535 * z], axis=-1)
+    lines = np.clip(lines, 0, 1)
+    return np.where(lines > 0.0031308, 1.055 * np.maximum(lines, 1e-12) ** (1 / 2.4) - 0.055, 12.92 * lines)
+
+
 # --- colour spaces of single pixels: built-in expressions on (blue, green, red)
 
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -40,33 +38,39 @@ def downsize(w: Column, h: Column, size: int) -> tuple[Column, Column]:
     return resize(w, h, max_size=size)
 
 
-class Clip(NamedTuple):
-    """One axis of a clip: the result's size, where the source window begins and its length, where it lands, and what points move by."""
-
-    size: Column
-    begin: Column
-    length: Column
-    to: Column
-    move: Column
-
-
-def clip_axis(s: Column, crop1: Column, crop2: Column, least: int, most: int, multiple: int, shift: Column, draw: Column) -> Clip:
-    """Crops both ends, keeps at least ``least`` and at most ``most`` (0: any), rounds down to ``multiple``, shifts the window; ``draw`` (0 without perturbation) places it where it is smaller or larger."""
-    e = F.greatest(s, F.lit(least)).cast("long")
-    lack = F.greatest(crop1 + crop2 - (e - least), F.lit(0))
-    give2 = F.least(crop2, lack - F.least(crop1, div(lack, 2)))  # what one crop cannot give back, the other does
-    c1, c2 = crop1 - (lack - give2), crop2 - give2
-    e = F.when((F.lit(most) > 0) & (e - c1 - c2 > most), most + c1 + c2).otherwise(e)
-    e = e - (e - c1 - c2) % multiple if multiple else e
-    out = e - c1 - c2
-    begin = c1 + F.greatest(shift, F.lit(0))
-    length = F.greatest(s - c1 - c2 - F.greatest(shift, F.lit(0)), F.lit(0))
-    to = F.greatest(-shift, F.lit(0))
-    room = F.greatest(out - to, F.lit(0))
-    pad, cut = F.greatest(room - length, F.lit(0)), F.greatest(length - room, F.lit(0))
-    to2 = F.when((pad > 0) & (begin == 0), to + draw % F.greatest(pad, F.lit(1))).otherwise(to)
-    begin2 = F.when((cut > 0) & (to == 0), begin + draw % F.greatest(cut, F.lit(1))).otherwise(begin)
-    return Clip(out, begin2, F.least(length, room), to2, to2 - begin2)
+def clip_stages(p: str, s: Column, crop1: Column, crop2: Column, least: int, most: int, multiple: int, shift: Column, draw: Column) -> list[dict[str, Column]]:
+    """Columns to add one dictionary after the other, each from those before, so that no expression is repeated inside another. Under names that begin with ``p``: the result's ``size`` on one axis, where the source window ``begin``s and its ``length``, where it lands (``to``), and what points ``move`` by.
+
+    Crops both ends, keeps at least ``least`` and at most ``most`` (0: any), rounds down to ``multiple``, shifts the
+    window; ``draw`` (0 without perturbation) places it where it is smaller or larger.
+    """
+    c = lambda name: F.col(p + name)
+    inner = c("grown") - c("c1") - c("c2")
+    cut = F.when((F.lit(most) > 0) & (inner > most), most + c("c1") + c("c2")).otherwise(c("grown"))
+    stages = [
+        {"grown": F.greatest(s, F.lit(least)).cast("long")},
+        {"lack": F.greatest(crop1 + crop2 - (c("grown") - least), F.lit(0))},
+        {"give": F.least(crop2, c("lack") - F.least(crop1, div(c("lack"), 2)))},  # what one crop cannot give back, the other does
+        {"c1": crop1 - (c("lack") - c("give")), "c2": crop2 - c("give")},
+        {"whole": cut - c("c1") - c("c2")},
+        {"size": c("whole") - c("whole") % multiple if multiple else c("whole"), "at": c("c1") + F.greatest(shift, F.lit(0)), "left": F.greatest(s - c("c1") - c("c2") - F.greatest(shift, F.lit(0)), F.lit(0)), "to0": F.greatest(-shift, F.lit(0))},
+        {"room": F.greatest(c("size") - c("to0"), F.lit(0))},
+        {"pad": F.greatest(c("room") - c("left"), F.lit(0)), "cut": F.greatest(c("left") - c("room"), F.lit(0))},
+        {
+            "to": F.when((c("pad") > 0) & (c("at") == 0), c("to0") + draw % F.greatest(c("pad"), F.lit(1))).otherwise(c("to0")),
+            "begin": F.when((c("cut") > 0) & (c("to0") == 0), c("at") + draw % F.greatest(c("cut"), F.lit(1))).otherwise(c("at")),
+            "length": F.least(c("left"), c("room")),
+        },
+        {"move": c("to") - c("begin")},
+    ]
+    return [{p + k: v for k, v in stage.items()} for stage in stages]
+
+
+def clip_axis(rows: DataFrame, p: str, *axis) -> DataFrame:
+    """Adds the columns of ``clip_stages``."""
+    for stage in clip_stages(p, *axis):
+        rows = rows.withColumns(stage)
+    return rows
 
 
 def square_window(s: Column, target: int, draw: Column | None = None) -> tuple[Column, Column]:

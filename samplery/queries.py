@@ -6,6 +6,7 @@ its type among the five) or of ``documents``; an annotated image is an order, it
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -756,8 +757,9 @@ i AS (SELECT *, CASE WHEN pad > 0 AND beg = 0 THEN dst + r % greatest(pad, 1) EL
 SELECT image, out AS size, beg2 AS begin_at, least(len, room) AS length, dst2 AS to_at, dst2 - beg2 AS move FROM i""")
 def clip_axis(spark, sf_dir):
     i = lambda k, n: integer(f"clip.{k}", n, F.col("image"))
-    c = Z.clip_axis(F.col("width"), i("c1", 20), i("c2", 20), 100, 200, 8, i("sh", 13) - 6, i("r", 1 << 20))
-    return pictures(spark, sf_dir).select("image", c.size.cast("long").alias("size"), c.begin.cast("long").alias("begin_at"), c.length.cast("long").alias("length"), c.to.cast("long").alias("to_at"), c.move.cast("long").alias("move"))
+    drawn = pictures(spark, sf_dir).withColumns({"c1": i("c1", 20), "c2": i("c2", 20), "shift": i("sh", 13) - 6, "place": i("r", 1 << 20)})
+    own = Z.clip_axis(drawn, "x_", F.col("width"), F.col("c1"), F.col("c2"), 100, 200, 8, F.col("shift"), F.col("place"))
+    return own.select("image", *[F.col(f"x_{k}").cast("long").alias(n) for k, n in (("size", "size"), ("begin", "begin_at"), ("length", "length"), ("to", "to_at"), ("move", "move"))])
 
 
 @query("WITH " + PIC + " SELECT image, least(width, height) AS side, CASE WHEN width > height THEN greatest(0, least((width - height) // 2 + 5, width - height)) ELSE 0 END AS x, CASE WHEN height > width THEN greatest(0, least((height - width) // 2 + 5, height - width)) ELSE 0 END AS y FROM p")
@@ -958,8 +960,8 @@ _SHIFT = f"least(greatest(2 + floor({_u('1.shift')} * 5)::BIGINT - 2, 0), 4) AS
 _step("step_clip_square", _step_sql(_SHIFT, sx="x + o", corners=("ax - o", "ay", "bx - o", "by_")), {"type": "pad", "width": 12, "height": 8}, {"type": "clip_square", "shift": 2})
 _WINDOW = ", ".join(f"floor({_u('0.' + a)} * 1048576)::BIGINT % 4 AS o{a}" for a in "xy")
 _step("step_square_clip", _step_sql(_WINDOW, "11", "11", 121, "x - ox", "y - oy", _WHOLE.format("0.5::DOUBLE"), ("ax + ox", "ay + oy", "bx + ox", "by_ + oy")), {"type": "random_square_clip", "size": 11, "pad": 0.5})
-_step("step_normalize", _step_sql(value="(e[i + 1] - [0.1::DOUBLE, -0.2::DOUBLE][i % 2 + 1]) / [0.5::DOUBLE, 2.0::DOUBLE][i % 2 + 1]"), {"type": "normalize", "mean": [0.1, -0.2], "std": [0.5, 2.0]})
-_step("step_add", _step_sql(", ".join(f"-0.5::DOUBLE + (0.5::DOUBLE - -0.5::DOUBLE) * {_u(f'0.add{k}')} AS d{k}" for k in (0, 1)), value="e[i + 1] + CASE WHEN i % 2 = 0 THEN d0 ELSE d1 END"), {"type": "augment.add", "range": 0.5, "channels": 2})
+_step("step_normalize", _step_sql(value="(e[i + 1] - 0.1::DOUBLE) / 0.5::DOUBLE"), {"type": "normalize", "mean": [0.1, -0.2], "std": [0.5, 2.0]})
+_step("step_add", _step_sql(f"-0.5::DOUBLE + (0.5::DOUBLE - -0.5::DOUBLE) * {_u('0.add0')} AS d0", value="e[i + 1] + d0"), {"type": "augment.add", "range": 0.5, "range2": 7})
 _step("step_flip_color", _step_sql(f"{_u('0.flip_color')} < 0.5 AS f", value="CASE WHEN f THEN 255 - e[i + 1] ELSE e[i + 1] END"), {"type": "augment.flip_color"})
 _step("step_blur", _step_sql(value=_blurred("constant")), {"type": "augment.blur", "min": 1, "max": 1})
 _step("step_colorspace", _step_sql("", "8", "8", 64, value="e[i + 1] * 2"), {"type": "colorspace", "code": "GRAY2BGR", "mul0": 2}, {"type": "colorspace", "code": "BGR2RGB"}, {"type": "colorspace", "code": "BGR2GRAY"})
@@ -967,6 +969,79 @@ _step("step_sometimes", _step_sql(f"{_u('0.chance')} <= 0.4 AS f, {_u('0.0.horiz
 _PICKS = ", list_contains(list_transform(list_sort(list_transform([0, 1, 2], lambda k: md5(concat_ws(':', '2016', '0.pick', k::VARCHAR, id::VARCHAR)) || k::VARCHAR))[1:2], lambda t: substr(t, 33, 1)), '{}') AS p{}"
 _step("step_some_of", _step_sql("1 AS one" + "".join(_PICKS.format(k, k) for k in range(3)) + f", {_u('0.1.0.horizontal')} < 0.5 AS g", value="(CASE WHEN p0 THEN 10 ELSE 1 END) * " + _WHOLE.format("0.0::DOUBLE") + " - CASE WHEN p2 THEN 0.25 ELSE 0 END", sx="CASE WHEN p1 AND g THEN 7 - x ELSE x END", corners=("CASE WHEN p1 AND g THEN 8 - ax ELSE ax END", "ay", "CASE WHEN p1 AND g THEN 8 - bx ELSE bx END", "by_")), {"type": "some_of", "count": 2, "transforms": [{"type": "normalize", "std": 0.1}, {"type": "augment.flip", "horizontal": True}, {"type": "normalize", "mean": 0.25}]})
 
+# --- the same steps on rows with an image of three channels and a mask: labels keep their values
+
+
+def faceted(spark, sf_dir):
+    """Every vector as a 5 x 4 image of three channels, a mask of that size with the classes 0 to 2, and one rectangle."""
+    v, e = F.col("vec_id"), F.transform("embedding", lambda x: x.cast("double"))
+    rect = S.rect_controls(*[c.cast("double") for c in (v % 3, F.lit(1), F.lit(2), F.lit(2))])
+    shape = F.struct(F.lit("rect").alias("type"), F.lit(7.0).alias("label"), rect.alias("controls"))
+    mask = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: (F.floor(F.abs(F.get(F.col("embedding"), i * 3).cast("double")) * 100) % 3).cast("double"))
+    return table(spark, sf_dir, "embeddings").select(v.alias("serial"), F.lit(5).cast("long").alias("width"), F.lit(4).cast("long").alias("height"), F.array(shape).alias("shapes"), F.slice(e, 1, 60).alias("image"), mask.alias("label"))
+
+
+_PIXEL = "e[(({y}) * 5 + ({x})) * 3 + c + 1]"
+_CLASS = "m[({y}) * 5 + ({x}) + 1]"
+
+
+def _at(pixel: str, x: str, y: str, outside: str = "0.0::DOUBLE") -> str:
+    """A pixel at whole coordinates, or what counts outside."""
+    return f"CASE WHEN {x} BETWEEN 0 AND 4 AND {y} BETWEEN 0 AND 3 THEN {pixel.format(x=x, y=y)} ELSE {outside} END"
+
+
+def _between(pixel: str, replicate: bool = True) -> str:
+    """Linear between the four pixels about (sx, sy)."""
+    near = lambda dx, dy: pixel.format(x=f"least(greatest(x0 + {dx}, 0), 4)", y=f"least(greatest(y0 + {dy}, 0), 3)") if replicate else _at(pixel, f"(x0 + {dx})", f"(y0 + {dy})")
+    return "(" + " + ".join(f"abs({1 - dy} - (sy - y0)) * abs({1 - dx} - (sx - x0)) * {near(dx, dy)}" for dy in (0, 1) for dx in (0, 1)) + ")"
+
+
+def _facet_sql(image: str = _at(_PIXEL, "sx", "sy"), mask: str = _at(_CLASS, "sx", "sy"), params: str = "", w: str = "5", h: str = "4", sx: str = "x", sy: str = "y", channels: int = 3, label: str = "LABEL", more: str = "") -> str:
+    """Pixels of facets 0 and 1 after a step, those of the w x h result being taken from (sx, sy)."""
+    return f"""WITH r AS (SELECT vec_id AS id, embedding[1:60]::DOUBLE[] AS e, list_transform(range(0, 20), lambda i: (floor(abs(embedding[i * 3 + 1]::DOUBLE) * 100)::BIGINT % 3)::DOUBLE) AS m FROM embeddings),
+s AS (SELECT *, ({w})::BIGINT AS w, ({h})::BIGINT AS h FROM (SELECT *{', ' + params if params else ''} FROM r)), g AS (SELECT *, i % w AS x, i // w AS y FROM s, range(0, 200) t(i) WHERE i < w * h),
+n AS (SELECT *, {sx} AS sx, {sy} AS sy FROM g), k AS (SELECT *, floor(sx)::BIGINT AS x0, floor(sy)::BIGINT AS y0 FROM n)
+SELECT id, 0 AS facet, 'IMAGE' AS kind, w AS width, h AS height, (i * {channels} + c)::INTEGER AS i, {sql_r6(image)} AS v FROM k, range(0, {channels}) u(c)
+UNION ALL SELECT id, 1, '{label}', w, h, i::INTEGER, {sql_r6(mask)} FROM k{more}"""
+
+
+def _facet(name: str, sql: str, *steps: dict) -> None:
+    def run(spark, sf_dir):
+        done = T.apply(faceted(spark, sf_dir), steps, _PERTURB)
+        each = done.select(F.col("serial").alias("id"), F.posexplode("facets").alias("facet", "f")).select("id", "facet", "f.kind", "f.width", "f.height", F.posexplode("f.data").alias("i", "v"))
+        return each.withColumn("v", r6(F.col("v")))
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+_WIDE = {"sx": "least(greatest((x + 0.5::DOUBLE) * 5 / w - 0.5::DOUBLE, 0), 4)", "sy": "least(greatest((y + 0.5::DOUBLE) * 4 / h - 0.5::DOUBLE, 0), 3)"}
+_CLOSEST = _CLASS.format(x="x * 5 // w", y="y * 4 // h")
+_facet("facet_resize", _facet_sql(_between(_PIXEL), _CLOSEST, w="8", h="3", **_WIDE), {"type": "resize", "width": 8, "height": 3})
+_facet("facet_scale", _facet_sql(_between(_PIXEL), _CLOSEST, w="7", h="6", **_WIDE), {"type": "scale", "scale": 1.5})
+_facet("facet_augment_scale", _facet_sql(_between(_PIXEL), _between(_CLASS), f"0.5::DOUBLE + (2.0::DOUBLE - 0.5::DOUBLE) * {_u('0.scale')} AS u", "round(5 * u)", "round(4 * u)", **_WIDE), {"type": "augment.scale", "min": 0.5, "max": 2})
+_TILT = f"cos(radians(-40.0::DOUBLE + (40.0::DOUBLE - -40.0::DOUBLE) * {_u('0.angle')})) AS ca, sin(radians(-40.0::DOUBLE + (40.0::DOUBLE - -40.0::DOUBLE) * {_u('0.angle')})) AS sa"
+_BACK = {"sx": "ca * (x - 2) - sa * (y - 2) + 2", "sy": "sa * (x - 2) + ca * (y - 2) + 2"}
+_ROUND = [f"floor(round({v}, 9) + 0.5)::BIGINT" for v in ("sx", "sy")]
+_facet("facet_rotate", _facet_sql(_between(_PIXEL, False), _at(_CLASS, *_ROUND), _TILT, **_BACK), {"type": "augment.rotate", "min": -40, "max": 40})
+_facet("facet_flip", _facet_sql(params=f"{_u('0.horizontal')} < 0.5 AS f", sx="CASE WHEN f THEN 4 - x ELSE x END"), {"type": "augment.flip", "horizontal": True})
+_facet("facet_pad", _facet_sql(w="7", h="5"), {"type": "pad", "width": 7, "height": 5})
+_facet("facet_clip", _facet_sql(params=", ".join(f"floor({_u(f'0.{a}.crop{k}')} * 2)::BIGINT AS {a}{k}" for a in "wh" for k in (1, 2)), w="5 - w1 - w2", h="4 - h1 - h2", sx="x + w1", sy="y + h1"), {"type": "clip", "max_crop": 2})
+_facet("facet_square_clip", _facet_sql(_at(_PIXEL, "sx", "sy", "0.5::DOUBLE"), _at(_CLASS, "sx", "sy", "0.5::DOUBLE"), ", ".join(f"floor({_u('0.' + a)} * 1048576)::BIGINT % {m} AS o{a}" for a, m in (("x", 3), ("y", 4))), "7", "7", "x - ox", "y - oy"), {"type": "random_square_clip", "size": 7, "pad": 0.5})
+_facet("facet_normalize", _facet_sql(f"({_PIXEL.format(x='x', y='y')} - [0.1::DOUBLE, -0.2::DOUBLE, 0.0::DOUBLE][c + 1]) / [0.5::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][c + 1]"), {"type": "normalize", "mean": [0.1, -0.2], "std": [0.5, 2.0]})
+_DELTAS = ", ".join(f"{-r}::DOUBLE + ({r}::DOUBLE - {-r}::DOUBLE) * {_u(f'0.add{k}')} AS d{k}" for k, r in enumerate((0.5, 0.5, 10.0)))
+_facet("facet_add", _facet_sql(f"{_PIXEL.format(x='x', y='y')} + [d0, d1, d2][c + 1]", params=_DELTAS), {"type": "augment.add", "range": 0.5, "range3": 10.0})
+_facet("facet_flip_color", _facet_sql(f"CASE WHEN f THEN 255 - {_PIXEL.format(x='x', y='y')} ELSE {_PIXEL.format(x='x', y='y')} END", params=f"{_u('0.flip_color')} < 0.5 AS f"), {"type": "augment.flip_color"})
+_BELL = [math.exp(-0.5 * d * d) / (1 + 2 * math.exp(-0.5)) for d in (-1, 0, 1)]
+_facet("facet_blur", _facet_sql("(" + " + ".join(f"{_BELL[dx + 1] * _BELL[dy + 1]!r}::DOUBLE * ({_at(_PIXEL, f'(x + {dx})', f'(y + {dy})')})" for dy in (-1, 0, 1) for dx in (-1, 0, 1)) + ")"), {"type": "augment.blur", "min": 1, "max": 1})
+_facet("facet_colorspace", _facet_sql("2 * (0.114::DOUBLE * e[i * 3 + 1] + 0.587::DOUBLE * e[i * 3 + 2] + 0.299::DOUBLE * e[i * 3 + 3])", channels=1), {"type": "colorspace", "code": "BGR2GRAY", "mul0": 2})
+_facet("facet_erode", _facet_sql(mask="list_min([" + ", ".join(_at(_CLASS, f"(x + {dx})", f"(y + {dy})", "1.0::DOUBLE") for dy in (-1, 0, 1) for dx in (-1, 0, 1)) + "])"), {"type": "erode_mask", "radius": 1})
+_facet("facet_rasterize", _facet_sql(mask=f"CASE WHEN x >= id % 3 AND x < id % 3 + 2 AND y BETWEEN 1 AND 2 THEN 7.0::DOUBLE ELSE {_CLASS.format(x='x', y='y')} END"), {"type": "rasterize"})
+_facet("facet_mask", _facet_sql(_between(_PIXEL, False), _at(_CLASS, *_ROUND), _TILT.replace("0.angle", "1.angle"), more=f" UNION ALL SELECT id, 2, 'LABEL', w, h, i::INTEGER, CASE WHEN {_ROUND[0]} BETWEEN 0 AND 4 AND {_ROUND[1]} BETWEEN 0 AND 3 THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END FROM k", **_BACK), {"type": "mask", "value": 3}, {"type": "augment.rotate", "min": -40, "max": 40})
+_facet("facet_featurize", _facet_sql(mask=_CLASS.format(x="x", y="y"), label="FEATURE", w="7", h="5").replace("UNION ALL SELECT id, 1, 'FEATURE', w, h, i::INTEGER", "UNION ALL SELECT id, 1, 'FEATURE', 5, 4, (y * 5 + x)::INTEGER") + " WHERE x < 5 AND y < 4", {"type": "featurize"}, {"type": "pad", "width": 7, "height": 5})
+_facet("facet_sometimes", _facet_sql(f"{_PIXEL.format(x='x', y='y')} + CASE WHEN f THEN d ELSE 0 END", params=f"{_u('0.chance')} <= 0.4 AS f, -1.0::DOUBLE + 2.0::DOUBLE * {_u('0.0.add0')} AS d", more=" UNION ALL SELECT id, 2, 'LABEL', w, h, i::INTEGER, 1.0::DOUBLE FROM k WHERE f"), {"type": "sometimes", "chance": 0.4, "transforms": [{"type": "augment.add", "space": "SAME", "range": 1}, {"type": "mask"}]})
+
+
 _made("mask_constant", f"WITH {_ROWS}, q AS (SELECT id, {_GROWN} FROM r) SELECT id, i::INTEGER AS i, 3.0::DOUBLE AS v FROM q, range(0, 256) t(i) WHERE i < u * u", "mask", {"type": "augment.scale", "min": 0.5, "max": 2}, {"type": "mask", "value": 3})
 _made("step_pyramid", f"WITH {_ROWS}, g AS (SELECT *, i % n AS x, i // n AS y FROM r, (VALUES (4), (2)) v(n), range(0, 16) t(i) WHERE i < n * n), m AS (SELECT *, {_scaled('x', 'n')} AS sx, {_scaled('y', 'n')} AS sy FROM g), k AS (SELECT *, floor(sx)::BIGINT AS x0, floor(sy)::BIGINT AS y0 FROM m) SELECT id, 'pyramid' AS name, i::INTEGER AS i, {sql_r6(_bilinear())} AS v FROM k", "targets", {"type": "pyramid", "count": 2, "rate": 0.5})
 

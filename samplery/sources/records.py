@@ -273,7 +273,7 @@ def raw_size(data: Column) -> Column:
         digits = F.hex(F.substring(data, at, 4))
         return F.conv(F.concat(*[F.substring(digits, k, 2) for k in (7, 5, 3, 1)]), 16, 10).cast("long")
 
-    true = F.octet_length(data) == 16 + number(5) * number(9) * number(13)
+    true = F.octet_length(data) - 16 == F.try_multiply(F.try_multiply(number(5), number(9)), number(13))  # any bytes may come
     return F.when((F.octet_length(data) >= 16) & true, F.struct(number(9).alias("width"), number(5).alias("height")))
 
 

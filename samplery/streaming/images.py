@@ -7,13 +7,14 @@ from dataclasses import fields, replace
 from typing import Any, NamedTuple
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from samplery.functions import pixels as P
 from samplery.functions import shapes as S
 from samplery.plans import sampling as M
 from samplery.plans import transforms
+from samplery.plans.facets import IMAGE, LABEL, Frame, Input, Plan
 from samplery.sources import records as R
 
 #: Rows of the second file get serial numbers from here on, so that one number names a row.
@@ -54,62 +55,51 @@ def read_config(given: dict[str, Any]) -> tuple[M.SampleConfig, dict[str, Any]]:
     return config, rest
 
 
-def _facet(image: Column, width: Column, height: Column) -> Column:
-    """Size, channels and pixels of an image of the row's size."""
-    deep = F.floor(F.size(image) / (width * height)).cast("int")
-    return F.when(image.isNotNull(), F.struct(width.cast("long").alias("width"), height.cast("long").alias("height"), deep.alias("channels"), image.cast("array<double>").alias("data")))
+def decoded(rows: DataFrame, config: M.SampleConfig, packed: bool = False) -> DataFrame:
+    """Records (``serial``, ``fields``) with the facets that the configuration asks for, after its transforms: structs ``image<k>`` and ``label<k>``, then ``added<k>`` that steps have appended; ``targets`` that they have made, ``kinds`` of the facets and ``left``, how many shapes annotations still have.
 
-
-def decoded(rows: DataFrame, config: M.SampleConfig) -> DataFrame:
-    """Records (``serial``, ``fields``) with the facets that the configuration asks for, after its transforms: structs ``image<k>`` and ``label<k>``, and what steps have made (``mask``, ``targets``, ``kinds`` of the facets).
-
-    All facets of a row are transformed by the same parameters, which are drawn from its serial number. Shapes live in the first image's frame.
+    All facets of a row are transformed by the same parameters, which are drawn from its serial number, and in one
+    pass through Python. An annotation is JSON, whose shapes live in the first image's frame, or an image, a label of
+    its own size. Pixels are numbers, or bytes of the configured type if ``packed``.
     """
-    spark = rows.sparkSession
-    decode = P.raw_decoder(spark, config.channels, config.dtype)
-    plain = P.raw_decoder(spark, -1, "float32")
+    first = len(config.images)
+    binary = lambda f: R.field(F.col("fields"), f)
     rest = [c for c in rows.columns if c != "fields"]
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind")) for k in ["IMAGE"] * len(config.images) + ["LABEL"] * len(config.annotate)])
-    own = rows.select(*rest, *[decode(R.field(F.col("fields"), f)).alias(f"__image{k}") for k, f in enumerate(config.images)], *[R.field(F.col("fields"), f).alias(f"__note{k}") for k, f in enumerate(config.annotate)], *[R.field_type(F.col("fields"), f).alias(f"__type{k}") for k, f in enumerate(config.annotate)], *[R.field(F.col("fields"), f).alias(f"raw{k}") for k, f in enumerate(config.raw)])
-    out: list[str] = []
-
-    def pass_(rows: DataFrame, source: str, name: str, shapes: Column, keep: bool) -> DataFrame:
-        """One image through the transforms; ``keep``: with what the steps make beside it."""
-        before = rows.columns
-        rows = rows.withColumns({"width": F.col(f"{source}.width"), "height": F.col(f"{source}.height"), "image": F.col(f"{source}.data"), "shapes": shapes, "facets": kinds})
-        rows = transforms.apply(rows, config.transforms, config)
-        new = {name: _facet(F.col("image"), F.col("width"), F.col("height"))}
-        if keep:
-            sized = {c: _facet(F.col(c), F.col("width"), F.col("height")) for c in ("mask", "raster") if c in rows.columns}
-            made = sized | {"kinds": F.transform("facets", lambda f: f["kind"]), "left": F.size("shapes")} | ({"targets": F.col("targets")} if "targets" in rows.columns else {})
-            new |= {f"__made_{c}": v for c, v in made.items()}  # out of the way of the other passes' steps
-        out.extend(new)
-        return rows.select(*[c for c in before if c not in new], *[c.alias(n) for n, c in new.items()])
-
-    none = S.shapes_of(F.lit(None).cast("string"), F.lit(1), F.lit(1))
-    shapes = none
-    if config.annotate:
-        text = F.decode(F.col("__note0"), "UTF-8")
-        kind = F.when(F.col("__type0") == R.NONE, R.sniff(text)).otherwise(F.col("__type0"))
-        shapes = S.shapes_of(F.when(kind == R.ANNOTATION_JSON, text), F.col("__image0.width"), F.col("__image0.height"))
-    own = pass_(own, "__image0", "image0", shapes, True)
-    for k in range(1, len(config.images)):
-        own = pass_(own, f"__image{k}", f"image{k}", none, False)
-    for k in range(len(config.annotate)):  # annotations that are images
-        own = own.withColumn(f"__label{k}", plain(F.col(f"__note{k}")))
-        own = pass_(own, f"__label{k}", f"label{k}", none, False)
-        if k == 0 and "__made_raster" in own.columns:
-            own = own.withColumn("label0", F.coalesce("label0", "__made_raster"))
-    return own.select(*rest, *[f"raw{k}" for k in range(len(config.raw))], *[F.col(c).alias(c.removeprefix("__made_")) for c in out if c != "__made_raster"])
+    own = rows.withColumns({f"raw{k}": binary(f) for k, f in enumerate(config.raw)} | {f"__bytes{k}": binary(f) for k, f in enumerate((*config.images, *config.annotate))} | {f"__type{k}": R.field_type(F.col("fields"), f) for k, f in enumerate(config.annotate)}).drop("fields")
+    frames, inputs = [], {}
+    for k in range(first + len(config.annotate)):
+        name = ("width", "height") if k == 0 else (f"width_{k}", f"height_{k}")
+        size = R.raw_size(F.col(f"__bytes{k}"))
+        own = own.withColumns({n: size[n.split("_")[0]] for n in name})
+        frames.append(Frame(*name, [k]))
+        inputs[k] = Input(f"__bytes{k}", True, *((config.channels, config.dtype) if k < first else (-1, "float32")))
+    for k in range(len(config.annotate)):
+        text = F.decode(F.col(f"__bytes{first + k}"), "UTF-8")
+        kind = F.when(F.col(f"__type{k}") == R.NONE, R.sniff(text)).otherwise(F.col(f"__type{k}"))
+        column = "shapes" if k == 0 else f"shapes_{k}"
+        own = own.withColumn(column, S.shapes_of(F.when(kind == R.ANNOTATION_JSON, text), F.col("width"), F.col("height")))
+        frames[0].shapes[first + k] = column
+    plan = Plan(config, frames, [IMAGE] * first + [LABEL] * len(config.annotate), inputs)
+    transforms.validate(config.transforms)
+    if any(t["type"] not in transforms.NOTED for t in transforms.flat(config.transforms)):
+        raise ValueError("a stream takes the library's own steps; apply others to its rows")
+    own = transforms.steps(plan.begin(own), config.transforms, plan)
+    shapes = list(frames[0].shapes.values())
+    left = F.array(*[F.size(c) for c in shapes]) if shapes else F.array().cast("array<int>")
+    out = plan.run(own.withColumn("left", left), "binary" if packed else "array<double>", config.dtype)
+    facet = lambda k: F.col("facets")[k]
+    shown = {f"{'image' if k < first else 'label'}{k if k < first else k - first}": k for k in inputs} | {f"added{n}": k for n, k in enumerate(range(len(inputs), len(plan.kinds)))}
+    structs = [F.when(facet(k)["data"].isNotNull(), facet(k).dropFields("kind")).alias(name) for name, k in shown.items()]
+    return out.select(*rest, *[f"raw{k}" for k in range(len(config.raw))], *structs, F.transform("facets", lambda f: f["kind"]).alias("kinds"), "left", *[c for c in ("targets",) if c in out.columns])
 
 
 def batch_pictures(rows: DataFrame, size: int, batches: int) -> DataFrame:
     """``name`` and ``content`` of PNGs of the first ``batches`` batches of ``size`` draws: ``{batch}_{facet}_{place in the batch}.png``.
 
-    ``rows`` are those of ``ImageStream.rows``. Facets are its images, then its annotations. What is missing, dropped or
+    ``rows`` are those of ``ImageStream.rows``. Facets are its images, then its annotations, then what steps have appended. What is missing, dropped or
     a feature, or has neither 1 nor 3 channels, gives no picture but keeps its number.
     """
-    facets = [c for kind in ("image", "label") for c in rows.columns if c.removeprefix(kind).isdigit()]
+    facets = [c for kind in ("image", "label", "added") for c in rows.columns if c.removeprefix(kind).isdigit()]
     own = rows.where(F.col("draw") < size * batches)
     pictured = F.array(*[F.when(~F.get("kinds", F.lit(k)).isin("NONE", "FEATURE"), F.struct(F.lit(k).alias("facet"), F.col(c).alias("own"))) for k, c in enumerate(facets)])
     each = own.select("draw", F.explode(pictured).alias("x")).where(F.col("x.own.channels").isin(1, 3))
@@ -140,8 +130,8 @@ class ImageStream:
         self.config = M.usable_groups(self.index, self.config)
         self.reset()
 
-    def rows(self, offset: int = 0, draws: int | None = None) -> DataFrame:
-        """``draw``, ``id``, ``label`` and the facets of the draws from ``offset`` on; all of a finite stream if ``draws`` is None."""
+    def rows(self, offset: int = 0, draws: int | None = None, packed: bool = False) -> DataFrame:
+        """``draw``, ``id``, ``label`` and the facets (see ``decoded``) of the draws from ``offset`` on; all of a finite stream if ``draws`` is None."""
         if self.config.loop:
             if draws is None:
                 raise ValueError("an endless stream has no last draw")
@@ -153,7 +143,7 @@ class ImageStream:
         # a draw repeats a record in every epoch, and each time with other parameters
         chosen = M.with_payload(plan.select("draw", "id", "label", "serial"), self.records)
         key = F.concat_ws(":", "serial", "draw") if self.config.loop else F.col("serial")
-        return decoded(chosen.withColumn("serial", key), self.config)
+        return decoded(chosen.withColumn("serial", key), self.config, packed)
 
     def size(self) -> int:
         """Rows that a pass over the table yields."""
@@ -176,7 +166,7 @@ class ImageStream:
     def _fetch(self) -> Iterator[list]:
         step, at = SLICE_BATCHES * self.config.batch, 0
         while True:
-            rows = self.rows(at, step) if self.config.loop else self.rows()
+            rows = self.rows(at, step, True) if self.config.loop else self.rows(packed=True)
             for batch in M.batches(rows, self.config.batch, tuple(c for c in rows.columns if c not in ("draw", "serial"))).orderBy("batch").toLocalIterator(prefetchPartitions=True):
                 yield to_numpy(batch.asDict(), self.config)
             if not self.config.loop:
@@ -187,59 +177,51 @@ class ImageStream:
 def to_numpy(batch: dict[str, Any], config: M.SampleConfig) -> list:
     """``Meta`` and the facets of one batch of ``decoded`` rows."""
     n = batch["rows"]
-    kinds = batch["kinds"][0]
     out: list = [Meta(np.array(batch["id"], np.int64), np.array(batch["label"], np.float32), [[bytes(x) for x in batch[f"raw{k}"]] for k in range(len(config.raw))])]
-    names = [t["type"] for t in _flat(config.transforms)]
-    for k in range(len(config.images)):
-        out.append(stacked(batch[f"image{k}"], n, config, kinds[k], True))
-    for k in range(len(config.annotate)):
-        kind = kinds[len(config.images) + k]
-        if k == 0 and kind != "NONE" and any(batch["left"]) and not any(name.startswith(_TAKES) for name in names):
+    names = [t["type"] for t in transforms.flat(config.transforms)]
+    first = len(config.images)
+    added = sum(c.removeprefix("added").isdigit() for c in batch)
+    for k, name in enumerate([*(f"image{k}" for k in range(first)), *(f"label{k}" for k in range(len(config.annotate))), *(f"added{k}" for k in range(added))]):
+        kinds = [row[k] for row in batch["kinds"]]
+        if name.startswith("label") and any(row[k - first] and kind != "NONE" for row, kind in zip(batch["left"], kinds, strict=True)) and not any(step.startswith(_TAKES) for step in names):
             raise ValueError("an annotation was not rasterized: add a rasterize step, or drop it")
-        out.append(stacked(batch[f"label{k}"], n, config, kind, False))
-    if "mask" in batch:
-        out.append(stacked(batch["mask"], n, config, "LABEL", False))
-    made = batch.get("targets")
-    for k in range(len(made[0]) if made and made[0] else 0):
-        each = [row[k] for row in made]
-        if each[0]["name"] == "box_feature":
-            out.append(np.array([[b, *v] for b, t in enumerate(each) for v in np.reshape(t["data"], (-1, 6))], np.float32).reshape(-1, 7))
+        out.append(stacked(batch[name], n, config, kinds, k < first))
+    made = batch.get("targets") or []
+    for name in dict.fromkeys((k, t["name"]) for row in made for k, t in enumerate(row or ())):
+        each = [row[name[0]] if row and len(row) > name[0] and row[name[0]]["name"] == name[1] else None for row in made]
+        if name[1] == "box_feature":
+            out.append(np.array([[b, *v] for b, t in enumerate(each) if t is not None for v in np.reshape(t["data"], (-1, 6))], np.float32).reshape(-1, 7))
         else:
-            out.append(stacked(each, n, replace(config, dtype="float32"), "LABEL", False))
+            out.append(stacked(each, n, replace(config, dtype="float32"), ["LABEL"] * n, False))
     return out
 
 
-def _flat(steps) -> Iterator[dict]:
-    for t in steps:
-        yield t
-        yield from _flat(t.get("transforms", ()))
-
-
-def stacked(images: list, n: int, config: M.SampleConfig, kind: str, colour: bool) -> np.ndarray | None:
-    """Images of one shape as one array, missing ones zero; None without any or for a dropped facet. A feature facet gives its rows, each after the image's place in the batch."""
-    some = [x for x in images if x is not None and x["data"] is not None]
-    if kind == "NONE" or not some:
+def stacked(images: list, n: int, config: M.SampleConfig, kinds: list[str], colour: bool) -> np.ndarray | None:
+    """Images of one shape as one array, missing and dropped ones zero; None without any. Features give their rows, each after the image's place in the batch; they do not mix with others."""
+    own = [None if x is None or x["data"] is None or kind == "NONE" else x for x, kind in zip(images, kinds, strict=True)]
+    some = [(x, kind == "FEATURE") for x, kind in zip(own, kinds, strict=True) if x is not None]
+    if not some:
         return None
-    if kind == "FEATURE":
-        return np.array([[b, *v] for b, x in enumerate(images) if x is not None for v in np.reshape(x["data"], (x["height"], -1))], config.dtype)
-    shapes = {(x["height"], x["width"], x["channels"]) for x in some}
+    if len({feature for _, feature in some}) > 1:
+        raise ValueError("a facet is a feature in some rows of a batch only")
+    if some[0][1]:
+        return np.array([[b, *v] for b, x in enumerate(own) if x is not None for v in _values(x, config).reshape(x["height"], -1)], config.dtype)
+    shapes = {(x["height"], x["width"], x["channels"]) for x, _ in some}
     if len(shapes) > 1:
         raise ValueError(f"images of a batch must have one shape, not {sorted(shapes)}")
     out = np.zeros((n, *shapes.pop()), config.dtype)
-    for k, x in enumerate(images):
-        if x is not None and x["data"] is not None:
-            out[k] = as_dtype(np.asarray(x["data"]), config.dtype).reshape(out.shape[1:])
+    for k, x in enumerate(own):
+        if x is not None:
+            out[k] = _values(x, config).reshape(out.shape[1:])
     if colour and config.colorspace == "RGB" and out.shape[-1] == 3:
         out = out[..., ::-1]
     return out.transpose(0, 3, 1, 2) if config.order == "NCHW" else out
 
 
-def as_dtype(values: np.ndarray, dtype: str) -> np.ndarray:
-    """Whole types round to the nearest and stop at their ends."""
-    if dtype == "float32":
-        return values.astype(np.float32)
-    ends = np.iinfo(dtype)
-    return np.clip(np.rint(values), ends.min, ends.max).astype(dtype)
+def _values(facet: dict, config: M.SampleConfig) -> np.ndarray:
+    """A facet's numbers in the configured type, from numbers or from packed bytes of that type."""
+    data = facet["data"]
+    return np.frombuffer(data, config.dtype) if isinstance(data, (bytes, bytearray)) else P.as_dtype(np.asarray(data), config.dtype)
 
 
 class ImageLoader:
@@ -260,8 +242,8 @@ class ImageLoader:
         return self._one(R.import_images(self.spark, path).select("serial", "fields"))
 
     def _one(self, rows: DataFrame) -> np.ndarray:
-        row = decoded(rows, self.config).first()
-        got = stacked([row["image0"]], 1, self.config, row["kinds"][0], True)
+        row = decoded(rows, self.config, True).first()
+        got = stacked([row["image0"]], 1, self.config, row["kinds"][:1], True)
         if got is None:
             raise ValueError("this is no image")
         return got

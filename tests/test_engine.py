@@ -247,13 +247,14 @@ def test_grids_leave_no_gap(spark):
         assert own[0][0] == 0 and own[-1][1] == w and all(b[0] <= a[1] for a, b in zip(own, own[1:], strict=False))
 
 
-def clip(s, c1, c2, least=0, most=0, multiple=0, shift=0, draw=0):
-    return sizes.clip_axis(*[F.lit(v).cast("long") for v in (s, c1, c2)], least, most, multiple, F.lit(shift).cast("long"), F.lit(draw).cast("long"))
-
-
 def test_clip_axis(spark):
-    cases = {"plain": clip(100, 0, 0), "crop": clip(100, 10, 5), "round": clip(100, 0, 0, multiple=16), "most": clip(100, 0, 0, most=60, draw=7), "least": clip(50, 0, 0, least=80, draw=5), "shift": clip(100, 0, 0, shift=-4), "kept": clip(100, 30, 30, least=60), "handed": clip(100, 0, 6, least=100)}
-    r = values(spark, **{k: F.array(v.size, v.begin, v.length, v.to) for k, v in cases.items()})
+    cases = {"plain": (100, 0, 0), "crop": (100, 10, 5), "round": (100, 0, 0, 0, 0, 16), "most": (100, 0, 0, 0, 60, 0, 0, 7), "least": (50, 0, 0, 80, 0, 0, 0, 5), "shift": (100, 0, 0, 0, 0, 0, -4), "kept": (100, 30, 30, 60), "handed": (100, 0, 6, 100)}
+    r = {}
+    for name, own in cases.items():
+        s, c1, c2, least, most, multiple, shift, draw = (*own, *[0] * 8)[:8]
+        whole = [F.lit(v).cast("long") for v in (s, c1, c2, shift, draw)]
+        got = sizes.clip_axis(spark.range(1), "k", *whole[:3], least, most, multiple, *whole[3:]).first()
+        r[name] = [got[f"k{k}"] for k in ("size", "begin", "length", "to")]
     assert r["plain"] == [100, 0, 100, 0] and r["crop"] == [85, 10, 85, 0] and r["round"] == [96, 0, 96, 0]
     assert r["most"] == [60, 7, 60, 0] and r["least"] == [80, 0, 50, 5] and r["shift"] == [100, 0, 96, 4] and r["kept"] == [60, 20, 60, 0] and r["handed"] == [100, 0, 100, 0]
 
@@ -282,14 +283,18 @@ def test_pipelines(spark):
 
 
 def test_pixel_steps(spark):
-    rows = spark.range(30).select(F.col("id").alias("serial"), F.lit(2).cast("long").alias("width"), F.lit(1).cast("long").alias("height"), F.array(F.lit(10.0), F.lit(20.0)).alias("image"), F.array(*[F.struct(F.lit("IMAGE").alias("kind"), F.lit(k).alias("n")) for k in range(2)]).alias("facets"))
-    steps = [{"type": "normalize", "mean": [10, 0], "std": 2}, {"type": "mask", "value": 3}, {"type": "featurize"}, {"type": "drop", "index": 0}]
+    rows = spark.range(30).select(F.col("id").alias("serial"), F.lit(2).cast("long").alias("width"), F.lit(1).cast("long").alias("height"), F.array(F.lit(10.0), F.lit(20.0)).alias("image"))
+    steps = [{"type": "normalize", "mean": [10, 0], "std": 2}, {"type": "mask", "value": 3}, {"type": "featurize"}]
     r = transforms.apply(rows, steps, SampleConfig()).first()
-    assert r["image"] == [0, 10] and r["mask"] == [3, 3] and [f["kind"] for f in r["facets"]] == ["NONE", "FEATURE"]
+    assert r["image"] == [0, 5] and r["mask"] == [3, 3] and [f["kind"] for f in r["facets"]] == ["IMAGE", "FEATURE"]
+    dropped = transforms.apply(rows, [*steps, {"type": "drop", "index": 0}], SampleConfig()).first()
+    assert dropped["image"] is None and [f["kind"] for f in dropped["facets"]] == ["NONE", "FEATURE"]
     same = transforms.apply(rows, [{"type": "augment.add", "range": 5}, {"type": "augment.flip_color"}], SampleConfig()).first()
     assert same["image"] == [10, 20]
-    some = [r["image"] for r in transforms.apply(rows, [{"type": "augment.add", "range": 5, "channels": 2}, {"type": "augment.flip_color"}], SampleConfig(perturb=True)).collect()]
+    some = [r["image"] for r in transforms.apply(rows, [{"type": "augment.add", "range": 5}, {"type": "augment.flip_color"}], SampleConfig(perturb=True)).collect()]
     assert all(abs(a - 10) <= 5 or abs(255 - a - 10) <= 5 for a, _ in some) and len({a for a, _ in some}) == 30 and {a > 128 for a, _ in some} == {True, False}
+    with pytest.raises(ValueError, match="no facet"):
+        transforms.apply(rows, [{"type": "drop", "index": 1}], SampleConfig())
 
 
 def annotated(spark, boxes, w, h, **columns):
@@ -360,6 +365,58 @@ def test_target_and_mask_steps(spark):
         transforms.apply(rows, [{"type": "erode_mask"}], SampleConfig())
 
 
+def masked(spark, image, label, w, h, n=1):
+    numbers = lambda v: F.array(*[F.lit(float(x)) for x in np.ravel(v)])
+    return spark.range(n).select(F.col("id").alias("serial"), F.lit(w).cast("long").alias("width"), F.lit(h).cast("long").alias("height"), numbers(image).alias("image"), numbers(label).alias("label"))
+
+
+def test_labels_keep_their_values(spark):
+    """Pixel steps change images of three channels, never masks; geometry takes a mask's nearest pixel."""
+    image, label = np.arange(48.0).reshape(4, 4, 3), np.arange(16).reshape(4, 4) % 2 * 2
+    rows = masked(spark, image, label, 4, 4, 20)
+    colour = [{"type": "normalize", "mean": 5, "std": 3}, {"type": "augment.add", "range": 9}, {"type": "augment.blur", "min": 1, "max": 2}, {"type": "augment.flip_color"}, {"type": "colorspace", "code": "BGR2GRAY"}]
+    for r in transforms.apply(rows, colour, SampleConfig(perturb=True)).collect():
+        assert r["label"] == label.ravel().tolist() and len(r["image"]) == 16 and [f["channels"] for f in r["facets"]] == [1, 1]
+    for step in ({"type": "resize", "size": 7}, {"type": "scale", "scale": 1.7}, {"type": "augment.rotate", "range": 60}):
+        for r in transforms.apply(rows, [step], SampleConfig(perturb=True)).collect():
+            assert set(r["label"]) <= {0.0, 2.0} and len(r["label"]) == r["width"] * r["height"]
+    wide = np.array(transforms.apply(rows, [{"type": "resize", "width": 8, "height": 4}], SampleConfig()).first()["label"]).reshape(4, 8)
+    assert (wide == np.repeat(label, 2, axis=1)).all()
+    deltas = np.array([np.array(r["image"]).reshape(4, 4, 3) - image for r in transforms.apply(rows, [{"type": "augment.add", "range3": 10}], SampleConfig(perturb=True)).collect()])
+    assert not deltas[..., :2].any() and np.ptp(deltas[:, 0, 0, 2]) > 5 and np.abs(deltas).max() <= 10
+
+
+def test_facets_by_number(spark):
+    """Masks take another facet's size and follow later steps; some rows may not have them."""
+    rows = masked(spark, np.arange(16.0), np.zeros(16), 4, 4, 40)
+    r = transforms.apply(rows, [{"type": "mask", "value": 5, "ref": 1}, {"type": "pad", "width": 6, "height": 5}, {"type": "mask", "index": 1, "value": 7}, {"type": "erode_mask", "index": 2, "radius": 1, "border_type": "replicate"}], SampleConfig()).first()
+    assert len(r["facets"]) == 3 and set(r["label"]) == {7.0} and np.array(r["mask"]).reshape(5, 6)[:3, :3].tolist() == [[5] * 3] * 3 and r["mask"].count(5.0) == 9
+    some = transforms.apply(rows, [{"type": "sometimes", "chance": 0.5, "transforms": [{"type": "mask", "value": 2}, {"type": "featurize"}]}, {"type": "resize", "size": 2}], SampleConfig(perturb=True)).collect()
+    assert {(len(r["mask"]) if r["mask"] else None, r["facets"][1]["kind"], len(r["label"])) for r in some} == {(4, "FEATURE", 16), (None, "LABEL", 4)}
+
+
+def test_pixel_work_is_one_python_step(spark):
+    """Five steps on pixels go to Python once; a step of one's own sees the pixels as they are by then."""
+    rows = masked(spark, np.arange(16.0), np.zeros(16), 4, 4, 3)
+    five = [{"type": "normalize", "mean": 1}, {"type": "resize", "size": 8}, {"type": "augment.rotate", "range": 5}, {"type": "pad", "size": 9}, {"type": "augment.blur"}]
+    done = transforms.apply(rows, five, SampleConfig(perturb=True))
+    assert done._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+    @transforms.register("test.double")
+    def double(rows, t, place, config):
+        return rows.withColumn("image", F.transform("image", lambda v: v * t["by"]))
+
+    try:
+        steps = [{"type": "normalize", "mean": 1}, {"type": "mask", "value": 4}, {"type": "test.double", "by": 2}, {"type": "normalize", "mean": -1}, {"type": "pad", "width": 5, "height": 4}]
+        r = transforms.apply(rows, steps, SampleConfig()).first()
+        assert np.array(r["image"]).reshape(4, 5)[:, :4].ravel().tolist() == [(v - 1) * 2 + 1 for v in range(16)] and r["mask"].count(4.0) == 16 and len(r["mask"]) == 20
+        often = transforms.apply(rows, [{"type": "sometimes", "chance": 1.0, "transforms": [{"type": "test.double", "by": 3}]}], SampleConfig(perturb=True)).first()
+        assert often["image"] == [3.0 * v for v in range(16)]
+        assert not [c for c in r.asDict() if c.startswith("__")]
+    finally:
+        transforms.REGISTRY.pop("test.double")
+
+
 def test_colour_blur_and_pyramid_steps(spark):
     rows = annotated(spark, [(0, 0, 1, 1)], 2, 1, image=[0, 0, 255, 255, 255, 255])
     turn = lambda *steps: transforms.apply(rows, [{"type": "colorspace", **s} for s in steps], SampleConfig()).first()["image"]

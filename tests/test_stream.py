@@ -77,12 +77,33 @@ def test_streams_obey_or_refuse(spark, db):
     s = stream.ImageStream(spark, {"db": db, "loop": False, "annotate": [1], "batch": 3})
     with pytest.raises(ValueError, match="not rasterized"):
         next(s)
-    s = stream.ImageStream(spark, {"db": db, "loop": False, "annotate": [1], "images": [0, 0], "batch": 3, "transforms": [{"type": "resize", "size": 2}, {"type": "box_feature"}]})
+    s = stream.ImageStream(spark, {"db": db, "loop": False, "annotate": [1], "images": [0, 0], "batch": 3, "transforms": [{"type": "resize", "size": 2}, {"type": "box_feature", "index": 2}]})
     meta, one, two, label, boxes = next(s)
     assert label is None and one.shape == (3, 2, 2, 3) and (one == two).all()
     assert boxes.tolist() == [[b, i % 3 + 1, 0, 0.5, 0, 1, 1] for b, i in enumerate(meta.ids.tolist())]
     with pytest.raises(ValueError, match="one shape"):
-        stream.stacked([{"height": 1, "width": 2, "channels": 1, "data": [1, 2]}, {"height": 2, "width": 1, "channels": 1, "data": [1, 2]}], 2, SampleConfig(), "IMAGE", True)
+        stream.stacked([{"height": 1, "width": 2, "channels": 1, "data": [1, 2]}, {"height": 2, "width": 1, "channels": 1, "data": [1, 2]}], 2, SampleConfig(), ["IMAGE"] * 2, True)
+
+
+def test_image_masks_in_streams(spark, tmp_path):
+    """An annotation that is an image is a label: colours pass it by, sizes take its nearest pixel; rows may differ in kind and in what steps have made."""
+    mask = lambda k: (np.arange(16).reshape(4, 4) + k) % 3
+    rows = [(k, k, 0.0, bytearray(records.encode_raw(picture(k))), bytearray(records.encode_raw(mask(k).astype(np.uint8))) if k % 2 else bytearray(note(k).encode())) for k in range(12)]
+    made = records.make_records(spark.createDataFrame(rows, "id long, serial long, label double, image binary, note binary"), [("image", records.IMAGE), ("note", records.NONE)])
+    records.write(made, str(tmp_path / "db"))
+    own = {"db": str(tmp_path / "db"), "loop": False, "annotate": [1], "batch": 12, "dtype": "float32", "perturb": True}
+    (meta, image, label), = list(stream.ImageStream(spark, {**own, "transforms": [{"type": "normalize", "mean": 9}, {"type": "augment.add", "range": 4}, {"type": "augment.blur"}, {"type": "resize", "width": 8, "height": 4}, {"type": "rasterize"}]}))
+    for k, i in enumerate(meta.ids.tolist()):
+        if i % 2:
+            assert (label[k, ..., 0] == np.repeat(mask(i), 2, axis=1)).all()
+        else:
+            assert set(np.unique(label[k])) == {0, i % 3 + 1}
+    assert image.shape == (12, 4, 8, 3) and label.shape == (12, 4, 8, 1)
+    got, = list(stream.ImageStream(spark, {**own, "transforms": [{"type": "sometimes", "chance": 0.5, "transforms": [{"type": "mask", "value": 2}, {"type": "box_feature"}]}, {"type": "rasterize"}]}))
+    added = got[3].reshape(12, -1)
+    assert set(added.max(axis=1)) == {0, 2} and got[4].shape[1] == 7 and set(got[4][:, 0]) <= {b for b in range(12) if added[b].any()}
+    with pytest.raises(ValueError, match="some rows"):
+        next(stream.ImageStream(spark, {**own, "transforms": [{"type": "rasterize"}, {"type": "sometimes", "transforms": [{"type": "featurize"}]}]}))
 
 
 def test_single_images(spark, tmp_path):
@@ -214,7 +235,7 @@ def test_colours_change_in_other_spaces(spark):
 
 def test_batches_as_pictures(spark, db, tmp_path):
     """Spark's image source gives the pixels back; dropped facets keep their number."""
-    s = stream.ImageStream(spark, {"db": db, "loop": False, "batch": 4, "channels": 3, "dtype": "uint8", "images": [0, 0], "annotate": [1], "transforms": [{"type": "rasterize"}, {"type": "drop", "index": 1}]})
+    s = stream.ImageStream(spark, {"db": db, "loop": False, "batch": 4, "channels": 3, "dtype": "uint8", "images": [0, 0], "annotate": [1], "transforms": [{"type": "rasterize", "index": 2}, {"type": "drop", "index": 1}]})
     rows = s.rows()
     got = {r["name"]: bytes(r["content"]) for r in stream.batch_pictures(rows, 4, 2).collect()}
     assert sorted(got) == sorted(f"{b}_{f}_{k}.png" for b in range(2) for f in (0, 2) for k in range(4))
