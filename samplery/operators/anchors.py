@@ -73,11 +73,16 @@ def dense_anchors(images: DataFrame, boxes: DataFrame, kind: str = "box", downsi
     The truth of a cell is the box of its image with the largest score above 0, the first of equal ones. From
     ``lower`` on its parameters count (with weight 1, or by size if ``weighted``); from ``upper`` on the label is 1;
     between the two the label is masked out. A box meets only the cells that it can score on; the best box of each
-    such cell is one aggregate, and the other cells follow from their image's size. ``images`` have different ids.
+    such cell is one aggregate, and the other cells follow from their image's size. ``images`` have different ids. Boxes
+    without an area are left out, but for ``kind`` point, which takes (``x``, ``y``) alone.
     """
     many = max(1, len(priors))
     sized = images.select(F.col("image").alias("__i"), "width", "height")
-    own = boxes.select("image", "serial", (F.col("x") * F.col("width")).alias("bx"), (F.col("y") * F.col("height")).alias("by"), (F.col("w") * F.col("width")).alias("bw"), (F.col("h") * F.col("height")).alias("bh")).where("bw > 0 and bh > 0")
+    own = boxes.select("image", "serial", (F.col("x") * F.col("width")).alias("bx"), (F.col("y") * F.col("height")).alias("by"), (F.col("w") * F.col("width")).alias("bw"), (F.col("h") * F.col("height")).alias("bh"))
+    if kind == "point":  # a point is (x, y) itself
+        own = own.where("bx is not null and by is not null").withColumns({"bw": F.lit(0.0), "bh": F.lit(0.0)})
+    else:
+        own = own.where("bw > 0 and bh > 0")
     own = own.join(sized, F.col("image") == F.col("__i")).drop("__i")
     half = {"x": F.col("bw") / 2, "y": F.col("bh") / 2}
     if kind == "point":

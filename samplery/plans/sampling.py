@@ -36,7 +36,7 @@ class SampleConfig:
     batch: int = 1
     order: Literal["NHWC", "NCHW"] = "NHWC"
     colorspace: Literal["BGR", "RGB"] = "BGR"
-    dtype: Literal["uint8", "float32", "int32"] = "float32"
+    dtype: Literal["uint8", "float32", "int32"] = "uint8"
     channels: int = -1
     images: tuple[int, ...] = (0,)
     annotate: tuple[int, ...] = ()
@@ -120,13 +120,14 @@ def draw_order(index: DataFrame, config: SampleConfig) -> DataFrame:
     return ranked(own, ["__turn", "grp"], [], bucket=rounds).withColumnRenamed("pos", "draw").drop("__turn", "n")
 
 
-def looped_draws(index: DataFrame, config: SampleConfig, draws: int, offset: int = 0) -> DataFrame:
+def looped_draws(index: DataFrame, config: SampleConfig, draws: int, offset: int = 0, checked: bool = False) -> DataFrame:
     """``draws`` rows of the endless stream from ``offset`` on, closed form: draw i takes group i mod G in its turn t = i div G, of
     which epoch t div n and position t mod n; every epoch has its own order if ``reshuffle``.
 
     Only the epochs that the slice meets are made, and of these only the buckets with its positions are put in order.
+    ``checked``: ``usable_groups`` has seen the configuration.
     """
-    config = usable_groups(index, config)
+    config = config if checked else usable_groups(index, config)
     rows = _split(index, config)
     balanced = config.stratify and config.oversample
     rows = rows if balanced else rows.withColumn("__own", F.col("grp")).withColumn("grp", F.lit(0))

@@ -523,6 +523,9 @@ def _dense(kind: str) -> Step:
         d = int(t.get("downsize", 1))
         frame, shapes = plan.shapes(plan.facet(t.get("index", 1)))
         priors = [tuple(map(float, p)) for p in t.get("priors", ())] if kind == "box" else []
+        if kind == "point":
+            single = F.forall(F.coalesce(shapes, F.slice(shapes, 1, 0)), lambda s: F.size(s["controls"]) == 1)
+            rows = rows.withColumn(shapes, F.when(F.assert_true(single, F.lit("point anchors take shapes of one point")).isNull(), F.col(shapes)))
         boxes = F.transform(shapes, lambda s, i: F.struct(i.alias("serial"), *[S.bbox(s["controls"])[k].alias(f"b{k}") for k in "xywh"]))
         rows = rows.withColumn("__own", boxes if kind == "point" else F.filter(boxes, lambda b: (b["bw"] > 0) & (b["bh"] > 0)))
         rows = rows.withColumn("__own", F.coalesce("__own", F.slice("__own", 1, 0))).withColumns({s: _divisible(s, d) for s in (frame.width, frame.height)})

@@ -490,7 +490,9 @@ def _anchor_params(*names: str) -> str:
 
 
 def _anchors(spark, sf_dir, kind, n, **options):
-    found = A.dense_anchors(pictures(spark, sf_dir), boxes(spark, sf_dir), kind=kind, downsize=16, **options)
+    truth = boxes(spark, sf_dir)
+    truth = truth.drop("w", "h").withColumns({"w": F.lit(None).cast("double"), "h": F.lit(0.0)}) if kind == "point" else truth
+    found = A.dense_anchors(pictures(spark, sf_dir), truth, kind=kind, downsize=16, **options)
     return found.select("image", "cy", "cx", "label", "label_mask", *[r6(F.col("params")[k]).alias(f"p{k}") for k in range(n)], r6(F.col("params_mask")).alias("params_mask"))
 
 
@@ -504,7 +506,7 @@ def dense_anchor_circle(spark, sf_dir):
     return _anchors(spark, sf_dir, "circle", 3, weighted=True)
 
 
-@query(_anchor_sql("exp(-sqrt(dx * dx + dy * dy))", _anchor_params("dx", "dy"), upper=0.2, lower=0.02))
+@query(_anchor_sql("exp(-sqrt(dx * dx + dy * dy))", _anchor_params("dx", "dy"), upper=0.2, lower=0.02).replace("w * width AS bw, h * height AS bh FROM b WHERE w * width > 0 AND h * height > 0", "0.0::DOUBLE AS bw, 0.0::DOUBLE AS bh FROM b"))
 def dense_anchor_point(spark, sf_dir):
     return _anchors(spark, sf_dir, "point", 2, upper=0.2, lower=0.02)
 
@@ -920,10 +922,17 @@ def _step(name: str, sql: str, *steps: dict) -> None:
     query(sql)(run)
 
 
-def _made(name: str, sql: str, column: str, *steps: dict) -> None:
+def pointed(spark, sf_dir):
+    """The annotated images with two points each instead of the rectangle."""
+    v = F.col("serial")
+    shape = lambda k, x, y: F.struct(F.lit("point").alias("type"), F.lit(float(k)).alias("label"), F.lit(0.0).alias("tag"), F.array(S.point(x, y)).alias("controls"))
+    return annotated(spark, sf_dir).withColumn("shapes", F.array(shape(1, v % 4 + 0.5, v % 3 + 0.25), shape(2, F.lit(5.0), (v % 7).cast("double"))))
+
+
+def _made(name: str, sql: str, column: str, *steps: dict, rows=None) -> None:
     """A step that makes an array beside the image: ``targets`` by name, or ``mask`` or ``raster``."""
     def run(spark, sf_dir):
-        done = T.apply(annotated(spark, sf_dir), steps, _PERTURB).withColumnRenamed("serial", "id")
+        done = T.apply((rows or annotated)(spark, sf_dir), steps, _PERTURB).withColumnRenamed("serial", "id")
         if column == "targets":
             done = done.select("id", F.explode("targets").alias("t")).select("id", "t.name", F.posexplode("t.data").alias("i", "v"))
             return done.withColumn("v", r6(F.col("v")))
@@ -1058,7 +1067,9 @@ UNION ALL SELECT id, 'anchors.params_mask', i::INTEGER, CASE WHEN ok THEN 1.0::D
 _R = "(sqrt(bw * bh) / 2)"
 _made("step_anchors_box", _anchor_step_sql("least((bw - 2 * abs(dx)) / bw, (bh - 2 * abs(dy)) / bh)", ("dx", "dy", "bw", "bh"), 0.6, 0.2), "targets", {"type": "anchors.dense.box", "downsize": 2, "lower_th": 0.2})
 _made("step_anchors_circle", _anchor_step_sql(f"({_R} - sqrt(dx * dx + dy * dy)) / {_R}", ("dx", "dy", _R), 0.6, 0.2), "targets", {"type": "anchors.dense.circle", "downsize": 2, "lower_th": 0.2})
-_made("step_anchors_point", _anchor_step_sql("exp(-sqrt(dx * dx + dy * dy))", ("dx", "dy"), 0.3, 0.05), "targets", {"type": "anchors.dense.point", "downsize": 2, "upper_th": 0.3, "lower_th": 0.05})
+_POINTS = "c AS (SELECT id, i, list_reverse_sort(list_transform([[id % 4 + 0.5::DOUBLE, id % 3 + 0.25::DOUBLE, 2], [5.0::DOUBLE, id % 7, 1]], lambda p: [exp(-sqrt((p[1] - i % 4 * 2) * (p[1] - i % 4 * 2) + (p[2] - i // 4 * 2) * (p[2] - i // 4 * 2))), p[3], p[1] - i % 4 * 2, p[2] - i // 4 * 2]))[1] AS t FROM r, range(0, 16) t(i)),\nd AS (SELECT id, i, t[1] AS score, t[3] AS dx, t[4] AS dy FROM c)"
+_POINT_SQL = _anchor_step_sql("0", ("dx", "dy"), 0.3, 0.05)
+_made("step_anchors_point", _POINT_SQL[: _POINT_SQL.index("c AS (")] + _POINTS + _POINT_SQL[_POINT_SQL.index(", s AS (") :], "targets", {"type": "anchors.dense.point", "downsize": 2, "upper_th": 0.3, "lower_th": 0.05}, rows=pointed)
 _made("step_box_feature", f"WITH {_ROWS}, f AS (SELECT id, [(id % 3 + 1)::DOUBLE, (id % 5)::DOUBLE, least(ax, 7), least(ay, 7), least(bx, 7), least(by_, 7)] AS v FROM r) SELECT id, 'box_feature' AS name, i::INTEGER AS i, v[i + 1] AS v FROM f, range(0, 6) t(i) WHERE (v[5] - v[3] + 1) * (v[6] - v[4] + 1) >= 14", "targets", {"type": "box_feature", "min_area": 14})
 _CELLS = f"WITH {_ROWS}, c AS (SELECT id, j, (j % 4) * 2 AS px, (j // 4) * 2 AS py, list_filter([[bx, ay, 3], [ax, by_, 4], [bx, by_, 2], [ax, ay, 1]], lambda p: sqrt((p[1] - (j % 4) * 2) * (p[1] - (j % 4) * 2) + (p[2] - (j // 4) * 2) * (p[2] - (j // 4) * 2)) <= 2) AS near FROM r, range(0, 16) t(j)), b AS (SELECT *, list_reverse_sort(list_transform(near, lambda p: [p[3], p[1], p[2]]))[1] AS p FROM c)"
 _made("step_keypoints", _CELLS + " SELECT id, 'keypoints.mask' AS name, (j * 3 + k)::INTEGER AS i, CASE WHEN p IS NOT NULL AND k = id % 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM b, range(0, 3) t(k) UNION ALL SELECT id, 'keypoints.offset', ((j * 3 + k) * 2 + c)::INTEGER, CASE WHEN p IS NOT NULL AND k = id % 3 THEN CASE c WHEN 0 THEN p[2] - px ELSE p[3] - py END ELSE 0.0::DOUBLE END FROM b, range(0, 3) t(k), range(0, 2) u(c)", "targets", {"type": "keypoints.basic", "classes": 3, "downsize": 2, "radius": 2})

@@ -17,6 +17,8 @@ FIELD = "struct<type:tinyint,bytes:binary>"
 #: Payload columns come last, so that index scans read a prefix of narrow columns.
 SCHEMA = f"id long, label float, label2 short, grp float, file int, serial long, size long, fields array<{FIELD}>"
 MOST_FIELDS = 6
+#: Values of a list that Spark pushes to Parquet one by one (``spark.sql.parquet.pushdown.inFilterThreshold``).
+PUSHED_LIST = 10
 INDEX = ("id", "label", "label2", "grp", "file", "serial", "size")
 NONE, IMAGE, ANNOTATION_IMAGE, ANNOTATION_JSON = range(4)
 _SCHEMES = r"^(?i)(https?|ftp)://"
@@ -28,8 +30,16 @@ def index(records: DataFrame) -> DataFrame:
 
 
 def at_serials(records: DataFrame, serials: Sequence[int]) -> DataFrame:
-    """Positional reads; row groups without these serials are skipped if the table is sorted by serial."""
-    return records.where(F.col("serial").isin(*serials))
+    """Positional reads: row groups without any of these serials are skipped if the table is sorted by serial.
+
+    A list of more than ten values reaches a Parquet scan as its least and largest only, so the filter is made of lists
+    of ten, each of which is compared value by value.
+    """
+    own = sorted(set(serials))
+    parts = [F.col("serial").isin(*own[k : k + PUSHED_LIST]) for k in range(0, len(own), PUSHED_LIST)] or [F.lit(False)]
+    while len(parts) > 1:  # a balanced tree
+        parts = [parts[k] | parts[k + 1] if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
+    return records.where(parts[0])
 
 
 def auto_id(rows: DataFrame, order: Sequence[str], start: int = 0) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import fields, replace
+from itertools import groupby
 from typing import Any, NamedTuple
 
 import numpy as np
@@ -19,8 +20,10 @@ from samplery.sources import records as R
 
 #: Rows of the second file get serial numbers from here on, so that one number names a row.
 SECOND = 1 << 40
-#: Batches that a slice of an endless stream plans at once.
-SLICE_BATCHES = 64
+#: Rows of a slice of an endless stream (a batch at least), whose records are fetched by one filter, and draws that are planned at once.
+SLICE_ROWS, PLANNED = 2048, 16384
+#: Rows, in whole batches, that a task decodes for an ordered stream.
+TASK_ROWS = 256
 _KEYS = {f.name for f in fields(M.SampleConfig)}
 _MIXIN = {"mixin": None, "mixin_group_reset": -1, "mixin_group_delta": 0, "mixin_max": 0, "mixin_randomize": False}
 _CLUSTERS = {"preload", "threads", "dump"}
@@ -118,32 +121,63 @@ class ImageStream:
         self.config, rest = read_config(config)
         if rest["db"] is None:
             raise ValueError("db is missing")
-        own = R.read(spark, rest["db"])
-        self.index, self.records = R.index(own).withColumn("file", F.lit(0)), own.select("serial", "fields")
+        self.spark, self.tables = spark, [R.read(spark, rest["db"])]
+        self.index = R.index(self.tables[0]).withColumn("file", F.lit(0))
         if rest["mixin"]:
-            second = R.read(spark, rest["mixin"]).withColumn("serial", F.col("serial") + SECOND)
-            self.index = M.mixin(self.index, R.index(second), rest["mixin_group_reset"], rest["mixin_group_delta"], rest["mixin_max"], rest["mixin_randomize"], self.config.seed)
-            self.records = self.records.unionByName(second.select("serial", "fields"))
+            self.tables.append(R.read(spark, rest["mixin"]))
+            second = R.index(self.tables[1]).withColumn("serial", F.col("serial") + SECOND)
+            self.index = M.mixin(self.index, second, rest["mixin_group_reset"], rest["mixin_group_delta"], rest["mixin_max"], rest["mixin_randomize"], self.config.seed)
         self.index = self.index.select("id", "label", "grp", "serial")
         if rest["cache"] and self.config.loop:
             self.index = self.index.persist()
         self.config = M.usable_groups(self.index, self.config)
         self.reset()
 
-    def rows(self, offset: int = 0, draws: int | None = None, packed: bool = False) -> DataFrame:
-        """``draw``, ``id``, ``label`` and the facets (see ``decoded``) of the draws from ``offset`` on; all of a finite stream if ``draws`` is None."""
+    def close(self) -> None:
+        """Lets go of the index that an endless stream keeps."""
+        self.index.unpersist()
+
+    def __enter__(self) -> ImageStream:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def _records(self, serials: list[int] | None = None) -> DataFrame:
+        """``serial`` and ``fields`` of all records, or of these by filters that reach the scans."""
+        parts = []
+        for k, t in enumerate(self.tables):
+            own = t if serials is None else R.at_serials(t, [s - k * SECOND for s in serials if s // SECOND == k])
+            parts.append(own.select((F.col("serial") + k * SECOND).alias("serial") if k else F.col("serial"), "fields"))
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+    def _decoded(self, chosen: DataFrame, packed: bool) -> DataFrame:
+        # a draw repeats a record in every epoch, and each time with other parameters
+        key = F.concat_ws(":", "serial", "draw") if self.config.loop else F.col("serial")
+        return decoded(chosen.withColumn("serial", key), self.config, packed)
+
+    def _plan(self, offset: int, draws: int | None) -> DataFrame:
         if self.config.loop:
             if draws is None:
                 raise ValueError("an endless stream has no last draw")
-            plan = M.looped_draws(self.index, self.config, draws, offset)
+            plan = M.looped_draws(self.index, self.config, draws, offset, True)
         else:
             plan = M.draw_order(self.index, self.config)
             if offset or draws is not None:
                 plan = plan.where((F.col("draw") >= offset) & (F.col("draw") < (offset + draws if draws is not None else 1 << 62)))
-        # a draw repeats a record in every epoch, and each time with other parameters
-        chosen = M.with_payload(plan.select("draw", "id", "label", "serial"), self.records)
-        key = F.concat_ws(":", "serial", "draw") if self.config.loop else F.col("serial")
-        return decoded(chosen.withColumn("serial", key), self.config, packed)
+        return plan.select(F.col("draw").cast("long").alias("draw"), "id", "label", "serial")
+
+    def rows(self, offset: int = 0, draws: int | None = None, packed: bool = False) -> DataFrame:
+        """``draw``, ``id``, ``label`` and the facets (see ``decoded``) of the draws from ``offset`` on; all of a finite stream if ``draws`` is None."""
+        return self._decoded(M.with_payload(self._plan(offset, draws), self._records()), packed)
+
+    def slice_rows(self, plan: list) -> DataFrame:
+        """The rows of a slice's plan (``draw``, ``id``, ``label``, ``serial``, at most a slice long): its serials are a filter on the scan, and the plan is handed to the tasks, so that no payload is joined by a shuffle."""
+        schema = self.index.select("id", "label", "serial").schema
+        local = self.spark.createDataFrame(plan, "draw long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema))
+        serials = [r["serial"] for r in plan]
+        records = self._records(serials if len(serials) <= max(SLICE_ROWS, 1) else None)
+        return records.join(F.broadcast(local), "serial")
 
     def size(self) -> int:
         """Rows that a pass over the table yields."""
@@ -164,14 +198,30 @@ class ImageStream:
     next = __next__
 
     def _fetch(self) -> Iterator[list]:
-        step, at = SLICE_BATCHES * self.config.batch, 0
+        size = self.config.batch
+        if not self.config.loop:
+            yield from self._numpy(M.with_payload(self._plan(0, None), self._records()), 0, self.size())
+            return
+        step, at = max(1, SLICE_ROWS // size) * size, 0
         while True:
-            rows = self.rows(at, step, True) if self.config.loop else self.rows(packed=True)
-            for batch in M.batches(rows, self.config.batch, tuple(c for c in rows.columns if c not in ("draw", "serial"))).orderBy("batch").toLocalIterator(prefetchPartitions=True):
-                yield to_numpy(batch.asDict(), self.config)
-            if not self.config.loop:
+            planned = max(1, PLANNED // step) * step  # index rows alone, and no more than that
+            plan = sorted(self._plan(at, planned).collect())
+            if not plan:
                 return
-            at += step
+            for first in range(at, at + planned, step):
+                own = [r for r in plan if first <= r["draw"] < first + step]
+                yield from self._numpy(self.slice_rows(own), first, step)
+            at += planned
+
+    def _numpy(self, chosen: DataFrame, first: int, count: int) -> Iterator[list]:
+        """Batches of the ``count`` draws from ``first`` on: undecoded records move once, to the task of their range of draws, and rows come in order from there."""
+        size = self.config.batch
+        per = max(1, TASK_ROWS // size) * size
+        own = chosen.repartitionById(max(1, -(-count // per)), F.floor((F.col("draw") - first) / per).cast("int")).sortWithinPartitions("draw")
+        rows = self._decoded(own, True)
+        for _, batch in groupby(rows.toLocalIterator(prefetchPartitions=True), lambda r: r["draw"] // size):
+            each = list(batch)
+            yield to_numpy({"rows": len(each)} | {c: [r[c] for r in each] for c in rows.columns}, self.config)
 
 
 def to_numpy(batch: dict[str, Any], config: M.SampleConfig) -> list:

@@ -322,7 +322,12 @@ def test_no_step_is_skipped(spark):
 def test_anchor_steps_are_the_operator(spark, kind):
     boxes = [(3, 5, 20, 11), (30, 2, 9, 25), (28, 3, 16, 16)]
     priors = [[20, 10], [8, 8]] if kind == "box" else []
-    row = transforms.apply(annotated(spark, boxes, 64, 32), [{"type": f"anchors.dense.{kind}", "downsize": 4, "priors": priors, "upper_th": 0.3, "lower_th": 0.01, "weighted": True, "params_default": -1}], SampleConfig()).first()
+    rows = annotated(spark, boxes, 64, 32)
+    if kind == "point":
+        with pytest.raises(Exception, match="one point"):
+            transforms.apply(rows, [{"type": "anchors.dense.point", "downsize": 4}], SampleConfig()).collect()
+        rows = rows.withColumn("shapes", F.transform("shapes", lambda s: s.withField("controls", F.slice(s["controls"], 1, 1))))
+    row = transforms.apply(rows, [{"type": f"anchors.dense.{kind}", "downsize": 4, "priors": priors, "upper_th": 0.3, "lower_th": 0.01, "weighted": True, "params_default": -1}], SampleConfig()).first()
     table = spark.createDataFrame([(0, k, x / 64, y / 32, w / 64, h / 32, 64, 32) for k, (x, y, w, h) in enumerate(boxes)], "image long, serial int, x double, y double, w double, h double, width long, height long")
     pics = spark.createDataFrame([(0, 64, 32)], "image long, width long, height long")
     want = anchors.dense_anchors(pics, table, kind, 4, 0.3, 0.01, True, -1.0, [tuple(map(float, p)) for p in priors]).orderBy("cy", "cx", "prior").collect()
@@ -333,7 +338,15 @@ def test_anchor_steps_are_the_operator(spark, kind):
     assert got["anchors.params"]["data"] == pytest.approx([v for r in want for v in r["params"]])
     assert sum(r["label"] for r in want) > 0
     with pytest.raises(Exception, match="not a multiple"):
-        transforms.apply(annotated(spark, boxes, 63, 32), [{"type": f"anchors.dense.{kind}", "downsize": 4}], SampleConfig()).collect()
+        transforms.apply(rows.withColumn("width", F.lit(63).cast("long")), [{"type": f"anchors.dense.{kind}", "downsize": 4}], SampleConfig()).collect()
+
+
+def test_points_are_anchored(spark):
+    """A point has no area; its nearest cell gets the label."""
+    pics = spark.createDataFrame([(1, 16, 8)], "image long, width long, height long")
+    own = spark.createDataFrame([(1, 0, 0.5, 0.5, None, None, 16, 8), (1, 1, None, 0.5, 0.0, 0.0, 16, 8)], "image long, serial int, x double, y double, w double, h double, width long, height long")
+    got = anchors.dense_anchors(pics, own, "point", 4, 0.9, 0.01).collect()
+    assert len(got) == 8 and [(r["cy"], r["cx"], r["params"]) for r in got if r["label"] == 1] == [(1, 2, [0.0, 0.0])]
 
 
 def test_target_and_mask_steps(spark):

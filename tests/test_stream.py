@@ -1,10 +1,12 @@
 """Image streams, loaders, annotation shapes and plans over serial ranges."""
 
+import glob
 import json
 import struct
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,7 +63,7 @@ def test_endless_stream_with_mixin(spark, db):
     assert sorted(r["draw"] for r in rows) == list(range(5, 75))
     with pytest.raises(ValueError, match="no last draw"):
         s.rows()
-    plain = stream.ImageStream(spark, {"db": db, "shuffle": False, "reshuffle": False, "batch": 41, "colorspace": "RGB", "perturb": True, "transforms": [{"type": "augment.add", "range": 5}]})
+    plain = stream.ImageStream(spark, {"db": db, "shuffle": False, "reshuffle": False, "batch": 41, "colorspace": "RGB", "dtype": "float32", "perturb": True, "transforms": [{"type": "augment.add", "range": 5}]})
     one, two = next(plain), next(plain)
     assert one[0].ids.tolist() == two[0].ids.tolist() == list(range(41))
     assert np.abs(one[1][7] - picture(7)[..., ::-1]).max() <= 5 and not (one[1] == two[1]).all()
@@ -85,6 +87,38 @@ def test_streams_obey_or_refuse(spark, db):
         stream.stacked([{"height": 1, "width": 2, "channels": 1, "data": [1, 2]}, {"height": 2, "width": 1, "channels": 1, "data": [1, 2]}], 2, SampleConfig(), ["IMAGE"] * 2, True)
 
 
+def test_payloads_are_fetched_by_position(spark, tmp_path):
+    """A slice's serials reach the scan, which skips row groups without them, and its payloads move only to be put in order."""
+    path = str(tmp_path / "sorted")
+    rows = [(k, k, 0.0, bytearray(records.encode_raw(picture(k)))) for k in range(400)]
+    made = records.make_records(spark.createDataFrame(rows, "id long, serial long, label double, image binary").coalesce(1), [("image", records.IMAGE)])
+    made.sortWithinPartitions("serial").write.option("parquet.block.size", 4096).option("parquet.block.size.row.check.min", 10).option("parquet.page.size.row.check.min", 10).parquet(path)
+    with stream.ImageStream(spark, {"db": path, "batch": 4, "transforms": [{"type": "resize", "size": 2}]}) as s:
+        plan = s._plan(0, 12).collect()
+        own = s.slice_rows(plan)
+        text = own._jdf.queryExecution().executedPlan().toString()
+        pushed = next(line for line in text.splitlines() if "PushedFilters" in line)
+        assert "In(serial" in pushed and "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text and "SortMergeJoin" not in text
+        assert sorted((r["draw"], r["serial"]) for r in own.collect()) == sorted((r["draw"], r["serial"]) for r in plan)
+        got = [next(s)[0].ids.tolist() for _ in range(3)]
+        assert [i for b in got for i in b] == [r["id"] for r in sorted(plan)]
+
+    def scanned(serials):
+        some = records.at_serials(records.read(spark, path), serials)
+        plan = some._jdf.queryExecution().executedPlan()
+        assert some.count() == len(serials)
+        plan.executeCollect()
+        leaf = plan
+        while not leaf.children().isEmpty():
+            leaf = leaf.children().head()
+        return leaf.metrics().apply("numOutputRows").value()
+
+    groups = pq.ParquetFile(glob.glob(f"{path}/*.parquet")[0]).num_row_groups
+    assert groups > 10 and scanned(list(range(0, 400, 100))) <= 5 * 400 // groups * 2 < 400
+    far = list(range(0, 12)) + list(range(388, 400))  # more than ten values, at both ends
+    assert scanned(far) < 200
+
+
 def test_image_masks_in_streams(spark, tmp_path):
     """An annotation that is an image is a label: colours pass it by, sizes take its nearest pixel; rows may differ in kind and in what steps have made."""
     mask = lambda k: (np.arange(16).reshape(4, 4) + k) % 3
