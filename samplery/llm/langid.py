@@ -9,7 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from samplery.llm.common import attach, col, materialize, scratched
@@ -23,8 +23,10 @@ FAMILIES = {
 }
 #: Buckets of hashed letter n-grams of 1 to 3 bytes.
 BUCKETS = 4096
-#: About how many documents of a language the fit gathers, and of all languages together.
+#: Bounds of the documents of a language that the fit gathers, and of all languages together.
 TRAIN_ROWS, TRAIN_MOST = 500, 8000
+#: Rows of a language that are drawn for each one that is wanted, as its count is approximate.
+SPARE = 1.5
 #: Words whose scores a worker remembers.
 CACHE = 150_000
 UNKNOWN = "und"
@@ -169,32 +171,40 @@ def fit_languages(x: np.ndarray, languages: list[str]) -> LanguageModel:
 
 @scratched
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, most: int = TRAIN_MOST, seed: int = 13, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel | None:
-    """The model from a hash sample of about ``rows`` documents of each language that are not held out, and of about ``most`` in all; None without any.
+    """The model from a hash sample of at most ``rows`` documents of each language that are not held out, and of at most ``most`` in all; None without any.
 
-    Language counts set each language's sampling rate: with many languages each gives its equal part of ``most``. The
-    sample's n-gram counts come to the driver (buckets that are not empty, 6 bytes each).
+    The hash is of id and text and equal rows count once, so neither repeated ids nor repeated rows change how many are
+    taken. Approximate counts of different rows set each language's sampling rate: with many languages each gives its
+    equal part of ``most``, one row at least while ``most`` lasts. The sample's n-gram counts come to the driver
+    (buckets that are not empty, 6 bytes each).
     """
     own = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"), col(lang_col).alias("lang"))
     own = own.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = materialize(own.groupBy(F.col("lang").alias("__l")).agg(F.count(F.lit(1)).alias("n")), "language-counts")
-    rate = counts.select("__l", (F.lit(float(min(rows, most / max(1, counts.count())))) / F.col("n")).alias("rate"))
-    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / (1 << 30)
-    sample = attach(own.withColumn("__draw", draw), rate, [("lang", "__l")], "inner").where(F.col("__draw") < F.col("rate"))
+    own = own.withColumn("__key", F.xxhash64(F.lit(seed), "doc_id", "text"))
+    counts = materialize(own.groupBy(F.col("lang").alias("__l")).agg(F.approx_count_distinct("__key").alias("n"), F.min("__key").alias("least")), "language-counts")
+    each = max(1, min(rows, most // max(1, counts.count())))
+    rate = counts.select("__l", "least", (F.lit(SPARE * each) / F.col("n")).alias("rate"))
+    draw = F.pmod("__key", F.lit(1 << 30)) / (1 << 30)
+    sample = attach(own, rate, [("lang", "__l")], "inner").where((draw < F.col("rate")) | (F.col("__key") == F.col("least")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [features(t.as_py()) for t in b.column("text")]
             at = [np.flatnonzero(v).astype("<u2") for v in x]
             columns = [pa.array([k.tobytes() for k in at], pa.binary()), pa.array([v[k].tobytes() for v, k in zip(x, at, strict=True)], pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column("lang"), *columns], ["lang", "at", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("__key"), b.column("lang"), *columns], ["__key", "lang", "at", "x"])
 
-    got = sorted(r for r in map_arrow(sample.select("lang", "text"), run, "lang string, at binary, x binary").collect() if r["at"])
+    found = map_arrow(sample.select("__key", "lang", "text"), run, "__key long, lang string, at binary, x binary").where(F.octet_length("at") > 0)
+    different = materialize(found.groupBy("lang", "__key").agg(F.min(F.struct("at", "x")).alias("v")), "language-sample")
+    # a language has about SPARE * each different rows here
+    first = different.withColumn("__turn", F.row_number().over(Window.partitionBy("lang").orderBy("__key"))).where(F.col("__turn") <= each)
+    got = sorted((r["lang"], r["v"]["at"], r["v"]["x"]) for r in first.orderBy("__turn", "__key").limit(most).collect())
     if not got:
         return None
     x = np.zeros((len(got), BUCKETS), np.float32)
-    for k, r in enumerate(got):
-        x[k, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["x"], np.float32)
-    return fit_languages(x, [r["lang"] for r in got])
+    for k, (_, at, value) in enumerate(got):
+        x[k, np.frombuffer(at, "<u2")] = np.frombuffer(value, np.float32)
+    return fit_languages(x, [r[0] for r in got])
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -146,7 +146,8 @@ def grades_of(labels: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, grades: int = 3, rows: int = TRAIN_ROWS, seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel | None:
     """The model from at most ``rows`` labelled documents (a sample by hash); None without labelled documents.
 
-    The labelled ids are chosen first, so that only their texts are read into features; the features come to the driver.
+    The labelled ids are chosen first, so that only their texts are read into features. Where ids repeat, of all their
+    rows the ``rows`` first by a hash of id and text are taken, equal rows once; no more than these come to the driver.
     """
     chosen = grades_of(labels).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(rows)
     chosen = materialize(chosen.select(F.col("doc_id").alias("__id"), "grade"), "graded")
@@ -156,9 +157,11 @@ def train(docs: DataFrame, labels: DataFrame, grades: int = 3, rows: int = TRAIN
         for b in batches:
             found = [features(x.as_py()) for x in b.column("text")]
             columns = [pa.array([f[k].astype(t).tobytes() for f in found], pa.binary()) for k, t in ((0, "<i4"), (1, "<f4"))]
-            yield pa.RecordBatch.from_arrays([b.column("grade"), *columns], ["grade", "buckets", "value"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("grade"), *columns], ["key", "grade", "buckets", "value"])
 
-    got = map_arrow(own.select("grade", "text"), run, "grade int, buckets binary, value binary").collect()
+    keyed = own.select(F.xxhash64(F.lit(seed), "doc_id", "text").alias("key"), "grade", "text")
+    different = map_arrow(keyed, run, "key long, grade int, buckets binary, value binary").groupBy("key").agg(F.min(F.struct("grade", "buckets", "value")).alias("row"))
+    got = [r[0] for r in different.orderBy("key").limit(rows).select("row").collect()]
     if not got:
         return None
     return fit_ordinal([(r[0], np.frombuffer(r[1], "<i4").astype(np.int64), np.frombuffer(r[2], "<f4").astype(float)) for r in sorted(got)], grades)

@@ -326,7 +326,7 @@ def prefix_trie(turns: DataFrame, id: str = "conv_id", turn: str = "turn", role:
     linked = ends.withColumn("previous", F.lag("last").over(Window.orderBy("range")))
     before = {r["range"]: r["agreed"] for r in map_arrow(linked, _agreements, "range int, agreed int").collect()}
     order = sorted(before)
-    agreed = {r: (before[r], before[n] if n is not None else -1) for r, n in zip(order, [*order[1:], None], strict=True)}
+    agreed = {r: (before[r], before[n] if n is not None else -1) for r, n in zip(order, [*order[1:], None], strict=False)}
 
     built = materialize(map_arrow(runs, _built(agreed), _BUILT), "trie", keep=True)
     parts = built.where(F.col("node").isNotNull())
