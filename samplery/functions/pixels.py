@@ -35,7 +35,7 @@ def _apply(function: Callable[[np.ndarray], np.ndarray], spark: SparkSession) ->
     return run
 
 
-def _sample(images: np.ndarray, h: int, w: int, ys: np.ndarray, xs: np.ndarray, border: str = "replicate") -> np.ndarray:
+def sample(images: np.ndarray, h: int, w: int, ys: np.ndarray, xs: np.ndarray, border: str = "replicate") -> np.ndarray:
     """Bilinear values of (n, h, w, c) at real coordinates; outside: nearest edge, mirrored without repeating the edge if ``border`` is reflect, or zero if constant."""
     y0, x0 = np.floor(ys).astype(int), np.floor(xs).astype(int)
     out = 0.0
@@ -78,7 +78,7 @@ def resize(images: np.ndarray, w: int, h: int, width: int, height: int, channels
         got = stack[:, (np.arange(height) * h // height)[:, None], (np.arange(width) * w // width)[None, :]]
     else:
         ys, xs = (np.arange(height) + 0.5) * h / height - 0.5, (np.arange(width) + 0.5) * w / width - 0.5
-        got = _sample(stack, h, w, np.clip(ys, 0, h - 1)[:, None] + 0 * xs[None, :], np.clip(xs, 0, w - 1)[None, :] + 0 * ys[:, None])
+        got = sample(stack, h, w, np.clip(ys, 0, h - 1)[:, None] + 0 * xs[None, :], np.clip(xs, 0, w - 1)[None, :] + 0 * ys[:, None])
     return got.reshape(len(images), -1)
 
 
@@ -90,7 +90,7 @@ def rotate(images: np.ndarray, w: int, h: int, degrees: float, channels: int = 1
     ys, xs = b * dx + a * dy + h // 2, a * dx - b * dy + w // 2
     if nearest:  # the sum of tiny errors must not decide at a half
         ys, xs = (np.floor(np.round(v, 9) + 0.5) for v in (ys, xs))
-    got = _sample(images.reshape(len(images), h, w, channels), h, w, ys, xs, border)
+    got = sample(images.reshape(len(images), h, w, channels), h, w, ys, xs, border)
     return got.reshape(len(images), -1)
 
 

@@ -20,7 +20,7 @@ from samplery.functions import uris as U
 from samplery.functions.keys import SEED, integer, uniform
 from samplery.operators import anchors as A
 from samplery.operators import datasets as D
-from samplery.operators import profile, samples, transcode
+from samplery.operators import cuts, profile, samples, transcode
 from samplery.plans import sampling as M
 from samplery.plans import transforms as T
 from samplery.plans.transforms import some_of
@@ -1180,6 +1180,76 @@ def batch_dump(spark, sf_dir):
     return dumped.select("name", number(17, 4).alias("width"), number(21, 4).alias("height"), number(26, 1).cast("int").alias("colours"))
 
 
+# --- cut images as records
+
+
+def noted_images(spark, sf_dir):
+    """Vectors as byte images of 8 x 8 pixels whose annotation is one rectangle, as records."""
+    t = table(spark, sf_dir, "embeddings")
+    v = F.col("vec_id")
+    byte = lambda x: F.lpad(F.hex(F.floor(F.abs(x.cast("double")) * 100).cast("long") % 256), 2, "0")
+    matrix = records.raw_bytes(F.lit(0), F.lit(8), F.lit(8), F.lit(1), F.unhex(F.array_join(F.transform("embedding", byte), "")))
+    box = F.struct((v % 4 / 8).alias("x"), (v % 3 / 8).alias("y"), ((2 + v % 3) / 8).alias("width"), F.lit(3 / 8).alias("height"))
+    note = F.encode(F.to_json(F.struct(F.array(F.struct(F.lit("rect").alias("type"), (v % 3 + 1).alias("label"), box.alias("geometry"))).alias("shapes"))), "UTF-8")
+    return records.make_records(t.select(v.alias("id"), v.alias("serial"), "label", matrix.alias("image"), note.alias("note")), [("image", records.IMAGE), ("note", records.NONE)])
+
+
+def _cut_rows(made, notes=True):
+    """Pixels of cut records beside the box of their first shape."""
+    own = made.withColumn("m", P.raw_decoder(made.sparkSession)(records.field(F.col("fields"), 0)))
+    g = F.get(S.parse_annotation(F.decode(records.field(F.col("fields"), 1), "UTF-8")), F.lit(0))["geometry"]
+    box = {"bx": g["x"], "by": g["y"], "bw": g["width"], "bh": g["height"]} if notes else {}
+    rows = own.select(F.floor(F.col("serial") / cuts.MOST_CUTS).alias("id"), (F.col("serial") % cuts.MOST_CUTS).alias("cut"), F.col("m.width").alias("width"), F.col("m.height").alias("height"), *[r6(c).alias(n) for n, c in box.items()], F.posexplode("m.data").alias("i", "v"))
+    return rows
+
+
+_CUT = """v AS (SELECT vec_id AS id, list_transform(embedding::DOUBLE[], lambda x: floor(abs(x) * 100)::BIGINT % 256) AS e, vec_id % 4 AS ax, vec_id % 3 AS ay, 2 + vec_id % 3 AS aw, 3 AS ah FROM embeddings)"""
+_NEAR4 = "round_even(" + " + ".join(f"abs({1 - dy} - (sy - y0)) * abs({1 - dx} - (sx - x0)) * e[least(greatest(y0 + {dy}, {{y1}}), {{y2}}) * 8 + least(greatest(x0 + {dx}, {{x1}}), {{x2}}) + 1]" for dy in (0, 1) for dx in (0, 1)) + ", 0)"
+
+
+def _cut_sql(windows: str, box: bool = True, source: tuple[str, str, str, str] = ("0", "0", "8", "8")) -> str:
+    """Cuts of ``windows`` (id, cut, fw, fh, x, y, w, h beside the columns of v): the source's part scaled to fw x fh, seen through the window."""
+    x0, y0, sw, sh = source
+    note = f", {sql_r6('CASE WHEN seen THEN (ax / 8.0 - x / fw::DOUBLE) / (w / fw::DOUBLE) END')} AS bx, {sql_r6('CASE WHEN seen THEN (ay / 8.0 - y / fh::DOUBLE) / (h / fh::DOUBLE) END')} AS by, {sql_r6('CASE WHEN seen THEN aw / 8.0 / (w / fw::DOUBLE) END')} AS bw, {sql_r6('CASE WHEN seen THEN ah / 8.0 / (h / fh::DOUBLE) END')} AS bh" if box else ""
+    return f"""WITH {_CUT}, c AS ({windows}), s AS (SELECT *, least((ax + aw) / 8.0::DOUBLE, (x + w) / fw::DOUBLE) > greatest(ax / 8.0::DOUBLE, x / fw::DOUBLE) AND least((ay + ah) / 8.0::DOUBLE, (y + h) / fh::DOUBLE) > greatest(ay / 8.0::DOUBLE, y / fh::DOUBLE) AS seen FROM c WHERE w > 0 AND h > 0),
+p AS (SELECT *, least(greatest((x + i % w + 0.5::DOUBLE) * ({sw}) / fw - 0.5::DOUBLE, 0), ({sw}) - 1) + ({x0}) AS sx, least(greatest((y + i // w + 0.5::DOUBLE) * ({sh}) / fh - 0.5::DOUBLE, 0), ({sh}) - 1) + ({y0}) AS sy FROM s, range(0, 5000) t(i) WHERE i < w * h),
+k AS (SELECT *, floor(sx)::BIGINT AS x0, floor(sy)::BIGINT AS y0 FROM p)
+SELECT id, cut::BIGINT AS cut, w::BIGINT AS width, h::BIGINT AS height{note}, i::INTEGER AS i, {_NEAR4.format(x1=x0, y1=y0, x2=f"({x0}) + ({sw}) - 1", y2=f"({y0}) + ({sh}) - 1")}::DOUBLE AS v FROM k"""
+
+
+@query(_cut_sql("SELECT *, gy * 4 + gx AS cut, 12 AS fw, 12 AS fh, least(gx * 3, 7) AS x, least(gy * 3, 7) AS y, 5 AS w, 5 AS h FROM v, range(0, 4) a(gx), range(0, 4) b(gy)"))
+def cut_tiles(spark, sf_dir):
+    """Tiles of 5 pixels every 3 of images that are half as large again, with pixels and what their annotation shows there."""
+    return _cut_rows(cuts.tiles(noted_images(spark, sf_dir), 5, 3, 1.5))
+
+
+@query(_cut_sql("SELECT *, 0 AS cut, 2 * aw AS fw, 2 * ah AS fh, 0 AS x, 0 AS y, 2 * aw AS w, 2 * ah AS h FROM v", False, ("ax", "ay", "aw", "ah")))
+def cut_crops(spark, sf_dir):
+    return _cut_rows(cuts.crops(noted_images(spark, sf_dir), 2.0), False)
+
+
+_SIDES = ", ".join(f"least(o{d} + greatest({{side}} - o{d}, 0), f{d}) AS {d}" for d in "wh")
+_CORNERS = ", ".join(f"greatest(0, least(o{o} - greatest({{side}} - o{d}, 0) // 2, f{d} - {d})) AS {o}" for o, d in (("x", "w"), ("y", "h")))
+_FITTED = ", ".join(f"floor(a{k} / 8.0::DOUBLE * f{d})::BIGINT AS o{k}" for k, d in (("x", "w"), ("y", "h"), ("w", "w"), ("h", "h")))
+
+
+@query(_cut_sql(f"SELECT *, {_CORNERS.format(side='12')} FROM (SELECT *, {_SIDES.format(side='12')} FROM (SELECT *, {_FITTED} FROM (SELECT *, 0 AS cut, round(8 * (10 / sqrt(aw * ah)))::BIGINT AS fw, round(8 * (10 / sqrt(aw * ah)))::BIGINT AS fh FROM v)))"))
+def cut_patches(spark, sf_dir):
+    """Patches about shapes of images scaled so that the shapes have a like size."""
+    return _cut_rows(cuts.patches(noted_images(spark, sf_dir), 10, 12))
+
+
+@query(_cut_sql(f"SELECT *, {_CORNERS.format(side='side')} FROM (SELECT *, {_SIDES.format(side='side')} FROM (SELECT *, greatest(floor(sqrt(ow * oh) / 4 * 6)::BIGINT, 4) AS side FROM (SELECT *, {_FITTED} FROM (SELECT *, 0 AS cut, 8 AS fw, 8 AS fh FROM v))))"))
+def cut_patches_unscaled(spark, sf_dir):
+    return _cut_rows(cuts.patches(noted_images(spark, sf_dir), 4, 6, False, 4))
+
+
+@query(_cut_sql("SELECT v.*, 0 AS cut, 8 AS fw, 8 AS fh, greatest(0, least(ax - (side - aw) // 2, 8 - side)) AS x, greatest(0, least(ay - (side - ah) // 2, 8 - side)) AS y, side AS w, side AS h FROM (SELECT *, CASE WHEN aw * ah < 0.5 * 64 THEN round(8 * sqrt(aw * ah / (0.5::DOUBLE * 64)))::BIGINT ELSE 8 END AS side FROM v) v"))
+def cut_zoomed(spark, sf_dir):
+    return _cut_rows(cuts.zoomed(noted_images(spark, sf_dir), 0.5))
+
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balanced training batches: stratified 7-fold split, oversampled round robin, batches of 32."""
     return batch_meta(spark, sf_dir)
