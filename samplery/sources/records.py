@@ -6,12 +6,11 @@ import struct
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from samplery.shipping import map_arrow
+from samplery.sources import files
 
 FIELD = "struct<type:tinyint,bytes:binary>"
 #: Payload columns come last, so that index scans read a prefix of narrow columns.
@@ -186,49 +185,39 @@ def import_classes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def import_list(spark: SparkSession, list_path: str, root: str, kind: str = "label", sep: str = "\t", keep_path: bool = False) -> DataFrame:
-    """Lines ``path<sep>value``: ``kind`` is 'label' (a number), 'json' (an annotation) or 'mask' (the path of an image, may be empty). Lines that don't parse, or whose file is missing, are left out. ``keep_path``: labelled records get a field of JSON that holds the path as the list has it."""
+    """Lines ``path<sep>value``: ``kind`` is 'label' (a number), 'json' (an annotation) or 'mask' (the path of an image, may be empty). Lines that don't parse, or whose file is missing, are left out. ``keep_path``: labelled records get a field of JSON that holds the path as the list has it.
+
+    Tasks open the files that their lines name; others below ``root`` are not even listed.
+    """
     lines = spark.read.text(list_path).select(F.split("value", sep, 2).alias("p")).where(F.size("p") >= (1 if kind == "mask" else 2)).select(F.col("p")[0].alias("name"), F.try_element_at("p", F.lit(2)).alias("value"))
-    files = _files(spark, root).withColumn("name", F.regexp_replace("path", r"^file:/*", "/"))
     prefix = root.rstrip("/") + "/"
-    named = lambda c: F.when(F.col(c).startswith("/"), F.col(c)).otherwise(F.concat(F.lit(prefix), F.col(c)))
-    rows = lines.withColumn("at", named("name")).join(files.select(F.col("name").alias("at"), "content"), "at").withColumn("path", F.col("name"))
+    named = lambda c: F.when(F.col(c).startswith("/") | F.col(c).contains("://"), F.col(c)).otherwise(F.concat(F.lit(prefix), F.col(c)))
+    if kind == "label":
+        lines = lines.withColumn("label", F.col("value").try_cast("float")).where("label is not null")
+    whole = {"start": F.lit(0).cast("long"), "length": F.lit(None).cast("long")}
+    rows = files.read_parts(files.spread(lines, "name").withColumns({"path": named("name"), **whole}), "skip").withColumn("path", F.col("name"))
     if kind == "label":
-        rows = rows.withColumn("label", F.col("value").try_cast("float")).where("label is not null")
         rows = rows.withColumn("origin", F.encode(F.to_json(F.struct(F.col("name").alias("path"))), "UTF-8"))
         return make_records(_numbered(rows), [("content", IMAGE), *([("origin", NONE)] if keep_path else [])])
     rows = rows.withColumn("label", F.lit(0.0))
     if kind == "json":
         return make_records(_numbered(rows.withColumn("note", F.encode("value", "UTF-8"))), [("content", IMAGE), ("note", ANNOTATION_JSON)])
-    masks = files.select(F.col("name").alias("mask_at"), F.col("content").alias("mask"))
-    rows = rows.withColumn("mask_at", F.when(F.coalesce("value", F.lit("")) != "", named("value"))).join(masks, "mask_at", "left")
+    wanted = lines.where(F.coalesce("value", F.lit("")) != "").select(F.col("value").alias("mask_name")).distinct()
+    masks = files.read_parts(files.spread(wanted, "mask_name").withColumns({"path": named("mask_name"), **whole}), "skip").select("mask_name", F.col("content").alias("mask"))
+    rows = rows.join(masks, F.col("value") == F.col("mask_name"), "left")
     return make_records(_numbered(rows), [("content", IMAGE), ("mask", ANNOTATION_IMAGE)])
 
 
 def import_tars(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Regular members of tar files; the label is the file's place in ``paths``. Members are cut out in tasks, one tar at a time."""
-    order = spark.createDataFrame([(p if "://" in p or p.startswith("file:") else f"file:{p}", k) for k, p in enumerate(paths)], "tar string, label int")
-    files = spark.read.format("binaryFile").load(list(paths)).select(F.col("path").alias("tar"), "content").join(F.broadcast(order), "tar")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import io
-        import tarfile
-
-        for b in batches:
-            for content, label in zip(b.column("content"), b.column("label"), strict=True):
-                with tarfile.open(fileobj=io.BytesIO(content.as_py())) as t:
-                    for n, m in enumerate(x for x in t if x.isfile()):
-                        yield pa.RecordBatch.from_arrays([pa.array([label.as_py()], pa.int32()), pa.array([n], pa.int64()), pa.array([m.name]), pa.array([t.extractfile(m).read()])], ["label", "member", "path", "content"])
-
-    rows = map_arrow(files.select("content", "label"), run, "label int, member long, path string, content binary")
-    return make_records(auto_id(rows, ["label", "member"]).withColumn("serial", F.col("id")), [("content", IMAGE)])
-
-
-def import_cifar(spark: SparkSession, path: str, side: int = 32) -> DataFrame:
-    """Rows of one label byte and three planes of ``side`` x ``side`` bytes: label and planes (red, green, blue)."""
-    row = 1 + 3 * side * side
-    files = spark.read.format("binaryFile").load(path).select("path", "content", (F.length("content") / row).cast("int").alias("rows"))
-    cut = files.where("rows > 0").select("path", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: F.substring(F.col("content"), (i * row + 1).cast("int"), F.lit(row)))).alias("n", "row"))
-    rows = cut.select("path", "n", F.conv(F.hex(F.substring("row", 1, 1)), 16, 10).cast("float").alias("label"), F.substring("row", 2, row - 1).alias("planes"))
+    """Regular members of tar files; the label is the file's place in ``paths``. Headers are read first, then each task seeks to its own members, so that no tar is held."""
+    rows = files.read_members(files.tar_members(spark, paths)).withColumn("label", F.col("tar").cast("float"))
+    return make_records(auto_id(rows, ["tar", "member"]).withColumn("serial", F.col("id")), [("content", IMAGE)])
+
+
+def import_cifar(spark: SparkSession, path: str | Sequence[str], side: int = 32) -> DataFrame:
+    """Rows of one label byte and three planes of ``side`` x ``side`` bytes: label and planes (red, green, blue), of one file or several; a file's rows are read by many tasks."""
+    cut = files.read_rows(spark, [path] if isinstance(path, str) else path, 1 + 3 * side * side)
+    rows = cut.select("path", "n", F.conv(F.hex(F.substring("row", 1, 1)), 16, 10).cast("float").alias("label"), F.expr("substring(row, 2)").alias("planes"))
     return make_records(auto_id(rows, ["path", "n"]).withColumn("serial", F.col("id")), [("planes", NONE)])
 
 
@@ -241,18 +230,22 @@ def read_idx(content: bytes) -> np.ndarray:
     return np.frombuffer(content, np.uint8, offset=4 + 4 * len(dims)).reshape(dims)
 
 
+def _idx_rows(spark: SparkSession, path: str) -> DataFrame:
+    """``serial`` and ``bytes`` of an IDX file's items, read by ranges; only its header comes to the driver."""
+    with files.opened(path) as f:
+        magic, = struct.unpack(">I", f.read(4))
+        if magic not in (0x0803, 0x0801):
+            raise ValueError(f"not an IDX file of bytes: {magic:#x}")
+        deep = magic & 0xFF
+        dims = struct.unpack(f">{deep}I", f.read(4 * deep))
+    rows = files.read_rows(spark, [path], int(np.prod(dims[1:])), 4 + 4 * deep)
+    return rows.where(F.col("n") < dims[0]).select(F.col("n").alias("serial"), F.col("row").alias("bytes"))
+
+
 def import_idx(spark: SparkSession, images: str, labels: str) -> DataFrame:
     """One image file and one label file; rows pair by position."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for content in b.column("content"):
-                rows = read_idx(content.as_py())
-                for lo in range(0, len(rows), 1000):
-                    part = rows[lo : lo + 1000]
-                    yield pa.RecordBatch.from_arrays([pa.array(range(lo, lo + len(part)), pa.int64()), pa.array([x.tobytes() for x in part], pa.binary())], ["serial", "bytes"])
-
-    both = [map_arrow(spark.read.format("binaryFile").load(p).select("content"), run, "serial long, bytes binary") for p in (images, labels)]
-    rows = both[0].join(both[1].select("serial", F.conv(F.hex("bytes"), 16, 10).cast("float").alias("label")), "serial").withColumn("id", F.col("serial"))
+    pictures, marks = (_idx_rows(spark, p) for p in (images, labels))
+    rows = pictures.join(marks.select("serial", F.conv(F.hex("bytes"), 16, 10).cast("float").alias("label")), "serial").withColumn("id", F.col("serial"))
     return make_records(rows, [("bytes", NONE)])
 
 

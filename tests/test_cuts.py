@@ -1,13 +1,16 @@
-"""Cut records: pixels, annotations and masks of crops, tiles and patches."""
+"""Cut records: pixels, annotations and masks of crops, tiles and patches; parts of files."""
 
 import json
+import os
+import tarfile
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from samplery.functions import pixels
 from samplery.operators import cuts
-from samplery.sources import records
+from samplery.sources import files, records
 
 PIXELS = np.arange(8 * 10 * 3, dtype=np.uint8).reshape(8, 10, 3)
 SHAPES = [
@@ -87,3 +90,44 @@ def test_patches_and_windows(noted):
     zoomed = got(cuts.zoomed(made(noted.sparkSession, [(records.encode_raw(PIXELS), json.dumps({"shapes": SHAPES[:1]}).encode())]), 0.8))[0, 0]
     assert (zoomed[0] == PIXELS[2:6, 1:6]).all() and json.loads(zoomed[1])["shapes"][0]["geometry"]["width"] == pytest.approx(0.8)
     assert cuts.crops(noted.where("id > 9")).count() == 0
+
+
+# --- parts of files
+
+
+def test_large_tars_are_listed_by_their_headers(spark, tmp_path):
+    """A sparse tar of 3 GB: its members are found without reading it, and small ones are read by position."""
+    path = str(tmp_path / "big.tar")
+    with open(path, "wb") as f:
+        for name, size in (("a", 5), ("hole", 3 << 30), ("b", 7)):
+            info = tarfile.TarInfo(name)
+            info.size = size
+            f.write(info.tobuf())
+            if size < 10:
+                f.write(name.encode() * size)
+            f.seek(-(-size // 512) * 512 - (size if size < 10 else 0), os.SEEK_CUR)
+        f.write(b"\0" * 1024)
+    found = files.tar_members(spark, [path])
+    assert [(r["name"], r["length"]) for r in found.orderBy("member").collect()] == [("a", 5), ("hole", 3 << 30), ("b", 7)]
+    small = files.read_members(found.where("length < 10")).orderBy("member").collect()
+    assert [bytes(r["content"]) for r in small] == [b"a" * 5, b"b" * 7]
+
+
+def test_rows_of_one_file_go_to_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "PART", 40)
+    (tmp_path / "rows").write_bytes(b"head" + bytes(range(200)) + b"rest")
+    got = files.read_rows(spark, [str(tmp_path / "rows")], 10, 4)
+    assert [(r["n"], bytes(r["row"])) for r in got.orderBy("n").collect()] == [(k, bytes(range(10 * k, 10 * k + 10))) for k in range(20)]
+    assert len({r[0] for r in got.groupBy(F.spark_partition_id()).count().collect()}) > 1
+
+
+def test_only_listed_files_are_opened(spark, tmp_path):
+    """A pipe that is not in the list would never end if it were opened."""
+    (tmp_path / "root").mkdir()
+    os.mkfifo(tmp_path / "root" / "pipe")
+    (tmp_path / "root" / "a.bin").write_bytes(b"a")
+    (tmp_path / "list").write_text("a.bin\t4\nmissing.bin\t5\na.bin\tx\n")
+    got = records.import_list(spark, str(tmp_path / "list"), str(tmp_path / "root")).collect()
+    assert [(r["label"], bytes(r["fields"][0]["bytes"])) for r in got] == [(4.0, b"a")]
+    with pytest.raises(Exception, match="missing|No such"):
+        files.read_parts(spark.createDataFrame([(str(tmp_path / "missing"), 0, None)], "path string, start long, length long")).collect()
