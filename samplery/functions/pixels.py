@@ -220,6 +220,27 @@ def raw_resizer(spark: SparkSession) -> Callable[[Column, Column, Column], Colum
     return run
 
 
+def fitter(spark: SparkSession, dtype: str) -> Callable[..., Column]:
+    """A pandas UDF of an image's pixels, width and height and a shape: the image in that width, height and channels, in the range of ``dtype``; null stays null."""
+    ship(spark)
+
+    @F.pandas_udf("array<double>")
+    def run(images: pd.Series, ws: pd.Series, hs: pd.Series, widths: pd.Series, heights: pd.Series, channels: pd.Series) -> pd.Series:
+        out: list[np.ndarray | None] = []
+        for x, w, h, *shape in zip(images, ws, hs, widths, heights, channels, strict=True):
+            if x is None:
+                out.append(None)
+                continue
+            w, h, width, height, deep = (int(v) for v in (w, h, *shape))
+            own = np.asarray(x, np.float64).reshape(h, w, -1)
+            if (w, h) != (width, height):
+                own = resize(own.reshape(1, -1), w, h, width, height, own.shape[2]).reshape(height, width, -1)
+            out.append(convert(own, deep, dtype).ravel())
+        return pd.Series(out, dtype=object)
+
+    return run
+
+
 # Fixed values of the PNG format: its signature, and the colour type of 1, 3 and 4 channels.
 PNG_SIGNATURE = b"\x89PNG\r\n\x1a\n"
 PNG_COLOURS = {1: 0, 3: 2, 4: 6}

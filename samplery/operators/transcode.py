@@ -47,3 +47,34 @@ def import_limited(records: DataFrame, most: int = 0, square: int = 0) -> DataFr
 def limited(records: DataFrame, most: int = 2**31 - 1, least: int = 0) -> DataFrame:
     """The long side at most ``most``, then the short side at least ``least``."""
     return resized(records, lambda w, h: Z.limit(w, h, most, least))
+
+
+#: How a batch's size is chosen from those of its images.
+FITS = ("first", "largest", "smallest")
+
+
+def fitted(rows: DataFrame, size: int, mode: str = "first", facet: str = "image0", channels: int = -1, dtype: str = "uint8") -> DataFrame:
+    """Images of unlike sizes in one shape a batch: ``facet`` (width, height, channels, data) of rows with a ``draw``, ``size`` draws to a batch.
+
+    The batch's width, height and channels are those of its ``first`` image, or the ``largest`` or ``smallest`` of each
+    among its images; ``channels`` may be fixed. Images are resized linearly, turned grey, repeated or freed of opacity,
+    and rounded to ``dtype``. Only sizes are aggregated and joined back; missing images stay null, and a batch without
+    any has no shape.
+    """
+    if mode not in FITS:
+        raise ValueError(f"a batch's size is one of {FITS}, not {mode!r}")
+    own = F.col(facet)
+    batch = F.floor(F.col("draw") / size).cast("long")
+    there = rows.where(own["data"].isNotNull())
+    shape = F.struct(*[own[k].alias(k) for k in ("width", "height", "channels")])
+    if mode == "first":
+        chosen = F.min_by(shape, "draw")
+    else:
+        chosen = F.struct(*[(F.max if mode == "largest" else F.min)(own[k]).alias(k) for k in ("width", "height", "channels")])
+    shapes = there.groupBy(batch.alias("__batch")).agg(chosen.alias("__shape"))
+    both = rows.withColumn("__own", batch).join(shapes, F.col("__own") == F.col("__batch"), "left")
+    deep = F.lit(channels) if channels > 0 else F.col("__shape.channels")
+    new = P.fitter(rows.sparkSession, dtype)(own["data"], own["width"], own["height"], F.col("__shape.width"), F.col("__shape.height"), deep)
+    made = F.struct(F.col("__shape.width").alias("width"), F.col("__shape.height").alias("height"), deep.cast("int").alias("channels"), F.col("__new").alias("data"))
+    out = both.withColumn("__new", new).withColumn("__made", F.when(F.col("__new").isNotNull(), made))
+    return out.select(*[F.col("__made").alias(c) if c == facet else F.col(c) for c in rows.columns])

@@ -42,6 +42,7 @@ class SampleConfig:
     annotate: tuple[int, ...] = ()
     raw: tuple[int, ...] = ()
     transforms: tuple[dict, ...] = ()
+    autoencoder: bool = False
 
     def __post_init__(self) -> None:
         if self.split < 1 or self.batch < 1:

@@ -1249,6 +1249,36 @@ def cut_zoomed(spark, sf_dir):
     return _cut_rows(cuts.zoomed(noted_images(spark, sf_dir), 0.5))
 
 
+_FIT = "least(greatest((i % tw + 0.5::DOUBLE) * w / tw - 0.5::DOUBLE, 0), w - 1) AS sx, least(greatest((i // tw + 0.5::DOUBLE) * h / th - 0.5::DOUBLE, 0), h - 1) AS sy"
+_FIT4 = " + ".join(f"abs({1 - dy} - (sy - y0)) * abs({1 - dx} - (sx - x0)) * e[least(y0 + {dy}, h - 1) * w + least(x0 + {dx}, w - 1) + 1]" for dy in (0, 1) for dx in (0, 1))
+
+
+def _fit_sql(width: str, height: str) -> str:
+    return f"""WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, CASE WHEN vec_id % 2 = 0 THEN 8 ELSE 16 END AS w, CASE WHEN vec_id % 2 = 0 THEN 8 ELSE 4 END AS h FROM embeddings),
+t AS (SELECT *, {width} AS tw, {height} AS th FROM v), g AS (SELECT *, {_FIT} FROM t, range(0, 128) r(i) WHERE i < tw * th), k AS (SELECT *, floor(sx)::BIGINT AS x0, floor(sy)::BIGINT AS y0 FROM g)
+SELECT id, tw::BIGINT AS width, th::BIGINT AS height, (i * 3 + c)::INTEGER AS i, {sql_r6(_FIT4)} AS v FROM k, range(0, 3) u(c)"""
+
+
+def _fitted(spark, sf_dir, mode):
+    """Vectors as grey images of 8 x 8 pixels (even ids) or 16 x 4, in batches of five, in one shape of three channels."""
+    v = F.col("vec_id")
+    size = lambda a, b: F.when(v % 2 == 0, a).otherwise(b).cast("long")
+    image = F.struct(size(8, 16).alias("width"), size(8, 4).alias("height"), F.lit(1).alias("channels"), F.col("embedding").cast("array<double>").alias("data"))
+    rows = table(spark, sf_dir, "embeddings").select(v.alias("id"), v.alias("draw"), image.alias("image0"))
+    made = transcode.fitted(rows, 5, mode, channels=3, dtype="float32")
+    return made.select("id", "image0.width", "image0.height", F.posexplode("image0.data").alias("i", "v")).withColumn("v", r6(F.col("v")))
+
+
+@query(_fit_sql("CASE WHEN id // 5 % 2 = 0 THEN 8 ELSE 16 END", "CASE WHEN id // 5 % 2 = 0 THEN 8 ELSE 4 END"))
+def fit_first(spark, sf_dir):
+    return _fitted(spark, sf_dir, "first")
+
+
+@query(_fit_sql("16", "8"))
+def fit_largest(spark, sf_dir):
+    return _fitted(spark, sf_dir, "largest")
+
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balanced training batches: stratified 7-fold split, oversampled round robin, batches of 32."""

@@ -59,7 +59,7 @@ def read_config(given: dict[str, Any]) -> tuple[M.SampleConfig, dict[str, Any]]:
 
 
 def decoded(rows: DataFrame, config: M.SampleConfig, packed: bool = False) -> DataFrame:
-    """Records (``serial``, ``fields``) with the facets that the configuration asks for, after its transforms: structs ``image<k>`` and ``label<k>``, then ``added<k>`` that steps have appended; ``targets`` that they have made, ``kinds`` of the facets and ``left``, how many shapes annotations still have.
+    """Records (``serial``, ``fields``) with the facets that the configuration asks for, after its transforms: structs ``image<k>`` and ``label<k>``, then ``added<k>`` that steps have appended; ``targets`` that they have made, ``kinds`` of the facets and ``left``, how many shapes annotations still have; ``auto``, the first image again as its own label, for an autoencoder.
 
     All facets of a row are transformed by the same parameters, which are drawn from its serial number, and in one
     pass through Python. An annotation is JSON, whose shapes live in the first image's frame, or an image, a label of
@@ -93,7 +93,7 @@ def decoded(rows: DataFrame, config: M.SampleConfig, packed: bool = False) -> Da
     facet = lambda k: F.col("facets")[k]
     shown = {f"{'image' if k < first else 'label'}{k if k < first else k - first}": k for k in inputs} | {f"added{n}": k for n, k in enumerate(range(len(inputs), len(plan.kinds)))}
     structs = [F.when(facet(k)["data"].isNotNull(), facet(k).dropFields("kind")).alias(name) for name, k in shown.items()]
-    return out.select(*rest, *[f"raw{k}" for k in range(len(config.raw))], *structs, F.transform("facets", lambda f: f["kind"]).alias("kinds"), "left", *[c for c in ("targets",) if c in out.columns])
+    return out.select(*rest, *[f"raw{k}" for k in range(len(config.raw))], *structs, F.transform("facets", lambda f: f["kind"]).alias("kinds"), "left", *[c for c in ("targets",) if c in out.columns], *([structs[0].alias("auto")] if config.autoencoder else []))
 
 
 def batch_pictures(rows: DataFrame, size: int, batches: int) -> DataFrame:
@@ -236,6 +236,8 @@ def to_numpy(batch: dict[str, Any], config: M.SampleConfig) -> list:
         if name.startswith("label") and any(row[k - first] and kind != "NONE" for row, kind in zip(batch["left"], kinds, strict=True)) and not any(step.startswith(_TAKES) for step in names):
             raise ValueError("an annotation was not rasterized: add a rasterize step, or drop it")
         out.append(stacked(batch[name], n, config, kinds, k < first))
+        if config.autoencoder and k == first + len(config.annotate) - 1:
+            out.append(stacked(batch["auto"], n, config, [row[0] for row in batch["kinds"]], True))
     made = batch.get("targets") or []
     for name in dict.fromkeys((k, t["name"]) for row in made for k, t in enumerate(row or ())):
         each = [row[name[0]] if row and len(row) > name[0] and row[name[0]]["name"] == name[1] else None for row in made]

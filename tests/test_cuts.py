@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from samplery.functions import pixels
-from samplery.operators import cuts
+from samplery.operators import cuts, transcode
 from samplery.sources import files, records
 
 PIXELS = np.arange(8 * 10 * 3, dtype=np.uint8).reshape(8, 10, 3)
@@ -92,6 +92,29 @@ def test_patches_and_windows(noted):
     assert cuts.crops(noted.where("id > 9")).count() == 0
 
 
+# --- batches of one shape
+
+
+@pytest.mark.parametrize("mode,want", [("first", (4, 2, 3)), ("largest", (4, 3, 4)), ("smallest", (2, 2, 1))])
+def test_unlike_images_in_one_shape(spark, mode, want):
+    facet = "struct<width:long,height:long,channels:int,data:array<double>>"
+    own = [(0, None), (1, (4, 2, 3, [10.0] * 24)), (2, (2, 3, 1, [7.4] * 6)), (3, (3, 3, 4, [20.0, 30.0, 40.0, 9.0] * 9)), (4, (9, 9, 1, [1.0] * 81)), (8, None)]
+    rows = spark.createDataFrame(own, f"draw long, image0 {facet}")
+    if mode == "largest":
+        rows = rows.withColumn("image0", F.when(F.col("image0.channels") == 4, F.col("image0")).otherwise(F.lit(None)))
+    got = {r["draw"]: r["image0"] for r in transcode.fitted(rows, 4, mode).collect()}
+    assert len(got) == 6 and got[0] is None and got[8] is None
+    for k in (1, 2, 3):
+        if got[k] is not None:
+            assert (got[k]["width"], got[k]["height"]) == (want[:2] if mode != "largest" else (3, 3)) and len(got[k]["data"]) == got[k]["width"] * got[k]["height"] * got[k]["channels"]
+    if mode == "first":
+        assert set(got[2]["data"]) == {7.0} and got[3]["data"][:3] == [20, 30, 40] and (got[4]["width"], got[4]["height"]) == (9, 9)
+    if mode == "smallest":
+        assert set(got[3]["data"]) == {np.rint(0.114 * 20 + 0.587 * 30 + 0.299 * 40)}
+    with pytest.raises(ValueError):
+        transcode.fitted(rows, 4, "widest")
+
+
 # --- parts of files
 
 

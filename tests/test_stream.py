@@ -140,6 +140,12 @@ def test_image_masks_in_streams(spark, tmp_path):
         next(stream.ImageStream(spark, {**own, "transforms": [{"type": "rasterize"}, {"type": "sometimes", "transforms": [{"type": "featurize"}]}]}))
 
 
+def test_autoencoders_get_their_image_as_label(spark, db):
+    s = stream.ImageStream(spark, {"db": db, "loop": False, "batch": 8, "autoencoder": True, "transforms": [{"type": "resize", "size": 2}, {"type": "mask"}]})
+    meta, image, label, mask = next(s)
+    assert image.shape == (8, 2, 2, 3) and (image == label).all() and mask.shape == (8, 2, 2, 1)
+
+
 def test_single_images(spark, tmp_path):
     loader = stream.ImageLoader(spark, {"channels": 3, "dtype": "uint8", "transforms": [{"type": "pad", "size": 5}]})
     got = loader.load_binary(records.encode_raw(picture(9)))
