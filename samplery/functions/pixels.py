@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,21 +126,65 @@ def fill_polygons(points: np.ndarray, w: int, h: int) -> np.ndarray:
     return inside
 
 
+def fill(points: np.ndarray, w: int, h: int) -> tuple[slice, slice, np.ndarray]:
+    """Rows and columns of a polygon's box inside of a ``w`` x ``h`` frame, and the flags of ``fill_polygons`` there."""
+    (x0, y0), (x1, y1) = points.min(axis=0), points.max(axis=0)
+    rows, cols = (slice(int(np.clip(np.floor(lo - 0.5), 0, n)), int(np.clip(np.ceil(hi + 0.5), 0, n))) for lo, hi, n in ((y0, y1, h), (x0, x1, w)))
+    y, x = np.arange(rows.start, rows.stop)[:, None] + 0.5, np.arange(cols.start, cols.stop)[None, :] + 0.5
+    inside = np.zeros((len(y), x.shape[1]), bool)
+    ends = points.tolist()
+    for (ax, ay), (bx, by) in zip(ends, [*ends[1:], ends[0]], strict=True):
+        if ay != by:  # level edges cross no line of pixels
+            inside ^= ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax)
+    return rows, cols, inside
+
+
+def spans(points: np.ndarray, at: np.ndarray, w: int, h: int) -> np.ndarray:
+    """Runs of pixels that polygons cover, as rows (polygon, y, first x, x after the last) in the polygons' order: polygon k has ``points[at[k]:at[k + 1]]``.
+
+    A line of pixels is inside between each other pair of its crossings with edges, which all lines of all polygons of
+    as many points are cut by together.
+    """
+    sizes = np.diff(at)
+    found = []
+    for n in np.unique(sizes[sizes > 0]):
+        own = np.flatnonzero(sizes == n)
+        p = points[at[own][:, None] + np.arange(n)]
+        top, end = (np.clip(v, 0, h).astype(int) for v in (np.floor(p[..., 1].min(axis=1) - 0.5), np.ceil(p[..., 1].max(axis=1) + 0.5)))
+        high = end - top
+        of = np.repeat(np.arange(len(own)), high)
+        y = np.arange(len(of)) - np.repeat(np.cumsum(high) - high, high) + top[of]
+        a, b = p[of], np.roll(p, -1, axis=1)[of]
+        line = y[:, None] + 0.5
+        cut = (a[..., 1] > line) != (b[..., 1] > line)
+        rise = np.where(cut, b[..., 1] - a[..., 1], 1.0)
+        x = np.sort(np.where(cut, (b[..., 0] - a[..., 0]) * (line - a[..., 1]) / rise + a[..., 0], np.inf), axis=1)
+        x = np.clip(np.ceil(x - 0.5), 0, w).astype(int)
+        for k in range(0, n - 1, 2):
+            some = x[:, k] < x[:, k + 1]
+            found.append(np.stack([own[of[some]], y[some], x[some, k], x[some, k + 1]], axis=1))
+    every = np.concatenate(found) if found else np.zeros((0, 4), int)
+    return every[np.argsort(every[:, 0], kind="stable")]
+
+
 def rasterize(spark: SparkSession, w: int, h: int) -> Callable[[Column, Column], Column]:
-    """Draws polygons (arrays of pixel points, in order) with their values; later ones cover earlier ones."""
+    """Draws polygons (arrays of pixel points, in order) with their values; later ones cover earlier ones. Null polygons give null."""
     ship(spark)
 
-    @F.pandas_udf("array<double>")
-    def run(polygons: pd.Series, values: pd.Series) -> pd.Series:
-        canvas = np.zeros((len(polygons), h, w))
-        shapes = [(row, k, np.array([(p["x"], p["y"]) for p in shape]), own[k]) for row, (drawn, own) in enumerate(zip(polygons, values, strict=True)) for k, shape in enumerate(drawn)]
-        for turn in range(max((k for _, k, _, _ in shapes), default=-1) + 1):  # all rows' first shapes, then all second ones
-            for n in {len(p) for _, k, p, _ in shapes if k == turn}:
-                part = [(row, p, v) for row, k, p, v in shapes if k == turn and len(p) == n]
-                rows = np.array([row for row, _, _ in part])
-                inside = fill_polygons(np.stack([p for _, p, _ in part]), w, h)
-                canvas[rows] = np.where(inside, np.array([v for _, _, v in part])[:, None, None], canvas[rows])
-        return pd.Series(list(canvas.reshape(len(polygons), -1)))
+    @F.arrow_udf("array<double>")
+    def run(polygons: pa.Array, values: pa.Array) -> pa.Array:
+        shapes = polygons.values
+        points = np.stack([shapes.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1)], axis=1)
+        row_at, value_at = polygons.offsets.to_numpy(), values.offsets.to_numpy()
+        first = int(row_at[0])
+        row_of = np.repeat(np.arange(len(polygons)), np.diff(row_at))
+        value = values.values.to_numpy(zero_copy_only=False)[value_at[row_of] + np.arange(len(row_of)) - (row_at[row_of] - first)]
+        canvas = np.zeros(len(polygons) * h * w)
+        shape, y, x0, x1 = spans(points, shapes.offsets.to_numpy()[first : first + len(row_of) + 1], w, h).T
+        line = (row_of[shape] * h + y) * w
+        for lo, hi, v in zip((line + x0).tolist(), (line + x1).tolist(), value[shape].tolist(), strict=True):
+            canvas[lo:hi] = v
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(polygons) + 1, dtype=np.int32) * (h * w)), pa.array(canvas), mask=polygons.is_null())
 
     return run
 
@@ -328,7 +373,8 @@ def draw(canvas: np.ndarray, w: int, h: int, kind: str, points: np.ndarray, colo
     on = np.zeros((h, w), bool)
     for p in parts:
         if thickness < 0:
-            on ^= fill_polygons(p[None], w, h)[0]
+            rows, cols, inside = fill(p, w, h)
+            on[rows, cols] ^= inside
             continue
         for a, b in zip(p, np.roll(p, -1, axis=0), strict=True):
             d = b - a

@@ -92,6 +92,24 @@ def test_patches_and_windows(noted):
     assert cuts.crops(noted.where("id > 9")).count() == 0
 
 
+# --- polygons
+
+
+def test_runs_of_pixels_are_those_inside():
+    rng = np.random.default_rng(4)
+    own = [np.round(rng.uniform(-4, 14, (n, 2)) * 2) / 2 for n in rng.integers(1, 9, 200)]
+    at = np.concatenate([[0], np.cumsum([len(p) for p in own])])
+    flags = np.zeros((len(own), 7, 9), bool)
+    for k, y, x0, x1 in pixels.spans(np.concatenate(own), at, 9, 7):
+        flags[k, y, x0:x1] = True
+    for k, p in enumerate(own):
+        want = pixels.fill_polygons(p[None], 9, 7)[0]
+        rows, cols, inside = pixels.fill(p, 9, 7)
+        some = np.zeros((7, 9), bool)
+        some[rows, cols] = inside
+        assert (flags[k] == want).all() and (some == want).all()
+
+
 # --- batches of one shape
 
 
