@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -50,6 +50,33 @@ def roi_ratio(boxes: DataFrame, groups: list[str]) -> DataFrame:
     return boxes.groupBy(*groups).agg(F.avg(share).alias("mean_share"), F.stddev_pop(share).alias("dev_share"), F.count(F.lit(1)).alias("boxes"))
 
 
+def union_area(boxes: DataFrame, image: str = "image") -> DataFrame:
+    """``roi``: the share of each image that its boxes (``x``, ``y``, ``w``, ``h`` as fractions) cover together, as far as they lie in it; 0 where none has an area.
+
+    A sweep: between two neighbouring edges in x the covered height is the sum of what each box, by its upper end, adds
+    to those before it. A box meets the strips that it spans, of its own image only.
+    """
+    end = lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
+    own = boxes.select(image, end(F.col("x")).alias("x0"), end(F.col("x") + F.col("w")).alias("x1"), end(F.col("y")).alias("y0"), end(F.col("y") + F.col("h")).alias("y1"))
+    some = own.where("x1 > x0 and y1 > y0")
+    edges = some.select(image, F.explode(F.array("x0", "x1")).alias("from")).distinct()
+    strips = edges.withColumn("to", F.lead("from").over(Window.partitionBy(image).orderBy("from"))).where("to is not null").withColumnRenamed(image, "__image")
+    held = some.join(strips.hint("merge"), (F.col(image) == F.col("__image")) & (F.col("x0") <= F.col("from")) & (F.col("x1") >= F.col("to")))
+    before = F.max("y1").over(Window.partitionBy(image, "from").orderBy("y0", "y1").rowsBetween(Window.unboundedPreceding, -1))
+    more = held.withColumn("more", F.greatest(F.col("y1") - F.greatest(F.col("y0"), F.coalesce(before, F.lit(0.0))), F.lit(0.0)))
+    area = more.groupBy(image).agg(F.sum(F.col("more") * (F.col("to") - F.col("from"))).alias("__roi")).withColumnRenamed(image, "__image")
+    every = boxes.select(image).distinct()
+    return every.join(area, F.col(image) == F.col("__image"), "left").select(image, F.coalesce("__roi", F.lit(0.0)).alias("roi"))
+
+
+def roi_stats(first: DataFrame, second: DataFrame, image: str = "image") -> DataFrame:
+    """Mean and deviation of the covered share of the first annotation's images, and of the root of the second's share over the first's where that is above 0."""
+    a, b = union_area(first, image), union_area(second, image).select(F.col(image).alias("__image"), F.col("roi").alias("roi2"))
+    scale = F.when(F.col("roi") > 0, F.sqrt(F.coalesce("roi2", F.lit(0.0)) / F.col("roi")))
+    both = a.join(b, F.col(image) == F.col("__image"), "left")
+    return both.agg(F.avg("roi").alias("mean_share"), F.stddev_pop("roi").alias("dev_share"), F.avg(scale).alias("mean_scale"), F.stddev_pop(scale).alias("dev_scale"), F.count(F.lit(1)).alias("images"))
+
+
 def scale_stats(patches: DataFrame) -> DataFrame:
     """Least, mean and largest ``scale`` of region patches."""
     return patches.agg(F.min("scale").alias("min_scale"), F.avg("scale").alias("mean_scale"), F.max("scale").alias("max_scale"), F.count(F.lit(1)).alias("patches"))

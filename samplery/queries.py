@@ -1279,6 +1279,25 @@ def fit_largest(spark, sf_dir):
     return _fitted(spark, sf_dir, "largest")
 
 
+_CELLS_SQL = """{k}c AS (SELECT image, least(greatest(x, 0), 1) AS x0, least(greatest(x + {f} * w, 0), 1) AS x1, least(greatest(y, 0), 1) AS y0, least(greatest(y + {f} * h, 0), 1) AS y1 FROM b),
+{k}x AS (SELECT image, v AS a, lead(v) OVER (PARTITION BY image ORDER BY v) AS z FROM (SELECT DISTINCT image, unnest([x0, x1]) AS v FROM {k}c)), {k}y AS (SELECT image, v AS a, lead(v) OVER (PARTITION BY image ORDER BY v) AS z FROM (SELECT DISTINCT image, unnest([y0, y1]) AS v FROM {k}c)),
+{k}r AS (SELECT i.image, coalesce(sum(s.area), 0) AS roi FROM (SELECT DISTINCT image FROM b) i LEFT JOIN (SELECT DISTINCT p.image, p.a, q.a AS d, (p.z - p.a) * (q.z - q.a) AS area FROM {k}x p JOIN {k}y q ON p.image = q.image JOIN {k}c c ON c.image = p.image AND c.x0 <= p.a AND c.x1 >= p.z AND c.y0 <= q.a AND c.y1 >= q.z) s ON i.image = s.image GROUP BY i.image)"""
+
+
+@query("WITH " + BOX + ", " + _CELLS_SQL.format(k="f", f="1.0::DOUBLE") + f" SELECT image, {sql_r6('roi')} AS roi FROM fr")
+def roi_union(spark, sf_dir):
+    """The share of an image that its overlapping boxes cover together."""
+    return profile.union_area(boxes(spark, sf_dir)).withColumn("roi", r6(F.col("roi")))
+
+
+@query("WITH " + BOX + ", " + _CELLS_SQL.format(k="f", f="1.0::DOUBLE") + ", " + _CELLS_SQL.format(k="s", f="0.5::DOUBLE") + f", j AS (SELECT fr.roi AS roi, CASE WHEN fr.roi > 0 THEN sqrt(sr.roi / fr.roi) END AS scale FROM fr JOIN sr ON fr.image = sr.image) SELECT {sql_r6('avg(roi)')} AS mean_share, {sql_r6('stddev_pop(roi)')} AS dev_share, {sql_r6('avg(scale)')} AS mean_scale, {sql_r6('stddev_pop(scale)')} AS dev_scale, count(*) AS images FROM j")
+def roi_scale(spark, sf_dir):
+    """Boxes against the same boxes with half the sides."""
+    own = boxes(spark, sf_dir)
+    half = own.withColumns({"w": F.col("w") * 0.5, "h": F.col("h") * 0.5})
+    return profile.roi_stats(own, half).select(*[r6(F.col(c)).alias(c) for c in ("mean_share", "dev_share", "mean_scale", "dev_scale")], "images")
+
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balanced training batches: stratified 7-fold split, oversampled round robin, batches of 32."""

@@ -3,6 +3,7 @@
 import json
 import os
 import tarfile
+import time
 
 import numpy as np
 import pytest
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 
 from samplery.functions import pixels
 from samplery.operators import cuts, transcode
+from samplery.plans import sampling
 from samplery.sources import files, records
+from samplery.streaming import delivery
 
 PIXELS = np.arange(8 * 10 * 3, dtype=np.uint8).reshape(8, 10, 3)
 SHAPES = [
@@ -172,3 +175,35 @@ def test_only_listed_files_are_opened(spark, tmp_path):
     assert [(r["label"], bytes(r["fields"][0]["bytes"])) for r in got] == [(4.0, b"a")]
     with pytest.raises(Exception, match="missing|No such"):
         files.read_parts(spark.createDataFrame([(str(tmp_path / "missing"), 0, None)], "path string, start long, length long")).collect()
+
+
+# --- draws as a streaming source
+
+
+def test_draws_go_on_from_the_checkpoint(spark, tmp_path):
+    """Micro-batches of a stated number of draws; a restart, even with another number, gives the next draw."""
+    index = spark.createDataFrame([(k, float(k % 3), k) for k in range(50)], "id long, grp double, serial long")
+    config = sampling.SampleConfig(stratify=True, oversample=True)
+    want = {r["draw"]: r["id"] for r in sampling.looped_draws(index, config, 400).collect()}
+
+    def some(per, batches):
+        seen = []
+        query = delivery.stream_draws(spark, index, None, config, per, lambda rows, n: seen.append(sorted((r["draw"], r["id"]) for r in rows.collect())), str(tmp_path / "checkpoint"))
+        try:
+            for _ in range(600):
+                if len(seen) >= batches or query.exception():
+                    break
+                time.sleep(0.1)
+        finally:
+            query.stop()
+        assert query.exception() is None and len(seen) >= batches
+        return seen
+
+    first = some(40, 2)
+    assert [len(b) for b in first[:2]] == [40, 40] and first[0][0][0] == 0 and first[1][0][0] == 40
+    second = some(25, 1)
+    assert second[0][0][0] in {40 * len(first) - 40, 40 * len(first)}  # the last batch once more, if it was not noted as done
+    for batch in first + second:
+        assert all(want[d] == i for d, i in batch if d in want) and [d for d, _ in batch] == list(range(batch[0][0], batch[0][0] + len(batch)))
+    with pytest.raises(Exception, match="at least one"):
+        delivery.stream_draws(spark, index, None, config, 0, lambda rows, n: None, str(tmp_path / "other")).processAllAvailable()
