@@ -90,7 +90,7 @@ def records(parts: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         if not rest.startswith(b"WARC/"):
             raise ValueError(f"no WARC record begins with {rest[:40]!r}")
         lines = [x.partition(":") for x in rest.decode("utf-8").split("\r\n")[1:]]
-        headers = {name.strip().lower(): value.strip() for name, _, value in lines}
+        headers = {name.strip().lower(): value.removeprefix(" ") for name, _, value in lines}  # a URL may end in blanks
         size = int(headers["content-length"])
         held, length = [next(parts, b"")], 0
         length = len(held[0])

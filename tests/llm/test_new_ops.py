@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from samplery.llm import langid, ordinal, pii, prefix_trie, rules, vector_codes
+from samplery.llm import langid, ordinal, pii, prefix_trie, rules, vector_codes, warc
 
 # --- personal data
 
@@ -262,3 +262,10 @@ def test_rules_verdict_is_that_of_plain_paths(spark):
         assert got[r["doc_id"]]["anomaly"] == pytest.approx(score)
         assert got[r["doc_id"]]["base_failed"] == failed
         assert got[r["doc_id"]]["kept"] == (not failed and got[r["doc_id"]]["anomaly"] <= cut)
+
+
+def test_archives_keep_urls_as_they_are(spark):
+    (headers, block), = warc.records(iter([b"WARC/1.0\r\nWARC-Target-URI:  http://a/b c \r\nContent-Length: 2", b"ok"]))
+    assert headers["warc-target-uri"] == " http://a/b c " and block == b"ok"
+    pages = spark.createDataFrame([(1, " http://a.b/c d ", "x"), (2, "http://a.b/", None)], "page_id long, url string, html string")
+    assert {r["url"] for r in warc.archive_round_trip(pages).collect()} == {" http://a.b/c d ", "http://a.b/"}
