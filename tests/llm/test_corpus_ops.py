@@ -325,6 +325,48 @@ def test_each_tree_draws_from_all_rows(spark):
     assert [len(x) for x in few] == [10] * 3 and rules.tree_samples(stats.limit(0)) == []
 
 
+def test_forest_and_threshold_come_from_all_rows(spark):
+    """Each node counts all rows that reach it, and all labelled rows set the threshold, however they are dealt out."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((9000, len(rules.FEATURES))).round(2)
+    x[rng.permutation(9000)[:40]] += 6
+    rows = [(k % 8990, 20 + (k % 9 == 0) * -15, 100, 0, 0, 0, v) for k, v in enumerate(x.tolist())]
+    stats = spark.createDataFrame(rows, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, features array<double>")
+    passing = np.array([r[1] >= 10 for r in rows])
+    graded = {k: int(x[k].sum() < 2 + rng.standard_normal()) for k in range(0, 8990) if k % 6}
+    labels = spark.createDataFrame([*graded.items(), (1, 1), (None, 0), (3, None)], "doc_id long, quality int")
+    forest, cut = rules.fit_rules(stats, labels, keep=0.97)
+    assert len(forest) == rules.TREES
+    for tree in forest[:7]:
+        todo, seen = [(0, 0, np.flatnonzero(passing))], 0
+        while todo:
+            at, level, own = todo.pop()
+            f, seen = tree["feature"][at], seen + 1
+            assert tree["path"][at] == pytest.approx(level + rules.expected_path(len(own)))
+            if f < 0:
+                assert level == rules.HEIGHT or len(np.unique(x[own], axis=0)) == 1
+                continue
+            low = x[own, f] <= tree["cut"][at]
+            assert x[own, f].min() <= tree["cut"][at] < x[own, f].max() and level < rules.HEIGHT
+            todo += [(tree["left"][at], level + 1, own[low]), (tree["right"][at], level + 1, own[~low])]
+        assert seen == len(tree["feature"])
+    labelled = [k for k, r in enumerate(rows) if passing[k] and r[0] in graded]
+    scores, good = rules.anomaly(forest, x[labelled]), np.array([graded[rows[k][0]] for k in labelled]) > 0
+    assert len(labelled) > 4096 and cut == rules.calibrate(scores, good, 0.97)
+    again, same = rules.fit_rules(stats.repartition(7), labels.repartition(3), keep=0.97)
+    assert same == cut and all((a[c] == b[c]).all() for a, b in zip(forest, again, strict=True) for c in a)
+
+
+def test_threshold_equals_that_of_plain_arrays(spark):
+    rng = np.random.default_rng(7)
+    for keep, bad in ((0.9, 0.2), (0.995, 0.5), (1.0, 0.1), (0.5, 0.0), (0.9, 1.0)):
+        scores, good = rng.random(3000).round(3), rng.random(3000) >= bad
+        scores[~good] = (scores[~good] + 0.3).round(3)
+        graded = spark.createDataFrame(list(zip(scores.tolist(), good.tolist(), strict=True)), "anomaly double, good boolean").repartition(5)
+        assert rules.threshold(graded, keep) == rules.calibrate(scores, good, keep)
+    assert rules.threshold(graded.limit(0)) == float("inf")
+
+
 # --- classifier
 
 
