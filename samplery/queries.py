@@ -1259,24 +1259,30 @@ t AS (SELECT *, {width} AS tw, {height} AS th FROM v), g AS (SELECT *, {_FIT} FR
 SELECT id, tw::BIGINT AS width, th::BIGINT AS height, (i * 3 + c)::INTEGER AS i, {sql_r6(_FIT4)} AS v FROM k, range(0, 3) u(c)"""
 
 
-def _fitted(spark, sf_dir, mode):
-    """Vectors as grey images of 8 x 8 pixels (even ids) or 16 x 4, in batches of five, in one shape of three channels."""
+def unlike_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as grey images of 8 x 8 pixels (even ids) or 16 x 4."""
     v = F.col("vec_id")
     size = lambda a, b: F.when(v % 2 == 0, a).otherwise(b).cast("long")
     image = F.struct(size(8, 16).alias("width"), size(8, 4).alias("height"), F.lit(1).alias("channels"), F.col("embedding").cast("array<double>").alias("data"))
-    rows = table(spark, sf_dir, "embeddings").select(v.alias("id"), v.alias("draw"), image.alias("image0"))
-    made = transcode.fitted(rows, 5, mode, channels=3, dtype="float32")
+    return table(spark, sf_dir, "embeddings").select(v.alias("id"), v.alias("serial"), image.alias("image0"))
+
+
+def _fitted(rows, mode):
+    """In batches of five, in one shape of three channels; rows that only fill a batch (``pad``) are not shown."""
+    made = transcode.fitted(rows, 5, mode, channels=3, dtype="float32").where("not pad")
     return made.select("id", "image0.width", "image0.height", F.posexplode("image0.data").alias("i", "v")).withColumn("v", r6(F.col("v")))
 
 
 @query(_fit_sql("CASE WHEN id // 5 % 2 = 0 THEN 8 ELSE 16 END", "CASE WHEN id // 5 % 2 = 0 THEN 8 ELSE 4 END"))
 def fit_first(spark, sf_dir):
-    return _fitted(spark, sf_dir, "first")
+    return _fitted(unlike_images(spark, sf_dir).withColumns({"draw": F.col("serial"), "pad": F.lit(False)}), "first")
 
 
 @query(_fit_sql("16", "8"))
 def fit_largest(spark, sf_dir):
-    return _fitted(spark, sf_dir, "largest")
+    """Every batch is full, as its SQL has it: draws count the ids without gaps, and the first rows, drawn again, fill the last batch."""
+    plan = M.draw_order(embeddings(spark, sf_dir).select("serial").distinct(), M.SampleConfig(shuffle=False))
+    return _fitted(M.with_payload(M.padded(plan, 5), unlike_images(spark, sf_dir)), "largest")
 
 
 _CELLS_SQL = """{k}c AS (SELECT image, least(greatest(x, 0), 1) AS x0, least(greatest(x + {f} * w, 0), 1) AS x1, least(greatest(y, 0), 1) AS y0, least(greatest(y + {f} * h, 0), 1) AS y1 FROM b),

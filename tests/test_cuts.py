@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from samplery import queries
 from samplery.functions import pixels
 from samplery.operators import cuts, transcode
 from samplery.plans import sampling
@@ -136,6 +137,21 @@ def test_unlike_images_in_one_shape(spark, mode, want):
         transcode.fitted(rows, 4, "widest")
 
 
+@pytest.mark.parametrize("ids", [range(6), [0, 1, 2, 3, 4, 10, 10]])
+def test_last_batch_is_filled(spark, tmp_path, ids):
+    """The sixth image is not alone in its batch, whose largest sides are those of the first images too."""
+    own = [(i, np.random.default_rng(k).normal(size=64).tolist()) for k, i in enumerate(ids)]
+    spark.createDataFrame([(i, i % 2, e) for i, e in own], "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    rows = queries.fit_largest(spark, str(tmp_path)).collect()
+    assert {(r["width"], r["height"]) for r in rows} == {(16, 8)}
+    want = []
+    for i, e in own:
+        image = pixels.resize(np.array([e], np.float32).astype(float), 8 if i % 2 == 0 else 16, 8 if i % 2 == 0 else 4, 16, 8)[0]
+        want += [(i, k, v) for k, v in enumerate(np.repeat(image, 3))]
+    for got, (i, k, v) in zip(sorted((r["id"], r["i"], r["v"]) for r in rows), sorted(want), strict=True):
+        assert got[:2] == (i, k) and abs(got[2] - v) <= 1e-6
+
+
 # --- parts of files
 
 
